@@ -38,3 +38,34 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without columns that an operator is going to add: its results replace columns of the same name."""
+    held = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in held])
+
+
+def slices(batch, limit: int = 4 << 20):
+    """(slice of the Arrow batch, its texts): whole rows, and about `limit` bytes of text at most if a row allows it.
+
+    Null texts come as empty ones. This bounds what a Python worker holds beside the batch itself.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate([*sizes, limit + 1]):
+        if i > start and held + n > limit:
+            part = batch.slice(start, i - start)
+            yield part, [t or "" for t in part.column("text").to_pylist()]
+            start, held = i, 0
+        held += n
+
+
+def appended(batch, **arrays):
+    """The Arrow batch with more columns."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*batch.columns, *arrays.values()], [*batch.schema.names, *arrays])

@@ -6,22 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import chat, exact_dedup
+from doclake.llm import chat, exact_dedup, line_dedup, mixing
 from doclake.llm.common import table
 
 
+def op2_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_chats(rows.unionByName(chat.control_conversation(rows))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_block_naming": op4_block_naming, "op10_chat_format": op10_chat_format}
+    return {
+        "op2_hash_threshold_mix": op2_hash_threshold_mix,
+        "op4_block_naming": op4_block_naming,
+        "op5_line_runs": op5_line_runs,
+        "op10_chat_format": op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_naming": exact_dedup.ORACLE, "op10_chat_format": chat.ORACLE}
+    return {
+        "op4_block_naming": exact_dedup.ORACLE,
+        "op5_line_runs": line_dedup.ORACLE,
+        "op10_chat_format": chat.ORACLE,
+    }
