@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_vocabulary(name: str) -> str:
+    """Where the driver finds a public tokenizer's file, which is no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the session, for written intermediate tables.
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import chat, exact_dedup, line_dedup, mixing
-from doclake.llm.common import table
+from doclake.llm import bpe, chat, exact_dedup, line_dedup, mixing
+from doclake.llm.common import public_vocabulary, table
 
 
 def op2_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_vector_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
+    path = vocab_path or public_vocabulary("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_chats(rows.unionByName(chat.control_conversation(rows))))
@@ -32,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_hash_threshold_mix": op2_hash_threshold_mix,
         "op4_block_naming": op4_block_naming,
         "op5_line_runs": op5_line_runs,
+        "op8_vector_bpe": op8_vector_bpe,
         "op10_chat_format": op10_chat_format,
     }
 
