@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, chat, exact_dedup, line_dedup, mixing
+from doclake.llm import bpe, chat, exact_dedup, line_dedup, mixing, winnow
 from doclake.llm.common import public_vocabulary, table
 
 
@@ -27,6 +27,10 @@ def op8_vector_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = No
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_chats(rows.unionByName(chat.control_conversation(rows))))
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_block_naming": op4_block_naming,
         "op5_line_runs": op5_line_runs,
         "op8_vector_bpe": op8_vector_bpe,
+        "op9_winnowing": op9_winnowing,
         "op10_chat_format": op10_chat_format,
     }
 
