@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, chat, exact_dedup, line_dedup, mixing, winnow
+from doclake.llm import bpe, chat, exact_dedup, line_dedup, lm_score, mixing, winnow
 from doclake.llm.common import public_vocabulary, table
 
 
+def op1_subword_lattice(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), vocab_path or public_vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op2_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_subword_lattice": op1_subword_lattice,
         "op2_hash_threshold_mix": op2_hash_threshold_mix,
         "op4_block_naming": op4_block_naming,
         "op5_line_runs": op5_line_runs,
