@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, chat, exact_dedup, line_dedup, lm_score, mixing, winnow
+from doclake.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, winnow
 from doclake.llm.common import public_vocabulary, table
 
 
@@ -26,6 +26,10 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
     path = vocab_path or public_vocabulary("byte_bpe_multi_50k.tiktoken")
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_hash_threshold_mix": op2_hash_threshold_mix,
         "op4_block_naming": op4_block_naming,
         "op5_line_runs": op5_line_runs,
+        "op6_parity_sketch_join": op6_parity_sketch_join,
         "op8_vector_bpe": op8_vector_bpe,
         "op9_winnowing": op9_winnowing,
         "op10_chat_format": op10_chat_format,
