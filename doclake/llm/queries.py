@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, winnow
+from doclake.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, token_rollup, winnow
 from doclake.llm.common import public_vocabulary, table
 
 
@@ -18,6 +18,12 @@ def op2_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "text_score", "meta_score", "quality_score", "keep")
+
+
 def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.history(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_vector_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
     path = vocab_path or public_vocabulary("byte_bpe_multi_50k.tiktoken")
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -48,9 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_subword_lattice": op1_subword_lattice,
         "op2_hash_threshold_mix": op2_hash_threshold_mix,
+        "op3_cotraining": op3_cotraining,
         "op4_block_naming": op4_block_naming,
         "op5_line_runs": op5_line_runs,
         "op6_parity_sketch_join": op6_parity_sketch_join,
+        "op7_token_rollup": op7_token_rollup,
         "op8_vector_bpe": op8_vector_bpe,
         "op9_winnowing": op9_winnowing,
         "op10_chat_format": op10_chat_format,
@@ -61,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_block_naming": exact_dedup.ORACLE,
         "op5_line_runs": line_dedup.ORACLE,
+        "op7_token_rollup": token_rollup.ORACLE,
         "op10_chat_format": chat.ORACLE,
     }
