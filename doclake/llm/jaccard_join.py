@@ -188,9 +188,11 @@ def _given(parts: int):
 
         def packed(kind, part, key, ref, width):
             """A row for each partition of pieces; of each key its first `width` bytes."""
+            if not len(part):
+                return
             order = np.argsort(part, kind="stable")
             part = part[order]
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             spans = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True))
             key, ref = (x[order].view(np.uint8).reshape(-1, 8)[:, :w] for x, w in ((key, width), (ref, 5)))
             yield rows(
