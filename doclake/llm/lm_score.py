@@ -32,7 +32,7 @@ from doclake.llm.common import scratch, slices, stored
 
 #: Remainder of crc32(doc_id) by FOLDS that is held out.
 FOLDS, HELD_OUT = 7, 2
-ROUNDS = 4
+ROUNDS = 3
 #: Distinct words in a block: what a task holds while it numbers them.
 BLOCK_WORDS = 400_000
 #: Longer tokens of the vocabulary are no pieces.
@@ -40,7 +40,8 @@ MAX_PIECE = 16
 #: Added to each piece's expected count.
 PRIOR = 0.01
 #: Words of more bytes go through the lattice one by one, shorter ones of one length together.
-LONG_WORD, TOGETHER = 128, 8192
+LONG_WORD, TOGETHER = 40, 8192
+SLOTS = 1 << 20
 ASCII_SPACE = frozenset(b" \t\n\v\f\r")
 
 
@@ -68,13 +69,19 @@ class Pieces:
             raise ValueError("two pieces have one key")
         self.keys = np.append(keys, np.uint64(0))
         self.tables, rest = [], np.arange(self.size)
+        self.full = np.zeros(SLOTS, bool)  # slots of the first table that more than one piece wanted
         while len(rest):  # who finds its slot taken goes to the next table
-            table = np.full(1 << 20, self.size, np.int32)
+            table = np.full(SLOTS, self.size, np.int32)
             slot = self.slot(keys[rest], len(self.tables))
             _, first = np.unique(slot, return_index=True)
             table[slot[first]] = rest[first]
-            self.tables.append(table)
             rest = np.delete(rest, first)
+            if not self.tables:
+                self.full[self.slot(keys[rest], 0)] = True
+            self.tables.append(table)
+        # a Zipf guess by rank, until there are counts
+        ranks = parse_ranks(vocabulary)
+        self.guess = 1 / (np.array([ranks.get(x, len(ranks)) for x in self.pieces]) + 100.0)
 
     @staticmethod
     def grown(key, char):
@@ -87,17 +94,22 @@ class Pieces:
     def slot(keys, nth: int):
         import numpy as np
 
-        return ((keys * np.uint64(0xD6E8FEB86659FD93 + 2 * nth)) >> np.uint64(44)).astype(np.int64)
+        return ((keys * np.uint64(0xD6E8FEB86659FD93 + 2 * nth)) >> np.uint64(44)).astype(np.int64)  # of SLOTS
 
     def find(self, keys):
-        """The piece of each key; self.size if there is none."""
+        """(places of the keys that are pieces, those pieces)."""
         import numpy as np
 
-        out = np.full(keys.shape, self.size, np.int32)
-        for nth, table in enumerate(self.tables):
-            got = table[self.slot(keys, nth)]
-            out = np.where(self.keys[got] == keys, got, out)
-        return out
+        slot = self.slot(keys, 0)
+        got = self.tables[0][slot]
+        fits = self.keys[got] == keys
+        rest = np.flatnonzero(self.full[slot] & ~fits)
+        for nth, table in enumerate(self.tables[1:], 1):
+            other = table[self.slot(keys[rest], nth)]
+            right = self.keys[other] == keys[rest]
+            got[rest[right]], fits[rest[right]] = other[right], True
+        at = np.flatnonzero(fits)
+        return at, got[at]
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,42 +117,55 @@ def pieces_of(vocabulary: bytes) -> Pieces:
     return Pieces(vocabulary)
 
 
-def _sum_exp(rows):
-    """log(sum(exp(rows))) down the first axis."""
-    import numpy as np
-
-    top = rows.max(axis=0)
-    return top + np.log(np.exp(rows - top).sum(axis=0))
-
-
-def _together(words, weights, pieces: Pieces, logp, counts):
-    """The log probability of words of one length, which are rows of bytes; adds expected piece counts to `counts`."""
+def _ways(words, pieces: Pieces):
+    """(i, j, which words have a piece from i to j, those pieces) for words of one length, which are rows of bytes."""
     import numpy as np
 
     m, n = words.shape
-    at = {}
+    out = []
     with np.errstate(over="ignore"):
         for i in range(n):
             key = np.zeros(m, np.uint64)
             for j in range(i, min(n, i + MAX_PIECE)):
                 key = pieces.grown(key, words[:, j])
-                at[i, j + 1] = pieces.find(key)
-    forward = [np.zeros(m)]
-    for j in range(1, n + 1):
-        forward.append(_sum_exp(np.stack([forward[i] + logp[at[i, j]] for i in range(max(0, j - MAX_PIECE), j)])))
-    if counts is not None:
-        backward = [None] * n + [np.zeros(m)]
-        for i in range(n - 1, -1, -1):
-            ways = [logp[at[i, j]] + backward[j] for j in range(i + 1, min(n, i + MAX_PIECE) + 1)]
-            for j, way in enumerate(ways, i + 1):
-                share = np.exp(forward[i] + way - forward[n]) * weights
-                counts += np.bincount(at[i, j], share, pieces.size + 1)
-            backward[i] = _sum_exp(np.stack(ways))
+                at, found = pieces.find(key)
+                if len(at):
+                    out.append((i, j + 1, at, found))
+    return out
+
+
+def _together(words, pieces: Pieces, logp):
+    """The log probability of words of one length: the forward recursion, in log space."""
+    import numpy as np
+
+    m, n = words.shape
+    forward = np.full((n + 1, m), -np.inf)
+    forward[0] = 0
+    for i, j, at, found in _ways(words, pieces):
+        forward[j, at] = np.logaddexp(forward[j, at], forward[i, at] + logp[found])
     return forward[n]
 
 
-def _alone(word: bytes, weight: float, pieces: Pieces, logp, counts) -> float:
-    """As _together(), for one long word."""
+def _expected(words, pieces: Pieces, logp, counts) -> None:
+    """Adds the expected piece counts of words of one length, each once. They are short enough for plain products."""
+    import numpy as np
+
+    m, n = words.shape
+    forward, backward = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+    forward[0] = backward[n] = 1
+    ways = [(i, j, at, found, np.exp(logp[found])) for i, j, at, found in _ways(words, pieces)]
+    for i, j, at, _, p in ways:
+        forward[j, at] += forward[i, at] * p
+    shares = []
+    for i, j, at, _, p in reversed(ways):
+        way = p * backward[j, at]
+        shares.append(forward[i, at] * way / forward[n, at])
+        backward[i, at] += way
+    counts += np.bincount(np.concatenate([w[3] for w in reversed(ways)]), np.concatenate(shares), len(counts))
+
+
+def _alone(word: bytes, pieces: Pieces, logp, counts) -> float:
+    """As _together() and, with counts, _expected(), for one long word."""
     n, get = len(word), pieces.index.get
     ways = [[(j, k) for j in range(i + 1, min(n, i + MAX_PIECE) + 1) if (k := get(word[i:j])) is not None] for i in range(n)]
 
@@ -156,20 +181,19 @@ def _alone(word: bytes, weight: float, pieces: Pieces, logp, counts) -> float:
         for i in range(n - 1, -1, -1):
             for j, k in ways[i]:
                 way = logp[k] + backward[j]
-                counts[k] += weight * math.exp(forward[i] + way - forward[n])
+                counts[k] += math.exp(forward[i] + way - forward[n])
                 backward[i] = add(backward[i], way)
     return forward[n]
 
 
-def word_logprobs(words: list[bytes], pieces: Pieces, logp, weights=None, counts=None):
+def word_logprobs(words: list[bytes], pieces: Pieces, logp, counts=None):
     """The natural log of each word's marginal probability. logp: of each piece, and -inf for none.
 
-    With weights and counts (one more than there are pieces) it adds what an expectation step counts.
+    With counts (one more than there are pieces) it adds what an expectation step counts instead, and gives nothing.
     """
     import numpy as np
 
     out = np.empty(len(words))
-    weights = np.ones(len(words)) if weights is None else np.asarray(weights, float)
     size = np.array([len(w) + 1 for w in words], np.int64)
     order = np.argsort(size, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(size[order])) + 1, len(order))
@@ -180,12 +204,30 @@ def word_logprobs(words: list[bytes], pieces: Pieces, logp, weights=None, counts
             own = order[i : min(last, i + TOGETHER)]
             if n > LONG_WORD:
                 for k in own.tolist():
-                    out[k] = _alone(b" " + words[k], weights[k], pieces, logp, counts)
+                    out[k] = _alone(b" " + words[k], pieces, logp, counts)
+                continue
+            rows = np.frombuffer(b"".join([b" " + words[k] for k in own.tolist()]), np.uint8).reshape(-1, n)
+            if counts is None:
+                out[own] = _together(rows, pieces, logp)
             else:
-                rows = np.frombuffer(b"".join([b" " + words[k] for k in own.tolist()]), np.uint8).reshape(-1, n)
-                out[own] = _together(rows, weights[own], pieces, logp, counts)
+                _expected(rows, pieces, logp, counts)
         first = last
-    return out
+    return out if counts is None else None
+
+
+def _gathered(batches, rows: int = 65_536):
+    """Arrow batches of about `rows` rows, so that words of one length come in numbers."""
+    import pyarrow as pa
+
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, many = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _log_shares(counts, stops: float, leads):
@@ -209,7 +251,7 @@ def learn(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS):
     sc = words.sparkSession.sparkContext
     pieces = pieces_of(vocabulary)
     shared = sc.broadcast(vocabulary)
-    logp, stop = _log_shares(np.zeros(pieces.size), 0.0, pieces.leads)
+    logp, stop = _log_shares(pieces.guess, pieces.guess.sum() / 4, pieces.leads)
     for _ in range(rounds):
         now = sc.broadcast(logp)
 
@@ -218,9 +260,9 @@ def learn(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS):
 
             own = pieces_of(shared.value)
             counts, many = np.zeros(own.size + 1), 0
-            for batch in batches:
+            for batch in _gathered(batches):
                 many += batch.num_rows
-                word_logprobs(batch.column("word").to_pylist(), own, now.value, None, counts)
+                word_logprobs(batch.column("word").to_pylist(), own, now.value, counts)
             counts[-1] = many  # each word stops once
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["piece", "n"])
@@ -309,12 +351,12 @@ def score_documents(docs: DataFrame, vocab_path: str, rounds: int = ROUNDS) -> D
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            c = batch.column("c").to_numpy(zero_copy_only=False)
+        for batch in _gathered(batches):
+            c = batch.column("c").to_numpy()
             got = cuts + word_logprobs(batch.column("word").to_pylist(), pieces_of(shared.value), now.value)
             whole = np.log(np.maximum(c - off, 0.01) / (total + 2))
             got = np.where(c > 0, np.logaddexp(got, whole), got)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(got)], ["word", "c", "lp"])
+            yield from pa.table({"word": batch.column("word"), "c": batch.column("c"), "lp": got}).to_batches()
 
     known = counts.mapInArrow(scored, "word binary, c long, lp double")
     back = words.select("w_block", "word", "idx").join(known, "word").select("w_block", "idx", "c", "lp")
