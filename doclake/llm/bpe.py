@@ -32,7 +32,7 @@ LETTER, NUMBER, OTHER, SPACE, LAST_WHITE, WHITE, SHORT, LONG, BREAK = range(9)
 BETWEEN, LETTERS, NUMBERS, OTHERS, LED, WHITES, ONE_LEFT, TWO_LEFT = range(8)
 STRETCH = 64
 #: Pieces whose ids a worker keeps; twice as many at most.
-CACHED = 300_000
+CACHED = 150_000
 #: Up to so many bytes a plain list of pairs is quicker than a heap.
 SHORT_PIECE, NO_RANK = 48, 1 << 40
 #: Code points that have White_Space, fixed values.
@@ -195,6 +195,10 @@ class Pieces(dict):
         super().__init__()
         self.ranks, self.old = ranks, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, piece: bytes) -> bytes:
         got = self.old.get(piece)
         if got is None:
@@ -293,6 +297,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
                     begin.append((np.cumsum(size) - size).astype(np.int32))
                 n = pa.array([len(x) for x in ids], pa.int64())
                 yield appended(part, n_tokens=n, ids=_lists(ids, np.int32), offsets=_lists(begin, np.int32))
+        cache.forget()  # the worker may serve other stages next
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
     return held.mapInArrow(run, f"{cols}, n_tokens long, ids array<int>, offsets array<int>")

@@ -56,11 +56,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def slices(batch, limit: int = 4 << 20):
     """(slice of the Arrow batch, its texts): whole rows, and about `limit` bytes of text at most if a row allows it.
 
-    Null texts come as empty ones. This bounds what a Python worker holds beside the batch itself.
+    Null texts come as empty ones. This bounds what a Python worker holds beside the batch itself. Arrow's unused memory
+    is given back before each batch, since workers live on and serve later stages too.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    pa.default_memory_pool().release_unused()
+
     sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_pylist()
     start = held = 0
     for i, n in enumerate([*sizes, limit + 1]):
