@@ -155,6 +155,20 @@ def test_pigeonhole_keeps_every_similar_pair():
             assert apart <= len(a) + len(b) - 2 * both
 
 
+def test_wide_sketches_bound_the_difference():
+    import numpy as np
+
+    q = random.Random(8)
+    for n in (900, 1024, 1025, 2100, 5000):
+        a = np.unique(np.array([q.getrandbits(63) for _ in range(n)], np.uint64))
+        b = np.append(a[q.randrange(150) :], np.array([q.getrandbits(63) for _ in range(q.randrange(150))], np.uint64))
+        far = np.array([q.getrandbits(63) for _ in range(n)], np.uint64)
+        with np.errstate(over="ignore"):
+            x, y, z = (jaccard_join.wide_sketch(s) for s in (a, b, far))
+        assert jaccard_join.wide_apart(x, y) <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert jaccard_join.wide_apart(x, z) > jaccard_join.may_differ(n, n)
+
+
 def test_mixing(spark, docs, empty):
     q = random.Random(3)
     data = [(i, " ".join(["w"] * q.randrange(200)), f"s{i % 7}" if i % 11 else None) for i in range(600)]
