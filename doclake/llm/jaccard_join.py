@@ -35,8 +35,12 @@ WORDS = 5
 #: A pair links if 100 times the intersection is at least THRESHOLD times the union.
 THRESHOLD = 80
 SKETCH_WORDS = 16
+#: Sets with more shingles have a wide sketch too, of about a bit for each; the dense one tells little of them.
+LONG_SET = 800
+#: Up to so many ids of candidates (some MB) are broadcast to the texts; more are joined by shuffle.
+FEW_IDS = 200_000
 #: Pieces that a task holds before it sends them, and pieces' partitions for each shuffle partition.
-HELD_PIECES, PARTS = 3_000_000, 4
+HELD_PIECES, PARTS = 1_000_000, 4
 #: Pieces beyond what may differ, so that nearly all sets fill enough of them at once.
 SPARE = 1.15
 #: Rounds that link a piece's members to one of them, before members of different components meet.
@@ -160,6 +164,37 @@ def sketch(hashes):
     return np.packbits(odd).view("<i8")
 
 
+def wide_sketch(hashes) -> bytes | None:
+    """A sketch of as many bits as the set has elements or nearly twice as many, of sets with more than LONG_SET."""
+    import numpy as np
+
+    if len(hashes) <= LONG_SET:
+        return None
+    bits = 1 << (len(hashes) - 1).bit_length()
+    at = (_mix(hashes + np.uint64(78)) >> np.uint64(16)) % np.uint64(bits)  # halves of it fold to the next smaller one's
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two wide sketches, the larger one folded until both are of one size."""
+    import numpy as np
+
+    a, b = sorted((np.frombuffer(v, np.uint8) for v in (x, y)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _wide_possible(batches):
+    """Of pairs (a, b, m, x, y) those whose wide sketches differ in no more than m bits."""
+    import pyarrow as pa
+
+    for batch in batches:
+        told = zip(*(batch.column(c).to_pylist() for c in ("m", "x", "y")), strict=True)
+        keep = pa.array([i for i, (m, x, y) in enumerate(told) if not x or not y or wide_apart(x, y) <= m], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
+
+
 def class_key(hashes) -> tuple[int, int]:
     """128 bits that stand for a set."""
     import numpy as np
@@ -179,11 +214,11 @@ def _given(parts: int):
         import numpy as np
         import pyarrow as pa
 
-        names = ["kind", "part", "keys", "refs", "doc_id", "text_key", "n", "d1", "d2", *SKETCH]
+        names = ["kind", "part", "keys", "refs", "doc_id", "text_key", "n", "d1", "d2", *SKETCH, "wide"]
         id_type = pa.int64()
 
         def rows(many, **given):
-            types = dict.fromkeys(names, pa.int64()) | {"kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "refs": pa.binary(), "doc_id": id_type}
+            types = dict.fromkeys(names, pa.int64()) | {"kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "refs": pa.binary(), "doc_id": id_type, "wide": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(given[k], types[k]) if k in given else pa.nulls(many, types[k]) for k in names], names)
 
         def packed(kind, part, key, ref, width):
@@ -223,7 +258,7 @@ def _given(parts: int):
                     yield rows(
                         len(sets), kind=[0] * len(sets), part=[k[0] % parts for k in known], doc_id=part.column("doc_id").to_pylist(),
                         text_key=part.column("text_key").to_pylist(), n=[len(s) for s in sets], d1=[k[0] for k in known], d2=[k[1] for k in known],
-                        **{c: dense[:, i] for i, c in enumerate(SKETCH)},
+                        **{c: dense[:, i] for i, c in enumerate(SKETCH)}, wide=[wide_sketch(s) for s in sets],
                     )
                     for s, k in zip(sets, known, strict=True):
                         if len(s) and k not in seen:
@@ -256,7 +291,7 @@ def _met(table):
     import pyarrow.compute as pc
 
     kind, part = table.column("kind"), table.column("part")[0].as_py()
-    docs = table.filter(pc.equal(kind, 0)).select(["doc_id", "text_key", "n", "d1", "d2", *SKETCH])
+    docs = table.filter(pc.equal(kind, 0)).select(["doc_id", "text_key", "n", "d1", "d2", *SKETCH, "wide"])
     keys, refs = [], []
     for k, width in ((1, 8), (2, 5)):
         own = table.filter(pc.equal(kind, k))
@@ -285,12 +320,14 @@ def _sets(batches):
     import numpy as np
     import pyarrow as pa
 
+    seen: set[int] = set()  # rows that repeat give their class's set once a task; more of them do no harm
     with np.errstate(over="ignore"):
         for batch in batches:
             for part, texts in slices(batch, 1 << 20):
                 want = zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True)
                 sets = shingles(texts)
-                right = [i for i, (s, w) in enumerate(zip(sets, want, strict=True)) if class_key(s) == w]
+                cids = part.column("cid").to_pylist()
+                right = [i for i, (s, w) in enumerate(zip(sets, want, strict=True)) if class_key(s) == w and cids[i] not in seen and not seen.add(cids[i])]
                 yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["cid", "set"])
 
 
@@ -309,12 +346,13 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
 
 
-#: What can be told of two classes x and y without their sets.
-POSSIBLE = (
-    f"100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n) AND "
-    + " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in SKETCH)
-    + f" <= x.n + y.n - 2 * ceil({THRESHOLD} * (x.n + y.n) / {100 + THRESHOLD})"
-)
+def _possible(columns: list[str]) -> str:
+    """What the sizes and sketches (columns) of two classes x and y tell without their sets."""
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in columns)
+    return (
+        f"100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n) AND "
+        f"{apart} <= x.n + y.n - 2 * ceil({THRESHOLD} * (x.n + y.n) / {100 + THRESHOLD})"
+    )
 
 
 class Join:
@@ -326,7 +364,7 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        dense = ", ".join(f"{c} long" for c in SKETCH)
+        dense = ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"
         given = self.docs.withColumn("text_key", F.xxhash64(F.lit("text"), F.col("text"))).mapInArrow(
             _given(parts), f"kind int, part int, keys binary, refs binary, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}"
         )
@@ -334,54 +372,79 @@ class Join:
         met = stored(met, f"{self.path}/met")
         #: doc_id, text_key, n, d1, d2 of every document
         self.rows = met.where("key IS NULL").select("doc_id", "text_key", "n", "d1", "d2")
-        classes = met.where("key IS NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in SKETCH])
+        classes = met.where("key IS NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in [*SKETCH, "wide"]])
         classes = classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("ref", F.col("d1").bitwiseAND(F.lit(FIVE)))
         self.classes = stored(classes, f"{self.path}/classes")
         held = met.where("key IS NOT NULL").select("key", "ref").join(self.classes.select("ref", "cid"), "ref").select("key", "cid").distinct()
-        self.members = stored(held, f"{self.path}/members")
+        held = stored(held, f"{self.path}/held")
+        sizes = stored(held.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("many > 1"), f"{self.path}/sizes")
+        #: pairs of classes that alone hold some piece, and (key, cid) of pieces that more hold
+        self.couples = sizes.where("many = 2").select("a", "b").distinct()
+        self.members = stored(held.join(sizes.where("many > 2").select("key"), "key", "left_semi"), f"{self.path}/members")
 
     def _with(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs of classes (a, b) that their sizes and sketches allow, each once, written."""
         sizes = self.classes.select("cid", "n", *SKETCH)
         near = pairs.join(sizes.alias("x"), F.col("a") == F.col("x.cid")).join(sizes.alias("y"), F.col("b") == F.col("y.cid"))
-        return stored(near.where(POSSIBLE).select("a", "b"), f"{self.path}/{name}")
+        most = F.expr(f"x.n + y.n - 2 * ceil({THRESHOLD} * (x.n + y.n) / {100 + THRESHOLD})")
+        near = near.where(_possible(SKETCH)).select("a", "b", most.alias("m"), (F.expr("least(x.n, y.n)") > LONG_SET).alias("long"))
+        near = stored(near, f"{self.path}/{name}_near")
+        wide = self.classes.where(F.col("n") > LONG_SET).select("cid", "wide")
+        long = near.where("long").join(wide.selectExpr("cid AS a", "wide AS x"), "a").join(wide.selectExpr("cid AS b", "wide AS y"), "b")
+        long = long.select("a", "b", "m", "x", "y").mapInArrow(_wide_possible, "a long, b long")
+        return stored(near.where("NOT long").select("a", "b").unionByName(long), f"{self.path}/{name}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets link."""
         self.turn += 1
         ids = pairs.selectExpr("a AS cid").union(pairs.selectExpr("b AS cid")).distinct()
-        ids = ids.join(self.classes.select("cid", "doc", "d1", "d2"), "cid")
+        ids = stored(ids.join(self.classes.select("cid", "doc", "d1", "d2"), "cid"), f"{self.path}/ids{self.turn}")
+        if ids.count() <= FEW_IDS:
+            ids = F.broadcast(ids)  # of a checked size, so that texts aren't shuffled
         found = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc"))).select("cid", "d1", "d2", "text")
-        sets = stored(found.mapInArrow(_sets, "cid long, set binary").dropDuplicates(["cid"]), f"{self.path}/sets{self.turn}")
+        sets = stored(found.mapInArrow(_sets, "cid long, set binary"), f"{self.path}/sets{self.turn}")
         whole = pairs.join(sets.selectExpr("cid AS a", "set AS x"), "a").join(sets.selectExpr("cid AS b", "set AS y"), "b")
         return stored(whole.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"{self.path}/links{self.turn}")
 
-    def open_members(self, labels: DataFrame | None, name: str) -> DataFrame:
+    def _open(self, members: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
         """key, cid, comp of the pieces whose members are in different components."""
         if labels is None:
-            return self.members.withColumn("comp", F.col("cid"))
-        told = self.members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-        told = stored(told, f"{self.path}/{name}")
+            return members.withColumn("comp", F.col("cid"))
+        told = members.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        told = stored(told, f"{self.path}/told_{name}")
         open_ = told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        return told.join(open_, "key", "left_semi")
-
-    def links(self) -> tuple[DataFrame, DataFrame | None]:
-        """All links found (a, b) and the components of their classes (node, comp)."""
-        links, labels, tested = None, None, None
+        return stored(told.join(open_, "key", "left_semi"), f"{self.path}/open_{name}")
+
+    def _starred(self, own: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each piece's members with one of them: the least in an order that differs by round."""
+        rank = F.struct(F.xxhash64(F.lit(turn), "cid").alias("r"), "cid", "comp")
+        hubs = own.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.cid").alias("h_cid"), F.col("hub.comp").alias("h_comp"))
+        hubs = stored(hubs, f"{self.path}/hubs{turn}")
+        pairs = own.join(hubs, "key").where("comp <> h_comp")
+        return pairs.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"))
+
+    def _crossed(self, own: DataFrame) -> DataFrame:
+        """Pairs of a piece's members in different components, of which a sketch lets the join itself drop most.
+
+        A sketch whose quarters are folded into one is a sketch too.
+        """
+        quarter = SKETCH_WORDS // 4
+        folded = [" ^ ".join(f"s{i + quarter * k}" for k in range(4)) + f" AS f{i}" for i in range(quarter)]
+        told = stored(own.join(self.classes.selectExpr("cid", "n", *folded), "cid"), f"{self.path}/folded")
+        meet = "x.key = y.key AND x.cid < y.cid AND x.comp <> y.comp AND " + _possible([f"f{i}" for i in range(quarter)])
+        return told.alias("x").join(told.alias("y"), F.expr(meet)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+    def links(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """All links found (a, b) and the components of their classes (node, comp).
+
+        A piece whose members have come together is done; the others meet another hub, at last each other.
+        """
+        links, labels, tested, own = None, None, None, self.members
         for turn in range(STARS + 1):
-            own = stored(self.open_members(labels, f"told{turn}"), f"{self.path}/open{turn}")
-            if own.isEmpty():
-                break
-            if turn < STARS:
-                # each piece's members meet one of them: the least in an order that differs by round
-                rank = F.struct(F.xxhash64(F.lit(turn), "cid").alias("r"), "cid", "comp")
-                hubs = own.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.cid").alias("h_cid"), F.col("hub.comp").alias("h_comp"))
-                hubs = stored(hubs, f"{self.path}/hubs{turn}")
-                pairs = own.join(hubs, "key").where("comp <> h_comp")
-                pairs = pairs.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"))
-            else:
-                far = own.select("key", F.col("cid").alias("b"), F.col("comp").alias("b_comp"))
-                pairs = own.select("key", F.col("cid").alias("a"), "comp").join(far, "key").where("comp <> b_comp AND a < b").select("a", "b")
+            own = self._open(own, labels, str(turn))
+            pairs = self._starred(own, turn) if turn < STARS else self._crossed(own)
+            if not turn:
+                pairs = pairs.unionByName(self.couples)
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
