@@ -256,7 +256,7 @@ def _given(parts: int):
                     known = [class_key(s) for s in sets]
                     dense = np.stack([sketch(s) for s in sets])
                     yield rows(
-                        len(sets), kind=[0] * len(sets), part=[k[0] % parts for k in known], doc_id=part.column("doc_id").to_pylist(),
+                        len(sets), kind=[0] * len(sets), doc_id=part.column("doc_id").to_pylist(),
                         text_key=part.column("text_key").to_pylist(), n=[len(s) for s in sets], d1=[k[0] for k in known], d2=[k[1] for k in known],
                         **{c: dense[:, i] for i, c in enumerate(SKETCH)}, wide=[wide_sketch(s) for s in sets],
                     )
@@ -285,13 +285,12 @@ def _wide(data: bytes, width: int):
 
 
 def _met(table):
-    """Of one partition of pieces: the documents' rows, and (key, ref) of pieces that several documents hold."""
+    """Of one partition of pieces: (key, ref) of those that several documents hold."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     kind, part = table.column("kind"), table.column("part")[0].as_py()
-    docs = table.filter(pc.equal(kind, 0)).select(["doc_id", "text_key", "n", "d1", "d2", *SKETCH, "wide"])
     keys, refs = [], []
     for k, width in ((1, 8), (2, 5)):
         own = table.filter(pc.equal(kind, k))
@@ -307,12 +306,7 @@ def _met(table):
             key, ref = key[shared], ref[shared]
         keys.append(key)
         refs.append(ref)
-    key, ref = np.concatenate(keys), np.concatenate(refs)
-    n, m = docs.num_rows, len(key)
-    columns = {"key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)]), "ref": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ref)])}
-    for c in docs.schema.names:
-        columns[c] = pa.concat_arrays([docs.column(c).combine_chunks(), pa.nulls(m, docs.schema.field(c).type)])
-    return pa.table(columns)
+    return pa.table({"key": np.concatenate(keys), "ref": np.concatenate(refs)})
 
 
 def _sets(batches):
@@ -365,17 +359,20 @@ class Join:
         parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         id_type = docs.schema["doc_id"].dataType.simpleString()
         dense = ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"
-        given = self.docs.withColumn("text_key", F.xxhash64(F.lit("text"), F.col("text"))).mapInArrow(
-            _given(parts), f"kind int, part int, keys binary, refs binary, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}"
-        )
-        met = given.groupBy("part").applyInArrow(_met, f"key long, ref long, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}")
+        columns = f"part int, keys binary, refs binary, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}"
+        given = self.docs.withColumn("text_key", F.xxhash64(F.lit("text"), F.col("text"))).mapInArrow(_given(parts), f"kind int, {columns}")
+        given.write.partitionBy("kind").parquet(f"{self.path}/given")
+        given = spark.read.schema(f"{columns}, kind int").parquet(f"{self.path}/given")
+        # documents stay where they are, as copies of one text would all meet in one task; only pieces are dealt out
+        told = given.where("kind = 0")
+        met = given.where("kind > 0").select("kind", "part", "keys", "refs").groupBy("part").applyInArrow(_met, "key long, ref long")
         met = stored(met, f"{self.path}/met")
         #: doc_id, text_key, n, d1, d2 of every document
-        self.rows = met.where("key IS NULL").select("doc_id", "text_key", "n", "d1", "d2")
-        classes = met.where("key IS NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in [*SKETCH, "wide"]])
+        self.rows = told.select("doc_id", "text_key", "n", "d1", "d2")
+        classes = told.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in [*SKETCH, "wide"]])
         classes = classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("ref", F.col("d1").bitwiseAND(F.lit(FIVE)))
         self.classes = stored(classes, f"{self.path}/classes")
-        held = met.where("key IS NOT NULL").select("key", "ref").join(self.classes.select("ref", "cid"), "ref").select("key", "cid").distinct()
+        held = met.join(self.classes.select("ref", "cid"), "ref").select("key", "cid").distinct()
         held = stored(held, f"{self.path}/held")
         sizes = stored(held.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("many > 1"), f"{self.path}/sizes")
         #: pairs of classes that alone hold some piece, and (key, cid) of pieces that more hold

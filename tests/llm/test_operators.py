@@ -126,6 +126,21 @@ def test_jaccard_join(spark, seed):
     assert rows(jaccard_join.near_components(data), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_jaccard_join_deals_out_no_documents(spark, monkeypatch):
+    met = jaccard_join._met
+
+    def small(table):
+        assert table.num_rows < 300  # rows of packed pieces, which copies don't add to
+        return met(table)
+
+    monkeypatch.setattr(jaccard_join, "_met", small)
+    copy = " ".join(f"w{i}" for i in range(60))
+    near = " ".join(f"w{i}" for i in range(61))
+    data = spark.createDataFrame([(i, copy) for i in range(700)] + [(i, " ") for i in range(700, 1400)] + [(1400, near)], "doc_id long, text string").repartition(3)
+    got = rows(jaccard_join.near_components(data), "doc_id", "n_shingles", "component_id")
+    assert got == sorted([(i, 56, 0) for i in range(700)] + [(i, 0, i) for i in range(700, 1400)] + [(1400, 57, 0)], key=repr)
+
+
 def test_jaccard_join_edges(docs, empty):
     _, label = components([t for _, t in BASE])
     ids = [i for i, _ in BASE]
