@@ -44,14 +44,19 @@ def read_md(docs: DataFrame) -> Ir:
 
 
 def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
-    """Rows of a package's XML to the flat tables; blk is the place of a block's first row."""
-    rows = stored(rows.where("error IS NULL"))
-    body = rows.where("tbl IS NULL")
-    blk = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
-    body = body.withColumn("blk", blk)
+    """Rows of a package's XML to the flat tables; blk is the place of a block's first row in the document.
+
+    What follows a table in the paragraph that holds it is a paragraph of its own behind the table.
+    """
+    # places and numbers of tables begin anew in each section
+    rows = stored(rows.where("error IS NULL").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")))
+    own = Window.partitionBy("doc_id", "sec").orderBy("ord")
+    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("start", (F.col("row_type") == "paragraph") | (F.lag("row_type").over(own) == "table"))
+    body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct("heading", "num_id", "ilvl")), True).over(own)).where("tbl IS NULL")
+    body = body.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own))
     breaks = body.where("row_type = 'pageBreak'").select("doc_id", "blk").distinct().withColumn("breaks", F.lit(True))
-    paragraphs = body.where("row_type = 'paragraph'").join(breaks, ["doc_id", "blk"], "left")
-    tables = rows.where("row_type = 'table'").select("doc_id", F.col("ord").alias("blk"), "tbl")
+    paragraphs = body.where("start").select("doc_id", "blk", "like.*").join(breaks, ["doc_id", "blk"], "left")
+    tables = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl")
     kind = F.when(F.col("breaks"), "pageBreak").otherwise("paragraph")
     blocks = paragraphs.select("doc_id", "blk", kind.alias("kind"), "heading", F.col("ilvl").alias("list_level"), F.when(F.col("num_id").isNotNull(), F.col("num_id") == "2").alias("list_ordered"))
     blocks = blocks.unionByName(tables.select("doc_id", "blk", F.lit("table").alias("kind")), allowMissingColumns=True)
@@ -62,8 +67,8 @@ def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
     else:
         pieces = pieces.withColumn("url", F.lit(None).cast("string"))
     runs = pieces.select("doc_id", "blk", F.col("ord").alias("pos"), "text", "bold", "italic", "underline", "strike", "color", "url", *[F.lit(None).cast("boolean").alias(k) for k in ("sup", "sub")], F.lit(None).cast("string").alias("font"))
-    inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'cell')").groupBy("doc_id", "tbl", "row", "col").agg(m.ordered_join("text", "ord", "").alias("text"))
-    cells = inside.join(tables, ["doc_id", "tbl"]).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), "text")
+    inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'cell')").groupBy("doc_id", "sec", "tbl", "row", "col").agg(m.ordered_join("text", "ord", "").alias("text"))
+    cells = inside.join(tables, ["doc_id", "sec", "tbl"]).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), "text")
     return Ir(blocks, runs, cells, meta)
 
 
@@ -86,9 +91,12 @@ def read_hwpx(docs: DataFrame) -> Ir:
     on = lambda c: F.when(F.col(c), F.lit(True))
     shape = F.nullif(F.col("ref").try_cast("int"), F.lit(0))
     rows = rows.withColumns({"heading": F.when((F.col("row_type") == "paragraph") & shape.between(1, 6), shape), "bold": on("b"), "italic": on("i")})
-    # a table stands in a paragraph of its own: that one has no text and is no block
-    holder = rows.where("row_type = 'table'").select("doc_id", (F.col("ord") - 1).alias("ord"))
-    rows = rows.join(holder, ["doc_id", "ord"], "left_anti")
+    # a table stands in a paragraph: one that holds nothing else is no block
+    rows = rows.where("NOT (row_type = 'text' AND text = '')")
+    last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
+    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
+    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph")).alias("more"))
+    rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
     return _from_rows(rows, meta, None)
 
 

@@ -137,6 +137,21 @@ def test_packages(spark):
     assert told[0].startswith('---\ntitle: "T & <x>"\n---\n\n# Head\n\ntext **b** *i*') and told[1] == "only text"
 
 
+def hwpx(spark, *sections):
+    para = lambda x: f'<hp:p paraPrIDRef="0"><hp:run charPrIDRef="0">{x}</hp:run></hp:p>'
+    parts = [(1, i, f"Contents/section{i}.xml", f'<s xmlns:hp="p">{"".join(map(para, s))}</s>'.encode()) for i, s in enumerate(sections)]
+    return package.zip_package(spark.createDataFrame(parts, "doc_id long, ord int, part string, bytes binary"))
+
+
+def test_sections(spark):
+    t = lambda x: f"<hp:t>{x}</hp:t>"
+    table = lambda x: f"<hp:tbl><hp:tr><hp:tc><hp:subList><hp:p><hp:run>{t(x)}</hp:run></hp:p></hp:subList></hp:tc></hp:tr></hp:tbl>"
+    docs = hwpx(spark, [t("one"), t("before") + table("A"), t("two")], [t("three"), t("four"), table("B") + t(""), t("five") + table("C") + t("after")])
+    want = ["one", "before", "| A |\n| --- |", "two", "three", "four", "| B |\n| --- |", "five", "| C |\n| --- |", "after"]
+    assert convert.convert(docs, "hwpx", "md").first()["md"] == "\n\n".join(want)
+    assert convert.read_hwpx(docs).blocks.count() == len(want)
+
+
 def test_bad_package_is_a_row(spark):
     df = spark.createDataFrame([(1, b"no zip"), (2, None)], "doc_id long, bytes binary")
     assert all(r["error"] and r["part"] is None for r in package.unzip_parts(df).collect())
