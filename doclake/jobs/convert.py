@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,12 @@ class Ir:
     runs: DataFrame
     cells: DataFrame
     meta: DataFrame
+    #: doc_id, error of documents that could not be read whole
+    errors: DataFrame | None = None
 
     def written(self) -> Ir:
         """The tables written once, for writers that read them several times."""
-        return Ir(*map(stored, (self.blocks, self.runs, self.cells, self.meta)))
+        return Ir(*map(stored, (self.blocks, self.runs, self.cells, self.meta)), self.errors if self.errors is None else stored(self.errors))
 
 
 RUN_FLAGS = ("bold", "italic", "underline", "strike", "sup", "sub")
@@ -46,16 +48,18 @@ def read_md(docs: DataFrame) -> Ir:
 def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
     """Rows of a package's XML to the flat tables; blk is the place of a block's first row in the document.
 
-    What follows a table in the paragraph that holds it is a paragraph of its own behind the table.
+    A page break is a block of its own; what follows it, or a table, in the same paragraph is a paragraph of its own behind it.
     """
     # places and numbers of tables begin anew in each section
     rows = stored(rows.where("error IS NULL").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")))
     own = Window.partitionBy("doc_id", "sec").orderBy("ord")
-    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("start", (F.col("row_type") == "paragraph") | (F.lag("row_type").over(own) == "table"))
+    start = F.col("row_type").isin("paragraph", "pageBreak") | F.lag("row_type").over(own).isin("table", "pageBreak")
+    opens = (F.col("row_type") == "paragraph") & F.coalesce(F.lead("row_type").over(own) == "pageBreak", F.lit(False))  # nothing is before the break
+    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumns({"start": start, "opens": opens})
     body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct("heading", "num_id", "ilvl")), True).over(own)).where("tbl IS NULL")
     body = body.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own))
-    breaks = body.where("row_type = 'pageBreak'").select("doc_id", "blk").distinct().withColumn("breaks", F.lit(True))
-    paragraphs = body.where("start").select("doc_id", "blk", "like.*").join(breaks, ["doc_id", "blk"], "left")
+    is_break = F.col("row_type") == "pageBreak"
+    paragraphs = body.where("start AND NOT opens").select("doc_id", "blk", is_break.alias("breaks"), *[F.when(~is_break, F.col(f"like.{c}")).alias(c) for c in ("heading", "num_id", "ilvl")])
     tables = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl")
     kind = F.when(F.col("breaks"), "pageBreak").otherwise("paragraph")
     blocks = paragraphs.select("doc_id", "blk", kind.alias("kind"), "heading", F.col("ilvl").alias("list_level"), F.when(F.col("num_id").isNotNull(), F.col("num_id") == "2").alias("list_ordered"))
@@ -67,27 +71,40 @@ def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
     else:
         pieces = pieces.withColumn("url", F.lit(None).cast("string"))
     runs = pieces.select("doc_id", "blk", F.col("ord").alias("pos"), "text", "bold", "italic", "underline", "strike", "color", "url", *[F.lit(None).cast("boolean").alias(k) for k in ("sup", "sub")], F.lit(None).cast("string").alias("font"))
-    inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'cell')").groupBy("doc_id", "sec", "tbl", "row", "col").agg(m.ordered_join("text", "ord", "").alias("text"))
+    # lines and paragraphs of a cell stay apart
+    shown = F.when(F.col("row_type").isin("paragraph", "lineBreak"), "\n").otherwise(F.col("text"))
+    inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'lineBreak', 'paragraph', 'cell')").withColumn("text", shown)
+    inside = inside.groupBy("doc_id", "sec", "tbl", "row", "col").agg(F.regexp_replace(m.ordered_join("text", "ord", ""), r"^\n", "").alias("text"))
     cells = inside.join(tables, ["doc_id", "sec", "tbl"]).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), "text")
     return Ir(blocks, runs, cells, meta)
 
 
+def _errors(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, error of the packages, and of their parts, that could not be read."""
+    told = parts.select("doc_id", "error").unionByName(rows.select("doc_id", "error"))
+    return told.where("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
+
+
 def read_docx(docs: DataFrame) -> Ir:
     """From doc_id, bytes."""
     parts = package.unzip_parts(docs, ("word/document.xml", "word/_rels/", "docProps/core.xml"), ("word/document.xml",))
-    parts = stored(parts).where("error IS NULL")
+    every = stored(parts)
+    parts = every.where("error IS NULL")
     meta = xmlrows.core_meta(parts).select("doc_id", "title", "author", "subject")
-    return _from_rows(xmlrows.docx_rows(parts), meta, xmlrows.relationships(parts))
+    rows = stored(xmlrows.docx_rows(parts))
+    return replace(_from_rows(rows, meta, xmlrows.relationships(parts)), errors=_errors(every, rows))
 
 
 def read_hwpx(docs: DataFrame) -> Ir:
     """From doc_id, bytes. A heading is told by the paragraph shape, emphasis by the character shape."""
-    parts = stored(package.unzip_parts(docs, ("Contents/",))).where("error IS NULL")
+    every = stored(package.unzip_parts(docs, ("Contents/",), ("Contents/section0.xml",)))
+    parts = every.where("error IS NULL")
     title = F.nullif(F.xpath_string(F.col("bytes").cast("string"), F.lit("//*[local-name()='title']")), F.lit(""))
     none = F.lit(None).cast("string")
     meta = parts.where("part = 'Contents/content.hpf'").select("doc_id", title.alias("title"), none.alias("author"), none.alias("subject"))
     shapes = xmlrows.hwpx_char_shapes(parts).select("doc_id", F.col("id").alias("ref"), F.col("bold").alias("b"), F.col("italic").alias("i"))
-    rows = stored(xmlrows.hwpx_rows(parts)).join(shapes, ["doc_id", "ref"], "left")
+    read = stored(xmlrows.hwpx_rows(parts))
+    rows = read.where("error IS NULL").join(shapes, ["doc_id", "ref"], "left")
     on = lambda c: F.when(F.col(c), F.lit(True))
     shape = F.nullif(F.col("ref").try_cast("int"), F.lit(0))
     rows = rows.withColumns({"heading": F.when((F.col("row_type") == "paragraph") & shape.between(1, 6), shape), "bold": on("b"), "italic": on("i")})
@@ -97,7 +114,7 @@ def read_hwpx(docs: DataFrame) -> Ir:
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
     holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph")).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
-    return _from_rows(rows, meta, None)
+    return replace(_from_rows(rows, meta, None), errors=_errors(every, read))
 
 
 def write_md(ir: Ir) -> DataFrame:
@@ -122,10 +139,12 @@ WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_d
 
 
 def convert(docs: DataFrame, from_: str, to: str) -> DataFrame:
-    """The documents in another format."""
+    """The documents in another format; from packages with error, which tells of a document that was not read whole."""
     if from_ not in READERS or to not in WRITERS:
         raise ValueError(f"no conversion from {from_} to {to}")
-    return WRITERS[to](READERS[from_](docs).written())
+    ir = READERS[from_](docs).written()
+    out = WRITERS[to](ir)
+    return out if ir.errors is None else out.join(ir.errors, "doc_id", "full")
 
 
 def visit(nodes: DataFrame, by_kind: dict[str, Column], default: Column, name: str = "out") -> DataFrame:

@@ -82,7 +82,7 @@ def write_packages(df: DataFrame, folder: str, ext: str) -> None:
             with store.open_output_stream(f"{base}/{row['doc_id']}.{ext}") as f:
                 f.write(bytes(row["bytes"]))
 
-    df.select("doc_id", "bytes").foreachPartition(write)
+    df.where("bytes IS NOT NULL").select("doc_id", "bytes").foreachPartition(write)
 
 
 def union_ir(*tables: DataFrame) -> DataFrame:

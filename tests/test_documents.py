@@ -152,6 +152,21 @@ def test_sections(spark):
     assert convert.read_hwpx(docs).blocks.count() == len(want)
 
 
+def test_breaks_cells_and_errors(spark):
+    word = lambda *x: f'<w:document xmlns:w="w"><w:body>{"".join(x)}</w:body></w:document>'.encode()
+    t, br = lambda x: f"<w:r><w:t>{x}</w:t></w:r>", '<w:r><w:br w:type="page"/></w:r>'
+    para = lambda *x: f"<w:p>{''.join(x)}</w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{para(t('x'), '<w:r><w:br/></w:r>', t('y'))}{para(t('z'))}</w:tc></w:tr></w:tbl>"
+    parts = [(1, 0, "word/document.xml", word(para(t("a"), br, t("b")), para(br), table)), (2, 0, "word/document.xml", b"<w")]
+    docs = package.zip_package(spark.createDataFrame(parts, "doc_id long, ord int, part string, bytes binary")).unionByName(spark.createDataFrame([(3, b"no zip")], "doc_id long, bytes binary"))
+    got = {r["doc_id"]: (r["md"], r["error"]) for r in convert.convert(docs, "docx", "md").collect()}
+    assert got[1] == ("a\n\n---\n\nb\n\n---\n\n| x y z |\n| --- |", None)
+    assert got[2][0] is None and got[2][1].startswith("ParseError") and got[3][0] is None and got[3][1].startswith("BadZipFile")
+    broken = hwpx(spark, ["<hp:t>one</hp:t>"], ["<hp:t>"])
+    told = convert.convert(broken, "hwpx", "md").collect()
+    assert len(told) == 1 and told[0]["md"] == "one" and told[0]["error"].startswith("ParseError")
+
+
 def test_bad_package_is_a_row(spark):
     df = spark.createDataFrame([(1, b"no zip"), (2, None)], "doc_id long, bytes binary")
     assert all(r["error"] and r["part"] is None for r in package.unzip_parts(df).collect())
