@@ -2,12 +2,14 @@
 
 Changes come in batches: a document's count is inserted (+), deleted (-), or revised, which is a deletion of the
 old and an insertion of the new count. A batch becomes one small table of signed sums by source, language and
-tokenizer version; totals are the sum of all committed batches. A batch is committed under its own number: its
-folder is written by Spark's committer, and a batch whose folder has been committed is never applied again.
+tokenizer version. A batch is committed under its own number: its folder is written by Spark's committer, and a
+batch whose folder has been committed is never applied again. compact() folds the batches up to a number into a
+snapshot; totals are the newest snapshot and the batches after it, so reading them doesn't grow with history.
 
 Defined results: null sources, languages and versions are groups of their own; a null count counts as 0 tokens; a
 null text has 0 tokens; repeated rows of a batch all count; groups whose documents and tokens come to 0 have no
-row; an empty batch is committed as such; extra columns are ignored.
+row; an empty batch is committed as such; extra columns of the changes are ignored, whatever their names, but `sign`
+is a result of inserted() and deleted() and replaces a column of that name; very long texts only make larger numbers.
 """
 
 from __future__ import annotations
@@ -27,37 +29,62 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/batch_id={int(batch)}"
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}={int(number)}"
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def _done(self, kind: str) -> list[int]:
+        """The numbers of the committed folders of a kind, in order; one listing."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")
+        found = where.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(where) or []
+        return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found)
+
+    def batches(self) -> list[int]:
+        """Committed batches, those within a snapshot too."""
+        return self._done("batch_id")
 
     def committed(self, batch: int) -> bool:
-        return self._exists(f"{self._folder(batch)}/_SUCCESS")
+        return batch in self.batches()
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Commits changes (source, lang, version, sign, n_tokens) as batch `batch`; False if it was committed before.
 
-        An attempt that was broken off has left no _SUCCESS, and the next one overwrites it.
+        An attempt that was broken off has left no _SUCCESS, and the next one overwrites it. A batch can't be added
+        below a snapshot, which has folded everything up to its number.
         """
         if self.committed(batch):
             return False
+        if any(batch <= s for s in self._done("snapshot")):
+            raise ValueError(f"batch {batch} is below a snapshot that does not hold it")
         sums = changes.groupBy(*KEYS).agg(
             F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens")
         )
-        sums.write.mode("overwrite").parquet(self._folder(batch))
+        sums.write.mode("overwrite").parquet(self._folder("batch_id", batch))
         return True
 
-    def totals(self, upto: list[int]) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens over the committed ones of the batches `upto`."""
-        done = [self._folder(b) for b in upto if self.committed(b)]
-        if not done:
+    def compact(self, upto: int) -> bool:
+        """Folds the committed batches up to `upto` into one snapshot; False if that snapshot is committed already.
+
+        A snapshot that was broken off has left no _SUCCESS: totals() goes on with the one before it and its batches.
+        """
+        if upto in self._done("snapshot"):
+            return False
+        self._sums(upto).write.mode("overwrite").parquet(self._folder("snapshot", upto))
+        return True
+
+    def _sums(self, upto: int | None) -> DataFrame:
+        within = lambda n: upto is None or n <= upto
+        last = max(filter(within, self._done("snapshot")), default=None)
+        paths = [self._folder("batch_id", b) for b in self.batches() if within(b) and (last is None or b > last)]
+        paths += [] if last is None else [self._folder("snapshot", last)]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        held = self.spark.read.schema(SCHEMA).parquet(*done)
-        out = held.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return out.where("n_docs <> 0 OR n_tokens <> 0")
+        held = self.spark.read.schema(SCHEMA).parquet(*paths)
+        return held.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def totals(self, upto: int | None = None) -> DataFrame:
+        """source, lang, version, n_docs, n_tokens over the committed batches, or over those up to a number."""
+        return self._sums(upto).where("n_docs <> 0 OR n_tokens <> 0")
 
 
 def inserted(counts: DataFrame) -> DataFrame:
@@ -85,7 +112,7 @@ def letters(text: Column) -> Column:
 
 
 def history(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Totals after four batches over all documents, of which one is sent twice.
+    """Totals after four batches over all documents, of which one is sent twice and two are folded into a snapshot.
 
     1: each document's words. 2: each document's runs of letters, as another version. 3: words are revised to
     leave out the first line of documents labelled toxic. 4: documents labelled bad are deleted, as they are now.
@@ -93,10 +120,11 @@ def history(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     told = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     text = text_or_empty()
-    counts = docs.join(told, "doc_id", "left").select(
-        "source", "lang", "toxic", "quality", words(text).alias("words"), letters(text).alias("letters"),
-        words(F.regexp_replace(text, r"^[^\n]*", "")).alias("rest"),
-    )
+    # texts become numbers where they are read, so that labels join three numbers a document
+    counts = docs.select("doc_id", "source", "lang", words(text).alias("words"), letters(text).alias("letters"), words(F.substring_index(text, "\n", 1)).alias("first"))
+    counts.write.parquet(counted := f"{scratch(spark)}/counted")
+    counts = spark.read.schema(counts.schema).parquet(counted).join(told, "doc_id", "left")
+    counts = counts.select("source", "lang", "toxic", "quality", "words", "letters", (F.col("words") - F.col("first")).alias("rest"))
     counts.write.parquet(path := f"{scratch(spark)}/counts")
     counts = spark.read.schema(counts.schema).parquet(path)
     of = lambda version, n: counts.select("source", "lang", "toxic", "quality", F.lit(version).alias("version"), F.col(n).alias("n_tokens"))
@@ -104,12 +132,13 @@ def history(docs: DataFrame, labels: DataFrame) -> DataFrame:
     roll = Rollup(spark, scratch(spark))
     roll.apply(1, inserted(of("words-1", "words")))
     roll.apply(2, inserted(of("letters-2", "letters")))
+    roll.compact(2)
     third = revised(of("words-1", "words").where(toxic), of("words-1", "rest").where(toxic))
     roll.apply(3, third)
     now = of("words-1", "words").where(bad & ~F.coalesce(toxic, F.lit(False))).unionByName(of("words-1", "rest").where(bad & toxic))
     roll.apply(4, deleted(now.unionByName(of("letters-2", "letters").where(bad))))
     roll.apply(3, third)
-    return roll.totals([1, 2, 3, 4])
+    return roll.totals()
 
 
 ORACLE = r"""

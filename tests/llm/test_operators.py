@@ -226,7 +226,13 @@ def test_bpe(docs, empty):
         assert bytes(x["decoded"]) == data and x["n_tokens"] == len(x["ids"])
         ends = [*x["offsets"][1:], len(data)]
         assert [data[a:b] for a, b in zip(x["offsets"], ends, strict=False)] == [own.decode_single_token_bytes(i) for i in x["ids"]]
-    assert bpe.digest(bpe.encode(empty, VOCAB), VOCAB).count() == 0
+    one = bpe.round_trip(docs, VOCAB)
+    assert set(one.columns) == set(docs.columns) - {"text"} | {"n_tokens", "ids", "ids_le", "decoded"}
+    assert rows(one, "doc_id", "ids", "ids_le", "decoded", "name") == rows(bpe.decode(bpe.encode(docs, VOCAB), VOCAB), "doc_id", "ids", "ids_le", "decoded", "name")
+    sha_of = lambda x: hashlib.sha256(bytes(x)).hexdigest()
+    want = sorted([(x["doc_id"], x["n_tokens"], sha_of(x["ids_le"]), sha_of(x["decoded"])) for x in got], key=repr)
+    assert rows(bpe.digest(docs, VOCAB), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert bpe.digest(empty, VOCAB).count() == 0 and bpe.decode(bpe.encode(empty, VOCAB), VOCAB).count() == 0
 
 
 def test_pieces_against_the_pattern():
@@ -335,8 +341,41 @@ def test_token_rollup(spark, tmp_path):
     assert roll.apply(1, token_rollup.inserted(one)) and not roll.apply(1, token_rollup.inserted(one))
     assert roll.apply(2, token_rollup.revised(one.where("n_tokens = 10"), new))
     assert roll.apply(3, token_rollup.deleted(one.where("source = 'b'"))) and roll.apply(4, one.where("false").selectExpr("*", "1 AS sign"))
-    assert sorted((tuple(x) for x in roll.totals([1, 2, 3, 4, 9]).collect()), key=repr) == sorted([("a", "en", "v1", 2, 4), (None, None, "v1", 1, 3)], key=repr)
+    assert sorted((tuple(x) for x in roll.totals().collect()), key=repr) == sorted([("a", "en", "v1", 2, 4), (None, None, "v1", 1, 3)], key=repr)
     # a batch that was broken off leaves no _SUCCESS and is written again
     (tmp_path / "batch_id=3" / "_SUCCESS").unlink()
     assert roll.apply(3, token_rollup.deleted(one.where("source = 'b'")))
-    assert token_rollup.Rollup(spark, str(tmp_path / "none")).totals([1]).count() == 0
+    assert token_rollup.Rollup(spark, str(tmp_path / "none")).totals().count() == 0
+
+
+def test_token_rollup_snapshots(spark, tmp_path):
+    schema = "source string, lang string, version string, n_tokens long, sign int, n_docs int"
+    roll = token_rollup.Rollup(spark, str(tmp_path))
+    change = lambda n, sign=1: spark.createDataFrame([("a", "en", "v1", n, sign, 77), (None, None, "v1", n, sign, 77)], schema)
+    want = lambda docs, tokens: sorted([("a", "en", "v1", docs, tokens), (None, None, "v1", docs, tokens)], key=repr)
+    got = lambda *upto: sorted((tuple(x) for x in roll.totals(*upto).collect()), key=repr)
+    assert roll.apply(1, change(5)) and roll.apply(2, change(7)) and roll.compact(2) and not roll.compact(2)
+    assert roll.apply(3, change(5, -1)) and not roll.apply(2, change(7)) and got() == want(1, 7) and got(2) == want(2, 12) and got(1) == want(1, 5)
+    # a snapshot that was broken off is not read, and written again later
+    assert roll.compact(3)
+    (tmp_path / "snapshot=3" / "_SUCCESS").unlink()
+    next((tmp_path / "snapshot=3").glob("part-*")).unlink()
+    assert got() == want(1, 7) and roll.compact(3) and got() == want(1, 7)
+    assert roll.apply(4, change(7, -1)) and got() == []
+    with pytest.raises(ValueError):
+        roll.apply(0, change(1))
+
+
+def test_token_rollup_history(spark, docs, empty):
+    labels = spark.createDataFrame([(7, 1, 1), (9, 0, None), (12, 0, 1), (12, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bad, toxic, want = {9, 12}, {7, 12}, collections.Counter()
+    for i, t in BASE:
+        if i not in bad:
+            key = (i or 0) % 3 and "s" or None
+            text = (t or "").partition("\n")[2] if i in toxic else t or ""
+            for version, n in (("words-1", len(WORD.findall(text.encode()))), ("letters-2", len(re.findall("[A-Za-z]+", t or "")))):
+                want[key, "en", version, "n"] += n
+                want[key, "en", version, "d"] += 1
+    got = token_rollup.history(docs, labels).collect()
+    assert {(x["source"], x["lang"], x["version"]): (x["n_docs"], x["n_tokens"]) for x in got} == {k[:3]: (v, want[*k[:3], "n"]) for k, v in want.items() if k[3] == "d"}
+    assert token_rollup.history(empty, labels).count() == 0
