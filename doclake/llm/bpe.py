@@ -33,6 +33,8 @@ BETWEEN, LETTERS, NUMBERS, OTHERS, LED, WHITES, ONE_LEFT, TWO_LEFT = range(8)
 STRETCH = 64
 #: Pieces whose ids a worker keeps; twice as many at most.
 CACHED = 150_000
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 #: Up to so many bytes a plain list of pairs is quicker than a heap.
 SHORT_PIECE, NO_RANK = 48, 1 << 40
 #: Code points that have White_Space, fixed values.
@@ -275,6 +277,21 @@ def _read(vocab_path: str) -> bytes:
         return f.read()
 
 
+def _typed(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _encoded(texts: list[str], cache: Pieces, at):
+    """The ids of each text, and where each token begins in its bytes."""
+    import numpy as np
+
+    ids, begin = [np.frombuffer(x, "<i4") for x in encode_texts(texts, cache)], []
+    for x in ids:
+        size = at[x + 1] - at[x]
+        begin.append((np.cumsum(size) - size).astype(np.int32))
+    return ids, begin
+
+
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
     """The documents with n_tokens, ids array<int>, offsets array<int> (where each token begins in the UTF-8 text).
 
@@ -289,18 +306,12 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
 
         cache, _, at = _vocabulary(vocab.value)
         for batch in batches:
-            for part, texts in slices(batch, 2 << 20):
-                ids = [np.frombuffer(x, "<i4") for x in encode_texts(texts, cache)]
-                begin = []
-                for x in ids:
-                    size = at[x + 1] - at[x]
-                    begin.append((np.cumsum(size) - size).astype(np.int32))
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield appended(part, n_tokens=n, ids=_lists(ids, np.int32), offsets=_lists(begin, np.int32))
+            for part, texts in slices(batch, SLICE):
+                ids, begin = _encoded(texts, cache, at)
+                yield appended(part, n_tokens=pa.array([len(x) for x in ids], pa.int64()), ids=_lists(ids, np.int32), offsets=_lists(begin, np.int32))
         cache.forget()  # the worker may serve other stages next
 
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.mapInArrow(run, f"{cols}, n_tokens long, ids array<int>, offsets array<int>")
+    return held.mapInArrow(run, f"{_typed(held)}, n_tokens long, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -320,10 +331,36 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
                 packed = pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())
                 yield appended(part, ids_le=packed, decoded=pa.array([decode_ids(x, tokens, at) for x in rows], pa.binary()))
 
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.mapInArrow(run, f"{cols}, ids_le binary, decoded binary")
+    return held.mapInArrow(run, f"{_typed(held)}, ids_le binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """encode() and then decode() in one pass over the texts: n_tokens, ids, ids_le and decoded in place of text.
+
+    What is decoded are the ids that the same row gives out; a task needs one Python worker instead of two.
+    """
+    others = without(docs, "n_tokens", "ids", "ids_le", "decoded", "text")
+    vocab = docs.sparkSession.sparkContext.broadcast(_read(vocab_path))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cache, tokens, at = _vocabulary(vocab.value)
+        for batch in batches:
+            for part, texts in slices(batch, SLICE):
+                ids, _ = _encoded(texts, cache, at)
+                yield appended(
+                    part.drop_columns(["text"]), n_tokens=pa.array([len(x) for x in ids], pa.int64()), ids=_lists(ids, np.int32),
+                    ids_le=pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), decoded=pa.array([decode_ids(x, tokens, at) for x in ids], pa.binary()),
+                )
+        cache.forget()
+
+    held = docs.select(*[F.col(f"`{c}`") for c in others.columns], "text")
+    return held.mapInArrow(run, ", ".join(filter(None, [_typed(others), "n_tokens long, ids array<int>, ids_le binary, decoded binary"])))
 
 
-def digest(encoded: DataFrame, vocab_path: str) -> DataFrame:
-    out = decode(encoded.select("doc_id", "n_tokens", "ids"), vocab_path)
+def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    out = round_trip(docs.select("doc_id", "text"), vocab_path)
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

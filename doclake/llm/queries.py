@@ -42,7 +42,7 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_vector_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
     path = vocab_path or public_vocabulary("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return bpe.digest(table(spark, sf_dir, "documents"), path)
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
