@@ -39,8 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids and the text that the ids decode to."""
-    path = public_vocabulary(VOCABULARY)
-    out = bpe.decode(bpe.encode(docs, path).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids"), path)
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text"), public_vocabulary(VOCABULARY))
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.col("decoded").cast("string").alias("decoded"))
 
 
