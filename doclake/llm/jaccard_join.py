@@ -10,25 +10,33 @@ by a hash of its bits. Empty pieces are not given out; this loses nothing where
 differ, and a set that does not is given out again with twice as many pieces, until it does. So no pair is lost.
 
 A piece is five bytes within a partition of pieces, with five bytes that stand for its document; a task sends them
-as packed arrays. Pieces that several documents hold become rows. There, documents of equal shingles are one class;
-each piece links its members to one of them first, and only pieces whose members are then in different components
-are joined with themselves. A dense sketch of 1024 bits drops pairs whose Hamming distance is too large; the rest
-is verified on whole sets.
+packed. Pieces that several documents hold become rows. There, documents of equal shingles are one class.
+
+Rare pieces first. Similar sets differ in `most` pieces at most, so of any most + 1 pieces of a set its partner holds
+one. A set that shares fewer of its pieces with others than it would have to has no partner and is out; of the others
+only the most + 1 pieces stay that the fewest sets hold, those that no other holds among them. Passages and lines that
+many otherwise different documents share are in the common pieces, which so never bring documents together.
+
+Each piece links its members to one of them first, and only pieces whose members are then in different components
+are joined with themselves. In a band sets of the band below meet only those of the band itself. A dense sketch of
+1024 bits drops pairs whose Hamming distance is too large, a wide one those of long sets; the rest is verified on
+whole sets. Intermediate tables are removed when the components are known.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; documents
 of fewer than five words have one shingle, their whole sequence; component_id is null only if no document of the
 component has an id; rows with one doc_id are documents of their own; an empty table gives no rows; extra columns
-are ignored.
+are ignored, whatever their names; very long texts are worked on one by one, very long words as any others.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import scratch, slices, stored
+from doclake.llm.common import removed, scratch, slices, stored
 from doclake.llm.components import components
 
 WORDS = 5
@@ -46,6 +54,8 @@ SPARE = 1.15
 #: Rounds that link a piece's members to one of them, before members of different components meet.
 STARS = 2
 FIVE = (1 << 40) - 1
+#: Bytes of a word up to which powers are kept.
+USUAL_WORD = 4096
 
 
 @functools.cache
@@ -66,7 +76,6 @@ def _mix(h):
     return h ^ (h >> np.uint64(31))
 
 
-@functools.cache
 def _powers(n: int):
     import numpy as np
 
@@ -74,6 +83,9 @@ def _powers(n: int):
         return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
 
 
+_usual_powers = functools.cache(lambda: _powers(USUAL_WORD))
+
+
 def shingles(texts: list[str]) -> list:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     import numpy as np
@@ -91,7 +103,7 @@ def shingles(texts: list[str]) -> list:
         if offset is None:
             offset = np.arange(len(data)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data))))])
         longest = 1 << int(size.max()).bit_length()
-        powers = _powers(max(64, longest))
+        powers = _usual_powers() if longest <= USUAL_WORD else _powers(longest)
         coded = np.where(inside, coded * powers[np.where(inside, offset, 0)], np.uint64(0))
         words = _mix(np.add.reduceat(coded, start) + size.astype(np.uint64))
     ends = np.cumsum([len(r) + 1 for r in raw])
@@ -122,26 +134,32 @@ def bands(limit: int = 1 << 40) -> tuple[int, ...]:
     return tuple(out)
 
 
+def band_of(n: int) -> int:
+    return bisect.bisect_right(bands(), n) - 1
+
+
 def may_differ(a: int, b: int) -> int:
-    """The most elements in which linked sets of these sizes differ: a + b less twice the least intersection."""
-    least = -(-THRESHOLD * (a + b) // (100 + THRESHOLD))
-    return a + b - 2 * least
+    """A bound of the elements in which linked sets of at most these sizes differ: a + b less twice the intersection."""
+    return (100 - THRESHOLD) * (a + b) // (100 + THRESHOLD)
+
 
+def pieces(hashes, parts: int = 1):
+    """(keys of the pieces that a set of shingle hashes gives out; (filled, most) in its own band and in the next).
 
-def pieces(hashes):
-    """Keys of the pieces that a set of shingle hashes gives out."""
+    A key is the partition of pieces, of `parts`, and 40 bits, the last of which tells an odd band from an even one.
+    filled: the pieces given out in the band, most: those which a linked set that is met there can lack. Where a set
+    had to be given out again, most is so large that none of its pieces is spared.
+    """
     import numpy as np
 
-    n = len(hashes)
-    starts, out = bands(), []
-    own = int(np.searchsorted(starts, n, "right")) - 1
+    n, starts, out, told = len(hashes), bands(), [], []
+    own = band_of(n)
     for band in (own, own + 1):
         top = starts[band + 1] - 1
-        most = max(may_differ(top, top), may_differ(top, max(1, top - 1)))
-        if not most:
-            continue  # sets of such sizes link only if they are equal
-        many, filled = int(SPARE * (most + 1)) + 2, 0
-        while filled <= most:  # a set with more elements than `most` fills enough in the end
+        most = may_differ(top, top)
+        many, filled, first_time = int(SPARE * (most + 1)) + 2, 0, True
+        told.append((0, 0))
+        while most and filled <= most:  # a set with more elements than `most` fills enough in the end; if most is 0, linked sets are equal
             salt = np.uint64((band << 32) + many)
             bits = _mix(hashes ^ _mix(salt))  # the bit that a shingle flips: its piece, and the place in it
             at = (bits >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)
@@ -149,10 +167,13 @@ def pieces(hashes):
             at = at[order]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             parity = np.bitwise_xor.reduceat(_mix(bits[order] + salt), first)
-            out.append(_mix(parity ^ _mix(at[first] + salt)))
-            filled = len(first)
-            many *= 2
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            key = _mix(parity ^ _mix(at[first] + salt))
+            key = ((key >> np.uint64(40)) % np.uint64(parts) << np.uint64(40)) | (key & np.uint64(FIVE - 1)) | np.uint64(band & 1)
+            out.append(np.unique(key))
+            filled = len(out[-1])
+            told[-1] = (filled, may_differ(n, min(top, n * 100 // THRESHOLD))) if first_time else (0, n)
+            many, first_time = many * 2, False
+    return np.concatenate(out) if out else np.empty(0, np.uint64), (*told[0], *told[1])
 
 
 def sketch(hashes):
@@ -205,6 +226,8 @@ def class_key(hashes) -> tuple[int, int]:
 
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: What pieces() tells of a set.
+TOLD = ["filled0", "most0", "filled1", "most1"]
 
 
 def _given(parts: int):
@@ -214,7 +237,7 @@ def _given(parts: int):
         import numpy as np
         import pyarrow as pa
 
-        names = ["kind", "part", "keys", "refs", "doc_id", "text_key", "n", "d1", "d2", *SKETCH, "wide"]
+        names = ["kind", "part", "keys", "refs", "doc_id", "text_key", "n", "d1", "d2", *TOLD, *SKETCH, "wide"]
         id_type = pa.int64()
 
         def rows(many, **given):
@@ -237,8 +260,6 @@ def _given(parts: int):
 
         def send(keys, refs):
             key, ref = np.concatenate(keys), np.concatenate(refs)
-            home = (key >> np.uint64(40)) % np.uint64(parts)
-            key = (home << np.uint64(40)) | (key & np.uint64(FIVE))
             order = np.argsort(key, kind="stable")
             key, ref = key[order], ref[order]
             new = np.append(True, key[1:] != key[:-1])
@@ -247,7 +268,7 @@ def _given(parts: int):
             yield from packed(1, (ref[shared] % np.uint64(parts)).astype(np.int64), key[shared], ref[shared], 8)
             yield from packed(2, (key[new] >> np.uint64(40)).astype(np.int64), key[new], ref[new], 5)
 
-        held_keys, held_refs, held, seen = [], [], 0, set()
+        held_keys, held_refs, held, seen = [], [], 0, {}
         with np.errstate(over="ignore"):
             for batch in batches:
                 id_type = batch.schema.field("doc_id").type
@@ -255,20 +276,22 @@ def _given(parts: int):
                     sets = shingles(texts)
                     known = [class_key(s) for s in sets]
                     dense = np.stack([sketch(s) for s in sets])
+                    told = []
+                    for s, k in zip(sets, known, strict=True):
+                        if len(s) and k not in seen:
+                            own, seen[k] = pieces(s, parts)
+                            held_keys.append(own)
+                            held_refs.append(np.full(len(own), k[0] & FIVE, np.uint64))
+                            held += len(own)
+                        told.append(seen[k] if len(s) else (0, 0, 0, 0))
                     yield rows(
                         len(sets), kind=[0] * len(sets), doc_id=part.column("doc_id").to_pylist(),
                         text_key=part.column("text_key").to_pylist(), n=[len(s) for s in sets], d1=[k[0] for k in known], d2=[k[1] for k in known],
-                        **{c: dense[:, i] for i, c in enumerate(SKETCH)}, wide=[wide_sketch(s) for s in sets],
+                        **{c: [t[i] for t in told] for i, c in enumerate(TOLD)}, **{c: dense[:, i] for i, c in enumerate(SKETCH)}, wide=[wide_sketch(s) for s in sets],
                     )
-                    for s, k in zip(sets, known, strict=True):
-                        if len(s) and k not in seen:
-                            seen.add(k)
-                            held_keys.append(pieces(s))
-                            held_refs.append(np.full(len(held_keys[-1]), k[0] & FIVE, np.uint64))
-                            held += len(held_keys[-1])
                     if held >= HELD_PIECES:
                         yield from send(held_keys, held_refs)
-                        held_keys, held_refs, held, seen = [], [], 0, set()
+                        held_keys, held_refs, held, seen = [], [], 0, {}
             if held:
                 yield from send(held_keys, held_refs)
 
@@ -358,7 +381,7 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        dense = ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"
+        dense = ", ".join(f"{c} long" for c in [*TOLD, *SKETCH]) + ", wide binary"
         columns = f"part int, keys binary, refs binary, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}"
         given = self.docs.withColumn("text_key", F.xxhash64(F.lit("text"), F.col("text"))).mapInArrow(_given(parts), f"kind int, {columns}")
         given.write.partitionBy("kind").parquet(f"{self.path}/given")
@@ -369,15 +392,32 @@ class Join:
         met = stored(met, f"{self.path}/met")
         #: doc_id, text_key, n, d1, d2 of every document
         self.rows = told.select("doc_id", "text_key", "n", "d1", "d2")
-        classes = told.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in [*SKETCH, "wide"]])
+        classes = told.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in [*TOLD, *SKETCH, "wide"]])
+        odd = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bands() if b < 1 << 32)}), b -> b <= n)) % 2 = 0")  # as the last bit of a key of its band
         classes = classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("ref", F.col("d1").bitwiseAND(F.lit(FIVE)))
-        self.classes = stored(classes, f"{self.path}/classes")
-        held = met.join(self.classes.select("ref", "cid"), "ref").select("key", "cid").distinct()
-        held = stored(held, f"{self.path}/held")
-        sizes = stored(held.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("many > 1"), f"{self.path}/sizes")
-        #: pairs of classes that alone hold some piece, and (key, cid) of pieces that more hold
+        self.classes = stored(classes.withColumn("odd", odd), f"{self.path}/classes")
+        by_band = lambda c: F.when(F.col("own"), F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c)
+        held = met.join(self.classes.select("ref", "cid", "odd", *TOLD), "ref").withColumn("own", (F.col("key") % 2 != 0) == F.col("odd"))
+        held = stored(held.select("key", "cid", "own", by_band("filled"), by_band("most")).distinct(), f"{self.path}/held")
+        few = self._rare(held)
+        sizes = stored(self._sizes(few), f"{self.path}/sizes")
+        #: pairs of classes that alone hold some piece, and (key, cid, own) of pieces that more hold
         self.couples = sizes.where("many = 2").select("a", "b").distinct()
-        self.members = stored(held.join(sizes.where("many > 2").select("key"), "key", "left_semi"), f"{self.path}/members")
+        self.members = stored(few.join(sizes.where("many > 2").select("key"), "key", "left_semi"), f"{self.path}/members")
+
+    @staticmethod
+    def _sizes(held: DataFrame) -> DataFrame:
+        """Of the pieces that several classes hold, one of the band itself among them: how many, the least and the greatest."""
+        out = held.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.max("own").alias("any_own"))
+        return out.where("many > 1 AND any_own")
+
+    def _rare(self, held: DataFrame) -> DataFrame:
+        """key, cid, own of the pieces that stay: of each set and band the most + 1 rarest, if it shares enough at all."""
+        shared = held.join(self._sizes(held).select("key", "many"), "key")
+        in_band = Window.partitionBy("cid", "own")
+        alone = F.col("filled") - F.count("*").over(in_band)  # pieces that no other set holds are the rarest
+        ranked = shared.select("key", "cid", "own", "most", alone.alias("alone"), F.row_number().over(in_band.orderBy("many", "key")).alias("nth"))
+        return stored(ranked.where("nth <= most + 1 - alone").select("key", "cid", "own"), f"{self.path}/few")
 
     def _with(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs of classes (a, b) that their sizes and sketches allow, each once, written."""
@@ -404,31 +444,26 @@ class Join:
         return stored(whole.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"{self.path}/links{self.turn}")
 
     def _open(self, members: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-        """key, cid, comp of the pieces whose members are in different components."""
+        """key, cid, own, comp of the pieces whose members are in different components."""
         if labels is None:
             return members.withColumn("comp", F.col("cid"))
-        told = members.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        told = members.select("key", "cid", "own").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "own", F.coalesce("comp", "cid").alias("comp"))
         told = stored(told, f"{self.path}/told_{name}")
         open_ = told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         return stored(told.join(open_, "key", "left_semi"), f"{self.path}/open_{name}")
 
     def _starred(self, own: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each piece's members with one of them: the least in an order that differs by round."""
-        rank = F.struct(F.xxhash64(F.lit(turn), "cid").alias("r"), "cid", "comp")
+        """Pairs of each piece's members with one of the band itself: the least in an order that differs by round."""
+        rank = F.struct((~F.col("own")).alias("other"), F.xxhash64(F.lit(turn), "cid").alias("r"), "cid", "comp")
         hubs = own.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.cid").alias("h_cid"), F.col("hub.comp").alias("h_comp"))
         hubs = stored(hubs, f"{self.path}/hubs{turn}")
         pairs = own.join(hubs, "key").where("comp <> h_comp")
         return pairs.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"))
 
     def _crossed(self, own: DataFrame) -> DataFrame:
-        """Pairs of a piece's members in different components, of which a sketch lets the join itself drop most.
-
-        A sketch whose quarters are folded into one is a sketch too.
-        """
-        quarter = SKETCH_WORDS // 4
-        folded = [" ^ ".join(f"s{i + quarter * k}" for k in range(4)) + f" AS f{i}" for i in range(quarter)]
-        told = stored(own.join(self.classes.selectExpr("cid", "n", *folded), "cid"), f"{self.path}/folded")
-        meet = "x.key = y.key AND x.cid < y.cid AND x.comp <> y.comp AND " + _possible([f"f{i}" for i in range(quarter)])
+        """Pairs of a piece's members in different components, of which the sketch lets the join itself drop most."""
+        told = stored(own.join(self.classes.select("cid", "n", *SKETCH), "cid"), f"{self.path}/sketched")
+        meet = "x.key = y.key AND x.cid < y.cid AND (x.own OR y.own) AND x.comp <> y.comp AND " + _possible(SKETCH)
         return told.alias("x").join(told.alias("y"), F.expr(meet)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     def links(self) -> tuple[DataFrame | None, DataFrame | None]:
@@ -462,10 +497,11 @@ class Join:
             nodes = nodes.join(labels, nodes["cid"] == labels["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "cid").alias("comp"))
         else:
             nodes = nodes.withColumnRenamed("cid", "comp")
-        nodes = stored(nodes, f"{self.path}/nodes")
-        in_comp = stored(self.rows.join(nodes, ["n", "d1", "d2"], "left").select("doc_id", "text_key", "n", "comp"), f"{self.path}/in_comp")
+        nodes, kept = stored(nodes, f"{self.path}/nodes"), scratch(self.docs.sparkSession)
+        in_comp = stored(self.rows.join(nodes, ["n", "d1", "d2"], "left").select("doc_id", "text_key", "n", "comp"), f"{kept}/in_comp")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-        heads = stored(in_comp.where("comp IS NOT NULL").groupBy("comp").agg(first), f"{self.path}/heads")
+        heads = stored(in_comp.where("comp IS NOT NULL").groupBy("comp").agg(first), f"{kept}/heads")
+        removed(self.docs.sparkSession, self.path)
         own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
         out = in_comp.join(heads, "comp", "left").withColumn("first", F.coalesce("first", own))
         return out.select("doc_id", "text_key", "n", F.col("first.doc_id").alias("component_id"), "first")
