@@ -83,6 +83,20 @@ def slices(batch, limit: int = 4 << 20):
         held += n
 
 
+def trimmed() -> None:
+    """Gives unused memory of a Python worker back to the system at the end of a task: it lives on and serves later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def appended(batch, **arrays):
     """The Arrow batch with more columns."""
     import pyarrow as pa

@@ -36,7 +36,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import removed, scratch, slices, stored
+from doclake.llm.common import removed, scratch, slices, stored, trimmed
 from doclake.llm.components import components
 
 WORDS = 5
@@ -48,7 +48,9 @@ LONG_SET = 800
 #: Up to so many ids of candidates (some MB) are broadcast to the texts; more are joined by shuffle.
 FEW_IDS = 200_000
 #: Pieces that a task holds before it sends them, and pieces' partitions for each shuffle partition.
-HELD_PIECES, PARTS = 1_000_000, 4
+HELD_PIECES, PARTS = 400_000, 4
+#: Bytes of text that are hashed at once; arrays are up to ten times as large.
+SLICE = 1 << 18
 #: Pieces beyond what may differ, so that nearly all sets fill enough of them at once.
 SPARE = 1.15
 #: Rounds that link a piece's members to one of them, before members of different components meet.
@@ -272,7 +274,7 @@ def _given(parts: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 id_type = batch.schema.field("doc_id").type
-                for part, texts in slices(batch, 1 << 20):
+                for part, texts in slices(batch, SLICE):
                     sets = shingles(texts)
                     known = [class_key(s) for s in sets]
                     dense = np.stack([sketch(s) for s in sets])
@@ -294,6 +296,7 @@ def _given(parts: int):
                         held_keys, held_refs, held, seen = [], [], 0, {}
             if held:
                 yield from send(held_keys, held_refs)
+        trimmed()
 
     return run
 
@@ -340,7 +343,7 @@ def _sets(batches):
     seen: set[int] = set()  # rows that repeat give their class's set once a task; more of them do no harm
     with np.errstate(over="ignore"):
         for batch in batches:
-            for part, texts in slices(batch, 1 << 20):
+            for part, texts in slices(batch, SLICE):
                 want = zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True)
                 sets = shingles(texts)
                 cids = part.column("cid").to_pylist()
