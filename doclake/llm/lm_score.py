@@ -2,21 +2,21 @@
 
 The pieces of an existing vocabulary have unigram scores. A word, with a leading space, can be cut into pieces in
 many ways; each way weighs the product of its pieces, and a forward recursion in log space sums over all of them.
-A word of the training documents has one more way: the whole word as one piece, whose score is its discounted
-share of all training tokens; the discounts' sum is what the cuts into smaller pieces share. Pieces don't cross
-words, so a text's marginal probability is the product over its words, times that of the end. The probabilities
-of all words and of the end sum to 1.
+Pieces don't cross words, so a text's marginal probability is the product over its words, times that of the end. The
+probabilities of all words and of the end sum to 1.
 
-The smaller pieces' scores are learned by expectation maximisation over all distinct words of the training
-documents, each once, since they stand for words yet unseen: first pieces have a leading space and sum to 1, later
-pieces and the word's stop sum to 1. The vocabulary itself is never changed.
+A public vocabulary comes with ranks, not with probabilities, so the pieces' scores are learned by expectation
+maximisation over all training words, each as often as it occurs: first pieces have a leading space and sum to 1,
+later pieces and the word's stop sum to 1. The vocabulary itself is never changed, and words are known only by their
+pieces.
 
 Tokens never leave the task that reads their text. A task numbers its distinct words (a block of BLOCK_WORDS at
 most) and writes each document as numbers; counts and word probabilities come back to blocks by word.
 
 Defined results: a null text counts as empty and has the end token alone; a null doc_id counts as empty text for
-its remainder; rows that repeat are documents of their own; without training documents N and V are 0; an empty
-table gives no rows; extra columns are ignored.
+its remainder; rows that repeat are documents of their own; without training documents N and V are 0 and pieces have
+equal scores; an empty table gives no rows; extra columns are ignored, whatever their names; a very long word is one
+lattice, whose size grows with the word.
 """
 
 from __future__ import annotations
@@ -32,11 +32,9 @@ from doclake.llm.common import scratch, slices, stored
 
 #: Remainder of crc32(doc_id) by FOLDS that is held out.
 FOLDS, HELD_OUT = 7, 2
-ROUNDS = 3
+ROUNDS = 4
 #: Distinct words in a block: what a task holds while it numbers them.
 BLOCK_WORDS = 400_000
-#: Longer tokens of the vocabulary are no pieces.
-MAX_PIECE = 16
 #: Added to each piece's expected count.
 PRIOR = 0.01
 #: Words of more bytes go through the lattice one by one, shorter ones of one length together.
@@ -51,19 +49,19 @@ class Pieces:
     def __init__(self, vocabulary: bytes):
         import numpy as np
 
-        usable = (p for p in parse_ranks(vocabulary) if p and len(p) <= MAX_PIECE and not ASCII_SPACE & set(p[1:]) and (p[0] == 0x20 or not ASCII_SPACE & set(p[:1])))
+        usable = (p for p in parse_ranks(vocabulary) if p and not ASCII_SPACE & set(p[1:]) and (p[0] == 0x20 or not ASCII_SPACE & set(p[:1])))
         single = [bytes([b]) for b in range(256) if b == 0x20 or b not in ASCII_SPACE]
         self.pieces = list(dict.fromkeys([*single, *sorted(usable)]))  # with every byte no word is without a cut
         self.index = {p: i for i, p in enumerate(self.pieces)}
         self.leads = np.array([p[0] == 0x20 for p in self.pieces])
-        self.size = len(self.pieces)
+        self.size, self.longest = len(self.pieces), max(map(len, self.pieces))
         with np.errstate(over="ignore"):
             keys = np.zeros(self.size, np.uint64)
             lengths = np.array([len(p) for p in self.pieces])
-            chars = np.zeros((self.size, MAX_PIECE), np.uint8)
+            chars = np.zeros((self.size, self.longest), np.uint8)
             for i, p in enumerate(self.pieces):
                 chars[i, : len(p)] = list(p)
-            for j in range(MAX_PIECE):
+            for j in range(self.longest):
                 keys = np.where(lengths > j, self.grown(keys, chars[:, j]), keys)
         if len(np.unique(keys)) < self.size:
             raise ValueError("two pieces have one key")
@@ -126,7 +124,7 @@ def _ways(words, pieces: Pieces):
     with np.errstate(over="ignore"):
         for i in range(n):
             key = np.zeros(m, np.uint64)
-            for j in range(i, min(n, i + MAX_PIECE)):
+            for j in range(i, min(n, i + pieces.longest)):
                 key = pieces.grown(key, words[:, j])
                 at, found = pieces.find(key)
                 if len(at):
@@ -146,8 +144,8 @@ def _together(words, pieces: Pieces, logp):
     return forward[n]
 
 
-def _expected(words, pieces: Pieces, logp, counts) -> None:
-    """Adds the expected piece counts of words of one length, each once. They are short enough for plain products."""
+def _expected(words, pieces: Pieces, logp, counts, weights) -> None:
+    """Adds the expected piece counts of words of one length, times their weights. They are short enough for plain products."""
     import numpy as np
 
     m, n = words.shape
@@ -156,44 +154,55 @@ def _expected(words, pieces: Pieces, logp, counts) -> None:
     ways = [(i, j, at, found, np.exp(logp[found])) for i, j, at, found in _ways(words, pieces)]
     for i, j, at, _, p in ways:
         forward[j, at] += forward[i, at] * p
-    shares = []
+    shares, scale = [], weights / forward[n]
     for i, j, at, _, p in reversed(ways):
         way = p * backward[j, at]
-        shares.append(forward[i, at] * way / forward[n, at])
+        shares.append(forward[i, at] * way * scale[at])
         backward[i, at] += way
     counts += np.bincount(np.concatenate([w[3] for w in reversed(ways)]), np.concatenate(shares), len(counts))
 
 
-def _alone(word: bytes, pieces: Pieces, logp, counts) -> float:
-    """As _together() and, with counts, _expected(), for one long word."""
-    n, get = len(word), pieces.index.get
-    ways = [[(j, k) for j in range(i + 1, min(n, i + MAX_PIECE) + 1) if (k := get(word[i:j])) is not None] for i in range(n)]
+def _add(a: float, b: float) -> float:
+    """The log of a sum of two numbers, of which one may be 0, from their logs."""
+    return b if a == -math.inf else a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
 
-    def add(a: float, b: float) -> float:
-        return b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def _alone(word: bytes, pieces: Pieces, logp, counts, weight: float = 1.0) -> float:
+    """As _together() and, with counts, _expected(), for one long word."""
+    import numpy as np
 
+    data, n, found = np.frombuffer(word, np.uint8), len(word), []
+    key = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for size in range(1, min(n, pieces.longest) + 1):
+            key = pieces.grown(key[: n - size + 1], data[size - 1 :])
+            at, own = pieces.find(key)
+            found.append((at, at + size, own))
+    starts, ends, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(starts, kind="stable")
+    starts, ends, own = starts[order], ends[order], own[order]
+    ways = list(zip(starts.tolist(), ends.tolist(), logp[own].tolist(), strict=True))
     forward = [0.0] + [-math.inf] * n
-    for i in range(n):
-        for j, k in ways[i]:
-            forward[j] = add(forward[j], forward[i] + logp[k])
+    for i, j, p in ways:
+        forward[j] = _add(forward[j], forward[i] + p)
     if counts is not None:
         backward = [-math.inf] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            for j, k in ways[i]:
-                way = logp[k] + backward[j]
-                counts[k] += math.exp(forward[i] + way - forward[n])
-                backward[i] = add(backward[i], way)
+        for i, j, p in reversed(ways):
+            backward[i] = _add(backward[i], p + backward[j])
+        share = np.exp(np.array(forward)[starts] + logp[own] + np.array(backward)[ends] - forward[n])
+        counts += weight * np.bincount(own, share, len(counts))
     return forward[n]
 
 
-def word_logprobs(words: list[bytes], pieces: Pieces, logp, counts=None):
+def word_logprobs(words: list[bytes], pieces: Pieces, logp, counts=None, weights=None):
     """The natural log of each word's marginal probability. logp: of each piece, and -inf for none.
 
-    With counts (one more than there are pieces) it adds what an expectation step counts instead, and gives nothing.
+    With counts (one more than there are pieces) it adds what an expectation step counts instead, each word as often as
+    its weight says, and gives nothing.
     """
     import numpy as np
 
-    out = np.empty(len(words))
+    out, weights = np.empty(len(words)), np.ones(len(words)) if weights is None else weights
     size = np.array([len(w) + 1 for w in words], np.int64)
     order = np.argsort(size, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(size[order])) + 1, len(order))
@@ -204,13 +213,13 @@ def word_logprobs(words: list[bytes], pieces: Pieces, logp, counts=None):
             own = order[i : min(last, i + TOGETHER)]
             if n > LONG_WORD:
                 for k in own.tolist():
-                    out[k] = _alone(b" " + words[k], pieces, logp, counts)
+                    out[k] = _alone(b" " + words[k], pieces, logp, counts, weights[k])
                 continue
             rows = np.frombuffer(b"".join([b" " + words[k] for k in own.tolist()]), np.uint8).reshape(-1, n)
             if counts is None:
                 out[own] = _together(rows, pieces, logp)
             else:
-                _expected(rows, pieces, logp, counts)
+                _expected(rows, pieces, logp, counts, weights[own])
         first = last
     return out if counts is None else None
 
@@ -241,7 +250,7 @@ def _log_shares(counts, stops: float, leads):
 
 
 def learn(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS):
-    """(log probability of each piece, of a word's stop), from words (word binary, c long); those with c > 0 count.
+    """(log probability of each piece, of a word's stop), from words (word binary, c long), each of which counts c times.
 
     Each round is one pass over all distinct words; tasks send one sum for each piece, the driver holds one number
     for each piece of the vocabulary, whose size is fixed.
@@ -259,15 +268,16 @@ def learn(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS):
             import pyarrow as pa
 
             own = pieces_of(shared.value)
-            counts, many = np.zeros(own.size + 1), 0
+            counts, many = np.zeros(own.size + 1), 0.0
             for batch in _gathered(batches):
-                many += batch.num_rows
-                word_logprobs(batch.column("word").to_pylist(), own, now.value, counts)
+                often = batch.column("c").to_numpy().astype(float)
+                many += often.sum()
+                word_logprobs(batch.column("word").to_pylist(), own, now.value, counts, often)
             counts[-1] = many  # each word stops once
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["piece", "n"])
 
-        sums = words.where("c > 0").select("word").mapInArrow(expected, "piece int, n double")
+        sums = words.where("c > 0").select("word", "c").mapInArrow(expected, "piece int, n double")
         counts = np.zeros(pieces.size + 1)
         for piece, n in sums.groupBy("piece").agg(F.sum("n")).collect():
             counts[piece] = n
@@ -275,6 +285,11 @@ def learn(words: DataFrame, vocabulary: bytes, rounds: int = ROUNDS):
     return logp, stop
 
 
+def word_and_end(n_words: int, ends: int) -> tuple[float, float]:
+    """Log probabilities that a token is a word, and that it is the end."""
+    return math.log((n_words + 1) / (n_words + ends + 2)), math.log((ends + 1) / (n_words + ends + 2))
+
+
 def held_out() -> Column:
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == HELD_OUT
@@ -338,24 +353,20 @@ def score_documents(docs: DataFrame, vocab_path: str, rounds: int = ROUNDS) -> D
 
     counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), f"{path}/words")
     ends = texts.where("NOT held_out").count()
-    many = [F.count(F.when(F.col("c") == k, 1)) for k in (1, 2)]
-    n_words, v_words, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), *many).first()
+    n_words, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = n_words + ends, v_words + (ends > 0)
     logp, stop = learn(counts, vocabulary, rounds)
-    off = min(0.95, max(0.05, (once + 0.5) / (once + 2 * twice + 1)))  # what each known word gives to the cuts
-    cuts, end = math.log((off * v_words + 1) / (total + 2)) + stop, math.log((ends + 1) / (total + 2))
+    # a word or the end, then the word's cuts and its stop; a word of no bytes can't be
+    begin, end = word_and_end(n_words, ends)
+    begin += stop - math.log1p(-math.exp(logp[pieces_of(vocabulary).index[b" "]] + stop))
     sc = spark.sparkContext
     shared, now = sc.broadcast(vocabulary), sc.broadcast(logp)
 
     def scored(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in _gathered(batches):
-            c = batch.column("c").to_numpy()
-            got = cuts + word_logprobs(batch.column("word").to_pylist(), pieces_of(shared.value), now.value)
-            whole = np.log(np.maximum(c - off, 0.01) / (total + 2))
-            got = np.where(c > 0, np.logaddexp(got, whole), got)
+            got = begin + word_logprobs(batch.column("word").to_pylist(), pieces_of(shared.value), now.value)
             yield from pa.table({"word": batch.column("word"), "c": batch.column("c"), "lp": got}).to_batches()
 
     known = counts.mapInArrow(scored, "word binary, c long, lp double")

@@ -294,6 +294,68 @@ def test_lattice_sums_over_all_cuts():
     assert math.isclose(sum(len(p) * c for p, c in zip(pieces.pieces, counts, strict=False)), sum(len(w) + 1 for w in words), rel_tol=1e-9)
 
 
+def test_long_words_have_the_same_lattice():
+    import numpy as np
+
+    with open(VOCAB, "rb") as f:
+        pieces = lm_score.Pieces(f.read())
+    logp, _ = lm_score._log_shares(pieces.guess, 0.1, pieces.leads)
+    word = b"internationalisations"
+    one, two = np.zeros(pieces.size + 1), np.zeros(pieces.size + 1)
+    lm_score.word_logprobs([word], pieces, logp, one, np.array([3.0]))
+    assert math.isclose(lm_score._alone(b" " + word, pieces, logp, two, 3.0), lm_score.word_logprobs([word], pieces, logp)[0], rel_tol=1e-9)
+    assert np.allclose(one, two)
+    far = lm_score._alone(b" " + b"ab" * 100_000, pieces, logp, None)
+    assert math.isfinite(far) and far < lm_score._alone(b" " + b"ab" * 50_000, pieces, logp, None) < 0
+
+
+def cuts(word, pieces):
+    """All ways to cut a word, as tuples of pieces."""
+    if not word:
+        return [()]
+    return [(word[:n], *rest) for n in range(1, len(word) + 1) if word[:n] in pieces for rest in cuts(word[n:], pieces)]
+
+
+def test_lm_score_sums_over_all_cuts(spark, tmp_path):
+    """The whole score against plain code that lists every cut of every word, in each round of learning too."""
+    import base64
+
+    own = [b" a", b" b", b" ab", b"ab", b"ba", b"bab", b" ba", b"aa", b"\n ab", b" a b"]  # the last two can't be used
+    vocab = tmp_path / "own.tiktoken"
+    vocab.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(own)))
+    data = [(i, t) for i, t in enumerate(["ab ba", "abab\tA", "b", None, "", "aab aab bb", "ba c", "abba ab", "ab", "a b a"] * 2)]
+    got = {x["doc_id"]: x["score"] for x in lm_score.score_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(3), str(vocab), rounds=2).collect()}
+    single = [bytes([b]) for b in range(256) if b == 32 or bytes([b]) not in (b"\t", b"\n", b"\v", b"\f", b"\r")]
+    pieces = {p: i for i, p in enumerate([*single, *own[:8]])}
+    words = {i: (t or "").encode().lower().split() for i, t in data}
+    train = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(w for i in train for w in words[i])
+    ranks = {p: i for i, p in enumerate(own)}
+    expected, stops = {p: 1 / (ranks.get(p, len(own)) + 100) for p in pieces}, sum(1 / (ranks.get(p, len(own)) + 100) for p in pieces) / 4
+    for turn in range(3):
+        held = {p: n + lm_score.PRIOR for p, n in expected.items()}
+        leads, later = sum(n for p, n in held.items() if p[:1] == b" "), sum(n for p, n in held.items() if p[:1] != b" ") + stops + lm_score.PRIOR
+        prob = {p: n / (leads if p[:1] == b" " else later) for p, n in held.items()}
+        stop = (stops + lm_score.PRIOR) / later
+        assert math.isclose(sum(v for p, v in prob.items() if p[:1] == b" "), 1) and math.isclose(sum(v for p, v in prob.items() if p[:1] != b" ") + stop, 1)
+        if turn == 2:
+            break
+        expected, stops = dict.fromkeys(pieces, 0.0), float(sum(counts.values()))
+        for w, c in counts.items():
+            ways = [(way, math.prod(prob[p] for p in way)) for way in cuts(b" " + w, pieces)]
+            for way, weight in ways:
+                for p in way:
+                    expected[p] += c * weight / sum(x for _, x in ways)
+    n, ends = sum(counts.values()), len(train)
+    word = lambda w: (n + 1) / (n + ends + 2) * sum(math.prod(prob[p] for p in way) for way in cuts(b" " + w, pieces)) * stop / (1 - prob[b" "] * stop)
+    for i, own_words in words.items():
+        want = sum(math.log10(word(w)) for w in own_words) + math.log10((ends + 1) / (n + ends + 2))
+        assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
+    # all words and the end sum to 1: what words of up to two bytes have, and what is left to longer ones
+    begin, end = map(math.exp, lm_score.word_and_end(n, ends))
+    assert math.isclose(begin + end, 1) and sum(word(bytes([x])) for x in range(256) if bytes([x]) in pieces and x != 32) < begin
+
+
 def test_lm_score(docs, empty):
     got = lm_score.score_documents(docs, VOCAB, rounds=2).collect()
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
