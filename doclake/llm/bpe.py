@@ -23,7 +23,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import appended, slices, without
+from doclake.llm.common import appended, columns, named_back, plain_named, slices, trimmed, typed, without
 
 # classes of code points
 LETTER, NUMBER, OTHER, SPACE, LAST_WHITE, WHITE, SHORT, LONG, BREAK = range(9)
@@ -277,10 +277,6 @@ def _read(vocab_path: str) -> bytes:
         return f.read()
 
 
-def _typed(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def _encoded(texts: list[str], cache: Pieces, at):
     """The ids of each text, and where each token begins in its bytes."""
     import numpy as np
@@ -297,7 +293,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     The vocabulary file (some MB, of fixed size) is read by the driver and broadcast; executors need no copy.
     """
-    held = without(docs, "n_tokens", "ids", "offsets")
+    held, back = plain_named(without(docs, "n_tokens", "ids", "offsets"))
     vocab = docs.sparkSession.sparkContext.broadcast(_read(vocab_path))
 
     def run(batches):
@@ -310,13 +306,14 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
                 ids, begin = _encoded(texts, cache, at)
                 yield appended(part, n_tokens=pa.array([len(x) for x in ids], pa.int64()), ids=_lists(ids, np.int32), offsets=_lists(begin, np.int32))
         cache.forget()  # the worker may serve other stages next
+        trimmed()
 
-    return held.mapInArrow(run, f"{_typed(held)}, n_tokens long, ids array<int>, offsets array<int>")
+    return named_back(held.mapInArrow(run, f"{typed(held)}, n_tokens long, ids array<int>, offsets array<int>"), back)
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """Any table with a column ids array<int>, with ids_le binary (unsigned 32-bit, little-endian) and decoded binary."""
-    held = without(encoded, "ids_le", "decoded")
+    held, back = plain_named(without(encoded, "ids_le", "decoded"))
     vocab = encoded.sparkSession.sparkContext.broadcast(_read(vocab_path))
 
     def run(batches):
@@ -331,7 +328,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
                 packed = pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())
                 yield appended(part, ids_le=packed, decoded=pa.array([decode_ids(x, tokens, at) for x in rows], pa.binary()))
 
-    return held.mapInArrow(run, f"{_typed(held)}, ids_le binary, decoded binary")
+    return named_back(held.mapInArrow(run, f"{typed(held)}, ids_le binary, decoded binary"), back)
 
 
 def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -355,9 +352,10 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
                     ids_le=pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), decoded=pa.array([decode_ids(x, tokens, at) for x in ids], pa.binary()),
                 )
         cache.forget()
+        trimmed()
 
-    held = docs.select(*[F.col(f"`{c}`") for c in others.columns], "text")
-    return held.mapInArrow(run, ", ".join(filter(None, [_typed(others), "n_tokens long, ids array<int>, ids_le binary, decoded binary"])))
+    held, back = plain_named(docs.select(*columns(others), "text"))
+    return named_back(held.mapInArrow(run, ", ".join([typed(held.drop("text")), "n_tokens long, ids array<int>, ids_le binary, decoded binary"])), back)
 
 
 def digest(docs: DataFrame, vocab_path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,10 +57,50 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, by quoted names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def typed_each(df: DataFrame) -> list[str]:
+    """Each column of `df` as DDL."""
+    return [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields]
+
+
+def typed(df: DataFrame) -> str:
+    """The columns of `df` as DDL."""
+    return ", ".join(typed_each(df))
+
+
+def plain_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with plain names where columns have dots or other signs, which mapInArrow() doesn't take; and what they were."""
+    plain = [c if re.fullmatch(r"\w+", c) else unused(df, f"plain_{i}")[0] for i, c in enumerate(df.columns)]
+    return df.toDF(*plain), dict(zip(plain, df.columns, strict=True))
+
+
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(quoted(c)).alias(names.get(c, c)) for c in df.columns])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column of `df`: for what an operator adds for itself."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without columns that an operator is going to add: its results replace columns of the same name."""
     held = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in held])
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in held])
 
 
 def slices(batch, limit: int = 4 << 20):

@@ -36,7 +36,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import removed, scratch, slices, stored, trimmed
+from doclake.llm.common import columns, removed, scratch, slices, stored, trimmed, unused
 from doclake.llm.components import components
 
 WORDS = 5
@@ -521,9 +521,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Repeated rows of one id and text count as one, also if they are empty.
     """
     found = Join(docs).component_ids()
-    stays = found.where("doc_id <=> first.doc_id AND text_key = first.text_key").select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key")).distinct()
+    one, two = unused(docs, "s_id", "s_key")
+    stays = found.where("doc_id <=> first.doc_id AND text_key = first.text_key").select(F.col("doc_id").alias(one), F.col("text_key").alias(two)).distinct()
     stays = stored(stays, f"{scratch(docs.sparkSession)}/stays")
     key = F.xxhash64(F.lit("text"), F.col("text"))
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("s_id")) & (key == F.col("s_key")))
-    return kept.dropDuplicates(["s_id", "s_key"]).select(*[docs[f"`{c}`"] for c in docs.columns])
-
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(one)) & (key == F.col(two)))
+    return kept.dropDuplicates([one, two]).select(*columns(docs))

@@ -8,7 +8,7 @@ line's count is summed over at most FANOUT runs a level, and a later batch costs
 Defined results: a row is a document; a line counts once a document; a null text counts as one empty line; an
 empty key is never dropped; a document that loses all its lines has an empty text; repeated rows are documents of
 their own and lose the same lines; an empty table gives no rows; columns of the input with the names of results
-are replaced.
+(counts, null for none) are replaced, all others stay as they are; very long lines and texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import scratch, slices, stored, without
+from doclake.llm.common import columns, named_back, plain_named, quoted, scratch, slices, stored, trimmed, typed_each, unused, without
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES, FANOUT = 4, 2
 #: A task's counts are given on when it holds so many lines.
 HELD_LINES = 200_000
+#: Bytes of text that are split at once.
+SLICE = 1 << 20
 STRIP = b" \t\n\v\f\r"
 
 
@@ -60,7 +62,7 @@ def _counted(min_chars: int):
             held.clear()
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE):
                 for b, text in zip(part.column("batch").to_pylist(), texts, strict=True):
                     counts = held.setdefault(b, {})
                     for key in set(line_keys(text, min_chars)):
@@ -128,7 +130,7 @@ def _held_lines(min_chars: int):
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE):
                 keys = [[k for k in dict.fromkeys(line_keys(t, min_chars)) if k] for t in texts]
                 at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 h1, h2 = _pair([k for ks in keys for k in ks])
@@ -137,15 +139,15 @@ def _held_lines(min_chars: int):
     return run
 
 
-def _rebuilt(min_chars: int):
+def _rebuilt(min_chars: int, drop_: str, counts: tuple[str, ...]):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE):
                 out, lines, dropped = [], [], []
-                for text, drop in zip(texts, part.column("drop_").to_pylist(), strict=True):
+                for text, drop in zip(texts, part.column(drop_).to_pylist(), strict=True):
                     own = text.split("\n")
                     kept = own
                     if drop:
@@ -154,8 +156,10 @@ def _rebuilt(min_chars: int):
                     out.append("\n".join(kept))
                     lines.append(len(own))
                     dropped.append(len(own) - len(kept))
-                names = [n for n in part.schema.names if n not in ("drop_", "text")]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+                names = [n for n in part.schema.names if n not in (drop_, "text")]
+                told = [pa.array(x, pa.int64()) for x in (lines, dropped)][: len(counts)]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(out, pa.string()), *told], [*names, "text", *counts])
+        trimmed()
 
     return run
 
@@ -172,20 +176,21 @@ def line_runs(docs: DataFrame, path: str, min_docs: int = MIN_DOCS, min_chars: i
     return runs
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with the lines that min_docs documents share taken out, n_lines (before) and n_dropped."""
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with the lines that min_docs documents share taken out, and `counts`: the lines before, those dropped."""
     path = scratch(docs.sparkSession)
     frequent = stored(line_runs(docs, path, min_docs, min_chars).frequent(), f"{path}/frequent")
     k1, k2 = _row_key(docs)
     lines = docs.select(k1, k2, "text").mapInArrow(_held_lines(min_chars), "k1 long, k2 long, h1 long, h2 long")
+    held, back = plain_named(without(docs, *counts))
+    one, two, drop_ = unused(held, "k1", "k2", "drop_")
     drop = (
-        lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("drop_"))
+        lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.collect_set(F.struct("h1", "h2")).alias(drop_))
     )
-    held = without(docs, "n_lines", "n_dropped", "k1", "k2", "drop_")
-    joined = held.withColumns({"k1": k1, "k2": k2}).join(drop, ["k1", "k2"], "left").drop("k1", "k2")
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name != "text"]
-    out = joined.mapInArrow(_rebuilt(min_chars), ", ".join([*others, "text string", "n_lines long", "n_dropped long"]))
-    return out.select(*[F.col(f"`{c}`") for c in held.columns], "n_lines", "n_dropped")
+    joined = held.withColumns({one: k1, two: k2}).join(drop, [one, two], "left").drop(one, two)
+    others = [x for x, name in zip(typed_each(held), held.columns, strict=True) if name != "text"]
+    out = joined.mapInArrow(_rebuilt(min_chars, drop_, counts), ", ".join([*others, "text string", *[f"{quoted(c)} long" for c in counts]]))
+    return named_back(out.select(*columns(held), *[F.col(quoted(c)) for c in counts]), back)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ or dropped by its own row and its source's threshold.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last one; rows with one doc_id
 (null ids too) share their place and are taken alike; a source without words has target 0; an empty table gives
-no rows; columns of the input with the names of results are replaced.
+no rows; mix() leaves all columns of the input as they are, whatever their names, and mix_report() ignores those it
+doesn't need; very long texts only have larger sizes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import scratch, slices, stored, without
+from doclake.llm.common import columns, scratch, slices, stored, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -121,10 +122,10 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Texts stay where they are: no shuffle of them."""
-    names = docs.columns
+    """The documents of the mix with all their columns, each as often as it is taken. Texts stay where they are: no shuffle of them."""
     sized = stored(sizes(docs).withColumn("place", place()).select("source", "place", "size"), scratch(docs.sparkSession))
-    held = without(docs, "r_source", "source_size", "target", "full", "below", "copies", "copy_")
-    out = _ruled(held, thresholds(sized), place())
-    copies = F.explode(F.expr("array_repeat(0, CAST(copies AS INT))")).alias("copy_")
-    return out.select("*", copies).select(*[F.col(f"`{c}`") for c in names if c in held.columns])
+    of, full, below, copy = unused(docs, "of_source", "full", "below", "copy")
+    rule = thresholds(sized).select(F.col("source").alias(of), F.col("full").alias(full), F.col("below").alias(below))
+    ruled = docs.join(F.broadcast(rule), F.col("source").eqNullSafe(F.col(of)))
+    often = F.col(full) + (place() < F.col(below)).cast("long")
+    return ruled.select(*columns(docs), F.explode(F.array_repeat(F.lit(0), often.cast("int"))).alias(copy)).select(*columns(docs))

@@ -7,12 +7,13 @@ combined by a logistic regression of the calibrated views. A view that knows not
 weight. The combined model scores every document.
 
 The models are fitted on the driver on a bounded sample: about MAX_LABELLED labelled and MAX_POOL other rows, chosen
-by a hash of the id. Scoring covers all rows and shuffles nothing.
+by a hash of the id (of the others, of the text too); only where many rows share ids, twice as many cut it off. Scoring covers all rows and shuffles nothing.
 
 Defined results: a null text counts as empty, null metadata as values of their own; a document whose labels differ
 counts as bad; null labels don't count; without labels of both kinds nothing is rejected and every score is 1;
-rows are scored one by one, so ties and repeated rows need no rule; an empty table gives no rows; columns of the
-input with the names of results are replaced.
+rows are scored one by one, so ties and repeated rows need no rule, and rows of the sample that have equal features
+and labels teach once; an empty table gives no rows; columns of the input with the names of results are replaced, but
+kept() adds none and leaves all as they are; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import appended, slices, without
+from doclake.llm.common import appended, columns, named_back, plain_named, quoted, slices, trimmed, typed, unused, without
 
 MAX_LABELLED, MAX_POOL = 10_000, 6_000
 ROUNDS = 3
 #: A view is sure of rows with a calibrated probability of SURE for one class; it labels MOST of a class a round.
 SURE, MOST = 0.97, 400
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 19
 #: A document with a lower score is rejected.
 KEEP_FROM = 0.5
 WORD_BINS, SOURCE_BINS, LANG_BINS, LENGTH_BINS = 256, 64, 16, 24
@@ -177,9 +180,9 @@ class CoTrained:
         return _probability(logits[:, 0]), _probability(logits[:, 1]), _probability(self.last.logit(logits))
 
 
-def _share(bound: int, many: int) -> Column:
-    """Whether a row is of the sample of about `bound` of `many`, by a hash of its id."""
-    return F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(1, many)))
+def _share(bound: int, many: int, *more: str) -> Column:
+    """Whether a row is of the sample of about `bound` of `many`, by a hash of its id and of other columns."""
+    return F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string"), *more), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(1, many)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
@@ -188,21 +191,23 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
     some = told.where(_share(max_labelled, told.count())).withColumnRenamed("doc_id", "l_id")  # a bounded table
+    many = docs.count()
     sample = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(some), F.col("doc_id") == F.col("l_id"), "left")
-    sample = sample.where(F.col("label").isNotNull() | _share(max_pool, docs.count()))
+    # unlabelled rows that share an id, null ids above all, are told apart by their texts
+    sample = sample.where(F.col("label").isNotNull() | _share(max_pool, many, "text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(4)) == 0
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE):
                 text, meta = _views(part, texts)
                 rows = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (text, meta)]
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("apart"), *rows], ["label", "apart", "text", "meta"])
 
     held = sample.withColumn("label", F.col("label").cast("double")).withColumn("apart", fold).drop("l_id", "doc_id")
-    rows = held.mapInArrow(run, "label double, apart boolean, text binary, meta binary").toArrow().sort_by([("text", "ascending"), ("meta", "ascending")])
+    rows = held.mapInArrow(run, "label double, apart boolean, text binary, meta binary").distinct().limit(2 * (max_labelled + max_pool)).toArrow().sort_by([("text", "ascending"), ("meta", "ascending")])
     if not rows.num_rows:
         return None
     y = rows.column("label").to_numpy(zero_copy_only=False).astype(float)
@@ -214,9 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return CoTrained().fit(text[known], meta[known], (y[known] > 0).astype(float), apart[known], text[~known], meta[~known])
 
 
-def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """The documents with text_score, meta_score, quality_score (probabilities of good) and keep."""
-    held = without(docs, "text_score", "meta_score", "quality_score", "keep")
+def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, ...] = ("text_score", "meta_score", "quality_score", "keep")) -> DataFrame:
+    """The documents with text_score, meta_score, quality_score (probabilities of good) and keep, or under other names."""
+    held, back = plain_named(without(docs, *names))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
 
     def run(batches):
@@ -224,10 +229,17 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE):
                 got = shared.value.score(*_views(part, texts)) if shared.value else [np.ones(len(texts))] * 3
-                one, two, both = (pa.array(np.asarray(x, float)) for x in got)
-                yield appended(part, text_score=one, meta_score=two, quality_score=both, keep=pa.array(np.asarray(got[2]) >= KEEP_FROM))
+                told = [pa.array(np.asarray(x, float)) for x in got] + [pa.array(np.asarray(got[2]) >= KEEP_FROM)]
+                yield appended(part, **dict(zip(names, told, strict=True)))
+        trimmed()
 
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.mapInArrow(run, f"{cols}, text_score double, meta_score double, quality_score double, keep boolean")
+    one, two, both, keep = map(quoted, names)
+    return named_back(held.mapInArrow(run, f"{typed(held)}, {one} double, {two} double, {both} double, {keep} boolean"), back)
+
+
+def kept(docs: DataFrame, model: CoTrained | None) -> DataFrame:
+    """The documents that the model does not reject, as they are."""
+    names = tuple(unused(docs, "text_score", "meta_score", "quality_score", "keep"))
+    return score(docs, model, names).where(F.col(names[3])).select(*columns(docs))

@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import appended, slices, without
+from doclake.llm.common import appended, named_back, plain_named, slices, typed, without
 
 #: Powers of two: hashes and minima are built by doubling.
 GRAM, WINDOW = 16, 32
@@ -109,7 +109,7 @@ def as_text(hashes) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The documents with hashes array<long> and positions array<long>."""
-    held = without(docs, "hashes", "positions")
+    held, back = plain_named(without(docs, "hashes", "positions"))
 
     def run(batches):
         import numpy as np
@@ -121,8 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 lists = [pa.array([np.asarray(x[i], np.int64) for x in both], pa.list_(pa.int64())) for i in (0, 1)]
                 yield appended(part, hashes=lists[0], positions=lists[1])
 
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.mapInArrow(run, f"{cols}, hashes array<long>, positions array<long>")
+    return named_back(held.mapInArrow(run, f"{typed(held)}, hashes array<long>, positions array<long>"), back)
 
 
 def _stretch(id_: Column, cuts: list[int], step: int = 100) -> Column:
