@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from doclake.functions.media import sniff_mime
 from doclake.operators import markdown as m
-from doclake.operators import packages, render
+from doclake.operators import packages, records, render, styles, tables
 from doclake.sources import package, xmlrows
 from doclake.sources.scratch import stored
 
@@ -24,10 +26,12 @@ class Ir:
     meta: DataFrame
     #: doc_id, error of documents that could not be read whole
     errors: DataFrame | None = None
+    #: doc_id, media_id, mime, bytes of images; runs name them
+    media: DataFrame | None = None
 
     def written(self) -> Ir:
-        """The tables written once, for writers that read them several times."""
-        return Ir(*map(stored, (self.blocks, self.runs, self.cells, self.meta)), self.errors if self.errors is None else stored(self.errors))
+        """The tables written once, for writers that read them several times; media are, as parts of a package."""
+        return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors") if (v := getattr(self, k)) is not None})
 
 
 RUN_FLAGS = ("bold", "italic", "underline", "strike", "sup", "sub")
@@ -37,18 +41,37 @@ def read_md(docs: DataFrame) -> Ir:
     """From doc_id, md."""
     fronts = m.split_front_matter(docs)
     grouped = stored(m.group_lines(m.classify_lines(m.explode_lines(fronts))))
-    blocks = m.groups_to_blocks(grouped)
+    blocks = stored(m.groups_to_blocks(grouped))
     code = blocks.where("font IS NOT NULL").select("doc_id", "blk", F.lit(0).alias("pos"), "text", "font")
     runs = m.inline_runs(blocks.where("kind = 'paragraph' AND font IS NULL"), "doc_id", "blk").unionByName(code, allowMissingColumns=True)
     meta = fronts.select("doc_id").join(m.front_matter_map(fronts), "doc_id", "left")
     meta = meta.select("doc_id", *[F.col("meta")[k].alias(k) for k in ("title", "author", "subject")])
-    return Ir(blocks, runs, m.pipe_table_cells(grouped).withColumn("row_span", F.lit(1)), meta)
+    cells = m.pipe_table_cells(grouped).withColumns({"row_span": F.lit(1), "col_span": F.lit(1)})
+    return Ir(blocks, runs.withColumn("media_id", F.lit(None).cast("string")), cells, meta)
 
 
-def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
+TABLE = ("doc_id", "sec", "tbl")
+#: Begins a paragraph of a cell: a character that XML can't have.
+PARAGRAPH = "\x1e"
+
+
+def _with_spans(cells: DataFrame) -> DataFrame:
+    """Cells with their grid column and row_span (0: merged away), from col_span and vm. Tables without merges stay as they are."""
+    merged = cells.where("col_span > 1 OR vm IS NOT NULL").select(*TABLE).distinct()
+    plain = cells.join(merged, list(TABLE), "left_anti").drop("vm")
+    grid = tables.grid_columns(cells.join(merged, list(TABLE), "left_semi").withColumnsRenamed({"row": "r", "col": "c", "col_span": "span"}).drop("row_span"), *TABLE)
+    spans = tables.row_spans(grid, *TABLE).select(*TABLE, "r", "col", "row_span")
+    found = grid.join(spans, [*TABLE, "r", "col"]).withColumnsRenamed({"r": "row", "span": "col_span"}).withColumn("col", F.col("col").cast("int"))
+    return plain.unionByName(found.select(*plain.columns))
+
+
+def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     """Rows of a package's XML to the flat tables; blk is the place of a block's first row in the document.
 
-    A page break is a block of its own; what follows it, or a table, in the same paragraph is a paragraph of its own behind it.
+    by_cell: whether columns count the cells of a row, and cells merged into the one above say so; else they are places.
+
+    rows: those of xmlrows with heading, list_level, list_ordered of paragraphs, url of texts, media_id of images. A page
+    break is a block of its own; what follows it, or a table, in the same paragraph is a paragraph of its own behind it.
     """
     # places and numbers of tables begin anew in each section
     rows = stored(rows.where("error IS NULL").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")))
@@ -56,77 +79,147 @@ def _from_rows(rows: DataFrame, meta: DataFrame, rels: DataFrame | None) -> Ir:
     start = F.col("row_type").isin("paragraph", "pageBreak") | F.lag("row_type").over(own).isin("table", "pageBreak")
     opens = (F.col("row_type") == "paragraph") & F.coalesce(F.lead("row_type").over(own) == "pageBreak", F.lit(False))  # nothing is before the break
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumns({"start": start, "opens": opens})
-    body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct("heading", "num_id", "ilvl")), True).over(own)).where("tbl IS NULL")
+    like = ("heading", "list_level", "list_ordered")
+    body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct(*like)), True).over(own)).where("tbl IS NULL")
     body = body.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own))
     is_break = F.col("row_type") == "pageBreak"
-    paragraphs = body.where("start AND NOT opens").select("doc_id", "blk", is_break.alias("breaks"), *[F.when(~is_break, F.col(f"like.{c}")).alias(c) for c in ("heading", "num_id", "ilvl")])
-    tables = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl")
-    kind = F.when(F.col("breaks"), "pageBreak").otherwise("paragraph")
-    blocks = paragraphs.select("doc_id", "blk", kind.alias("kind"), "heading", F.col("ilvl").alias("list_level"), F.when(F.col("num_id").isNotNull(), F.col("num_id") == "2").alias("list_ordered"))
-    blocks = blocks.unionByName(tables.select("doc_id", "blk", F.lit("table").alias("kind")), allowMissingColumns=True)
-    pieces = body.where("row_type IN ('text', 'lineBreak')").withColumn("text", F.when(F.col("row_type") == "lineBreak", "\n").otherwise(F.col("text")))
-    if rels is not None:
-        url = rels.where("cls = 'hyperlink'").select("doc_id", F.col("rel_id").alias("ref"), F.col("target").alias("url"))
-        pieces = pieces.join(url, ["doc_id", "ref"], "left")
-    else:
-        pieces = pieces.withColumn("url", F.lit(None).cast("string"))
-    runs = pieces.select("doc_id", "blk", F.col("ord").alias("pos"), "text", "bold", "italic", "underline", "strike", "color", "url", *[F.lit(None).cast("boolean").alias(k) for k in ("sup", "sub")], F.lit(None).cast("string").alias("font"))
-    # lines and paragraphs of a cell stay apart
-    shown = F.when(F.col("row_type").isin("paragraph", "lineBreak"), "\n").otherwise(F.col("text"))
+    paragraphs = body.where("start AND NOT opens").select("doc_id", "blk", F.when(is_break, "pageBreak").otherwise("paragraph").alias("kind"), *[F.when(~is_break, F.col(f"like.{c}")).alias(c) for c in like])
+    at = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl")
+    blocks = paragraphs.unionByName(at.select("doc_id", "blk", F.lit("table").alias("kind")), allowMissingColumns=True)
+    pieces = body.where("row_type IN ('text', 'lineBreak') OR media_id IS NOT NULL").withColumn("text", F.when(F.col("row_type") == "lineBreak", "\n").otherwise(F.coalesce("text", F.lit(""))))
+    runs = pieces.select("doc_id", "blk", F.col("ord").alias("pos"), "text", *RUN_FLAGS, "color", "url", "font", "media_id")
+    # lines and paragraphs of a cell stay apart; paragraphs without text are no lines
+    shown = F.when(F.col("row_type") == "paragraph", PARAGRAPH).when(F.col("row_type") == "lineBreak", "\n").otherwise(F.col("text"))
     inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'lineBreak', 'paragraph', 'cell')").withColumn("text", shown)
-    inside = inside.groupBy("doc_id", "sec", "tbl", "row", "col").agg(F.regexp_replace(m.ordered_join("text", "ord", ""), r"^\n", "").alias("text"))
-    cells = inside.join(tables, ["doc_id", "sec", "tbl"]).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), "text")
+    text = F.regexp_replace(F.trim(m.ordered_join("text", "ord", ""), F.lit(PARAGRAPH)), f"{PARAGRAPH}+", "\n").alias("text")
+    inside = inside.groupBy(*TABLE, "row", "col").agg(text, *[F.max(c).alias(c) for c in ("col_span", "row_span", "vm")])
+    spans = {c: F.coalesce(c, F.lit(1)) for c in ("col_span", "row_span")}
+    inside = inside.withColumns(spans)
+    cells = (_with_spans(stored(inside)) if by_cell else inside).join(at, list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "text")
     return Ir(blocks, runs, cells, meta)
 
 
-def _errors(parts: DataFrame, rows: DataFrame) -> DataFrame:
+def _errors(*tables_: DataFrame) -> DataFrame:
     """doc_id, error of the packages, and of their parts, that could not be read."""
-    told = parts.select("doc_id", "error").unionByName(rows.select("doc_id", "error"))
+    told = reduce(DataFrame.unionByName, [t.select("doc_id", "error") for t in tables_])
     return told.where("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
 
 
+def _media(parts: DataFrame, media_id: Column) -> DataFrame:
+    return parts.select("doc_id", media_id.alias("media_id"), sniff_mime(F.col("bytes")).alias("mime"), "bytes").where("media_id IS NOT NULL")
+
+
 def read_docx(docs: DataFrame) -> Ir:
-    """From doc_id, bytes."""
-    parts = package.unzip_parts(docs, ("word/document.xml", "word/_rels/", "docProps/core.xml"), ("word/document.xml",))
-    every = stored(parts)
+    """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering."""
+    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/media/", "docProps/core.xml")
+    every = stored(package.unzip_parts(docs, wanted, ("word/document.xml",)))
     parts = every.where("error IS NULL")
     meta = xmlrows.core_meta(parts).select("doc_id", "title", "author", "subject")
     rows = stored(xmlrows.docx_rows(parts))
-    return replace(_from_rows(rows, meta, xmlrows.relationships(parts)), errors=_errors(every, rows))
+    names = xmlrows.docx_styles(parts).groupBy("doc_id", "style_id").agg(F.max("heading").alias("named"), F.lit(True).alias("known"))
+    kinds = xmlrows.nums(parts).join(xmlrows.num_levels(parts), ["doc_id", "abstract_id"]).groupBy("doc_id", "num_id", "ilvl").agg(F.min("fmt").alias("fmt"))
+    plain, paragraphs = rows.where("row_type <> 'paragraph' OR row_type IS NULL"), rows.where("row_type = 'paragraph'")
+    listed = F.when(F.col("num_id") != "0", F.coalesce("ilvl", F.lit(0)))
+    paragraphs = paragraphs.withColumn("ilvl", listed).join(names, ["doc_id", "style_id"], "left").join(kinds, ["doc_id", "num_id", "ilvl"], "left")
+    paragraphs = paragraphs.withColumns({
+        "heading": F.when(F.col("known"), F.col("named")).otherwise(F.col("heading")), "list_level": F.col("ilvl"),
+        "list_ordered": F.when(F.col("ilvl").isNotNull(), F.coalesce(~F.col("fmt").isin("bullet", "none"), F.lit(False))),
+    })
+    rels = xmlrows.relationships(parts).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
+    linked = plain.where("ref IS NOT NULL").drop("url").join(rels, ["doc_id", "ref"], "left")
+    linked = linked.withColumns({
+        "url": F.when(F.col("row_type") == "text", F.when(F.col("cls") == "hyperlink", F.col("target")).when(F.col("ref").startswith("#"), F.nullif("ref", F.lit("#")))),
+        "media_id": F.when((F.col("row_type") == "image") & (F.col("cls") == "image"), F.regexp_replace("target", "^/?(word/)?", "")),
+    })
+    columns = [*rows.columns, "list_level", "list_ordered", "media_id"]
+    told = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [plain.where("ref IS NULL"), linked, paragraphs]).select(*columns)
+    errors = _errors(every, rows, xmlrows.part_errors(parts, "word/styles.xml", "word/numbering.xml"))
+    media = parts.where("part LIKE 'word/media/%'")
+    return replace(_from_rows(told, meta, by_cell=True), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
 
 
 def read_hwpx(docs: DataFrame) -> Ir:
-    """From doc_id, bytes. A heading is told by the paragraph shape, emphasis by the character shape."""
-    every = stored(package.unzip_parts(docs, ("Contents/",), ("Contents/section0.xml",)))
+    """From doc_id, bytes. A heading is told by the paragraph's style or by the shape that a heading style names; emphasis by
+    the character shape, a list by the paragraph shape."""
+    every = stored(package.unzip_parts(docs, ("Contents/", "BinData/"), ("Contents/section0.xml",)))
     parts = every.where("error IS NULL")
-    title = F.nullif(F.xpath_string(F.col("bytes").cast("string"), F.lit("//*[local-name()='title']")), F.lit(""))
-    none = F.lit(None).cast("string")
-    meta = parts.where("part = 'Contents/content.hpf'").select("doc_id", title.alias("title"), none.alias("author"), none.alias("subject"))
-    shapes = xmlrows.hwpx_char_shapes(parts).select("doc_id", F.col("id").alias("ref"), F.col("bold").alias("b"), F.col("italic").alias("i"))
+    xml = F.col("bytes").cast("string")
+    told = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
+    named = {"title": "//*[local-name()='title']", "author": "//*[local-name()='meta'][@name='creator']", "subject": "//*[local-name()='meta'][@name='subject']"}
+    meta = parts.where("part = 'Contents/content.hpf'").select("doc_id", *[told(path).alias(k) for k, path in named.items()])
     read = stored(xmlrows.hwpx_rows(parts))
-    rows = read.where("error IS NULL").join(shapes, ["doc_id", "ref"], "left")
-    on = lambda c: F.when(F.col(c), F.lit(True))
-    shape = F.nullif(F.col("ref").try_cast("int"), F.lit(0))
-    rows = rows.withColumns({"heading": F.when((F.col("row_type") == "paragraph") & shape.between(1, 6), shape), "bold": on("b"), "italic": on("i")})
+    rows = read.where("error IS NULL AND NOT (row_type = 'text' AND text = '')")
+    once = lambda df, key: df.dropDuplicates(["doc_id", key])
+    # paragraphs: headings and lists
+    own_level = F.when((F.col("type") == "HEADING") & (F.col("level") > 0), F.col("level"))
+    named_styles = stored(xmlrows.hwpx_styles(parts).withColumns({"ord": F.col("id").try_cast("int"), "own_level": own_level}))
+    by_shape = styles.style_heading(named_styles).withColumnsRenamed({"para_shape": "ref", "level": "by_shape"})
+    by_style = styles.style_heading(named_styles.drop("para_shape").withColumn("para_shape", F.col("id"))).withColumnsRenamed({"para_shape": "style_id", "level": "by_style"})
+    lists = once(xmlrows.hwpx_para_shapes(parts).where("kind IN ('BULLET', 'NUMBER')"), "id").select("doc_id", F.col("id").alias("ref"), F.col("kind").alias("list_kind"), F.col("level").alias("list_level"))
+    paragraphs = rows.where("row_type = 'paragraph'").join(by_style, ["doc_id", "style_id"], "left").join(by_shape, ["doc_id", "ref"], "left").join(lists, ["doc_id", "ref"], "left")
+    paragraphs = paragraphs.withColumns({"heading": F.coalesce("by_style", "by_shape"), "list_ordered": F.col("list_kind") == "NUMBER"})
+    # texts: emphasis; images: the file of that name or number
+    shapes = once(xmlrows.hwpx_char_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"))
+    texts = rows.where("row_type <> 'paragraph'").drop(*RUN_FLAGS, "color").join(shapes, ["doc_id", "ref"], "left")
+    file = F.when(F.col("ref").rlike(r"^\d+$"), F.concat(F.lit("BIN"), F.lpad("ref", 4, "0"))).otherwise(F.regexp_replace("ref", r"\.\w+$", ""))
+    texts = texts.withColumn("media_id", F.when(F.col("row_type") == "image", file))
+    columns = [*rows.columns, "list_level", "list_ordered", "media_id"]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [texts, paragraphs]).select(*columns)
     # a table stands in a paragraph: one that holds nothing else is no block
-    rows = rows.where("NOT (row_type = 'text' AND text = '')")
     last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
     holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph")).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
-    return replace(_from_rows(rows, meta, None), errors=_errors(every, read))
+    media = parts.where("part LIKE '%BinData/%'")
+    errors = _errors(every, read, xmlrows.part_errors(parts, "Contents/header.xml"))
+    return replace(_from_rows(rows, meta, by_cell=False), errors=errors, media=_media(media, F.regexp_extract("part", r"BinData/([^/]+?)(?:\.\w+)?$", 1)))
+
+
+def read_hwp(streams: DataFrame) -> Ir:
+    """From doc_id, stream, compressed, bytes: the streams `DocInfo` and `BodyText/Section<n>` of binary documents, taken
+    out of their container before. Emphasis is told by the character shapes of each text."""
+    held = stored(records.decode_records(streams))
+    shapes = records.char_shapes(held.where("stream = 'DocInfo'"))
+    number = F.regexp_extract("stream", r"^BodyText/Section(\d+)$", 1).try_cast("int")
+    body = records.table_of_record(records.para_of_record(held.withColumn("sec", number).where("sec IS NOT NULL")))
+    # a table's own record is no cell's; its paragraphs stand in cells
+    body = stored(body.withColumn("blk", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "rec"))))
+    place = ["doc_id", "sec", "para"]
+    openers = body.where(F.col("tag") == records.PARAGRAPH).select("doc_id", "sec", F.col("rec").alias("para"), "blk", "tbl", "cell")
+    points = body.where(F.col("tag") == records.CHAR_SHAPE).groupBy(*place).agg(F.min_by("payload", "rec").alias("points"))
+    texts = body.where(F.col("tag") == records.TEXT).select(*place, F.col("rec").alias("at"), "payload").join(points, place, "left").join(openers, place)
+    cut = texts.select("doc_id", "sec", "blk", "tbl", "cell", "at", F.posexplode(records.shape_runs(F.col("payload"), F.col("points"))).alias("nth", "run"))
+    pieces = stored(cut.select("doc_id", "sec", "blk", "tbl", "cell", "at", "nth", F.col("run.shape").alias("id"), F.col("run.text").alias("text")))
+    on = lambda c: F.when(F.col(c), F.lit(True)).alias(c)
+    none = {k: F.lit(None).cast("boolean" if k in RUN_FLAGS else "string") for k in (*RUN_FLAGS, "color", "url", "font", "media_id") if k not in ("bold", "italic")}
+    order = F.row_number().over(Window.partitionBy("doc_id", "blk").orderBy("at", "nth")) - 1
+    runs = pieces.where("cell IS NULL").join(shapes.select("doc_id", "id", on("bold"), on("italic")), ["doc_id", "id"], "left")
+    runs = runs.withColumns({"pos": order} | none).select("doc_id", "blk", "pos", "text", *RUN_FLAGS, "color", "url", "font", "media_id")
+    paragraphs = runs.where(r"text rlike '\\S'").select("doc_id", "blk").distinct().withColumn("kind", F.lit("paragraph"))
+    at = body.where(F.col("tag") == records.TABLE).select("doc_id", "sec", F.col("rec").alias("tbl"), "blk")
+    blocks = paragraphs.unionByName(at.select("doc_id", "blk", F.lit("table").alias("kind")))
+    blocks = blocks.withColumns({"heading": F.lit(None).cast("int"), "list_level": F.lit(None).cast("int"), "list_ordered": F.lit(None).cast("boolean")})
+    lines = pieces.where("cell IS NOT NULL").groupBy("doc_id", "sec", "cell", "blk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "nth", "text"))), lambda p: p["text"]), "").alias("line"))
+    inside = lines.groupBy("doc_id", "sec", "cell").agg(m.ordered_join("line", "blk", "\n").alias("text"))
+    own = records.cell_attributes(body).withColumn("sec", number).join(body.select("doc_id", "sec", "rec", "tbl"), ["doc_id", "sec", "rec"]).withColumnRenamed("rec", "cell").where("tbl IS NOT NULL")
+    cells = own.join(at, ["doc_id", "sec", "tbl"]).join(inside, ["doc_id", "sec", "cell"], "left")
+    cells = cells.select("doc_id", "blk", *[F.col(c).cast("int").alias(c) for c in ("row", "col", "row_span", "col_span")], F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    every = streams.select("doc_id").distinct()
+    meta = every.withColumns({k: F.lit(None).cast("string") for k in ("title", "author", "subject")})
+    errors = every.join(body.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("error", F.lit("no body text"))
+    return Ir(blocks, runs, cells, meta, errors)
 
 
 def write_md(ir: Ir) -> DataFrame:
-    return render.render_markdown(ir.blocks, ir.runs, ir.cells, ir.meta)
+    return render.render_markdown(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media)
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return package.zip_package(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta))
+    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media), packages.DOCX_FIXED)
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return package.zip_package(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta))
+    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media), packages.HWPX_FIXED)
 
 
 def write_hml(ir: Ir) -> DataFrame:
@@ -134,12 +227,15 @@ def write_hml(ir: Ir) -> DataFrame:
 
 
 #: Readers and writers by format; own ones are added to these.
-READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "hwpx": read_hwpx}
+READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "hwpx": read_hwpx, "hwp": read_hwp}
 WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_docx, "hwpx": write_hwpx, "hml": write_hml}
 
 
 def convert(docs: DataFrame, from_: str, to: str) -> DataFrame:
-    """The documents in another format; from packages with error, which tells of a document that was not read whole."""
+    """The documents in another format; from packages with error, which tells of a document that was not read whole.
+
+    A document that can't be read at all has a row too, with the error alone.
+    """
     if from_ not in READERS or to not in WRITERS:
         raise ValueError(f"no conversion from {from_} to {to}")
     ir = READERS[from_](docs).written()
@@ -167,6 +263,46 @@ def make_page(w: Column | None = None, h: Column | None = None) -> Column:
     return F.struct(F.coalesce(w if w is not None else none, F.lit(595.28)).alias("w"), F.coalesce(h if h is not None else none, F.lit(841.89)).alias("h"))
 
 
+def make_run(text: Column, **style: Column) -> Column:
+    """A run struct; what `style` doesn't give is null."""
+    none = {k: F.lit(None).cast("boolean") for k in RUN_FLAGS} | {k: F.lit(None).cast("string") for k in ("font", "color", "url", "media_id")}
+    return F.struct(text.alias("text"), *[style.get(k, v).alias(k) for k, v in none.items()])
+
+
+def make_image(data: Column, alt: Column | None = None) -> Column:
+    """An image struct, its type told by the first bytes."""
+    return F.struct(sniff_mime(data).alias("mime"), data.alias("bytes"), F.coalesce(alt if alt is not None else F.lit(None).cast("string"), F.lit("image")).alias("alt"))
+
+
+def make_paragraph(runs: Column, heading: Column | None = None, list_level: Column | None = None, list_ordered: Column | None = None) -> Column:
+    """A paragraph struct of an array of runs; plain text unless a heading or a list level is given."""
+    none = F.lit(None).cast("int")
+    level = list_level if list_level is not None else none
+    ordered = F.when(level.isNotNull(), F.coalesce(list_ordered if list_ordered is not None else F.lit(False), F.lit(False)))
+    return F.struct(F.lit("paragraph").alias("kind"), (heading if heading is not None else none).alias("heading"), level.alias("list_level"), ordered.alias("list_ordered"), runs.alias("runs"))
+
+
+def make_row(*cells: Column) -> Column:
+    """A table row: an array of cells."""
+    return F.array(*cells)
+
+
+def make_table(*rows: Column) -> Column:
+    """A table struct of rows."""
+    return F.struct(F.lit("table").alias("kind"), F.array(*rows).alias("rows"))
+
+
+def make_section(blocks: Column, page: Column | None = None) -> Column:
+    """A section struct of blocks, on A4 unless a page is given."""
+    return F.struct((page if page is not None else make_page()).alias("page"), blocks.alias("blocks"))
+
+
+def make_document(sections: Column, **meta: Column) -> Column:
+    """A document struct; title, author and subject are null unless they are given."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.struct(*[meta.get(k, none).alias(k) for k in ("title", "author", "subject")]).alias("meta"), sections.alias("sections"))
+
+
 def register_markdown_blocks(spark: SparkSession, name: str = "markdown_blocks") -> None:
     """A table function for ad-hoc SQL: name(md) gives ln, kind, raw of its lines that aren't blank. Jobs use explode_lines()."""
     from pyspark.sql.functions import udtf

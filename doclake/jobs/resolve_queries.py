@@ -22,7 +22,7 @@ def sql(columns: str, more: str = "") -> str:
 
 
 def style_inherit(spark, sf_dir):
-    got = st.style_inherit(built(spark, sf_dir, styles), ["sz", "align"], {"ind": ["ind_left", "ind_right"]}, 24)
+    got = st.style_inherit(built(spark, sf_dir, styles), ["sz", "align"], {"ind": ["ind_left", "ind_right"]})
     return got.select("doc_id", "style_id", "sz", "align", "ind.ind_left", "ind.ind_right")
 
 
@@ -61,10 +61,18 @@ def effective_runs(spark, sf_dir):
 
 def effective_paragraphs(spark, sf_dir):
     paragraphs = rows(spark, sf_dir, "doc_id, ord AS blk, concat('S', l_partkey) AS style_id, CASE WHEN l_partkey % 4 = 0 THEN 'distribute' END AS align, CASE WHEN l_partkey % 3 = 0 THEN 7 END AS ind_left, CASE WHEN l_partkey % 5 = 0 THEN 9 END AS before, CASE WHEN l_partkey % 7 = 0 THEN 5 END AS after, ord = max(ord) OVER (PARTITION BY doc_id) AS last").withColumn("doc_id", F.expr("CAST(substring(style_id, 2) AS BIGINT) % 7")).withColumnRenamed("blk", "b").withColumn("blk", F.concat_ws("-", "doc_id", "style_id", "b"))
-    got = st.style_inherit(built(spark, sf_dir, styles), ["align"], {"ind": ["ind_left", "ind_right"]}, 24)
+    got = st.style_inherit(built(spark, sf_dir, styles), ["align"], {"ind": ["ind_left", "ind_right"]})
     return st.effective_paragraphs(paragraphs, got)
 
 
+def fill_lookup(spark, sf_dir):
+    """Three fills for each order, by id and by place, of which ids begin at 5."""
+    fills = built(spark, sf_dir, "SELECT o_orderkey AS doc_id, 5 + n AS id, concat('l', n) AS `left`, concat('r', n) AS `right`, 't' AS top, 'b' AS bottom, CASE WHEN n = 1 THEN 'ffffff' WHEN o_custkey % 2 = 0 THEN '00aa00' END AS face FROM {orders} LATERAL VIEW explode(array(0, 1, 2)) x AS n")
+    by_id, by_place = (rows(spark, sf_dir, f"doc_id, ord, {key} AS fill") for key in ("5 + l_partkey % 4", "l_partkey % 5"))
+    both = [st.border_fill_lookup(r, fills, place).withColumn("by_place", F.lit(place)) for r, place in ((by_id, False), (by_place, True))]
+    return both[0].unionByName(both[1])
+
+
 def font_sizes(spark, sf_dir):
     return st.paragraph_font_size(rows(spark, sf_dir, RUNS + ", CASE WHEN l_orderkey % 3 = 0 THEN 11 END AS para_size, CASE WHEN l_orderkey % 2 = 0 THEN 12 END AS style_size"))
 
@@ -212,7 +220,7 @@ c AS (SELECT *, coalesce(color, CASE WHEN link THEN '0000FF' END, sc, '000000')
 SELECT doc_id, ord, style_id, coalesce(size, CASE WHEN has THEN 12 ELSE 10 END) AS size, link, link AS underline, shade, boxed, CASE WHEN shade = '000000' AND c0 = '000000' THEN 'FFFFFF' ELSE c0 END AS shown, CASE WHEN boxed THEN '5' ELSE shade END AS fill FROM c"""
 QUERIES = {
     "style_inherit": (style_inherit, f"SELECT doc_id, style_id, sz, align, nullif(l, -1) AS ind_left, nullif(r, -1) AS ind_right FROM ({INHERIT_SQL}) z"),
-    "style_heading": (style_heading, f"""WITH h AS ({HEADS.replace('{part}', 'part')}), l AS (SELECT *, least(coalesce(try_cast(nullif(regexp_extract(lower(name), '^(?:heading|제목)\\s*(\\d)', 1), '') AS INT), own_level), 6) AS lv FROM h)
+    "style_heading": (style_heading, f"""WITH h AS ({HEADS.replace('{part}', 'part')}), l AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(lower(name), '^(?:heading|제목)\\s*(\\d)', 1), '') AS INT), own_level) AS told, CASE WHEN told IS NOT NULL THEN least(told, 6) END AS lv FROM h)
 SELECT doc_id, para_shape, arg_max(lv, ord) AS level FROM l WHERE lv > 0 GROUP BY ALL"""),
     "style_defaults": (defaults, "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'justify' WHEN p_size % 4 = 1 THEN 'right' WHEN p_size % 3 = 0 THEN 'center' ELSE 'left' END AS align FROM part"),
     "resolve_char_shapes": (char_shapes, f"SELECT doc_id, ord, shape, CASE WHEN o_custkey % 4 = shape THEN o_orderpriority END AS face FROM {sql('doc_id, ord, l_partkey % 4 AS shape')} a JOIN orders ON o_orderkey = doc_id"),
@@ -221,6 +229,9 @@ SELECT doc_id, para_shape, arg_max(lv, ord) AS level FROM l WHERE lv > 0 GROUP B
 p AS {sql("l_partkey % 7 AS doc_id, concat(l_partkey % 7, '-S', l_partkey, '-', ord) AS blk, concat('S', l_partkey) AS style_id, l_partkey, ord = max(ord) OVER (PARTITION BY doc_id) AS last")}
 SELECT doc_id, blk, CASE WHEN l_partkey % 4 = 0 THEN 'justify' ELSE coalesce(sa, 'left') END AS align, CASE WHEN l_partkey % 3 = 0 THEN 7 ELSE coalesce(nullif(l, -1), 0) END AS ind_left, CASE WHEN l_partkey % 5 = 0 THEN 9 ELSE 0 END AS before, CASE WHEN last OR l_partkey % 7 = 0 THEN 0 ELSE 160 END AS after
 FROM p LEFT JOIN s ON sd = doc_id AND ss = style_id"""),
+    "border_fill_lookup": (fill_lookup, f"""WITH q AS {sql('doc_id, ord, l_partkey')}, a AS (SELECT doc_id, ord, 5 + l_partkey % 4 AS fill, l_partkey % 4 AS n, false AS by_place FROM q UNION ALL SELECT doc_id, ord, l_partkey % 5, l_partkey % 5 - 1, true FROM q)
+SELECT doc_id, ord, fill, by_place, CASE WHEN hit THEN concat('l', n) END AS "left", CASE WHEN hit THEN concat('r', n) END AS "right", CASE WHEN hit THEN 't' END AS top, CASE WHEN hit THEN 'b' END AS bottom, CASE WHEN hit AND n <> 1 AND o_custkey % 2 = 0 THEN '00AA00' END AS face
+FROM (SELECT *, n BETWEEN 0 AND 2 AS hit FROM a) z JOIN orders ON o_orderkey = doc_id"""),
     "paragraph_font_size": (font_sizes, f"SELECT doc_id, blk, coalesce(arg_min(size, pos) FILTER (WHERE size IS NOT NULL), CASE WHEN doc_id % 3 = 0 THEN 11 END, CASE WHEN doc_id % 2 = 0 THEN 12 END, 10) AS size FROM {sql(RUNS)} a GROUP BY doc_id, blk"),
     "dedup_char_shapes": (char_shape_ids, _ids("size, face_flag, bold, tone", 29)),
     "dedup_para_shapes": (para_shape_ids, _ids("size, tone", 30)),

@@ -127,23 +127,22 @@ def groups_to_blocks(grouped: DataFrame) -> DataFrame:
     A list gives a paragraph for each item, a table one block without text (its cells are pipe_table_cells()), code
     its lines without the first and the last one, a rule a page break.
     """
-    w = Window.partitionBy("doc_id", "grp").orderBy("ln")
-    last = F.row_number().over(Window.partitionBy("doc_id", "grp").orderBy(F.col("ln").desc()))
-    rows = grouped.withColumns({"nth": F.row_number().over(w), "rnth": last})
-    rows = rows.withColumn("start", F.when(F.col("gkind") == "list", F.col("ln")).otherwise(F.min("ln").over(Window.partitionBy("doc_id", "grp"))))
     body = (
         F.when(F.col("gkind") == "list", F.regexp_extract("raw", r"^\s*(?:[-*+]|\d+[.)])\s+(.+)", 1))
         .when(F.col("gkind") == "heading", F.regexp_extract("raw", r"^#{1,6}\s+(.*)", 1))
-        .when((F.col("gkind") == "code") & (F.col("nth") > 1) & (F.col("rnth") > 1), F.col("raw"))
-        .when(F.col("gkind") == "text", F.col("raw"))
+        .when(F.col("gkind").isin("code", "text"), F.col("raw"))
     )
-    rows = rows.withColumn("piece", body)
-    out = rows.groupBy("doc_id", F.col("start").alias("blk"), "gkind").agg(
+    rows = grouped.withColumns({"piece": body, "item": F.when(F.col("gkind") == "list", F.col("ln"))})
+    held = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("ln", "piece"))))
+    out = rows.groupBy("doc_id", "grp", "item", "gkind").agg(
+        F.min("ln").alias("blk"),
         F.max(F.when(F.col("kind") == "heading", F.col("depth"))).alias("heading"),
         F.max(F.when(F.col("gkind") == "list", F.col("depth"))).alias("list_level"),
         F.max(F.when(F.col("gkind") == "list", F.col("kind") == "ordered")).alias("list_ordered"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("ln", "piece")))), lambda s: s["piece"]), "\n").alias("text"),
+        F.transform(held, lambda s: s["piece"]).alias("pieces"),
     )
+    inner = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))  # code without its fences
+    out = out.withColumn("text", F.array_join(F.when(F.col("gkind") == "code", inner).otherwise(F.col("pieces")), "\n"))
     kind = F.when(F.col("gkind") == "hrule", "pageBreak").when(F.col("gkind") == "table", "table").otherwise("paragraph")
     heading = F.when(F.col("gkind") == "heading", F.col("heading"))
     return out.select(

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.functions.media import jpeg_size, png_height, png_width
 from doclake.functions.text import escape_xml
 from doclake.operators.markdown import ordered_join
 from doclake.operators.registry import assign_rel_ids, dedup_shapes
+from doclake.operators.tables import materialise_merges
 from doclake.sources.scratch import stored
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+#: Namespaces of the formats, fixed values.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PKG = "http://schemas.openxmlformats.org/package/2006"
-HP, HH = "http://www.hancom.co.kr/hwpml/2011/paragraph", "http://www.hancom.co.kr/hwpml/2011/head"
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+HP, HH, HC = (f"http://www.hancom.co.kr/hwpml/2011/{k}" for k in ("paragraph", "head", "core"))
 #: Attributes of a run that make its shape.
-SHAPE = ["bold", "italic", "underline", "strike", "font", "color"]
+SHAPE = ["bold", "italic", "underline", "strike", "sup", "sub", "font", "color"]
+#: Paragraph shapes of HWPX: 0 is plain, 1 to 6 are headings, from LIST_SHAPE on there are two for each list level.
+LIST_SHAPE, LIST_LEVELS = 7, 9
+EMU_PX = 9525
 
 
 def _text(x: Column) -> Column:
@@ -33,12 +38,42 @@ def _if(flag: str, xml: str) -> Column:
     return F.when(F.coalesce(flag, F.lit(False)), xml).otherwise("")
 
 
-def _part(df: DataFrame, name: str, ord_: int, xml: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(ord_).alias("ord"), F.lit(name).alias("part"), F.encode(_all(HEAD, xml), "UTF-8").alias("bytes"))
+def _part(name: str, ord_: int, xml: Column) -> Column:
+    return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("part"), F.encode(_all(HEAD, xml), "UTF-8").alias("bytes"))
+
+
+def _ext() -> Column:
+    return F.substring_index("mime", "/", -1)
+
 
+def _images(runs: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, blk, pos, kind, url, media_id, mime, w, h of runs that need a relationship: links, and images with bytes."""
+    links = runs.where("url IS NOT NULL AND media_id IS NULL").select("doc_id", "blk", "pos", F.lit("link").alias("kind"), "url")
+    if media is None:
+        none = {"media_id": "string", "mime": "string", "w": "long", "h": "long"}
+        return links.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}), None
+    jpeg, png = jpeg_size(F.col("bytes")), F.col("mime") == "image/png"
+    sized = media.withColumns({"j": jpeg, "w": png_width(F.col("bytes")), "h": png_height(F.col("bytes"))})
+    sized = stored(sized.select("doc_id", "media_id", "mime", F.when(png, F.col("w")).otherwise(F.col("j.w")).alias("w"), F.when(png, F.col("h")).otherwise(F.col("j.h")).alias("h")))
+    images = runs.where("media_id IS NOT NULL").select("doc_id", "blk", "pos", "media_id").join(sized, ["doc_id", "media_id"]).withColumn("kind", F.lit("image"))
+    return links.unionByName(images, allowMissingColumns=True), media
 
-def _fixed(docs: DataFrame, parts: dict[str, str], first: int) -> list[DataFrame]:
-    return [_part(docs, name, first + i, F.lit(xml)) for i, (name, xml) in enumerate(parts.items())]
+
+def _media_parts(refs: DataFrame, media: DataFrame | None, first: int, name: Column) -> DataFrame | None:
+    """doc_id, media: the image parts of a document. Bytes join last."""
+    if media is None:
+        return None
+    held = refs.where("kind = 'image'").select("doc_id", "media_id", "mime", "image_no").join(media.select("doc_id", "media_id", "bytes"), ["doc_id", "media_id"])
+    one = F.struct((F.col("image_no") + first).cast("int").alias("ord"), name.alias("part"), "bytes")
+    return held.groupBy("doc_id").agg(F.collect_list(one).alias("media"))
+
+
+def _packed(docs: DataFrame, parts: list[Column], media: DataFrame | None) -> DataFrame:
+    """doc_id, parts: a row for each package."""
+    own = F.array(*parts)
+    if media is None:
+        return docs.select("doc_id", own.alias("parts"))
+    return docs.join(media, "doc_id", "left").select("doc_id", F.when(F.col("media").isNull(), own).otherwise(F.concat(own, "media")).alias("parts"))
 
 
 def _bodies(blocks: DataFrame, inline: DataFrame, cells: DataFrame, paragraph, table_row, table) -> DataFrame:
@@ -50,67 +85,118 @@ def _bodies(blocks: DataFrame, inline: DataFrame, cells: DataFrame, paragraph, t
     return stored(paragraphs.unionByName(tables).groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")))
 
 
-def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
-    """doc_id, ord, part, bytes of DOCX packages."""
-    linked = assign_rel_ids(runs.where("url IS NOT NULL").select("doc_id", "blk", "pos", "url").withColumn("ord", F.struct("blk", "pos")).withColumn("kind", F.lit("link")), first=2)
-    rels = linked.select("doc_id", "blk", "pos", "rel_id", "url")
+def _lines(between: str, wrap) -> Column:
+    """The lines of `text`, each wrapped, with what stands between them."""
+    return F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), wrap), between)
+
+
+def _merged_below(cells: DataFrame) -> DataFrame:
+    """Cells with the blank ones (row_span 0) below those of several rows, where they aren't there already."""
+    below = materialise_merges(cells, "doc_id", "blk").join(cells.select("doc_id", "blk", "row", "col"), ["doc_id", "blk", "row", "col"], "left_anti")
+    return cells.unionByName(below.select("doc_id", "blk", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "col_span", F.lit(0).alias("row_span"), F.lit("").alias("text")))
+
+
+_LEVELS = lambda fmt, text: "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text.format(i + 1)}"/></w:lvl>' for i in range(9))
+_HEADINGS = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/><w:basedOn w:val="Normal"/><w:rPr><w:sz w:val="{40 - 4 * n}"/></w:rPr></w:style>' for n in range(1, 7))
+_TYPES = "".join(f'<Default Extension="{ext}" ContentType="{kind}"/>' for ext, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"), *((e, f"image/{e}") for e in ("png", "jpeg", "gif", "webp"))))
+#: Parts that all packages of a kind share.
+DOCX_FIXED = {part: HEAD + xml for part, xml in {
+    "word/styles.xml": f'<w:styles xmlns:w="{W}"><w:style w:type="paragraph" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{_HEADINGS}</w:styles>',
+    "word/numbering.xml": f'<w:numbering xmlns:w="{W}"><w:abstractNum w:abstractNumId="0">{_LEVELS("bullet", "o")}</w:abstractNum><w:abstractNum w:abstractNumId="1">{_LEVELS("decimal", "%{}.")}</w:abstractNum>'
+    '<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num></w:numbering>',
+    "_rels/.rels": f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/officeDocument" Target="word/document.xml"/></Relationships>',
+    "[Content_Types].xml": f'<Types xmlns="{PKG}/content-types">{_TYPES}</Types>',
+}.items()}
+HWPX_FIXED = {"version.xml": f'{HEAD}<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" major="5" minor="1"/>'}
+
+
+def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have."""
+    refs, media = _images(runs, media)
+    linked = stored(assign_rel_ids(refs.withColumn("ord", F.struct("blk", "pos")), first=2).drop("ord"))
     pr = _all(
         "<w:rPr>", F.when(F.col("font").isNotNull(), _all('<w:rFonts w:ascii="', _text(F.col("font")), '"/>')).otherwise(""), _if("bold", "<w:b/>"), _if("italic", "<w:i/>"), _if("strike", "<w:strike/>"),
-        F.when(F.col("color").isNotNull(), _all('<w:color w:val="', F.col("color"), '"/>')).otherwise(""), _if("underline", '<w:u w:val="single"/>'), "</w:rPr>",
+        F.when(F.col("color").isNotNull(), _all('<w:color w:val="', F.col("color"), '"/>')).otherwise(""), _if("underline", '<w:u w:val="single"/>'),
+        _if("sup", '<w:vertAlign w:val="superscript"/>'), _if("sub", '<w:vertAlign w:val="subscript"/>'), "</w:rPr>",
+    )
+    words = _lines("<w:br/>", lambda t: _all('<w:t xml:space="preserve">', _text(t), "</w:t>"))
+    run = _all("<w:r>", pr, words, "</w:r>")
+    number, size = F.col("image_no").cast("string"), [(F.col(c) * EMU_PX).cast("string") for c in ("w", "h")]
+    picture = _all(
+        '<w:r><w:drawing><wp:inline><wp:extent cx="', size[0], '" cy="', size[1], '"/><wp:docPr id="', number, '" name="image', number, f'"/><a:graphic><a:graphicData uri="{DRAWING}/picture"><pic:pic><pic:nvPicPr><pic:cNvPr id="', number,
+        '" name="image', number, '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', F.col("rel_id"), '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', size[0], '" cy="', size[1],
+        '"/></a:xfrm><a:prstGeom prst="rect"/></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>',
     )
-    pieces = F.array_join(F.transform(F.split("text", "\n", -1), lambda t: _all('<w:t xml:space="preserve">', _text(t), "</w:t>")), "<w:br/>")
-    run = _all("<w:r>", pr, pieces, "</w:r>")
-    told = runs.join(rels.select("doc_id", "blk", "pos", "rel_id"), ["doc_id", "blk", "pos"], "left")
-    xml = F.when(F.col("rel_id").isNotNull(), _all('<w:hyperlink r:id="', F.col("rel_id"), '">', run, "</w:hyperlink>")).otherwise(run)
+    told = runs.join(linked.select("doc_id", "blk", "pos", "kind", "rel_id", "image_no", "w", "h"), ["doc_id", "blk", "pos"], "left").where("media_id IS NULL OR kind = 'image'")
+    xml = F.when(F.col("kind") == "image", picture).when(F.col("kind") == "link", _all('<w:hyperlink r:id="', F.col("rel_id"), '">', run, "</w:hyperlink>")).otherwise(run)
     inline = told.withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
     style = F.when(F.col("heading").isNotNull(), _all('<w:pStyle w:val="Heading', F.col("heading").cast("string"), '"/>')).otherwise("")
-    number = F.when(F.col("list_level").isNotNull(), _all('<w:numPr><w:ilvl w:val="', F.col("list_level").cast("string"), '"/><w:numId w:val="', F.when(F.col("list_ordered"), "2").otherwise("1"), '"/></w:numPr>')).otherwise("")
-    paragraph = lambda x: F.when(F.col("kind") == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all("<w:p><w:pPr>", style, number, "</w:pPr>", x, "</w:p>"))
-    cell = _all('<w:tc><w:tcPr/><w:p><w:r><w:t xml:space="preserve">', _text(F.col("text")), "</w:t></w:r></w:p></w:tc>")
-    body = _bodies(blocks, inline, cells.withColumn("cell", cell), paragraph, lambda t: _all("<w:tr>", t, "</w:tr>"), lambda t: _all("<w:tbl><w:tblPr/>", t, "</w:tbl>"))
-    document = _part(body, "word/document.xml", 1, _all(f'<w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>', F.col("body"), "<w:sectPr/></w:body></w:document>"))
-    one = _all('<Relationship Id="', F.col("rel_id"), f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')
-    targets = rels.withColumn("one", one).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
-    docs = body.select("doc_id")
-    rel_part = docs.join(targets, "doc_id", "left").select("doc_id", F.coalesce("links", F.lit("")).alias("links"))
-    rel_xml = _all(f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/styles" Target="styles.xml"/>', F.col("links"), "</Relationships>")
-    core = docs.join(meta, "doc_id", "left").select("doc_id", *[F.coalesce(k, F.lit("")).alias(k) for k in ("title", "author")])
-    core_xml = _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator></cp:coreProperties>")
-    headings = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/><w:basedOn w:val="Normal"/><w:rPr><w:sz w:val="{40 - 4 * n}"/></w:rPr></w:style>' for n in range(1, 7))
-    levels = lambda fmt, text: "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text.format(i + 1)}"/></w:lvl>' for i in range(9))
-    fixed = _fixed(docs, {
-        "word/styles.xml": f'<w:styles xmlns:w="{W}"><w:style w:type="paragraph" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{headings}</w:styles>',
-        "word/numbering.xml": f'<w:numbering xmlns:w="{W}"><w:abstractNum w:abstractNumId="0">{levels("bullet", "o")}</w:abstractNum><w:abstractNum w:abstractNumId="1">{levels("decimal", "%{}.")}</w:abstractNum>'
-        '<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num></w:numbering>',
-        "_rels/.rels": f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/officeDocument" Target="word/document.xml"/></Relationships>',
-        "[Content_Types].xml": f'<Types xmlns="{PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/></Types>',
-    }, 4)
-    return reduce(DataFrame.unionByName, [document, _part(rel_part, "word/_rels/document.xml.rels", 2, rel_xml), _part(core, "docProps/core.xml", 3, core_xml), *fixed])
-
-
-def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
-    """doc_id, ord, part, bytes of HWPX packages; equal run styles share a character shape, headings a paragraph shape."""
-    plain = runs.select("doc_id", "blk", "pos", "text", *SHAPE).withColumn("at", F.struct("blk", "pos"))
+    numbering = F.when(F.col("list_level").isNotNull(), _all('<w:numPr><w:ilvl w:val="', F.col("list_level").cast("string"), '"/><w:numId w:val="', F.when(F.col("list_ordered"), "2").otherwise("1"), '"/></w:numPr>')).otherwise("")
+    paragraph = lambda x: F.when(F.col("kind") == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all("<w:p><w:pPr>", style, numbering, "</w:pPr>", x, "</w:p>"))
+    span = F.when(F.col("col_span") > 1, _all('<w:gridSpan w:val="', F.col("col_span").cast("string"), '"/>')).otherwise("")
+    merge = F.when(F.col("row_span") > 1, '<w:vMerge w:val="restart"/>').when(F.col("row_span") == 0, "<w:vMerge/>").otherwise("")
+    cell = _all("<w:tc><w:tcPr>", span, merge, "</w:tcPr><w:p><w:r>", words, "</w:r></w:p></w:tc>")
+    body = _bodies(blocks, inline, _merged_below(cells).withColumn("cell", cell), paragraph, lambda t: _all("<w:tr>", t, "</w:tr>"), lambda t: _all("<w:tbl><w:tblPr/>", t, "</w:tbl>"))
+    name = F.concat(F.lit("media/image"), number, F.lit("."), _ext())
+    target = F.when(F.col("kind") == "link", _all(f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name, '"/>'))
+    targets = linked.withColumn("one", _all('<Relationship Id="', F.col("rel_id"), target)).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
+    docs = body.join(targets, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
+    docs = docs.select("doc_id", "body", *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
+    names = f'xmlns:w="{W}" xmlns:r="{R}" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture" xmlns:wp="{DRAWING}/wordprocessingDrawing"'
+    parts = [
+        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), "<w:sectPr/></w:body></w:document>")),
+        _part("word/_rels/document.xml.rels", 2, _all(f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/styles" Target="styles.xml"/><Relationship Id="rIdLists" Type="{R}/numbering" Target="numbering.xml"/>', F.col("links"), "</Relationships>")),
+        _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator><dc:subject>", _text(F.col("subject")), "</dc:subject></cp:coreProperties>")),
+    ]
+    return _packed(docs, parts, _media_parts(linked, media, 3, F.concat(F.lit("word/"), name)))
+
+
+def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """doc_id, parts of HWPX packages but for HWPX_FIXED; equal run styles share a character shape, headings and list levels
+    have a paragraph shape each."""
+    refs, media = _images(runs, media)
+    images = stored(assign_rel_ids(refs.where("kind = 'image'").withColumn("ord", F.struct("blk", "pos"))).drop("ord", "url"))
+    plain = runs.select("doc_id", "blk", "pos", "text", "url", "media_id", *SHAPE).withColumn("at", F.struct("blk", "pos"))
     shaped = stored(dedup_shapes(plain, SHAPE, "at", 1))
-    run = _all('<hp:run charPrIDRef="', F.col("shape_id").cast("string"), '"><hp:t>', _text(F.col("text")), "</hp:t></hp:run>")
-    inline = shaped.withColumn("xml", run).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    shape = F.coalesce("heading", F.lit(0)).cast("string")
-    paragraph = lambda x: _all('<hp:p paraPrIDRef="', shape, '" styleIDRef="', shape, '"', F.when(F.col("kind") == "pageBreak", ' pageBreak="1"').otherwise(""), ">", x, "</hp:p>")
-    cell = _all('<hp:tc><hp:subList><hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:t>', _text(F.col("text")), '</hp:t></hp:run></hp:p></hp:subList><hp:cellSpan colSpan="1" rowSpan="1"/></hp:tc>')
-    body = _bodies(blocks, inline, cells.withColumn("cell", cell), paragraph, lambda t: _all("<hp:tr>", t, "</hp:tr>"), lambda t: _all('<hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:tbl>', t, "</hp:tbl></hp:run></hp:p>"))
-    section = _part(body, "Contents/section0.xml", 2, _all(f'<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}">', F.col("body"), "</hs:sec>"))
+    opened = F.when(F.col("url").isNotNull(), _all('<hp:run><hp:ctrl><hp:fieldBegin type="HYPERLINK" url="', _text(F.col("url")), '"/></hp:ctrl></hp:run>')).otherwise("")
+    closed = F.when(F.col("url").isNotNull(), "<hp:run><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>").otherwise("")
+    words = _lines("<hp:lineBreak/>", _text)
+    number = F.col("image_no").cast("string")
+    picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', number, '"/></hp:pic></hp:run>')
+    run = _all(opened, '<hp:run charPrIDRef="', F.col("shape_id").cast("string"), '"><hp:t>', words, "</hp:t></hp:run>", closed)
+    told = shaped.join(images.select("doc_id", "blk", "pos", "image_no"), ["doc_id", "blk", "pos"], "left").where("media_id IS NULL OR image_no IS NOT NULL")
+    inline = told.withColumn("xml", F.when(F.col("image_no").isNotNull(), picture).otherwise(run)).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
+    listed = F.when(F.col("list_level").isNotNull(), LIST_SHAPE + 2 * F.least(F.col("list_level"), F.lit(LIST_LEVELS - 1)) + F.coalesce("list_ordered", F.lit(False)).cast("int"))
+    style, shape = F.coalesce("heading", F.lit(0)).cast("string"), F.coalesce("heading", listed, F.lit(0)).cast("string")
+    paragraph = lambda x: _all('<hp:p paraPrIDRef="', shape, '" styleIDRef="', style, '"', F.when(F.col("kind") == "pageBreak", ' pageBreak="1"').otherwise(""), ">", x, "</hp:p>")
+    as_text = lambda c: F.col(c).cast("string")
+    cell = _all(
+        '<hp:tc><hp:subList><hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:t>', words, '</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="', as_text("col"), '" rowAddr="', as_text("row"),
+        '"/><hp:cellSpan colSpan="', as_text("col_span"), '" rowSpan="', as_text("row_span"), '"/></hp:tc>',
+    )
+    body = _bodies(blocks, inline, cells.where("row_span > 0").withColumn("cell", cell), paragraph, lambda t: _all("<hp:tr>", t, "</hp:tr>"), lambda t: _all('<hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:tbl>', t, "</hp:tbl></hp:run></hp:p>"))
     flag = lambda c, xml: F.when(F.coalesce(c, F.lit(False)), xml).otherwise("")
-    char = _all('<hh:charPr id="', F.col("shape_id").cast("string"), '" height="1000" textColor="#', F.coalesce("color", F.lit("000000")), '">', flag("bold", "<hh:bold/>"), flag("italic", "<hh:italic/>"), flag("underline", '<hh:underline type="BOTTOM"/>'), flag("strike", '<hh:strikeout shape="SOLID"/>'), "</hh:charPr>")
+    char = _all(
+        '<hh:charPr id="', as_text("shape_id"), '" height="1000" textColor="#', F.coalesce("color", F.lit("000000")), '">', flag("bold", "<hh:bold/>"), flag("italic", "<hh:italic/>"), flag("underline", '<hh:underline type="BOTTOM"/>'),
+        flag("strike", '<hh:strikeout shape="SOLID"/>'), flag("sup", "<hh:superScript/>"), flag("sub", "<hh:subScript/>"), "</hh:charPr>",
+    )
     distinct = shaped.groupBy("doc_id", "shape_id").agg(*[F.first(c).alias(c) for c in SHAPE])
     chars = distinct.withColumn("one", char).groupBy("doc_id").agg(ordered_join("one", "shape_id", "").alias("chars"))
-    docs = body.select("doc_id")
-    header = docs.join(chars, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit("")).alias("chars"))
-    paras = "".join(f'<hh:paraPr id="{n}"><hh:heading type="{"OUTLINE" if n else "NONE"}" level="{n}"/></hh:paraPr>' for n in range(7))
-    header_xml = _all(f'<hh:head xmlns:hh="{HH}"><hh:refList><hh:charProperties><hh:charPr id="0" height="1000" textColor="#000000"/>', F.col("chars"), f"</hh:charProperties><hh:paraProperties>{paras}</hh:paraProperties></hh:refList></hh:head>")
-    title = docs.join(meta, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
-    manifest = _all('<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:metadata><opf:title>', _text(F.col("title")), '</opf:title></opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml"/><opf:item id="section0" href="Contents/section0.xml"/></opf:manifest></opf:package>')
-    mimetype = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes"))
-    return reduce(DataFrame.unionByName, [mimetype, _part(header, "Contents/header.xml", 1, header_xml), section, _part(title, "Contents/content.hpf", 3, manifest), *_fixed(docs, {"version.xml": '<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" major="5" minor="1"/>'}, 4)])
+    item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '"/>')
+    items = images.withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
+    docs = body.join(chars, "doc_id", "left").join(items, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
+    docs = docs.select("doc_id", "body", *[F.coalesce(k, F.lit("")).alias(k) for k in ("chars", "items", "title", "author", "subject")])
+    paras = "".join(f'<hh:paraPr id="{n}"><hh:heading type="{"OUTLINE" if n else "NONE"}" level="{n}"/></hh:paraPr>' for n in range(LIST_SHAPE))
+    paras += "".join(f'<hh:paraPr id="{LIST_SHAPE + 2 * n + k}"><hh:heading type="{kind}" idRef="1" level="{n}"/></hh:paraPr>' for n in range(LIST_LEVELS) for k, kind in enumerate(("BULLET", "NUMBER")))
+    named = "".join(f'<hh:style id="{n}" type="PARA" name="{f"heading {n}" if n else "Normal"}" paraPrIDRef="{n}" charPrIDRef="0"/>' for n in range(LIST_SHAPE))
+    about = lambda name, c: F.when(F.col(c) != "", _all(f'<opf:meta name="{name}" content="text">', _text(F.col(c)), "</opf:meta>")).otherwise("")
+    parts = [
+        F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
+        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}"><hh:refList><hh:charProperties><hh:charPr id="0" height="1000" textColor="#000000"/>', F.col("chars"), f"</hh:charProperties><hh:paraProperties>{paras}</hh:paraProperties><hh:styles>{named}</hh:styles></hh:refList></hh:head>")),
+        _part("Contents/section0.xml", 2, _all(f'<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">', F.col("body"), "</hs:sec>")),
+        _part("Contents/content.hpf", 3, _all('<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:metadata><opf:title>', _text(F.col("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"), '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml"/><opf:item id="section0" href="Contents/section0.xml"/>', F.col("items"), "</opf:manifest></opf:package>")),
+    ]
+    return _packed(docs, parts, _media_parts(images, media, 3, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())))
 
 
 def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
@@ -118,7 +204,7 @@ def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -
     char = _all("<CHAR>", _text(F.col("text")), "</CHAR>")
     inline = runs.withColumn("xml", char).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
     paragraph = lambda x: _all('<P ParaShape="', F.coalesce("heading", F.lit(0)).cast("string"), '"', F.when(F.col("kind") == "pageBreak", ' PageBreak="true"').otherwise(""), '><TEXT CharShape="0">', x, "</TEXT></P>")
-    cell = _all('<CELL ColAddr="', F.col("col").cast("string"), '" RowAddr="', F.col("row").cast("string"), '"><PARALIST><P><TEXT><CHAR>', _text(F.col("text")), "</CHAR></TEXT></P></PARALIST></CELL>")
-    body = _bodies(blocks, inline, cells.withColumn("cell", cell), paragraph, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<P><TEXT><TABLE>", t, "</TABLE></TEXT></P>"))
+    cell = _all('<CELL ColAddr="', F.col("col").cast("string"), '" RowAddr="', F.col("row").cast("string"), '" ColSpan="', F.col("col_span").cast("string"), '" RowSpan="', F.col("row_span").cast("string"), '"><PARALIST><P><TEXT><CHAR>', _text(F.col("text")), "</CHAR></TEXT></P></PARALIST></CELL>")
+    body = _bodies(blocks, inline, cells.where("row_span > 0").withColumn("cell", cell), paragraph, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<P><TEXT><TABLE>", t, "</TABLE></TEXT></P>"))
     told = body.join(meta, "doc_id", "left")
     return told.select("doc_id", _all(HEAD, '<HWPML Version="2.91"><HEAD><DOCSUMMARY><TITLE>', _text(F.coalesce("title", F.lit(""))), "</TITLE></DOCSUMMARY></HEAD><BODY><SECTION>", F.col("body"), "</SECTION></BODY></HWPML>").alias("xml"))

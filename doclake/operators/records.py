@@ -101,6 +101,95 @@ def char_shapes(records: DataFrame, tags: dict[str, int] = HEAD_TAGS) -> DataFra
     return own.select("doc_id", nth.alias("id"), (F.coalesce(le(F.col("payload"), 42, 4), F.lit(1000)) / 100).alias("size_pt"), bit(2).alias("bold"), bit(1).alias("italic"), field("color", 52, 4))
 
 
+def _signed(at: int) -> Column:
+    """A signed 32-bit field."""
+    value = F.coalesce(le(F.col("payload"), at, 4), F.lit(0))
+    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
+
+
+def _numbered(records: DataFrame, tag: int) -> DataFrame:
+    """Records of one tag of the head, with id: they are referred to by their number."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("rec")) - 1
+    return records.where(F.col("tag") == tag).withColumn("id", nth)
+
+
+#: Signed lengths of a paragraph shape, by offset, and the alignments that bits 2 to 4 of its first field tell (fixed values).
+PARA_LENGTHS = {"left": 4, "right": 8, "indent": 12, "before": 16, "after": 20}
+ALIGNMENTS = ("justify", "left", "right", "center", "distribute", "divide")
+
+
+def para_shapes(records: DataFrame, tags: dict[str, int] = HEAD_TAGS) -> DataFrame:
+    """doc_id, id, align, lengths, line (its newer field first), fill of the paragraph shapes."""
+    own, first = _numbered(records, tags["para_shape"]), F.coalesce(le(F.col("payload"), 0, 4), F.lit(0))
+    align = F.get(F.array(*map(F.lit, ALIGNMENTS)), F.shiftright(first, 2).bitwiseAND(F.lit(7)).cast("int"))
+    line = F.coalesce(F.nullif(F.coalesce(le(F.col("payload"), 50, 4), F.lit(0)), F.lit(0)), _signed(24))
+    return own.select("doc_id", "id", align.alias("align"), *[_signed(at).alias(k) for k, at in PARA_LENGTHS.items()], line.alias("line"), field("fill", 32, 2))
+
+
+def colour(value: Column) -> Column:
+    """rrggbb of a colour whose lowest byte is red."""
+    byte = lambda s: F.lpad(F.hex(F.shiftright(value, s).bitwiseAND(F.lit(255))), 2, "0")
+    return F.concat(byte(0), byte(8), byte(16))
+
+
+#: Where the sides of a border fill begin: kind (2 bytes), width (2), colour (4).
+SIDES_AT = {"left": 2, "right": 10, "top": 18, "bottom": 26}
+FILL_KIND, FILL_COLOUR, NO_COLOUR = 42, 46, 0xFFFFFFFF
+
+
+def border_fills(records: DataFrame, tags: dict[str, int] = HEAD_TAGS) -> DataFrame:
+    """doc_id, id, each side as `kind width colour`, face (null: none) of the border fills."""
+    own, get = _numbered(records, tags["border_fill"]), lambda at, n: F.coalesce(le(F.col("payload"), at, n), F.lit(0))
+    side = lambda at: F.concat_ws(" ", get(at, 2).cast("string"), get(at + 2, 2).cast("string"), colour(get(at + 4, 4)))
+    filled = (get(FILL_KIND, 4).bitwiseAND(F.lit(1)) != 0) & (F.octet_length("payload") >= 50) & (get(FILL_COLOUR, 4) != NO_COLOUR)
+    return own.select("doc_id", "id", *[side(at).alias(k) for k, at in SIDES_AT.items()], F.when(filled, colour(get(FILL_COLOUR, 4))).alias("face"))
+
+
+#: A page's lengths, 4 bytes each from offset 0.
+PAGE_FIELDS, PAGE = ("w", "h", "left", "right", "top", "bottom", "header", "footer"), 73
+
+
+def page_defs(records: DataFrame) -> DataFrame:
+    """doc_id, stream, rec and the page's lengths in HWPUNIT; records that are too short have none."""
+    own = records.where((F.col("tag") == PAGE) & (F.octet_length("payload") >= 32))
+    return own.select("doc_id", "stream", "rec", *[field(k, 4 * i, 4) for i, k in enumerate(PAGE_FIELDS)])
+
+
+#: A cell's fields: offset, width, and the value of records that are too short.
+CELL_FIELDS = {"col": (8, 2, 0), "row": (10, 2, 0), "col_span": (12, 2, 1), "row_span": (14, 2, 1), "width": (16, 4, 0), "height": (20, 4, 0), "fill": (32, 2, 0)}
+
+
+def cell_attributes(records: DataFrame) -> DataFrame:
+    """doc_id, stream, rec and the place, spans, size and fill of cells."""
+    return records.where(F.col("tag") == CELL).select("doc_id", "stream", "rec", *[field(k, at, n, d) for k, (at, n, d) in CELL_FIELDS.items()])
+
+
+def _cut(payloads: pd.Series, points: pd.Series) -> pd.Series:
+    """Texts cut where the shape changes; places count the units of the payload, controls too."""
+
+    def one(data, changes):
+        units = memoryview(bytes(data[: len(data) // 2 * 2])).cast("H") if data else []
+        changes = memoryview(bytes(changes[: len(changes) // 8 * 8])).cast("I").tolist() if changes else [0, 0]
+        starts, shapes = changes[::2], changes[1::2]
+        out, i, k = [[shapes[0], bytearray()]], 0, 0
+        while i < len(units):
+            while k + 1 < len(starts) and starts[k + 1] <= i:
+                k += 1
+                out.append([shapes[k], bytearray()])
+            u = units[i]
+            out[-1][1] += b"\n\0" if u in (10, 13) else struct.pack("<H", u) if u > 31 else b""
+            i += 1 if u > 31 or u in (0, 10, 13) or u >= 24 else 8
+        texts = [(shape, text.decode("utf-16-le", "replace")) for shape, text in out]
+        return [{"shape": shape, "text": text} for shape, text in texts if text]
+
+    return pd.Series([one(d, c) for d, c in zip(payloads, points, strict=True)])
+
+
+def shape_runs(payload: Column, points: Column) -> Column:
+    """array<struct<shape, text>> of a text record and its shape changes (places and shapes, 4 bytes each)."""
+    return F.pandas_udf(_cut, "array<struct<shape:long,text:string>>")(payload, points)
+
+
 def para_of_record(records: DataFrame) -> DataFrame:
     """Records with para, the number of the last paragraph header up to them; null before the first."""
     w = Window.partitionBy("doc_id", "stream").orderBy("rec")

@@ -36,17 +36,26 @@ def paragraph_md(inline: Column) -> Column:
 def table_md(cells: DataFrame) -> DataFrame:
     """doc_id, blk, md of tables. cells: doc_id, blk, row, col, row_span, text. The first row is the header; merged-away
     cells are '', empty ones a space."""
-    shown = F.when(F.col("row_span") == 0, "").when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    shown = F.when(F.col("row_span") == 0, "").when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.replace("text", F.lit("\n"), F.lit("<br>")))
     rows = cells.withColumn("shown", shown).groupBy("doc_id", "blk", "row").agg(ordered_join("shown", "col", " | ").alias("line"), F.count("*").alias("many"))
     line = F.concat(F.lit("| "), "line", F.lit(" |"))
     ruled = F.when(F.col("row") == 0, F.concat(line, F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("many").cast("int")), " | "), F.lit(" |"))).otherwise(line)
     return rows.withColumn("ruled", ruled).groupBy("doc_id", "blk").agg(ordered_join("ruled", "row", "\n").alias("md"))
 
 
-def render_markdown(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+def _with_images(runs: DataFrame, media: DataFrame | None) -> DataFrame:
+    """Runs with image, the Markdown of those that show one. Bytes join only these; an image without bytes is left out."""
+    if media is None:
+        return runs.withColumn("image", F.lit(None).cast("string"))
+    shown = F.concat(F.lit("![image](data:"), "mime", F.lit(";base64,"), F.base64("bytes"), F.lit(")"))
+    images = runs.where("media_id IS NOT NULL").join(media, ["doc_id", "media_id"]).withColumn("image", shown).select(*runs.columns, "image")
+    return runs.where("media_id IS NULL").unionByName(images, allowMissingColumns=True)
+
+
+def render_markdown(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """doc_id, md. blocks: doc_id, blk, kind, heading, list_level, list_ordered; runs: doc_id, blk, pos and style;
-    cells: doc_id, blk, row, col, row_span, text; meta: doc_id, title, author, subject."""
-    inline = runs.withColumn("piece", run_md()).groupBy("doc_id", "blk").agg(ordered_join("piece", "pos", "").alias("inline"))
+    cells: doc_id, blk, row, col, row_span, text; meta: doc_id, title, author, subject; media: doc_id, media_id, mime, bytes."""
+    inline = _with_images(runs, media).withColumn("piece", F.coalesce("image", run_md())).groupBy("doc_id", "blk").agg(ordered_join("piece", "pos", "").alias("inline"))
     paragraphs = blocks.where("kind = 'paragraph'").join(inline, ["doc_id", "blk"]).select("doc_id", "blk", paragraph_md(F.col("inline")).alias("md"))
     breaks = blocks.where("kind = 'pageBreak'").select("doc_id", "blk", F.lit("---").alias("md"))
     body = paragraphs.unionByName(breaks).unionByName(table_md(cells)).where(r"md rlike '\\S'")

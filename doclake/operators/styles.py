@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest chain of styles that is followed; longer ones and cycles end there.
-MAX_DEPTH = 10
+from doclake.sources.scratch import stored
 
 
-def style_chains(styles: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """doc_id, style_id, anc (an ancestor or itself), depth. Doubling joins: log2 of the depth rounds, keyed by document.
 
-    styles: doc_id, style_id, based_on. An unknown parent ends a chain.
+def style_chains(styles: DataFrame) -> DataFrame:
+    """doc_id, style_id, anc (an ancestor or itself), depth, along whole chains; a cycle ends where it closes.
+
+    styles: doc_id, style_id, based_on. An unknown parent ends a chain. Pointers double: a round joins every style's
+    ancestor 2^k above with what that one reaches, so the longest chain of length n takes log2(n) rounds. Each round
+    is written, and ends all when no style has an ancestor so far above that it has not met before.
     """
-    own = styles.select("doc_id", "style_id", F.col("style_id").alias("anc"), F.lit(0).alias("depth"))
-    hop = styles.where("based_on IS NOT NULL").select("doc_id", "style_id", F.col("based_on").alias("anc"), F.lit(1).alias("depth"))
+    keys = ["doc_id", "style_id"]
     known = styles.select("doc_id", F.col("style_id").alias("anc"))
-    hop = hop.join(known, ["doc_id", "anc"], "left_semi")
-    reach, step = own.unionByName(hop), 1
-    while step < max_depth:  # reach covers depths 0..step, hop is the jump of `step`
-        far = reach.select("doc_id", F.col("style_id").alias("anc"), F.col("anc").alias("far"), F.col("depth").alias("more"))
-        jumped = hop.join(far, ["doc_id", "anc"]).where("more > 0").select("doc_id", "style_id", F.col("far").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach = reach.unionByName(jumped).where(F.col("depth") <= max_depth)
+    reach = stored(styles.select(*keys, F.col("style_id").alias("anc"), F.lit(0).cast("long").alias("depth")))
+    hop = styles.where("based_on IS NOT NULL AND based_on <> style_id").select(*keys, F.col("based_on").alias("anc"))
+    hop, step = stored(hop.join(known, ["doc_id", "anc"], "left_semi").select(*keys, "anc").distinct()), 1
+    while not hop.isEmpty():  # reach covers depths below `step`, hop is the jump of `step`
+        above = reach.select("doc_id", F.col("style_id").alias("anc"), F.col("anc").alias("far"), F.col("depth").alias("more"))
+        jumped = hop.join(above, ["doc_id", "anc"]).select(*keys, F.col("far").alias("anc"), (F.col("more") + step).alias("depth"))
+        jumped = stored(jumped.join(reach, [*keys, "anc"], "left_anti"))
+        reach = reach.unionByName(jumped)
+        twice = hop.join(hop.select("doc_id", F.col("style_id").alias("anc"), F.col("anc").alias("far")), ["doc_id", "anc"])
+        hop = stored(twice.select(*keys, F.col("far").alias("anc")).join(reach, [*keys, "anc"], "left_anti"))
         step *= 2
-        hop = reach.where(F.col("depth") == step)
     return reach
 
 
-def style_inherit(styles: DataFrame, single: list[str], blocks: dict[str, list[str]], max_depth: int = MAX_DEPTH) -> DataFrame:
+def style_inherit(styles: DataFrame, single: list[str], blocks: dict[str, list[str]]) -> DataFrame:
     """doc_id, style_id and every attribute's value from the nearest style that has one. A block of attributes comes
     whole from the first style that has any of it."""
     told = styles.drop("based_on").withColumnRenamed("style_id", "anc")
-    rows = style_chains(styles, max_depth).join(told, ["doc_id", "anc"])
+    rows = style_chains(styles).join(told, ["doc_id", "anc"])
     nearest = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col("depth"))).alias(a) for a in single]
     for name, parts in blocks.items():
         has = F.coalesce(*[F.col(p).cast("string") for p in parts]).isNotNull()
@@ -44,7 +48,8 @@ def style_heading(styles: DataFrame) -> DataFrame:
     """doc_id, para_shape, level: by the style's name (`heading N`, `제목 N`) or its shape's own level, 6 at most; of
     several styles of one shape the last."""
     named = F.regexp_extract(F.lower("name"), r"^(?:heading|제목)\s*(\d)", 1).try_cast("int")
-    level = F.least(F.coalesce(named, F.col("own_level")), F.lit(6))
+    told = F.coalesce(named, F.col("own_level"))
+    level = F.when(told.isNotNull(), F.least(told, F.lit(6)))  # least() alone would pass over a null
     return styles.withColumn("level", level).where("level > 0").groupBy("doc_id", "para_shape").agg(F.max_by("level", "ord").alias("level"))
 
 
@@ -59,6 +64,14 @@ def resolved_shapes(rows: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
     return rows.join(shapes, ["doc_id", key], "left")
 
 
+def border_fill_lookup(rows: DataFrame, fills: DataFrame, by_position: bool = False) -> DataFrame:
+    """Rows (doc_id, ..., fill) with left, right, top, bottom and face of the border fill that they name: by its id, or by
+    its place from 1 in the order of ids. A fill that isn't there, and place 0, leave them null; white is no face."""
+    key = F.row_number().over(Window.partitionBy("doc_id").orderBy("id")) if by_position else F.col("id")
+    known = fills.select("doc_id", key.alias("fill"), "left", "right", "top", "bottom", F.nullif(F.upper("face"), F.lit("FFFFFF")).alias("face"))
+    return rows.join(known, ["doc_id", "fill"], "left")
+
+
 def effective_runs(runs: DataFrame, inherited: DataFrame) -> DataFrame:
     """Runs (doc_id, ..., style_id, size, color, link, shade, boxed) with size, color, underline and fill.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclake.sources.scratch import stored
+
 TOTAL_WIDTH = 41954
 #: Line widths in mm that a border can have (fixed values).
 WIDTHS_MM = (0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)
@@ -23,6 +27,8 @@ def html_table_cells(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of nested tables that one pass takes out.
+LEVELS = 4
 INNER = r"(?is)<table(?:(?!<table|</table>).)*</table>"
 
 
@@ -36,15 +42,22 @@ def _innermost(rest: DataFrame, level: int) -> DataFrame:
     return rest.select("doc_id", left.alias("rest"), F.concat(found, named).alias("found"))
 
 
-def extract_tables(docs: DataFrame, depth: int = 4) -> DataFrame:
+def extract_tables(docs: DataFrame) -> DataFrame:
     """doc_id, level, nth, html: innermost tables first; what holds them keeps `[[table:level:nth]]` in their place.
 
-    `depth` bounds the nesting: each level is one expression over the row, no shuffle.
+    LEVELS levels are one expression over the row, without a shuffle. Documents that still hold a table then (they are
+    written, and are few) go on, until none does.
     """
-    rest = docs.select("doc_id", F.col("html").alias("rest"), F.lit(None).cast("array<struct<level:int,nth:int,html:string>>").alias("found"))
-    for level in range(depth):
-        rest = _innermost(rest, level)
-    return rest.select("doc_id", F.explode("found").alias("t")).select("doc_id", "t.level", "t.nth", "t.html")
+    none = F.lit(None).cast("array<struct<level:int,nth:int,html:string>>")
+    rest, first, out = docs.select("doc_id", F.col("html").alias("rest"), none.alias("found")), 0, []
+    while True:
+        for level in range(first, first + LEVELS):
+            rest = _innermost(rest, level)
+        rest, first = stored(rest), first + LEVELS
+        out.append(rest.select("doc_id", F.explode("found").alias("t")).select("doc_id", "t.level", "t.nth", "t.html"))
+        rest = rest.where(F.col("rest").rlike(INNER)).withColumn("found", none)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, out)
 
 
 def place_cells(cells: DataFrame, *keys: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.sources.arrow import mapped_rows
+
 FORMATS = ("hwpx", "hwp", "docx", "md")
 
 
@@ -34,40 +35,42 @@ def unzip_parts(docs: DataFrame, prefixes: tuple[str, ...] = (), required: tuple
 
     A package that can't be opened, or lacks a required part, gives a row with an error and no part.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, data in zip(pdf["doc_id"], pdf["bytes"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(data or b""))) as z:
-                        names = {n.replace("\\", "/").lstrip("/"): n for n in z.namelist()}
-                        lacks = [r for r in required if r not in names]
-                        if lacks:
-                            raise ValueError(f"no part {lacks[0]}")
-                        out += [(doc, k, z.read(v), None) for k, v in names.items() if not prefixes or k.startswith(prefixes)]
-                except Exception as e:  # one bad file never fails the job
-                    out.append((doc, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["doc_id", "part", "bytes", "error"])
-
-    return docs.select("doc_id", "bytes").mapInPandas(run, f"doc_id {kind}, part string, bytes binary, error string")
 
+    def parts(data):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                names = {n.replace("\\", "/").lstrip("/"): n for n in z.namelist()}
+                lacks = [r for r in required if r not in names]
+                if lacks:
+                    raise ValueError(f"no part {lacks[0]}")
+                return [(k, z.read(v), None) for k, v in names.items() if not prefixes or k.startswith(prefixes)]
+        except Exception as e:  # one bad file never fails the job
+            return [(None, None, f"{type(e).__name__}: {e}")]
+
+    return mapped_rows(docs, ["bytes"], "part string, bytes binary, error string", parts)
 
-def zip_package(parts: DataFrame) -> DataFrame:
-    """doc_id, bytes of packages made of parts (doc_id, ord, part, bytes) in order; `mimetype` is first and not packed."""
-    kind = parts.schema["doc_id"].dataType.simpleString()
 
-    def packed(pdf):
-        pdf = pdf.assign(first=pdf["part"] != "mimetype").sort_values(["first", "ord"])
-        held = io.BytesIO()
+def zip_parts(packed: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, bytes of packages from rows (doc_id, parts array<struct<ord, part, bytes>>), a package each.
+
+    Parts go in order, `mimetype` first and not packed. `fixed` parts, the same in all packages, are added in the task.
+    """
+    same = [(part, xml.encode()) for part, xml in (fixed or {}).items()]
+
+    def zipped(parts):
+        held, own = io.BytesIO(), sorted((p for p in parts or [] if p), key=lambda p: (p["part"] != "mimetype", p["ord"]))
         with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for part, data in zip(pdf["part"], pdf["bytes"], strict=True):
+            for part, data in [*((p["part"], p["bytes"] or b"") for p in own), *same]:
                 info = zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0))  # the same bytes at any time
-                z.writestr(info, bytes(data), zipfile.ZIP_STORED if part == "mimetype" else zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "bytes": [held.getvalue()]})
+                z.writestr(info, data, zipfile.ZIP_STORED if part == "mimetype" else zipfile.ZIP_DEFLATED)
+        return [(held.getvalue(),)]
+
+    return mapped_rows(packed, ["parts"], "bytes binary", zipped)
 
-    return parts.select("doc_id", "ord", "part", "bytes").groupBy("doc_id").applyInPandas(packed, f"doc_id {kind}, bytes binary")
+
+def zip_package(parts: DataFrame) -> DataFrame:
+    """doc_id, bytes of packages made of parts (doc_id, ord, part, bytes)."""
+    return zip_parts(parts.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "part", "bytes")).alias("parts")))
 
 
 def write_packages(df: DataFrame, folder: str, ext: str) -> None:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir or the context's checkpoint folder; one of this machine where neither is
-    set, as in tests."""
+    """A new folder below spark.checkpoint.dir or the context's checkpoint folder; one of this machine only where neither
+    is set and everything runs on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-doclake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/doclake-{uuid.uuid4().hex}"

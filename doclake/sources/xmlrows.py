@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclake.sources.arrow import mapped_rows
+
 #: One row for each thing found, in document order; what a type doesn't have is null.
-ROW = "ord long, row_type string, sec int, tbl int, row int, col int, para int, text string, style_id string, align string, heading int, num_id string, ilvl int, bold boolean, italic boolean, underline boolean, strike boolean, size_pt double, color string, ref string, col_span int, vm string"
+ROW = "ord long, row_type string, sec int, tbl int, row int, col int, para int, text string, style_id string, align string, heading int, num_id string, ilvl int, bold boolean, italic boolean, underline boolean, strike boolean, size_pt double, color string, ref string, url string, col_span int, row_span int, vm string, sup boolean, sub boolean, font string"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
@@ -80,7 +81,12 @@ class _Docx:
     def run(self, r, at: dict, link):
         pr = _child(r, "rPr")
         size = _val(pr, "sz")
-        style = {"bold": _flag(pr, "b"), "italic": _flag(pr, "i"), "underline": _flag(pr, "u"), "strike": _flag(pr, "strike"), "size_pt": int(size) / 2 if size and size.isdigit() else None, "color": _val(pr, "color"), "ref": link}
+        fonts, color, place = _child(pr, "rFonts"), _val(pr, "color"), _val(pr, "vertAlign")
+        style = {
+            "bold": _flag(pr, "b"), "italic": _flag(pr, "i"), "underline": _flag(pr, "u"), "strike": _flag(pr, "strike") or _flag(pr, "dstrike"), "size_pt": int(size) / 2 if size and size.isdigit() else None,
+            "color": None if color == "auto" else color, "ref": link, "sup": True if place == "superscript" else None, "sub": True if place == "subscript" else None,
+            "font": None if fonts is None else _attr(fonts, "ascii") or _attr(fonts, "hAnsi"),
+        }
         for e in r:
             tag = _bare(e.tag)
             if tag == "t":
@@ -114,71 +120,97 @@ def _docx(root) -> list[dict]:
     return out.rows
 
 
-def _hwpx(root) -> list[dict]:
-    """Rows of one section part: paragraphs, texts and tables at any depth outside another cell."""
-    rows: list[dict] = []
-    count = {"para": -1, "tbl": -1}
+def _int(e, name: str, default: int) -> int:
+    """The attribute `name` of e as a number."""
+    v = _attr(e, name) if e is not None else None
+    return int(v) if v and v.lstrip("-").isdigit() else default
+
+
+class _Hwpx:
+    """Collects the rows of one section part: paragraphs, texts and tables at any depth; a nested table is a table of its own."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.para = self.tbl = -1
+        self.url = None  # of the field that is open
 
-    def add(kind: str, at: dict, **more):
-        rows.append({"ord": len(rows), "row_type": kind, "sec": 0} | at | more)
+    def add(self, kind: str, at: dict, **more):
+        self.rows.append({"ord": len(self.rows), "row_type": kind, "sec": 0} | at | more)
 
-    def paragraph(p, at: dict):
-        count["para"] += 1
-        at = at | {"para": count["para"]}
-        add("paragraph", at, style_id=_attr(p, "styleIDRef"), ref=_attr(p, "paraPrIDRef"))
+    def paragraph(self, p, at: dict):
+        self.para += 1
+        at = at | {"para": self.para}
+        self.add("paragraph", at, style_id=_attr(p, "styleIDRef"), ref=_attr(p, "paraPrIDRef"))
         if _attr(p, "pageBreak") == "1":
-            add("pageBreak", at)
+            self.add("pageBreak", at)
         for run in (x for x in p if _bare(x.tag) == "run"):
-            walk(run, at, _attr(run, "charPrIDRef"))
+            self.walk(run, at, _attr(run, "charPrIDRef"))
+        self.url = None
 
-    def walk(e, at: dict, shape):
+    def walk(self, e, at: dict, shape):
         for x in e:
             tag = _bare(x.tag)
             if tag == "t":
-                add("text", at, text="".join(x.itertext()), ref=shape)
+                self.text(x, at, shape)
+            elif tag in ("lineBreak", "lf"):
+                self.add("lineBreak", at)
             elif tag == "tbl":
-                table(x)
+                self.table(x)
             elif tag == "pic":
                 img = next((y for y in x.iter() if _bare(y.tag) == "img"), None)
-                add("image", at, ref=_attr(img, "binaryItemIDRef") if img is not None else None)
+                self.add("image", at, ref=_attr(img if img is not None else x, "binaryItemIDRef"))
             elif tag == "p":
-                paragraph(x, at)
+                self.paragraph(x, at)
+            elif tag == "fieldBegin":
+                told = {_attr(y, "name"): y.text for y in x.iter() if _bare(y.tag) == "stringParam"}
+                self.url = (_attr(x, "url") or told.get("Path") or told.get("Command") or None) if _attr(x, "type") == "HYPERLINK" else None
+            elif tag == "fieldEnd":
+                self.url = None
             else:
-                walk(x, at, shape)
+                self.walk(x, at, shape)
+
+    def text(self, t, at: dict, shape):
+        pieces = [t.text or ""]
+        for x in t:
+            if _bare(x.tag) == "lineBreak":
+                self.add("text", at, text="".join(pieces), ref=shape, url=self.url)
+                self.add("lineBreak", at)
+                pieces = []
+            else:
+                pieces.append("\t" if _bare(x.tag) == "tab" else "".join(x.itertext()))
+            pieces.append(x.tail or "")
+        self.add("text", at, text="".join(pieces), ref=shape, url=self.url)
 
-    def table(tbl):
-        count["tbl"] += 1
-        own = count["tbl"]
-        add("table", {"tbl": own})
+    def table(self, tbl):
+        self.tbl += 1
+        own = self.tbl
+        self.add("table", {"tbl": own})
         for r, tr in enumerate(x for x in tbl if _bare(x.tag) == "tr"):
             for c, tc in enumerate(x for x in tr if _bare(x.tag) == "tc"):
-                span = _child(tc, "cellSpan")
-                at = {"tbl": own, "row": r, "col": c}
-                add("cell", at, col_span=int(_attr(span, "colSpan") or 1) if span is not None else 1)
-                for p in (y for y in tc.iter() if _bare(y.tag) == "p"):
-                    paragraph(p, at)
+                span, place = _child(tc, "cellSpan"), _child(tc, "cellAddr")
+                at = {"tbl": own, "row": _int(place, "rowAddr", r), "col": _int(place, "colAddr", c)}
+                self.add("cell", at, col_span=_int(span, "colSpan", 1), row_span=_int(span, "rowSpan", 1))
+                for x in tc:
+                    for p in x if _bare(x.tag) == "subList" else [x]:
+                        if _bare(p.tag) == "p":
+                            self.paragraph(p, at)
 
+
+def _hwpx(root) -> list[dict]:
+    out = _Hwpx()
     for p in (x for x in root if _bare(x.tag) == "p"):
-        paragraph(p, {})
-    return rows
+        out.paragraph(p, {})
+    return out.rows
 
 
 def _rows(parts: DataFrame, reader) -> DataFrame:
-    kind = parts.schema["doc_id"].dataType.simpleString()
+    def rows(part, data):
+        try:
+            return [(part, *map(x.get, NAMES), None) for x in reader(ET.fromstring(data))]
+        except Exception as e:  # told by a row; the job goes on
+            return [(part, *[None] * len(NAMES), f"{type(e).__name__}: {e}")]
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, part, data in zip(pdf["doc_id"], pdf["part"], pdf["bytes"], strict=True):
-                try:
-                    found, error = reader(ET.fromstring(bytes(data))), None
-                except Exception as e:  # told by a row; the job goes on
-                    found, error = [{}], f"{type(e).__name__}: {e}"
-                out += [[doc, part, *(x.get(n) for n in NAMES), error] for x in found]
-            frame = pd.DataFrame(out, columns=["doc_id", "part", *NAMES, "error"]).astype(object)
-            yield frame.where(frame.notna(), None)
-
-    return parts.select("doc_id", "part", "bytes").mapInPandas(run, f"doc_id {kind}, part string, {ROW}, error string")
+    return mapped_rows(parts, ["part", "bytes"], f"part string, {ROW}, error string", rows)
 
 
 def docx_rows(parts: DataFrame) -> DataFrame:
@@ -209,49 +241,142 @@ def relationships(parts: DataFrame) -> DataFrame:
 
 
 def _elements(parts: DataFrame, path: str, tag: str, columns: str, read) -> DataFrame:
-    """A row for each element `tag` of a part: read(element) gives the columns or a list of such rows."""
-    kind = parts.schema["doc_id"].dataType.simpleString()
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, data in zip(pdf["doc_id"], pdf["bytes"], strict=True):
-                try:
-                    root = ET.fromstring(bytes(data))
-                except ET.ParseError:
-                    continue
-                for e in (x for x in root.iter() if _bare(x.tag) == tag):
-                    got = read(e)
-                    out += [[doc, *x] for x in (got if isinstance(got, list) else [got])]
-            frame = pd.DataFrame(out, columns=["doc_id", *names]).astype(object)
-            yield frame.where(frame.notna(), None)
-
-    return parts.where(F.col("part") == path).select("doc_id", "bytes").mapInPandas(run, f"doc_id {kind}, {columns}")
+    """A row for each element `tag` of a part: read(element) gives the columns or a list of such rows. A part that is no
+    XML has no rows; part_errors() tells of it."""
+
+    def rows(data):
+        try:
+            root = ET.fromstring(data)
+        except ET.ParseError:
+            return []
+        out = []
+        for e in (x for x in root.iter() if _bare(x.tag) == tag):
+            got = read(e)
+            out += got if isinstance(got, list) else [got]
+        return out
+
+    return mapped_rows(parts.where(F.col("part") == path), ["bytes"], columns, rows)
+
+
+def part_errors(parts: DataFrame, *paths: str) -> DataFrame:
+    """doc_id, error of these parts where they are no XML."""
+
+    def rows(part, data):
+        try:
+            ET.fromstring(data)
+            return []
+        except ET.ParseError as e:
+            return [(f"ParseError: {part}: {e}",)]
+
+    return mapped_rows(parts.where(F.col("part").isin(*paths)), ["part", "bytes"], "error string", rows)
+
+
+def _number(v: str | None) -> int | None:
+    return int(v) if v and v.lstrip("-").isdigit() else None
+
+
+#: Indents and spacings of a paragraph, in twips: column, element, attributes of which the first that is there counts.
+PARAGRAPH_LENGTHS = (
+    ("ind_left", "ind", ("left", "start")), ("ind_right", "ind", ("right", "end")), ("first_line", "ind", ("firstLine",)), ("hanging", "ind", ("hanging",)),
+    ("before", "spacing", ("before",)), ("after", "spacing", ("after",)), ("line", "spacing", ("line",)),
+)
+
+
+def _lengths(pr) -> tuple:
+    out = []
+    for _, name, attrs in PARAGRAPH_LENGTHS:
+        e = _child(pr, name)
+        out.append(None if e is None else _number(next((v for a in attrs if (v := _attr(e, a)) is not None), None)))
+    return tuple(out)
+
+
+def _border(pr, name: str) -> str | None:
+    """`kind size color` of one side of a border."""
+    e = _child(pr, name)
+    return None if e is None else " ".join(_attr(e, a) or "" for a in ("val", "sz", "color"))
+
+
+SIDES = ("left", "right", "top", "bottom")
 
 
 def docx_styles(parts: DataFrame) -> DataFrame:
-    """doc_id, style_id, name, based_on, heading, align, sz, color."""
+    """doc_id, style_id, name, based_on, heading, align, sz, color, bold, italic, lengths, line rule, borders of tables, shade of cells."""
 
     def read(e):
         name, run, para = _val(e, "name") or "", _child(e, "rPr"), _child(e, "pPr")
         level = re.match(r"(?i)heading\s*(\d)", name)
-        size = _val(run, "sz")
-        return _attr(e, "styleId"), name, _val(e, "basedOn"), int(level[1]) if level else None, _val(para, "jc"), int(size) if size else None, _val(run, "color")
+        table, cell = _child(_child(e, "tblPr"), "tblBorders"), _child(e, "tcPr")
+        shade = _val(cell, "shd", "fill")
+        return (
+            _attr(e, "styleId"), name, _val(e, "basedOn"), int(level[1]) if level else None, _val(para, "jc"), _number(_val(run, "sz")), _val(run, "color"), _flag(run, "b"), _flag(run, "i"),
+            *_lengths(para), _val(para, "spacing", "lineRule") or None, *[_border(table, s) for s in SIDES], None if shade in ("", "auto") else shade,
+        )
 
-    return _elements(parts, "word/styles.xml", "style", "style_id string, name string, based_on string, heading int, align string, sz int, color string", read)
+    lengths = ", ".join(f"{c} int" for c, _, _ in PARAGRAPH_LENGTHS)
+    borders = ", ".join(f"border_{s} string" for s in SIDES)
+    columns = f"style_id string, name string, based_on string, heading int, align string, sz int, color string, bold boolean, italic boolean, {lengths}, line_rule string, {borders}, shade string"
+    return _elements(parts, "word/styles.xml", "style", columns, read)
 
 
 def num_levels(parts: DataFrame) -> DataFrame:
-    """doc_id, abstract_id, ilvl, start, fmt, text."""
-    read = lambda e: [(_attr(e, "abstractNumId"), int(_attr(x, "ilvl")), int(_val(x, "start") or 1), _val(x, "numFmt"), _val(x, "lvlText")) for x in e if _bare(x.tag) == "lvl"]
-    return _elements(parts, "word/numbering.xml", "abstractNum", "abstract_id string, ilvl int, start int, fmt string, text string", read)
+    """doc_id, abstract_id, ilvl, start, fmt, text, ind_left, hanging."""
+
+    def read(e):
+        out = []
+        for x in (x for x in e if _bare(x.tag) == "lvl"):
+            start, (left, _, _, hanging, *_) = _number(_val(x, "start")), _lengths(_child(x, "pPr"))
+            out.append((_attr(e, "abstractNumId"), _number(_attr(x, "ilvl")), 1 if start is None else start, _val(x, "numFmt"), _val(x, "lvlText"), left, hanging))
+        return out
+
+    return _elements(parts, "word/numbering.xml", "abstractNum", "abstract_id string, ilvl int, start int, fmt string, text string, ind_left int, hanging int", read)
 
 
 def nums(parts: DataFrame) -> DataFrame:
     return _elements(parts, "word/numbering.xml", "num", "num_id string, abstract_id string", lambda e: (_attr(e, "numId"), _val(e, "abstractNumId")))
 
 
+#: What docx_page() reads: column, element, attribute, its value in twips where it is missing.
+PAGE = (
+    ("w", "pgSz", "w", 11906), ("h", "pgSz", "h", 16838), ("top", "pgMar", "top", 1440), ("bottom", "pgMar", "bottom", 1440), ("left", "pgMar", "left", 1800), ("right", "pgMar", "right", 1800),
+    ("header", "pgMar", "header", 720), ("footer", "pgMar", "footer", 720), ("gutter", "pgMar", "gutter", 0), ("columns", "cols", "num", 1), ("gap", "cols", "space", 720),
+)
+
+
+def docx_page(parts: DataFrame) -> DataFrame:
+    """doc_id, sec and the page of every section of word/document.xml, in twips (columns: their number)."""
+
+    def rows(data):
+        try:
+            root = ET.fromstring(data)
+        except ET.ParseError:
+            return []
+        out = []
+        for e in (x for x in root.iter() if _bare(x.tag) == "sectPr"):
+            out.append((len(out), *[_int(_child(e, name), a, d) or d for _, name, a, d in PAGE]))
+        return out
+
+    return mapped_rows(parts.where("part = 'word/document.xml'"), ["bytes"], "sec int, " + ", ".join(f"{c} int" for c, *_ in PAGE), rows)
+
+
+def hwpx_page(parts: DataFrame) -> DataFrame:
+    """doc_id, sec and the page of every section part, in HWPUNIT."""
+    names = ("left", "right", "top", "bottom", "header", "footer", "gutter")
+
+    def rows(part, data):
+        try:
+            root = ET.fromstring(data)
+        except ET.ParseError:
+            return []
+        e = next((x for x in root.iter() if _bare(x.tag) in ("pagePr", "pagepr")), None)
+        if e is None:
+            return []
+        margin = _child(e, "margin")
+        return [(int(re.search(r"(\d+)\.xml$", part)[1]), _int(e, "width", 59528), _int(e, "height", 84188), *[_int(margin, n, 0) for n in names])]
+
+    own = parts.where(r"part rlike 'section\\d+\\.xml$'")
+    return mapped_rows(own, ["part", "bytes"], "sec int, w int, h int, " + ", ".join(f"{n} int" for n in names), rows)
+
+
 def notes(parts: DataFrame) -> DataFrame:
     """doc_id, kind, note_id, text of footnotes and endnotes."""
     out = []
@@ -261,7 +386,57 @@ def notes(parts: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _on(e, name: str) -> bool:
+    """Whether a shape has a property: an element that no attribute switches off."""
+    c = _child(e, name)
+    return c is not None and not any((_attr(c, a) or "").lower() in ("none", "false", "0") for a in ("type", "value", "shape", "hangul"))
+
+
 def hwpx_char_shapes(parts: DataFrame) -> DataFrame:
-    """doc_id, id, size_pt, bold, italic, color of the header's character properties."""
-    read = lambda e: (_attr(e, "id"), int(_attr(e, "height") or 1000) / 100, _child(e, "bold") is not None, _child(e, "italic") is not None, _attr(e, "textColor"))
-    return _elements(parts, "Contents/header.xml", "charPr", "id string, size_pt double, bold boolean, italic boolean, color string", read)
+    """doc_id, id, size_pt, bold, italic, underline, strike, sup, sub, color, shade, fill and the ids of the fonts."""
+
+    def read(e):
+        font, color, shade = _child(e, "fontRef"), _attr(e, "textColor"), _attr(e, "shadeColor")
+        flags = [_on(e, n) for n in ("bold", "italic", "underline", "strikeout", "superScript", "subScript")]
+        bare = [None if v in (None, "none") else v.lstrip("#") for v in (color, shade)]
+        return (_attr(e, "id"), _int(e, "height", 1000) / 100, *flags, *bare, _attr(e, "borderFillIDRef"), None if font is None else _attr(font, "hangul"), None if font is None else _attr(font, "latin"))
+
+    return _elements(parts, "Contents/header.xml", "charPr", "id string, size_pt double, bold boolean, italic boolean, underline boolean, strike boolean, sup boolean, sub boolean, color string, shade string, fill string, hangul string, latin string", read)
+
+
+def hwpx_para_shapes(parts: DataFrame) -> DataFrame:
+    """doc_id, id, align, kind and level of its heading, lengths in HWPUNIT, line spacing, fill, keep flags."""
+
+    def read(e):
+        head, margin, line, fill = (_child(e, n) for n in ("heading", "margin", "lineSpacing", "border"))
+        fill = fill if fill is not None else _child(e, "borderFill")
+        told = [_val(e, "align", "value") or _val(e, "align", "horizontal") or _attr(e, "align"), _attr(head, "type") if head is not None else None, _int(head, "level", 0)]
+        sizes = [_int(margin, n, 0) for n in ("left", "right", "prev", "next")]
+        indent = _child(margin, "indent")
+        return (_attr(e, "id"), *told, *sizes, _int(indent, "value", 0), _int(line, "value", 160), _attr(fill, "borderFillIDRef") if fill is not None else None, *[_attr(e, n) == "true" for n in ("keepWithNext", "keepLines", "pageBreakBefore")])
+
+    return _elements(parts, "Contents/header.xml", "paraPr", "id string, align string, kind string, level int, left int, right int, before int, after int, indent int, line int, fill string, keep_next boolean, keep_lines boolean, break_before boolean", read)
+
+
+def hwpx_styles(parts: DataFrame) -> DataFrame:
+    """doc_id, id, name, type, level, para_shape, char_shape."""
+    read = lambda e: (_attr(e, "id"), _attr(e, "name"), _attr(e, "type"), _int(e, "level", 0), _attr(e, "paraPrIDRef") or _attr(e, "paraShapeId"), _attr(e, "charPrIDRef"))
+    return _elements(parts, "Contents/header.xml", "style", "id string, name string, type string, level int, para_shape string, char_shape string", read)
+
+
+def hwpx_fonts(parts: DataFrame) -> DataFrame:
+    """doc_id, lang, id, face."""
+    read = lambda e: [(_attr(e, "lang"), _attr(x, "id"), _attr(x, "face")) for x in e if _bare(x.tag) == "font"]
+    return _elements(parts, "Contents/header.xml", "fontface", "lang string, id string, face string", read)
+
+
+def hwpx_border_fills(parts: DataFrame) -> DataFrame:
+    """doc_id, id, each side as `type width color`, and the colour of the face."""
+
+    def read(e):
+        sides = [_child(e, f"{s}Border") for s in SIDES]
+        brush = next((x for x in e.iter() if _bare(x.tag) == "winBrush"), None)
+        face = _attr(brush, "faceColor") if brush is not None else None
+        return (_attr(e, "id"), *[None if x is None else " ".join(_attr(x, a) or "" for a in ("type", "width", "color")) for x in sides], None if face in (None, "none") else face.lstrip("#"))
+
+    return _elements(parts, "Contents/header.xml", "borderFill", "id string, " + ", ".join(f"{s} string" for s in SIDES) + ", face string", read)
