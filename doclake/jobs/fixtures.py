@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 
+#: The items of each order with their number and how many there are.
+NUMBERED_ITEMS = f"""SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {{lineitem}}"""
+
+
 def joined(engine: str, value: str, order: str, sep: str = "chr(10)") -> str:
     """An ordered string aggregate: the one thing that the two engines write differently."""
     if engine == "spark":
@@ -53,17 +57,13 @@ FROM {part}"""
 
 
 def html_docs(engine: str) -> str:
-    """doc_id, html: a table for each region, with a header over two columns and a first cell over all rows."""
+    """doc_id, html: a table for each order with items, with a header over two columns and a first cell over all rows."""
     rows = joined(engine, "y", "rn", "''")
     return f"""
-SELECT r_regionkey AS doc_id, concat('<table><tr><th colspan="2">', r_name, '</th></tr>', x, '</table>') AS html
-FROM {{region}} JOIN (
- SELECT n_regionkey, {rows} AS x FROM (
-  SELECT n_regionkey, rn, concat('<tr>', CASE WHEN rn = 1 THEN concat('<td rowspan="', n, '">', n_regionkey, '</td>') ELSE '' END,
-         '<td style="border:1px solid #0000ff">', n_name, '</td></tr>') AS y
-  FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn,
-               count(*) OVER (PARTITION BY n_regionkey) AS n FROM {{nation}}) q) q2
- GROUP BY n_regionkey) q3 ON n_regionkey = r_regionkey"""
+SELECT l_orderkey AS doc_id, concat('<table><tr><th colspan="2">Order ', l_orderkey, '</th></tr>', {rows}, '</table>') AS html FROM (
+ SELECT l_orderkey, rn, concat('<tr>', CASE WHEN rn = 1 THEN concat('<td rowspan="', n, '">', l_orderkey, '</td>') ELSE '' END,
+        '<td style="border:1px solid #0000ff">', l_partkey, '</td></tr>') AS y FROM ({NUMBERED_ITEMS}) q) q2
+GROUP BY l_orderkey"""
 
 
 def styles(engine: str) -> str:
@@ -84,12 +84,16 @@ SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY
        concat('n', l_suppkey % 2) AS num_id, l_partkey % 3 AS ilvl FROM {{lineitem}}"""
 
 
+#: Documents of sixty orders with three tables each, so that more input means more tables and not larger ones.
+CELL_KEYS = "CAST(floor(l_orderkey / 60.0) AS BIGINT) AS doc_id, l_orderkey % 3 AS tbl"
+
+
 def cells(engine: str) -> str:
     """doc_id, tbl, r, c, span, vm, width, height: grids of merged cells, c counting cells of the row."""
     return f"""
 SELECT doc_id, tbl, r, c, span, vm, width, height FROM (
- SELECT l_orderkey % 50 AS doc_id, l_orderkey % 7 AS tbl,
-  dense_rank() OVER (PARTITION BY l_orderkey % 50, l_orderkey % 7 ORDER BY l_orderkey) - 1 AS r,
+ SELECT {CELL_KEYS},
+  dense_rank() OVER (PARTITION BY CAST(floor(l_orderkey / 60.0) AS BIGINT), l_orderkey % 3 ORDER BY l_orderkey) - 1 AS r,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS c,
   1 + l_partkey % 2 AS span,
   CASE WHEN l_suppkey % 3 = 0 THEN 'restart' WHEN l_suppkey % 3 = 1 THEN 'continue' END AS vm,

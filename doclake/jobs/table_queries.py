@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doclake.jobs.fixtures import built, cells, duck, html_docs, list_items
+from doclake.jobs.fixtures import CELL_KEYS, NUMBERED_ITEMS, built, cells, duck, html_docs, list_items
 from doclake.operators import lists, tables
 
 LEVELS = [
@@ -43,12 +43,13 @@ def col_addr(spark, sf_dir):
 
 
 def nested(spark, sf_dir):
-    docs = built(spark, sf_dir, "SELECT n_nationkey AS doc_id, concat('<p>a</p><table><tr><td>', n_name, '<table><tr><td>', n_regionkey, '</td></tr></table></td></tr></table><table>b</table>') AS html FROM {nation}")
+    """Tables in tables, as deep as the customer's number tells, and one beside them."""
+    docs = built(spark, sf_dir, "SELECT c_custkey AS doc_id, concat('<p>a</p>', repeat('<table><tr><td>', CAST(c_custkey % 7 + 1 AS INT)), c_name, repeat('</td></tr></table>', CAST(c_custkey % 7 + 1 AS INT)), '<table>b</table>') AS html FROM {customer}")
     return tables.extract_tables(docs)
 
 
 def widths(spark, sf_dir):
-    rows = built(spark, sf_dir, "SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS col, CASE WHEN n_regionkey > 1 THEN 10 + n_nationkey END AS px FROM {nation}")
+    rows = built(spark, sf_dir, f"SELECT l_orderkey AS doc_id, rn - 1 AS col, CASE WHEN l_orderkey % 3 > 0 THEN 10 + l_partkey % 200 END AS px FROM ({NUMBERED_ITEMS}) q")
     return tables.normalise_widths(rows, "doc_id")
 
 
@@ -74,10 +75,10 @@ def padded(spark, sf_dir):
 
 
 def borders(spark, sf_dir):
-    own = "CASE WHEN n_nationkey % 3 = 0 THEN 'own' END"
-    rows = built(spark, sf_dir, f"""SELECT n_nationkey, n_nationkey % 3 AS row, n_nationkey % 4 AS col, 1 AS row_span, 1 + n_nationkey % 2 AS col_span, 3 AS rows, 4 AS cols,
-        {own} AS own_left, NULL AS own_right, NULL AS own_top, {own} AS own_bottom, 'L' AS table_left, 'R' AS table_right, 'T' AS table_top, 'B' AS table_bottom, 'h' AS inside_h, 'v' AS inside_v FROM {{nation}}""")
-    return tables.cell_borders(rows).select("n_nationkey", "left", "right", "top", "bottom")
+    own = "CASE WHEN l_partkey % 3 = 0 THEN 'own' END"
+    rows = built(spark, sf_dir, f"""SELECT l_orderkey, rn, l_partkey % 3 AS row, l_suppkey % 4 AS col, 1 AS row_span, 1 + l_partkey % 2 AS col_span, 3 AS rows, 4 AS cols,
+        {own} AS own_left, NULL AS own_right, NULL AS own_top, {own} AS own_bottom, 'L' AS table_left, 'R' AS table_right, 'T' AS table_top, 'B' AS table_bottom, 'h' AS inside_h, 'v' AS inside_v FROM ({NUMBERED_ITEMS}) q""")
+    return tables.cell_borders(rows).select("l_orderkey", "rn", "left", "right", "top", "bottom")
 
 
 def line_widths(spark, sf_dir):
@@ -85,7 +86,7 @@ def line_widths(spark, sf_dir):
 
 
 def span_widths(spark, sf_dir):
-    wide = built(spark, sf_dir, "SELECT DISTINCT l_orderkey % 50 AS doc_id, l_orderkey % 7 AS tbl, l_linenumber - 1 AS w_col, 100 * l_linenumber AS w FROM {lineitem}")
+    wide = built(spark, sf_dir, f"SELECT DISTINCT {CELL_KEYS}, l_linenumber - 1 AS w_col, 100 * l_linenumber AS w FROM {{lineitem}}")
     return tables.cell_widths(grid(spark, sf_dir).withColumnsRenamed({"r": "row", "span": "col_span"}), wide, *K)
 
 
@@ -123,6 +124,7 @@ s AS MATERIALIZED (SELECT m.doc_id, m.tbl, m.r, m.col,
   LEFT JOIN heads h ON h.doc_id = f.doc_id AND h.tbl = f.tbl AND h.col = f.col AND h.r = f.r0 - 1
   WHERE m.col = m.head),
 cs AS MATERIALIZED (SELECT g.*, s.row_span FROM g JOIN s USING (doc_id, tbl, r, col) WHERE s.row_span > 0)"""
+ITEMS = "WITH q AS (" + NUMBERED_ITEMS.replace("{lineitem}", "lineitem") + ")"
 QUERIES = {
     "list_counters": (list_counters, COUNTED + " SELECT doc_id, blk, num_id, ilvl, CASE WHEN fmt <> 'bullet' THEN n + start - 1 END AS counter FROM own JOIN val USING (doc_id, blk, num_id) WHERE j = ilvl"),
     "list_labels": (list_labels, COUNTED + """,
@@ -133,20 +135,20 @@ SELECT doc_id, blk, num_id, ilvl, CASE WHEN num_id = 'n0' THEN CASE ilvl WHEN 0
 FROM own JOIN w USING (doc_id, blk, num_id)"""),
     "list_levels": (list_levels, f"""SELECT i.doc_id, blk, CASE WHEN n = num_id AND lv = ilvl THEN o_custkey ELSE (ilvl + 1) * 4000 END AS "left", CASE WHEN n = num_id AND lv = ilvl THEN -(o_custkey % 100) ELSE -2000 END AS "first"
 FROM {duck(list_items)} i JOIN (SELECT *, concat('n', o_custkey % 2) AS n, o_orderkey % 3 AS lv FROM orders) o ON o_orderkey = doc_id WHERE blk % 5 <> 0"""),
-    "html_cells": (html_cells, """
-SELECT r_regionkey AS doc_id, 0 AS row, 0 AS nth, 'th' AS tag, r_name AS text, 2 AS colspan, 1 AS rowspan, '' AS style FROM region
-UNION ALL SELECT n_regionkey, rn, CASE WHEN rn = 1 THEN 1 ELSE 0 END, 'td', n_name, 1, 1, 'border:1px solid #0000ff' FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) q
-UNION ALL SELECT n_regionkey, 1, 0, 'td', CAST(n_regionkey AS VARCHAR), 1, count(*), '' FROM nation GROUP BY n_regionkey"""),
-    "html_col_addr": (col_addr, """
-SELECT r_regionkey AS doc_id, 0 AS row, r_name AS text, 0 AS col_addr FROM region
-UNION ALL SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), n_name, 1 FROM nation
-UNION ALL SELECT n_regionkey, 1, CAST(n_regionkey AS VARCHAR), 0 FROM nation GROUP BY n_regionkey"""),
+    "html_cells": (html_cells, ITEMS + """
+SELECT l_orderkey AS doc_id, 0 AS row, 0 AS nth, 'th' AS tag, concat('Order ', l_orderkey) AS text, 2 AS colspan, 1 AS rowspan, '' AS style FROM q WHERE rn = 1
+UNION ALL SELECT l_orderkey, rn, CASE WHEN rn = 1 THEN 1 ELSE 0 END, 'td', CAST(l_partkey AS VARCHAR), 1, 1, 'border:1px solid #0000ff' FROM q
+UNION ALL SELECT l_orderkey, 1, 0, 'td', CAST(l_orderkey AS VARCHAR), 1, n, '' FROM q WHERE rn = 1"""),
+    "html_col_addr": (col_addr, ITEMS + """
+SELECT l_orderkey AS doc_id, 0 AS row, concat('Order ', l_orderkey) AS text, 0 AS col_addr FROM q WHERE rn = 1
+UNION ALL SELECT l_orderkey, rn, CAST(l_partkey AS VARCHAR), 1 FROM q
+UNION ALL SELECT l_orderkey, 1, CAST(l_orderkey AS VARCHAR), 0 FROM q WHERE rn = 1"""),
     "html_nested_tables": (nested, """
-SELECT n_nationkey AS doc_id, 0 AS level, 0 AS nth, concat('<table><tr><td>', n_regionkey, '</td></tr></table>') AS html FROM nation
-UNION ALL SELECT n_nationkey, 0, 1, '<table>b</table>' FROM nation
-UNION ALL SELECT n_nationkey, 1, 0, concat('<table><tr><td>', n_name, '[[table:0:0]]</td></tr></table>') FROM nation"""),
-    "table_widths": (widths, """
-WITH c AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS col, CASE WHEN n_regionkey > 1 THEN 10 + n_nationkey END AS px FROM nation),
+WITH c AS (SELECT c_custkey, c_name, unnest(generate_series(0, c_custkey % 7)) AS level FROM customer)
+SELECT c_custkey AS doc_id, CAST(level AS INT) AS level, 0 AS nth, concat('<table><tr><td>', CASE WHEN level = 0 THEN c_name ELSE concat('[[table:', level - 1, ':0]]') END, '</td></tr></table>') AS html FROM c
+UNION ALL SELECT c_custkey, 0, 1, '<table>b</table>' FROM customer"""),
+    "table_widths": (widths, ITEMS + """,
+c AS (SELECT l_orderkey AS doc_id, rn - 1 AS col, CASE WHEN l_orderkey % 3 > 0 THEN 10 + l_partkey % 200 END AS px FROM q),
 w AS (SELECT *, CAST(CASE WHEN px IS NULL THEN floor(41954.0 / count(*) OVER (PARTITION BY doc_id)) ELSE floor(CAST(px AS DOUBLE) / sum(px) OVER (PARTITION BY doc_id) * 41954) END AS INT) AS w0, max(col) OVER (PARTITION BY doc_id) AS last_ FROM c)
 SELECT doc_id, col, w0 + CASE WHEN col = last_ THEN 41954 - sum(w0) OVER (PARTITION BY doc_id) ELSE 0 END AS width FROM w"""),
     "grid_columns": (lambda s, d: grid(s, d).select(*K, "r", "c", "col"), f"SELECT a.doc_id, a.tbl, a.r, a.c, coalesce(sum(b.span), 0) AS col FROM {duck(cells)} a LEFT JOIN {duck(cells)} b ON a.doc_id = b.doc_id AND a.tbl = b.tbl AND a.r = b.r AND b.c < a.c GROUP BY ALL"),
@@ -159,12 +161,13 @@ UNION ALL SELECT doc_id, tbl, 'column', count(*), count(*), CAST(sum((r + down)
     "pad_grid": (padded, GRID + """,
 z AS (SELECT doc_id, tbl, max(r) AS lr, max(col) AS lc FROM x GROUP BY ALL), zr AS (SELECT doc_id, tbl, lc, unnest(generate_series(0, lr)) AS row FROM z), zc AS (SELECT doc_id, tbl, row, unnest(generate_series(0, lc)) AS col FROM zr)
 SELECT doc_id, tbl, row, col FROM zc EXCEPT SELECT doc_id, tbl, r, col FROM x"""),
-    "cell_borders": (borders, """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'own' WHEN n_nationkey % 4 = 0 THEN 'L' ELSE 'v' END AS "left", CASE WHEN n_nationkey % 4 + 1 + n_nationkey % 2 >= 4 THEN 'R' ELSE 'v' END AS "right",
-  CASE WHEN n_nationkey % 3 = 0 THEN 'T' ELSE 'h' END AS top, CASE WHEN n_nationkey % 3 = 0 THEN 'own' WHEN n_nationkey % 3 = 2 THEN 'B' ELSE 'h' END AS bottom FROM nation"""),
+    "cell_borders": (borders, ITEMS + """
+SELECT l_orderkey, rn, CASE WHEN l_partkey % 3 = 0 THEN 'own' WHEN l_suppkey % 4 = 0 THEN 'L' ELSE 'v' END AS "left", CASE WHEN l_suppkey % 4 + 1 + l_partkey % 2 >= 4 THEN 'R' ELSE 'v' END AS "right",
+  CASE WHEN l_partkey % 3 = 0 THEN 'T' ELSE 'h' END AS top, CASE WHEN l_partkey % 3 = 0 THEN 'own' WHEN l_partkey % 3 = 2 THEN 'B' ELSE 'h' END AS bottom FROM q"""),
     "line_widths": (line_widths, "WITH w AS (SELECT unnest([" + ", ".join(map(str, tables.WIDTHS_MM)) + """]) AS p), x AS (SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) / 8 * CAST(0.3528 AS DOUBLE) AS mm FROM part)
 SELECT p_partkey, CAST(CASE WHEN mm > 5 THEN 5.0 ELSE min(p) END AS DOUBLE) AS mm FROM (SELECT *, rank() OVER (PARTITION BY p_partkey ORDER BY abs(CAST(p AS DOUBLE) - mm)) AS k FROM x, w) q WHERE k = 1 GROUP BY p_partkey, q.mm"""),
     "cell_widths": (span_widths, GRID + """,
-w AS (SELECT DISTINCT l_orderkey % 50 AS doc_id, l_orderkey % 7 AS tbl, l_linenumber - 1 AS w_col, 100 * l_linenumber AS w FROM lineitem)
+w AS (SELECT DISTINCT """ + CELL_KEYS + """, l_linenumber - 1 AS w_col, 100 * l_linenumber AS w FROM lineitem)
 SELECT g.doc_id, g.tbl, g.r AS row, g.col, CAST(sum(w) AS BIGINT) AS width FROM g JOIN w ON w.doc_id = g.doc_id AND w.tbl = g.tbl AND w_col BETWEEN g.col AND g.col + g.span - 1 GROUP BY ALL"""),
     "table_heights": (heights, GRID + """,
 h AS (SELECT doc_id, tbl, r, coalesce(max(CASE WHEN row_span = 1 THEN height END), arg_min(CAST(floor(height / row_span) AS BIGINT), col) FILTER (WHERE height IS NOT NULL)) AS height FROM cs GROUP BY ALL)

@@ -9,7 +9,6 @@ LEVELS = 9
 #: Symbols of bullets by level, and of two private texts (fixed values).
 BULLETS = ("●", "○", "■", "◆", "▪", "▸", "‣", "⁃", "⦿")
 BULLET_TEXTS = {"o": "○", "§": "■"}
-ROMAN = (("m", 1000), ("cm", 900), ("d", 500), ("cd", 400), ("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 #: First letters of the two Korean numberings.
 GANADA, CHOSUNG = 0xAC00, 0x3131
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +61,37 @@ def extract_tables(docs: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, out)
 
 
-def place_cells(cells: DataFrame, *keys: str) -> DataFrame:
-    """Cells (keys, row, nth, colspan, rowspan, ...) with col_addr: each takes the next free column of its row.
-
-    Sequential within a table, so one call for each table; a table is small, and tables are many.
-    """
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields]
+def _addresses(rows: pd.Series, wide: pd.Series, high: pd.Series) -> pd.Series:
+    """The first column of each cell of each table: the next one that no cell of this row or above takes."""
 
-    def placed(pdf):
-        pdf = pdf.sort_values(["row", "nth"])
+    def one(cells):
         taken: set[tuple[int, int]] = set()
-        out = []
-        row, col = None, 0
-        for r, wide, high in zip(pdf["row"], pdf["colspan"], pdf["rowspan"], strict=True):
+        out, row, col = [], None, 0
+        for r, w, h in cells:
             col = col if r == row else 0
             row = r
             while (r, col) in taken:
                 col += 1
-            taken.update((r + i, col + j) for i in range(max(1, high)) for j in range(wide))
+            taken.update((r + i, col + j) for i in range(max(1, h)) for j in range(w))
             out.append(col)
-            col += wide
-        return pdf.assign(col_addr=out)
+            col += w
+        return out
 
-    return cells.groupBy(*keys).applyInPandas(placed, ", ".join([*fields, "col_addr int"]))
+    return pd.Series([one(zip(r.tolist(), w.tolist(), h.tolist(), strict=True)) for r, w, h in zip(rows, wide, high, strict=True)])
+
+
+def place_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """Cells (keys, row, nth, colspan, rowspan, ...) with col_addr: each takes the next free column of its row.
+
+    Sequential within a table: its cells become one row, in order, and the tables of a batch are walked one by one. A
+    table is small, and tables are many.
+    """
+    others = [c for c in cells.columns if c not in (*keys, "row", "nth")]
+    held = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "nth", *others))).alias("held"))
+    field = lambda name: F.transform("held", lambda c: c[name].cast("int"))
+    address = F.pandas_udf(_addresses, "array<int>")(field("row"), field("colspan"), field("rowspan"))
+    each = held.withColumn("address", address).select(*keys, F.explode(F.arrays_zip("held", "address")).alias("x"))
+    return each.select(*[F.col(c) if c in keys else F.col(f"x.held.{c}").alias(c) for c in cells.columns], F.col("x.address").alias("col_addr"))
 
 
 def normalise_widths(first_row: DataFrame, *keys: str) -> DataFrame:
@@ -164,31 +173,36 @@ def cell_widths(cells: DataFrame, widths: DataFrame, *keys: str) -> DataFrame:
     return spread.join(widths, [*keys, "w_col"]).groupBy(*keys, "row", "col").agg(F.sum("w").alias("width"))
 
 
-def column_widths(cells: DataFrame, *keys: str) -> DataFrame:
-    """keys, col, width: of each column the first width of a cell of span 1; then wider cells, in order, share what
-    is left of theirs among their columns without a width; columns that none tells share the average.
-
-    cells: keys, row, col, col_span, width. The second pass depends on order, so one call for each table.
-    """
-    fields = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
+def _widths(columns: pd.Series, spans: pd.Series, widths: pd.Series) -> pd.Series:
+    """The width of each column of each table."""
 
-    def told(pdf):
-        pdf = pdf.sort_values(["row", "col"])
-        many = int((pdf["col"] + pdf["col_span"]).max())
+    def one(cells):
+        many = max(c + span for c, span, _ in cells)
         known: dict[int, int] = {}
-        for c, span, w in zip(pdf["col"], pdf["col_span"], pdf["width"], strict=True):
-            if span == 1 and w > 0:
-                known.setdefault(int(c), int(w))
-        for c, span, w in zip(pdf["col"], pdf["col_span"], pdf["width"], strict=True):
+        for c, span, w in cells:
+            if span == 1 and w and w > 0:
+                known.setdefault(c, int(w))
+        for c, span, w in cells:
             open_ = [i for i in range(c, c + span) if i not in known]
-            rest = int(w) - sum(known.get(i, 0) for i in range(c, c + span))
+            rest = int(w or 0) - sum(known.get(i, 0) for i in range(c, c + span))
             if span > 1 and open_ and rest > 0:
                 known.update({i: rest // len(open_) for i in open_})
         even = round(9000 / many)
-        head = {k: [pdf[k].iloc[0]] * many for k in keys}
-        return type(pdf)(head | {"col": range(many), "width": [known.get(i, even) for i in range(many)]})
+        return [known.get(i, even) for i in range(many)]
+
+    return pd.Series([one(list(zip(c.tolist(), s.tolist(), w.tolist(), strict=True))) for c, s, w in zip(columns, spans, widths, strict=True)])
+
 
-    return cells.groupBy(*keys).applyInPandas(told, ", ".join([*fields, "col int, width int"]))
+def column_widths(cells: DataFrame, *keys: str) -> DataFrame:
+    """keys, col, width: of each column the first width of a cell of span 1; then wider cells, in order, share what
+    is left of theirs among their columns without a width; columns that none tells share the average.
+
+    cells: keys, row, col, col_span, width; no width counts as 0. The second pass depends on order, so a table is one row.
+    """
+    held = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col", "col_span", "width"))).alias("held"))
+    field = lambda name: F.transform("held", lambda c: F.coalesce(c[name].cast("int"), F.lit(0)))
+    widths = F.pandas_udf(_widths, "array<int>")(field("col"), field("col_span"), field("width"))
+    return held.withColumn("widths", widths).select(*keys, F.posexplode("widths").alias("col", "width"))
 
 
 def row_heights(cells: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from doclake.functions import media, text, units
 from doclake.jobs import convert
 from doclake.operators import markdown as m
-from doclake.operators import quality, records, registry
+from doclake.operators import quality, records, registry, tables
 from doclake.operators import styles as st
 from doclake.sources import package, xmlrows
 from doclake.sources.scratch import scratch
@@ -209,3 +209,81 @@ def test_integrity_and_union(spark):
     assert scratch(spark) != scratch(spark)
     with pytest.raises(ValueError):
         convert.convert(one, "hwp", "md")
+
+
+def test_place_cells_and_widths(spark):
+    """Against plain code on random tables: a grid that is filled cell by cell, and widths told column by column."""
+    import random
+
+    q, cells, grids, told = random.Random(4), [], {}, {}
+    for t in range(40):
+        grid = {}
+        for row in range(q.randrange(1, 6)):
+            col = 0
+            for nth in range(q.randrange(1, 5)):
+                wide, high = q.randrange(1, 4), q.randrange(0, 4)
+                while (row, col) in grid:
+                    col += 1
+                for i in range(max(1, high)):
+                    for j in range(wide):
+                        grid[row + i, col + j] = nth
+                cells.append((t, row, nth, wide, high, f"c{len(cells)}", q.choice([None, 0, 500, 900])))
+                grids[t, row, nth] = col
+                col += wide
+    df = spark.createDataFrame(cells, "doc_id long, row int, nth int, colspan int, rowspan int, text string, width int").repartition(3)
+    placed = tables.place_cells(df, "doc_id")
+    assert placed.columns == [*df.columns, "col_addr"]
+    assert {(r["doc_id"], r["row"], r["nth"]): r["col_addr"] for r in placed.collect()} == grids
+    held = placed.selectExpr("doc_id", "row", "col_addr AS col", "colspan AS col_span", "width")
+    for t in range(40):
+        own = sorted((row, grids[t, row, nth], wide, w or 0) for d, row, nth, wide, _, _, w in cells if d == t)
+        many = max(c + wide for _, c, wide, _ in own)
+        out = [next((w for _, c, wide, w in own if c == i and wide == 1 and w), None) for i in range(many)]
+        for _, c, wide, w in own:
+            free = [i for i in range(c, c + wide) if out[i] is None]
+            left = w - sum(out[i] or 0 for i in range(c, c + wide))
+            for i in free if wide > 1 and left > 0 else []:
+                out[i] = left // len(free)
+        told |= {(t, i): round(9000 / many) if w is None else w for i, w in enumerate(out)}
+    assert {(r["doc_id"], r["col"]): r["width"] for r in tables.column_widths(held, "doc_id").collect()} == told
+
+
+def test_chains_of_any_length(spark):
+    """A chain of 70 styles, and tables nested nine deep."""
+    rows = [(1, f"s{i}", f"s{i - 1}" if i else None, 9 if i == 0 else None) for i in range(70)] + [(1, "x", "y", None), (1, "y", "z", None), (1, "z", "y", 3), (1, "own", "own", 4)]
+    got = {r["style_id"]: r["sz"] for r in st.style_inherit(spark.createDataFrame(rows, "doc_id long, style_id string, based_on string, sz int"), ["sz"], {}).collect()}
+    assert got == {f"s{i}": 9 for i in range(70)} | {"x": 3, "y": 3, "z": 3, "own": 4}
+    html = spark.createDataFrame([(1, "<table>" * 9 + "in" + "</table>" * 9), (2, "no table")], "doc_id long, html string")
+    assert sorted((r["level"], r["nth"]) for r in tables.extract_tables(html).collect()) == [(i, 0) for i in range(9)]
+
+
+def test_page_and_registries(spark):
+    page = b'<w:document xmlns:w="w"><w:body><w:p/><w:sectPr><w:pgSz w:w="16838" w:h="0"/><w:pgMar w:top="100"/><w:cols w:num="2"/></w:sectPr></w:body></w:document>'
+    style = b'<w:styles xmlns:w="w"><w:style w:styleId="a"><w:name w:val="A"/><w:pPr><w:ind w:left="720" w:hanging="360"/><w:spacing w:after="120" w:line="240" w:lineRule="auto"/></w:pPr><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="4" w:color="FF0000"/></w:tblBorders></w:tblPr><w:tcPr><w:shd w:fill="EEEEEE"/></w:tcPr></w:style></w:styles>'
+    levels = b'<w:numbering xmlns:w="w"><w:abstractNum w:abstractNumId="3"><w:lvl w:ilvl="0"><w:start w:val="0"/><w:pPr><w:ind w:left="720" w:hanging="360"/></w:pPr></w:lvl></w:abstractNum></w:numbering>'
+    header = '<hh:head xmlns:hh="h" xmlns:hc="c"><hh:fontface lang="HANGUL"><hh:font id="0" face="함초롬바탕"/></hh:fontface><hh:borderFill id="2"><hh:leftBorder type="SOLID" width="0.1 mm" color="#000000"/><hc:fillBrush><hc:winBrush faceColor="#FFEE00"/></hc:fillBrush></hh:borderFill><hh:paraPr id="4" keepLines="true"><hh:align value="CENTER"/><hh:margin left="10" prev="20"><hh:indent value="-5"/></hh:margin><hh:lineSpacing value="130"/><hh:border borderFillIDRef="2"/></hh:paraPr></hh:head>'.encode()
+    section = b'<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:run><hp:secPr><hp:pagePr width="59528" height="84188"><hp:margin left="8504" header="4252"/></hp:pagePr></hp:secPr></hp:run></hp:p></hs:sec>'
+    rows = [(1, "word/document.xml", page), (1, "word/styles.xml", style), (1, "word/numbering.xml", levels), (1, "Contents/header.xml", header), (1, "Contents/section0.xml", section), (2, "word/styles.xml", b"<w")]
+    parts = spark.createDataFrame(rows, "doc_id long, part string, bytes binary")
+    one = lambda df, *c: tuple(df.first()[k] for k in c)
+    assert one(xmlrows.docx_page(parts), "sec", "w", "h", "top", "left", "columns", "gap") == (0, 16838, 16838, 100, 1800, 2, 720)
+    assert one(xmlrows.docx_styles(parts), "ind_left", "hanging", "after", "line", "line_rule", "border_top", "border_left", "shade") == (720, 360, 120, 240, "auto", "single 4 FF0000", None, "EEEEEE")
+    assert one(xmlrows.num_levels(parts), "start", "ind_left", "hanging") == (0, 720, 360)
+    assert one(xmlrows.hwpx_fonts(parts), "lang", "id", "face") == ("HANGUL", "0", "함초롬바탕")
+    assert one(xmlrows.hwpx_border_fills(parts), "id", "left", "right", "face") == ("2", "SOLID 0.1 mm #000000", None, "FFEE00")
+    assert one(xmlrows.hwpx_para_shapes(parts), "align", "left", "before", "indent", "line", "fill", "keep_lines") == ("CENTER", 10, 20, -5, 130, "2", True)
+    assert one(xmlrows.hwpx_page(parts), "sec", "w", "h", "left", "header", "right") == (0, 59528, 84188, 8504, 4252, 0)
+    assert [r["doc_id"] for r in xmlrows.part_errors(parts, "word/styles.xml").collect()] == [2]
+
+
+def test_builders(spark):
+    from pyspark.sql import functions as F
+
+    run = convert.make_run(F.lit("t"), bold=F.lit(True))
+    para = convert.make_paragraph(F.array(run), list_level=F.lit(1))
+    table = convert.make_table(convert.make_row(convert.make_cell(F.lit("c"), col_span=F.lit(2))))
+    got = spark.range(1).select(convert.make_document(F.array(convert.make_section(F.array(para))), title=F.lit("T")).alias("d"), table.alias("t"), convert.make_image(F.unhex(F.lit("FFD8"))).alias("i")).first()
+    section = got["d"]["sections"][0]
+    assert got["d"]["meta"]["title"] == "T" and got["d"]["meta"]["author"] is None and section["page"]["w"] == 595.28
+    assert section["blocks"][0]["list_ordered"] is False and section["blocks"][0]["runs"][0]["bold"] and section["blocks"][0]["runs"][0]["italic"] is None
+    assert (got["t"]["rows"][0][0]["col_span"], got["t"]["rows"][0][0]["row_span"], got["i"]["mime"], got["i"]["alt"]) == (2, 1, "image/jpeg", "image")
