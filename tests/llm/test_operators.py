@@ -83,6 +83,31 @@ def test_line_runs_are_levelled(spark, tmp_path):
     # key 1 was settled after two batches, so later batches don't count it
     assert sorted(tuple(x) for x in runs.counts().collect()) == [(1, 0, 3), (2, 0, 3), (3, 0, 1), (4, 0, 3)]
     assert sorted(x[0] for x in runs.frequent().collect()) == [1, 2, 4]
+    # a batch that is sent again is known, also to a later session, which then takes a real new arrival
+    assert not runs.add(batch([(1, 5)]), 3)
+    later = line_dedup.Runs(str(tmp_path), min_docs=3)
+    assert later.runs == [(0, 3)] and later.buckets == runs.buckets and not later.add(batch([(1, 5)]), 0)
+    with pytest.raises(ValueError):
+        later.add(batch([(1, 5)]), 6)
+    assert later.add(batch([(3, 2), (4, 9), (5, 1)]), 4) and [len(x) for x in later.levels] == [1, 0, 1]
+    assert sorted(tuple(x) for x in later.counts().collect()) == [(1, 0, 3), (2, 0, 3), (3, 0, 3), (4, 0, 3), (5, 0, 1)]
+    assert sorted(x[0] for x in later.frequent().collect()) == [1, 2, 3, 4]
+    later.remove()
+    assert line_dedup.Runs(str(tmp_path), min_docs=3).counts() is None
+
+
+def test_line_runs_are_read_as_they_lie(spark, tmp_path):
+    """The runs' side of the anti-join has no shuffle; a batch's counts have one."""
+    runs = line_dedup.Runs(str(tmp_path / "runs"), min_docs=3)
+    spark.range(1000).selectExpr("id AS h1", "id * 7 % 1000 AS h2", "1L AS n").write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    for _ in range(3):
+        runs.add(batch)
+    new = runs.unsettled(batch.repartition(runs.buckets, "h1", "h2").groupBy("h1", "h2").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SelectedBucketsCount") == 2, plan
+    merged = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merged and merged.count("SelectedBucketsCount") == 2, merged
 
 
 def shingles(text):
