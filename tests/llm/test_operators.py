@@ -421,6 +421,76 @@ def test_quality(spark, docs, empty):
     assert all(x["keep"] for x in quality.score(docs, quality.train(docs, labels.where("false"))).collect())
 
 
+def plain_logistic(x, y, ridge):
+    """Standardised logistic regression with a ridge on all but the offset, by Newton steps in plain Python; gives a function to log odds."""
+    n, k = len(x), len(x[0])
+    mean = [sum(r[j] for r in x) / n for j in range(k)]
+    scale = [math.sqrt(sum((r[j] - mean[j]) ** 2 for r in x) / n) for j in range(k)]
+    z = [[(r[j] - mean[j]) / (scale[j] if scale[j] > 1e-6 else 1e9) for j in range(k)] + [1.0] for r in x]
+    w = [0.0] * (k + 1)
+    for _ in range(60):
+        p = [1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(w, r, strict=True)))))) for r in z]
+        slope = [sum(r[j] * (q - t) for r, q, t in zip(z, p, y, strict=True)) + (ridge if j < k else 1e-6) * w[j] for j in range(k + 1)]
+        bend = [[sum(r[i] * r[j] * (q * (1 - q) + 1e-6) for r, q in zip(z, p, strict=True)) + (i == j) * (ridge if j < k else 1e-6) for j in range(k + 1)] + [slope[i]] for i in range(k + 1)]
+        for i in range(k + 1):  # elimination
+            top = max(range(i, k + 1), key=lambda r: abs(bend[r][i]))
+            bend[i], bend[top] = bend[top], bend[i]
+            for r in range(k + 1):
+                if r != i:
+                    f = bend[r][i] / bend[i][i]
+                    bend[r] = [a - f * b for a, b in zip(bend[r], bend[i], strict=True)]
+        w = [a - bend[i][k + 1] / bend[i][i] for i, a in enumerate(w)]
+    return lambda r: max(-30, min(30, sum(a * (v - m) / (s if s > 1e-6 else 1e9) for a, v, m, s in zip(w, r, mean, scale, strict=False)) + w[k]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cotraining_rounds(seed):
+    """Pseudo-labels, calibration and combination against plain Python, round by round."""
+    import numpy as np
+
+    q = random.Random(seed)
+    draw = lambda good: ([q.gauss(1.6 * good, 1), q.gauss(0, 1), q.gauss(-good, 1)], [q.gauss(1.2 * good, 1), q.gauss(good, 1)])
+    y = [i % 2 for i in range(120)]
+    rows, pool = [draw(v) for v in y], [draw(q.randrange(2)) for _ in range(200)]
+    apart = [i % 4 == 0 for i in range(120)]
+    text, meta, pool_text, pool_meta = (np.array(v) for v in (*zip(*rows, strict=True), *zip(*pool, strict=True)))
+    model = quality.CoTrained().fit(text, meta, np.array(y, float), np.array(apart), pool_text, pool_meta, rounds=3)
+
+    known = [[(r[v], t) for r, t, a in zip(rows, y, apart, strict=True) if not a] for v in (0, 1)]
+    kept, free, given = [(r, t) for r, t, a in zip(rows, y, apart, strict=True) if a], set(range(200)), []
+    for turn in range(4):
+        views = []
+        for v in (0, 1):
+            raw = plain_logistic([x for x, _ in known[v]], [t for _, t in known[v]], 1.0)
+            scale = plain_logistic([[raw(r[v])] for r, _ in kept], [t for _, t in kept], 1e-3)
+            views.append(lambda x, raw=raw, scale=scale: scale([raw(x)]))
+        if turn == 3 or not free:
+            break
+        for v in (0, 1):
+            p = {i: 1 / (1 + math.exp(-views[v](pool[i][v]))) for i in range(200)}
+            for label in (1, 0):
+                sure = sorted((i for i in free if (p[i] >= quality.SURE if label else p[i] <= 1 - quality.SURE)), key=lambda i: (abs(p[i] - label), i))[: quality.MOST]
+                known[1 - v] += [(pool[i][1 - v], label) for i in sure]
+                free -= set(sure)
+                given.append(len(sure))
+    both = plain_logistic([[views[0](r[0]), views[1](r[1])] for r, _ in kept], [t for _, t in kept], 1e-2)
+    assert sum(given) > 20  # each view has taught the other something
+    for got, view, v in zip(model.score(pool_text, pool_meta)[:2], views, (0, 1), strict=True):
+        assert np.allclose(got, [1 / (1 + math.exp(-view(r[v]))) for r in pool], atol=1e-4)
+    assert np.allclose(model.score(pool_text, pool_meta)[2], [1 / (1 + math.exp(-both([views[0](r[0]), views[1](r[1])]))) for r in pool], atol=1e-4)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Many rows of null ids and of one id: the sample that comes to the driver stays small, scores come for all."""
+    rows = [(None, "same text") for _ in range(500)] + [(1, f"text {i}") for i in range(500)] + [(i, f"good text {i}." if i % 2 else "BAD!! " * 9) for i in range(2, 200)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, quality int")
+    seen, fit = [], quality.CoTrained.fit
+    monkeypatch.setattr(quality.CoTrained, "fit", lambda self, text, meta, y, apart, pool_text, pool_meta: seen.append(len(text) + len(pool_text)) or fit(self, text, meta, y, apart, pool_text, pool_meta))
+    model = quality.train(docs, labels, max_labelled=60, max_pool=40)
+    assert seen and seen[0] <= 200 and quality.score(docs, model).count() == len(rows)
+
+
 def test_token_rollup(spark, tmp_path):
     roll = token_rollup.Rollup(spark, str(tmp_path))
     one = spark.createDataFrame([("a", "en", "v1", 10), ("a", "en", "v1", None), (None, None, "v1", 3), ("b", "de", "v1", 7)], "source string, lang string, version string, n_tokens long")
