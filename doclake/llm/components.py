@@ -11,8 +11,9 @@ from doclake.llm.common import stored
 def components(links: DataFrame, path: str) -> DataFrame:
     """node, comp: the least node that each node of `links` (a, b) can reach.
 
-    A round takes the least label among neighbours, then the label of that label, so paths shrink by more than
-    half. Labels and links stay distributed; the driver sees one count a round.
+    A round takes the least label among neighbours, gives it to the node that was the own label too, and then takes the
+    label of that label. So trees of labels hang on to each other whole, and the rounds grow with the logarithm of the
+    longest path. Labels and links stay distributed; the driver sees one row a round.
     """
     both = stored(links.select("a", "b").unionByName(links.selectExpr("b AS a", "a AS b")).distinct(), f"{path}/both")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
@@ -20,7 +21,9 @@ def components(links: DataFrame, path: str) -> DataFrame:
     while True:
         turn += 1
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        least = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("now"))
+        told = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("now"))
+        hung = told.select(F.col("was").alias("node"), F.lit(None).cast(told.schema["was"].dataType).alias("was"), "now")
+        least = told.unionByName(hung).groupBy("node").agg(F.max("was").alias("was"), F.min("now").alias("now"))
         least = stored(least, f"{path}/least{turn}")
         up = least.select(F.col("node").alias("now"), F.col("now").alias("next"))
         after = stored(least.join(up, "now").select("node", "was", F.least("now", "next").alias("comp")), f"{path}/labels{turn}")

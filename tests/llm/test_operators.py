@@ -127,6 +127,20 @@ def components(texts):
     return sets, label
 
 
+def test_components_of_paths(spark, tmp_path):
+    """Long paths, rings and stars with shuffled names, in few rounds."""
+    from doclake.llm.components import components as connected
+
+    q = random.Random(6)
+    names = q.sample(range(10**6), 1300)
+    groups = [names[:1000], names[1000:1200], names[1200:1290], names[1290:1292], names[1292:]]
+    links = [*zip(groups[0], groups[0][1:], strict=False), *zip(groups[1], groups[1][1:] + groups[1][:1], strict=True), *((groups[2][0], x) for x in groups[2][1:]), tuple(groups[3]), *((b, a) for a, b in zip(groups[4], groups[4][1:], strict=False)), (groups[3][0], groups[3][1])]
+    q.shuffle(links)
+    got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(links, "a long, b long"), str(tmp_path)).collect()}
+    assert got == {x: min(g) for g in groups for x in g}
+    assert len(list(tmp_path.glob("least*"))) <= 12
+
+
 def near_texts(seed):
     """Texts of many sizes and copies with edits, so that similarities lie on both sides of 0.8."""
     q = random.Random(seed)
