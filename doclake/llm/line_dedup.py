@@ -244,6 +244,7 @@ def line_runs(docs: DataFrame, path: str, min_docs: int = MIN_DOCS, min_chars: i
     runs = Runs(f"{path}/runs", min_docs)
     for b in range(batches):
         runs.add(held.where(F.col("batch") == b).select("h1", "h2", "n"))
+    removed(docs.sparkSession, f"{path}/counted")
     return runs
 
 

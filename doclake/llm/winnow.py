@@ -124,11 +124,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return named_back(held.mapInArrow(run, f"{typed(held)}, hashes array<long>, positions array<long>"), back)
 
 
-def _stretch(id_: Column, cuts: list[int], step: int = 100) -> Column:
-    """How many of the descending `cuts` are above the id, found in two steps; null ids come last."""
+def _stretch(id_: Column, cuts: list[int], kind: str, step: int = 100) -> Column:
+    """How many of the descending `cuts` are above the id, found in two steps; null ids come last.
+
+    The cuts are one literal each time, which Spark makes an array once, however many partitions there are.
+    """
     if not cuts:
         return F.when(id_.isNull(), F.lit(1)).otherwise(F.lit(0))
-    all_, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::step]))
+    all_, coarse = (F.split(F.lit(",".join(map(str, c))), ",").cast(f"array<{kind}>") for c in (cuts, cuts[::step]))
     hop = F.greatest(F.size(F.filter(coarse, lambda c: c > id_)) - 1, F.lit(0)) * step
     fine = F.size(F.filter(F.slice(all_, hop + 1, F.lit(step)), lambda c: c > id_))
     return F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(hop + fine)
@@ -143,13 +146,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    shares = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.agg(F.percentile_approx("doc_id", shares, 10 * n)).first()[0] or []
-    rows = docs.select("doc_id", "text", _stretch(F.col("doc_id"), sorted(set(found), reverse=True)).alias("own"))
+    rows = docs.select("doc_id", "text", _stretch(F.col("doc_id"), sorted(set(found), reverse=True), kind).alias("own"))
     heads = sorted(rows.groupBy("own").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return rows.select(F.col("own").alias("stretch"), F.lit(False).alias("lent"), "doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
     lent = spark.createDataFrame([(h[0], h[1], heads[i - 1][0]) for i, h in enumerate(heads)], f"own int, head {kind}, to int")
     both = rows.join(F.broadcast(lent), "own")  # a row for each stretch
     once = F.struct(F.col("own").alias("stretch"), F.lit(False).alias("lent"))
