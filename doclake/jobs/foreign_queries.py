@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from doclake.jobs import convert as c
 from doclake.jobs.fixtures import built
+from doclake.jobs.resolved import resolve_docx
 from doclake.operators import quality
 from doclake.operators import records as rec
 from doclake.sources import package
@@ -90,6 +91,30 @@ def media_and_spans(spark, sf_dir):
     return images.join(spans, "doc_id")
 
 
+def _style(name: str, based: str, inner: str) -> str:
+    return f'<w:style w:styleId="{name}"><w:name w:val="{name}"/>' + (f'<w:basedOn w:val="{based}"/>' if based else "") + inner + "</w:style>"
+
+
+STYLED = {
+    "word/document.xml": '<w:document xmlns:w="w" xmlns:r="r"><w:body>' + "".join([
+        _p(_r("plain") + _r("marked", '<w:highlight w:val="yellow"/>') + _r("dark", '<w:shd w:fill="000000"/>') + _r("boxed", "<w:bdr/>") + '<w:hyperlink r:id="a">' + _r("link") + "</w:hyperlink>" + _r("own", '<w:sz w:val="24"/><w:color w:val="AA0000"/>'), '<w:pStyle w:val="T"/>'),
+        _p(_r("plain"), '<w:pStyle w:val="B"/><w:jc w:val="right"/><w:spacing w:after="99"/><w:ind w:left="{k}" w:hanging="10"/><w:keepNext/><w:keepLines w:val="0"/><w:pageBreakBefore/><w:outlineLvl w:val="{level}"/>'),
+        _p(_r("plain"), '<w:pStyle w:val="B"/>'),
+    ]) + "</w:body></w:document>",
+    "word/styles.xml": '<w:styles xmlns:w="w">'
+    + _style("B", "", '<w:pPr><w:ind w:left="100"/><w:spacing w:after="40" w:line="480" w:lineRule="auto"/></w:pPr><w:rPr><w:sz w:val="30"/><w:color w:val="112233"/></w:rPr>')
+    + _style("M", "B", '<w:pPr><w:jc w:val="both"/><w:spacing w:before="20" w:line="200" w:lineRule="exact"/></w:pPr>') + _style("T", "M", "") + "</w:styles>",
+}
+
+
+def resolved_paragraphs(spark, sf_dir):
+    return resolve_docx(_parts(spark, sf_dir, STYLED)).paragraphs
+
+
+def resolved_runs(spark, sf_dir):
+    return resolve_docx(_parts(spark, sf_dir, STYLED)).runs.select("doc_id", "para", "text", "size", "color", "shade", "fill", "underline", "shape_id")
+
+
 def _hp(text: str, para: int, style: int, char: int = 1) -> str:
     return f'<hp:p paraPrIDRef="{para}" styleIDRef="{style}"><hp:run charPrIDRef="{char}"><hp:t>{text}</hp:t></hp:run></hp:p>'
 
@@ -193,6 +218,11 @@ QUERIES = {
     "foreign_docx_markdown": (docx_to_md, f"SELECT c_custkey AS doc_id, {MD} AS md, CAST(NULL AS VARCHAR) AS error FROM customer"),
     "docx_hwpx_docx_markdown": (docx_through_formats, f"SELECT c_custkey AS doc_id, {MD} AS md, CAST(NULL AS VARCHAR) AS error FROM customer"),
     "media_and_spans": (media_and_spans, "SELECT c_custkey AS doc_id, 1 AS n_images, md5(unhex('89504E47') || CAST(CAST(c_custkey AS VARCHAR) AS BLOB)) AS picture, 5 AS n_cells, 2 AS tallest, 2 AS widest, 1 AS n_merged FROM customer"),
+    "resolved_docx_paragraphs": (resolved_paragraphs, """SELECT c_custkey AS doc_id, p.*, 30 + p.para AS shape_id FROM customer, LATERAL (
+  SELECT 0 AS para, 'justify' AS align, 500 AS "left", 0 AS "right", 0 AS indent, 100 AS before, 0 AS after, 'FIXED' AS line_type, 1000 AS line_value, 0 AS level, false AS keep_next, false AS keep_lines, false AS break_before
+  UNION ALL SELECT 1, 'right', CAST(5 * c_custkey AS INT), 0, -50, 0, 0, 'PERCENT', 115, CAST(c_custkey % 3 AS INT), true, false, true UNION ALL SELECT 2, 'left', 500, 0, 0, 0, 0, 'PERCENT', 200, 0, false, false, false) p"""),
+    "resolved_docx_runs": (resolved_runs, """SELECT c_custkey AS doc_id, p.* FROM customer, (VALUES (0, 'plain', 1500, '112233', 'none', '1', false, 29), (0, 'marked', 1500, '112233', 'FFFF00', 'FFFF00', false, 30), (0, 'dark', 1500, 'FFFFFF', 'none', '6', false, 31),
+  (0, 'boxed', 1500, '112233', 'none', '5', false, 32), (0, 'link', 1500, '0000FF', 'none', '1', true, 33), (0, 'own', 1200, 'AA0000', 'none', '1', false, 34), (1, 'plain', 1500, '112233', 'none', '1', false, 29), (2, 'plain', 1500, '112233', 'none', '1', false, 29)) p(para, text, size, color, shade, fill, underline, shape_id)"""),
     "foreign_hwpx_markdown": (hwpx_to_md, f"""SELECT c_custkey AS doc_id, concat('## Title ', c_custkey, chr(10), chr(10), 'shape three', chr(10), chr(10), '### head', chr(10), chr(10), '  2. item', chr(10), chr(10), '**bold** plain', chr(10), chr(10),
   '| tall | one<br>two |', chr(10), '| --- | --- |', chr(10), '| B |', chr(10), chr(10), '| deep ', c_custkey, ' |', chr(10), '| --- |', chr(10), chr(10), '![image](data:image/png;base64,', {PICTURE_SQL}, ')', chr(10), chr(10),
   '[link](http://x/', c_custkey, ') end', chr(10), c_name, chr(10), chr(10), 'last') AS md, CAST(NULL AS VARCHAR) AS error FROM customer"""),

@@ -64,6 +64,68 @@ def resolved_shapes(rows: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
     return rows.join(shapes, ["doc_id", key], "left")
 
 
+#: Colours of highlights by name, fixed values.
+HIGHLIGHTS = {
+    "black": "000000", "blue": "0000FF", "cyan": "00FFFF", "green": "008000", "magenta": "FF00FF", "red": "FF0000", "yellow": "FFFF00", "white": "FFFFFF", "darkBlue": "00008B", "darkCyan": "008B8B",
+    "darkGreen": "006400", "darkMagenta": "8B008B", "darkRed": "8B0000", "darkYellow": "808000", "darkGray": "A9A9A9", "lightGray": "D3D3D3",
+}
+#: Ids of border fills that all documents have: none, boxed text, black (fixed values).
+NO_FILL, BOX_FILL, BLACK_FILL = "1", "5", "6"
+#: HWPUNIT of a twip, and of half a point in the unit of text sizes.
+TWIP, HALF_POINT = 5, 50
+
+
+def _line(value: Column, rule: Column, of_type: bool) -> Column:
+    """Kind or value of a line spacing: a share of 240 by rule auto, else a length."""
+    auto = rule.isNull() | (rule == "auto")
+    if of_type:
+        return F.when(value.isNull() | auto, "PERCENT").when(rule == "exact", "FIXED").when(rule == "atLeast", "ATLEAST").otherwise("PERCENT")
+    return F.when(value.isNull() | ~(auto | rule.isin("exact", "atLeast")), 115).when(auto, F.floor(value / 240 * 100 + 0.5)).otherwise(value * TWIP).cast("int")
+
+
+def resolved_paragraphs(paragraphs: DataFrame, inherited: DataFrame) -> DataFrame:
+    """Paragraphs (doc_id, para, style_id, direct properties in twips, last) with what they end up with, in HWPUNIT.
+
+    Indents and spacings are blocks: a paragraph that has any of one takes all of it, else the nearest style that has.
+    A direct `after` becomes 0, and so does that of a document's last block. inherited: align, ind and spacing.
+    """
+    own = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()
+    rows = paragraphs.join(inherited.select("doc_id", "style_id", F.col("align").alias("s_align"), "ind", "spacing"), ["doc_id", "style_id"], "left")
+    rows = rows.withColumns({"has_ind": own("ind_left", "ind_right", "first_line", "hanging"), "has_spacing": own("before", "after", "line")})
+    ind = {c: F.when(F.col("has_ind"), F.col(c)).otherwise(F.col(f"ind.{c}")) for c in ("ind_left", "ind_right", "first_line", "hanging")}
+    space = {c: F.when(F.col("has_spacing"), F.col(c)).otherwise(F.col(f"spacing.{c}")) for c in ("before", "after", "line", "line_rule")}
+    zero = lambda c: F.coalesce(c * TWIP, F.lit(0)).cast("int")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.select(
+        "doc_id", "para", alignment(F.col("align"), F.col("s_align")).alias("align"), zero(ind["ind_left"]).alias("left"), zero(ind["ind_right"]).alias("right"),
+        F.coalesce(-ind["hanging"] * TWIP, ind["first_line"] * TWIP, F.lit(0)).cast("int").alias("indent"), zero(space["before"]).alias("before"),
+        F.when(F.col("last") | F.col("has_spacing"), 0).otherwise(zero(space["after"])).alias("after"),
+        _line(space["line"], space["line_rule"], True).alias("line_type"), _line(space["line"], space["line_rule"], False).alias("line_value"),
+        F.coalesce("outline", F.lit(0)).alias("level"), flag("keep_next"), flag("keep_lines"), flag("break_before"),
+    )
+
+
+def resolved_runs(runs: DataFrame, inherited: DataFrame) -> DataFrame:
+    """Runs (doc_id, para, pos, style_id of the paragraph, direct properties, link) with what they end up with.
+
+    size in hundredths of a point, colours as rrggbb. Highlight and shade give the fill's colour, black shade turns black
+    text white, boxed text has a fill of its own. A colour that is still black comes from the style, but not of links.
+    """
+    names = F.create_map(*[F.lit(x) for pair in HIGHLIGHTS.items() for x in pair])
+    rows = runs.join(inherited.select("doc_id", "style_id", F.col("sz").alias("s_size"), F.nullif("color", F.lit("auto")).alias("s_color")), ["doc_id", "style_id"], "left")
+    link, black = F.coalesce("link", F.lit(False)), F.coalesce(F.col("shade").isin("000000", "black"), F.lit(False))
+    color = F.coalesce("color", F.when(link, "0000FF").otherwise("000000"))
+    color = F.when(black & (color == "000000"), "FFFFFF").otherwise(color)
+    color = F.when((color == "000000") & ~link, F.coalesce("s_color", F.lit("000000"))).otherwise(color)
+    shade = F.coalesce(F.when(~black, F.col("shade")), F.try_element_at(names, F.col("highlight")), F.lit("none"))
+    fill = F.when(F.coalesce("boxed", F.lit(False)), BOX_FILL).when(black, BLACK_FILL).when(shade != "none", shade).otherwise(NO_FILL)
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.select(
+        "doc_id", "para", "pos", "text", *[flag(c) for c in ("bold", "italic", "strike", "sup", "sub")], (F.coalesce("underline", F.lit(False)) | link).alias("underline"),
+        F.coalesce((F.col("size_pt") * 2 * HALF_POINT).cast("int"), F.col("s_size") * HALF_POINT, F.lit(1000)).alias("size"), color.alias("color"), shade.alias("shade"), fill.alias("fill"), "font",
+    )
+
+
 def border_fill_lookup(rows: DataFrame, fills: DataFrame, by_position: bool = False) -> DataFrame:
     """Rows (doc_id, ..., fill) with left, right, top, bottom and face of the border fill that they name: by its id, or by
     its place from 1 in the order of ids. A fill that isn't there, and place 0, leave them null; white is no face."""

@@ -47,6 +47,12 @@ class _Docx:
     def add(self, kind: str, at: dict, **more):
         self.rows.append({"ord": len(self.rows), "row_type": kind, "sec": 0} | at | more)
 
+    def more_of_paragraph(self, pr) -> dict:
+        return {}
+
+    def more_of_run(self, pr) -> dict:
+        return {}
+
     def blocks(self, parent, at: dict):
         for e in parent:
             tag = _bare(e.tag)
@@ -65,7 +71,7 @@ class _Docx:
         num = _child(pr, "numPr")
         at = at | {"para": self.para}
         ilvl = _val(num, "ilvl")
-        self.add("paragraph", at, style_id=style, align=_val(pr, "jc"), heading=int(level[1]) if level else None, num_id=_val(num, "numId"), ilvl=int(ilvl) if ilvl else None)
+        self.add("paragraph", at, style_id=style, align=_val(pr, "jc"), heading=int(level[1]) if level else None, num_id=_val(num, "numId"), ilvl=int(ilvl) if ilvl else None, **self.more_of_paragraph(pr))
         self.inlines(p, at, None)
 
     def inlines(self, parent, at: dict, link):
@@ -85,7 +91,7 @@ class _Docx:
         style = {
             "bold": _flag(pr, "b"), "italic": _flag(pr, "i"), "underline": _flag(pr, "u"), "strike": _flag(pr, "strike") or _flag(pr, "dstrike"), "size_pt": int(size) / 2 if size and size.isdigit() else None,
             "color": None if color == "auto" else color, "ref": link, "sup": True if place == "superscript" else None, "sub": True if place == "subscript" else None,
-            "font": None if fonts is None else _attr(fonts, "ascii") or _attr(fonts, "hAnsi"),
+            "font": None if fonts is None else _attr(fonts, "ascii") or _attr(fonts, "hAnsi"), **self.more_of_run(pr),
         }
         for e in r:
             tag = _bare(e.tag)
@@ -203,14 +209,40 @@ def _hwpx(root) -> list[dict]:
     return out.rows
 
 
-def _rows(parts: DataFrame, reader) -> DataFrame:
+#: What docx_direct_rows() reads of a paragraph and of a run beside the columns of ROW; null where nothing is said.
+DIRECT = "ind_left int, ind_right int, first_line int, hanging int, before int, after int, line int, line_rule string, outline int, keep_next boolean, keep_lines boolean, break_before boolean, highlight string, shade string, boxed boolean"
+
+
+class _Direct(_Docx):
+    """Rows with the direct properties of paragraphs and runs."""
+
+    def more_of_paragraph(self, pr) -> dict:
+        names = [c for c, _, _ in PARAGRAPH_LENGTHS]
+        told = {"line_rule": _val(pr, "spacing", "lineRule") or None, "outline": _number(_val(pr, "outlineLvl"))}
+        flags = {"keep_next": "keepNext", "keep_lines": "keepLines", "break_before": "pageBreakBefore"}
+        return dict(zip(names, _lengths(pr), strict=True)) | told | {k: _flag(pr, v) for k, v in flags.items()}
+
+    def more_of_run(self, pr) -> dict:
+        shade = _val(pr, "shd", "fill")
+        return {"highlight": _val(pr, "highlight"), "shade": None if shade in ("", "auto") else shade, "boxed": True if _child(pr, "bdr") is not None else None}
+
+
+def _direct(root) -> list[dict]:
+    out = _Direct()
+    out.blocks(_child(root, "body"), {})
+    return out.rows
+
+
+def _rows(parts: DataFrame, reader, columns: str = ROW) -> DataFrame:
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def rows(part, data):
         try:
-            return [(part, *map(x.get, NAMES), None) for x in reader(ET.fromstring(data))]
+            return [(part, *map(x.get, names), None) for x in reader(ET.fromstring(data))]
         except Exception as e:  # told by a row; the job goes on
-            return [(part, *[None] * len(NAMES), f"{type(e).__name__}: {e}")]
+            return [(part, *[None] * len(names), f"{type(e).__name__}: {e}")]
 
-    return mapped_rows(parts, ["part", "bytes"], f"part string, {ROW}, error string", rows)
+    return mapped_rows(parts, ["part", "bytes"], f"part string, {columns}, error string", rows)
 
 
 def docx_rows(parts: DataFrame) -> DataFrame:
@@ -218,6 +250,11 @@ def docx_rows(parts: DataFrame) -> DataFrame:
     return _rows(parts.where("part = 'word/document.xml'"), _docx)
 
 
+def docx_direct_rows(parts: DataFrame) -> DataFrame:
+    """docx_rows() with the columns of DIRECT, for those who resolve styles."""
+    return _rows(parts.where("part = 'word/document.xml'"), _direct, f"{ROW}, {DIRECT}")
+
+
 def hwpx_rows(parts: DataFrame) -> DataFrame:
     """Typed rows of the section parts; sec is the number in the part's name."""
     rows = _rows(parts.where(r"part rlike 'section\\d+\\.xml$'"), _hwpx)
