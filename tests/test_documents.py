@@ -287,3 +287,32 @@ def test_builders(spark):
     assert got["d"]["meta"]["title"] == "T" and got["d"]["meta"]["author"] is None and section["page"]["w"] == 595.28
     assert section["blocks"][0]["list_ordered"] is False and section["blocks"][0]["runs"][0]["bold"] and section["blocks"][0]["runs"][0]["italic"] is None
     assert (got["t"]["rows"][0][0]["col_span"], got["t"]["rows"][0][0]["row_span"], got["i"]["mime"], got["i"]["alt"]) == (2, 1, "image/jpeg", "image")
+
+
+def test_own_formats(spark, monkeypatch):
+    """A reader and a writer of one's own, kept beside the others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setitem(convert.READERS, "shout", lambda docs: convert.read_md(docs.select("doc_id", F.upper("text").alias("md"))))
+    monkeypatch.setitem(convert.WRITERS, "kinds", lambda ir: ir.blocks.groupBy("doc_id").agg(F.count("*").alias("n")))
+    docs = spark.createDataFrame([(1, "# a\n\nb"), (2, "c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["md"] for r in convert.convert(docs, "shout", "md").collect()} == {1: "# A\n\nB", 2: "C"}
+    assert {r["doc_id"]: r["n"] for r in convert.convert(docs, "shout", "kinds").collect()} == {1: 2, 2: 1}
+    with pytest.raises(ValueError):
+        convert.convert(docs, "shout", "none")
+
+
+def test_binary_streams(spark):
+    """Sections in the order of their numbers, a row for a document without body, shapes that begin within a control's units."""
+    plain = lambda t: t.encode("utf-16-le")
+    shape = lambda flags: record(21, 0, bytes(46) + struct.pack("<I", flags))
+    head = record(66, 0, b"\0" * 4)
+    control = struct.pack("<8H", 11, 0, 0, 0, 0, 0, 0, 11)
+    rows = [
+        (1, "DocInfo", shape(0) + shape(2) + shape(1)), (1, "BodyText/Section10", head + record(67, 1, plain("last"))),
+        (1, "BodyText/Section2", head + record(67, 1, plain("a") + control + plain("bc😀d")) + record(68, 1, struct.pack("<6I", 0, 0, 9, 1, 11, 2))),
+        (2, "DocInfo", shape(0)), (3, "BodyText/Section0", b""),
+    ]
+    streams = spark.createDataFrame([(d, n, False, b) for d, n, b in rows], "doc_id long, stream string, compressed boolean, bytes binary")
+    got = {r["doc_id"]: (r["md"], r["error"]) for r in convert.convert(streams, "hwp", "md").collect()}
+    assert got == {1: ("a**bc***😀d*\n\nlast", None), 2: ("", "no body text"), 3: ("", "no body text")} or got == {1: ("a**bc***😀d*\n\nlast", None), 2: (None, "no body text"), 3: (None, "no body text")}
