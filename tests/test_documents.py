@@ -208,7 +208,7 @@ def test_integrity_and_union(spark):
     assert package.union_ir(one, two.withColumnRenamed("t", "u")).columns == ["doc_id", "t", "u"]
     assert scratch(spark) != scratch(spark)
     with pytest.raises(ValueError):
-        convert.convert(one, "hwp", "md")
+        convert.convert(one, "md", "hwp")  # nothing writes binary documents
 
 
 def test_place_cells_and_widths(spark):
