@@ -57,8 +57,7 @@ DOCX = {
         _p(_r("Title {k}"), '<w:pStyle w:val="1"/>'),
         _p(_r("Body {name}"), '<w:pStyle w:val="Heading2"/>'),
         _list(5, "{level}", "item {k}"), _list(2, "0", "dot"), _list(0, "0", "no list"),
-        f'<w:tbl><w:tr>{_tc("wide", chr(60) + "w:gridSpan w:val=" + chr(34) + "2" + chr(34) + "/>")}{_tc("tall {k}", chr(60) + "w:vMerge w:val=" + chr(34) + "restart" + chr(34) + "/>")}</w:tr>'
-        f'<w:tr>{_tc("a")}{_tc("b")}{_tc("", chr(60) + "w:vMerge/>")}</w:tr></w:tbl>',
+        "<w:tbl><w:tr>" + _tc("wide", '<w:gridSpan w:val="2"/>') + _tc("tall {k}", '<w:vMerge w:val="restart"/>') + "</w:tr><w:tr>" + _tc("a") + _tc("b") + _tc("", "<w:vMerge/>") + "</w:tr></w:tbl>",
         _p(_r("x") + _r("2", '<w:vertAlign w:val="superscript"/>') + _r(" off", '<w:b w:val="0"/><w:i w:val="false"/><w:u w:val="none"/>') + _r(" on", "<w:b/>")),
         _p(_r("see ") + '<w:r><w:drawing><a:blip r:embed="rId77"/></w:drawing></w:r><w:hyperlink r:id="rId9">' + _r("link") + '</w:hyperlink><w:hyperlink w:anchor="here">' + _r("anchor") + "</w:hyperlink>"),
     ]) + "</w:body></w:document>",
@@ -134,7 +133,7 @@ HWPX = {
     "Contents/section2.xml": _SEC('<hp:p paraPrIDRef="3" styleIDRef="8"><hp:run charPrIDRef="1"><hp:ctrl><hp:fieldBegin type="HYPERLINK" url="http://x/{k}"/></hp:ctrl><hp:t>link</hp:t><hp:ctrl><hp:fieldEnd/></hp:ctrl><hp:t> end<hp:lineBreak/>{name}</hp:t></hp:run></hp:p>'),
     "Contents/section0.xml": _SEC(
         _hp("Title {k}", 12, 8) + _hp("shape three", 3, 8) + _hp("head", 3, 9) + _hp("item", 20, 8)
-        + f'<hp:p paraPrIDRef="3" styleIDRef="8"><hp:run charPrIDRef="5"><hp:t>bold</hp:t></hp:run><hp:run charPrIDRef="1"><hp:t> plain</hp:t></hp:run></hp:p>'
+        + '<hp:p paraPrIDRef="3" styleIDRef="8"><hp:run charPrIDRef="5"><hp:t>bold</hp:t></hp:run><hp:run charPrIDRef="1"><hp:t> plain</hp:t></hp:run></hp:p>'
         + "<hp:p><hp:run><hp:tbl><hp:tr>" + _hc(_hp("tall", 3, 8), 0, 0, 2) + _hc(_hp("one", 3, 8) + _hp("two", 3, 8), 0, 1) + "</hp:tr><hp:tr>" + _hc(_hp("B", 3, 8) + _DEEP, 1, 1) + "</hp:tr></hp:tbl></hp:run></hp:p>"
         + '<hp:p paraPrIDRef="3"><hp:run><hp:pic><hc:img binaryItemIDRef="image3"/></hp:pic></hp:run></hp:p>'
     ),
