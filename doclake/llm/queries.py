@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, token_rollup, warc, winnow
+from doclake.llm import bpe, chat, collocations, exact_dedup, jaccard_join, lexical, line_dedup, lm_score, mixing, quality, token_rollup, warc, winnow
 from doclake.llm.common import public_vocabulary, table
 
 
@@ -54,6 +54,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(chat.control_conversation(rows))))
 
 
+def op11_multikey_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_bpe": op8_vector_bpe,
         "op9_winnowing": op9_winnowing,
         "op10_chat_format": op10_chat_format,
+        "op11_multikey_phrases": op11_multikey_phrases,
+        "op12_stratified_search": op12_stratified_search,
         "op13_sequential_warc": op13_sequential_warc,
     }
 
@@ -80,5 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_runs": line_dedup.ORACLE,
         "op7_token_rollup": token_rollup.ORACLE,
         "op10_chat_format": chat.ORACLE,
+        "op11_multikey_phrases": collocations.ORACLE,
+        "op12_stratified_search": lexical.ORACLE,
         "op13_sequential_warc": warc.ORACLE,
     }
