@@ -169,15 +169,16 @@ def _given_words(lang, numbers, known):
 
 
 class Filter:
-    """2^FILTER bits of which some are set for each key."""
+    """2^size bits of which some are set for each key."""
 
-    def __init__(self, spark: SparkSession, keys: DataFrame):
+    def __init__(self, spark: SparkSession, keys: DataFrame, size: int = FILTER):
         """keys: a column k of 64 bits. What comes to the driver is bounded by the size of the table."""
         import numpy as np
 
-        bits = np.zeros(1 << (FILTER - 6), np.uint64)
-        slot = F.shiftrightunsigned("k", 64 - FILTER)
-        for at in (slot, F.col("k").bitwiseAND(F.lit((1 << FILTER) - 1))):
+        self.size = size
+        bits = np.zeros(1 << (size - 6), np.uint64)
+        slot = F.shiftrightunsigned("k", 64 - size)
+        for at in (slot, F.col("k").bitwiseAND(F.lit((1 << size) - 1))):
             told = keys.select(at.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("b"))
             got = told.toArrow()
             place, held = (got.column(c).to_numpy() for c in ("w", "b"))
@@ -188,7 +189,7 @@ class Filter:
         import numpy as np
 
         bits, out = self.table.value, True
-        for slot in (keys >> np.uint64(64 - FILTER), keys & np.uint64((1 << FILTER) - 1)):
+        for slot in (keys >> np.uint64(64 - self.size), keys & np.uint64((1 << self.size) - 1)):
             out = out & ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
         return out
 
@@ -371,16 +372,16 @@ def word_counts(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
     raise ValueError("words share hashes under every seed")
 
 
-def phrase_counts(rows: DataFrame, path: str, least: int = LEAST, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(rows: DataFrame, path: str, least: int = LEAST, hot: int = HOT, filter_bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
     """(lang, h, word, f of all words; lang, w array of word hashes, f of phrases of 1 to DEPTH words found `least` times)."""
     spark = rows.sparkSession
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words, seed = word_counts(rows, path)
     frequent = words.where(F.col("f") >= least)
-    good_words = Filter(spark, frequent.select("lang", "h").mapInArrow(_word_keys, "k long"))
+    good_words = Filter(spark, frequent.select("lang", "h").mapInArrow(_word_keys, "k long"), filter_bits)
     told = rows.mapInArrow(_read(seed, _given_pairs(good_words, parts)), "part int, keys binary, counts binary")
     pairs = stored(told.groupBy("part").applyInArrow(_added_pairs(least), "k long, f long"), f"{path}/pairs")
-    good_pairs = Filter(spark, pairs.select("k"))
+    good_pairs = Filter(spark, pairs.select("k"), filter_bits)
     most = max(hot, (pairs.agg(F.sum("f")).first()[0] or 0) // MOST_HOT)
     salts = {r["k"] % (1 << 64): -(-r["f"] // most) for r in pairs.where(F.col("f") > most).collect()}  # MOST_HOT at most
     told = rows.mapInArrow(_read(seed, _given_suffixes(good_words, good_pairs, salts, parts)), "lang string, part int, keys binary, weights binary")
@@ -396,11 +397,11 @@ def _whole(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, hot: int = HOT, filter_bits: int = FILTER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's `top` phrases of 2 to DEPTH words."""
     path = scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    words, grams = phrase_counts(rows, path, least, hot)
+    words, grams = phrase_counts(rows, path, least, hot, filter_bits)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     phrases = grams.where(F.size("w") > 1)
     # a phrase two words longer has no greater count than the one between, so the phrases one word longer tell all

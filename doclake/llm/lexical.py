@@ -118,14 +118,14 @@ def _postings(wanted: dict[bytes, int], n_docs: int, n_terms: int, blocks: dict[
     return run
 
 
-def _blocks(table):
+def _blocks(table, block: int):
     """One part of a stratum as blocks: terms in order, for each its runs by tf, and the documents of each run."""
     import numpy as np
     import pyarrow as pa
 
     out = []
-    for start in range(0, table.num_rows, BLOCK):
-        own = table.slice(start, BLOCK).combine_chunks()
+    for start in range(0, table.num_rows, block):
+        own = table.slice(start, block).combine_chunks()
         terms = [np.frombuffer(x, np.int32) for x in own.column("terms").to_pylist()]
         doc = np.repeat(np.arange(len(terms), dtype=np.int16), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.frombuffer(b"".join(own.column("tfs").to_pylist()), np.int32)
@@ -135,7 +135,7 @@ def _blocks(table):
         first = np.flatnonzero(np.append(True, term[run][1:] != term[run][:-1]))  # of each term among the runs
         last = np.append(first[1:], len(run)) - 1
         out.append({
-            "m": own.column("m")[0].as_py(), "part": own.column("block")[0].as_py(), "nth": start // BLOCK, "ids": own.column("doc_id").to_pylist(),
+            "m": own.column("m")[0].as_py(), "part": own.column("block")[0].as_py(), "nth": start // block, "ids": own.column("doc_id").to_pylist(),
             "terms": term[run][first].tobytes(), "top_tf": tf[run][last].tobytes(), "runs_of": np.append(first, len(run)).astype(np.int32).tobytes(),
             "tfs": tf[run].tobytes(), "docs_of": np.append(run, len(term)).astype(np.int32).tobytes(), "docs": doc.tobytes(),
         })
@@ -146,8 +146,7 @@ def _blocks(table):
 class Index:
     """The written blocks of documents for a set of terms, and what weighs them."""
 
-    def __init__(self, docs: DataFrame, terms: list[bytes], path: str):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, terms: list[bytes], path: str, block: int = BLOCK):
         rows = docs.select("doc_id", "text")
         id_type = docs.schema["doc_id"].dataType.simpleString()
         self.number = {t: i for i, t in enumerate(sorted(set(terms)), 1)}
@@ -160,12 +159,12 @@ class Index:
         self.weights = {t: weight(self.n_docs, df[i]) for t, i in self.number.items() if i in df}
         # strata are as many as lengths of documents tell apart, a bound that does not grow with their number
         m = F.expr(f"{100 - LENGTH} + ({LENGTH} * key * {max(1, self.n_docs)}L) DIV {max(1, self.n_terms)}L")
-        full = lengths.groupBy(m.alias("m")).agg(F.sum("f").alias("f")).where(F.col("f") > BLOCK)
-        parts = {r["m"]: -(-r["f"] // BLOCK) for r in full.collect()}
+        full = lengths.groupBy(m.alias("m")).agg(F.sum("f").alias("f")).where(F.col("f") > block)
+        parts = {r["m"]: -(-r["f"] // block) for r in full.collect()}
         wanted = {t: i for t, i in self.number.items() if t in self.weights}
         made = rows.mapInArrow(_postings(wanted, self.n_docs, self.n_terms, parts), f"m long, block int, doc_id {id_type}, terms binary, tfs binary")
         packed = ", ".join(f"{c} binary" for c in ("terms", "top_tf", "runs_of", "tfs", "docs_of", "docs"))
-        blocks = made.groupBy("m", "block").applyInArrow(_blocks, f"m long, part int, nth int, ids array<{id_type}>, {packed}")
+        blocks = made.groupBy("m", "block").applyInArrow(lambda t: _blocks(t, block), f"m long, part int, nth int, ids array<{id_type}>, {packed}")
         self.blocks = stored(blocks, f"{path}/blocks")
         self.id_type = id_type
 
@@ -210,7 +209,7 @@ class Block:
         self.impacts = np.repeat(impacts, np.diff(docs_of))
         self.begins = docs_of[runs_of].astype(np.int64)  # of each term among the postings
 
-    def scores(self, query: Query, place, there, items, most: int):
+    def scores(self, query: Query, place, there, items, most: int, gathered: int = GATHERED):
         """(some of the items, their scores by document) until all items are told. most: the greatest bound."""
         import numpy as np
 
@@ -220,11 +219,11 @@ class Block:
         start, size = self.begins[place[entry]], np.diff(self.begins)[place[entry]]
         row, total = chosen[query.item[entry]], np.cumsum(size)
         first = 0
-        while first < len(items):  # as many items as GATHERED postings allow, one at least
+        while first < len(items):  # as many items as `gathered` postings allow, one at least
             x = np.searchsorted(row, first)
-            y = np.searchsorted(total, (total[x - 1] if x else 0) + GATHERED, "right")
+            y = np.searchsorted(total, (total[x - 1] if x else 0) + gathered, "right")
             last = len(items) if y >= len(entry) else max(first + 1, int(row[y]))
-            last = min(last, first + max(1, GATHERED // len(self.ids)))
+            last = min(last, first + max(1, gathered // len(self.ids)))
             y = np.searchsorted(row, last)
             n = size[x:y]
             at = np.arange(n.sum()) + np.repeat(start[x:y] - np.cumsum(n) + n, n)
@@ -283,7 +282,7 @@ def _leading(query, best: int):
     return run
 
 
-def _visited(query, top: int, marks, done: dict[tuple, set[int]], only: bool, id_type):
+def _visited(query, top: int, marks, done: dict[tuple, set[int]], only: bool, gathered: int):
     """item, score, doc_id of the first `top` of each item in a task.
 
     marks: the score that a document has to reach by item. done: items by block (m, part, nth); with `only` these are the
@@ -316,7 +315,7 @@ def _visited(query, top: int, marks, done: dict[tuple, set[int]], only: bool, id
                 if not len(items):
                     continue
                 block = Block(batch.slice(i, 1).to_pylist()[0])
-                for some, scores in block.scores(query, place, there, items, most):
+                for some, scores in block.scores(query, place, there, items, most, gathered):
                     for item in np.flatnonzero((scores >= mark[some][:, None]).any(axis=1)).tolist():
                         own = int(some[item])
                         best[own] = _best(best[own], scores[item], block.ids, top, int(mark[own]))
@@ -331,40 +330,43 @@ def _visited(query, top: int, marks, done: dict[tuple, set[int]], only: bool, id
     return run
 
 
-def _search(index: Index, items: list[list[bytes]], top: int, path: str) -> DataFrame:
+def _search(index: Index, items: list[list[bytes]], top: int, path: str, best: int, gathered: int) -> DataFrame:
     """item (its place), rank, doc_id, score."""
     query = index.query(items)
     out_type = f"item int, score long, doc_id {index.id_type}"
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "m", "part", "nth")
-    heads = index.blocks.select("m", "part", "nth", "terms", "top_tf").mapInArrow(_leading(query, BEST), "item int, bound long, m long, part int, nth int")
-    first = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= BEST).collect()  # BEST rows an item
+    heads = index.blocks.select("m", "part", "nth", "terms", "top_tf").mapInArrow(_leading(query, best), "item int, bound long, m long, part int, nth int")
+    first = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= best).collect()  # so many rows an item
     done: dict[tuple, set[int]] = {}
     for r in first:
         done.setdefault((r["m"], r["part"], r["nth"]), set()).add(r["item"])
     none = [0] * len(items)
     strata = sorted({k[0] for k in done})
-    seeds = index.blocks.where(F.col("m").isin(strata)).mapInArrow(_visited(query, top, none, done, True, index.id_type), out_type)
+    seeds = index.blocks.where(F.col("m").isin(strata)).mapInArrow(_visited(query, top, none, done, True, gathered), out_type)
     seeds = stored(seeds, f"{path}/seeds")
     by_score = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = lambda df: df.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top)
     marks = list(none)
     for r in ranked(seeds).where(F.col("rank") == top).collect():  # a row an item
         marks[r["item"]] = r["score"]
-    rest = index.blocks.mapInArrow(_visited(query, top, marks, done, False, index.id_type), out_type)
+    rest = index.blocks.mapInArrow(_visited(query, top, marks, done, False, gathered), out_type)
     return stored(ranked(seeds.unionByName(rest)), f"{path}/hits")
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
-    """item_id, rank, doc_id, score: for each item (item_id, text) the `top` documents (doc_id, text) of highest scores."""
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = BLOCK, at_once: int = ITEMS, best: int = BEST, gathered: int = GATHERED) -> DataFrame:
+    """item_id, rank, doc_id, score: for each item (item_id, text) the `top` documents (doc_id, text) of highest scores.
+
+    The other arguments, whose defaults are described above, bound what a task holds; they change no result.
+    """
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
     asked = stored(items.select("item_id", "text").withColumn("nth", F.monotonically_increasing_id()), f"{path}/items")
     out, kept, last = None, scratch(spark), -1
-    for turn in range(-(-asked.count() // ITEMS)):
-        own = asked.where(F.col("nth") > last).orderBy("nth").limit(ITEMS).collect()
+    for turn in range(-(-asked.count() // at_once)):
+        own = asked.where(F.col("nth") > last).orderBy("nth").limit(at_once).collect()
         last, words = own[-1]["nth"], [terms_of(r["text"]) for r in own]
-        index = Index(docs, [t for x in words for t in x], f"{path}/index{turn}")
-        hits = _search(index, words, top, f"{path}/index{turn}")
-        names = spark.createDataFrame([(i, r["nth"]) for i, r in enumerate(own)], "item int, nth long")  # ITEMS rows at most
+        index = Index(docs, [t for x in words for t in x], f"{path}/index{turn}", block)
+        hits = _search(index, words, top, f"{path}/index{turn}", best, gathered)
+        names = spark.createDataFrame([(i, r["nth"]) for i, r in enumerate(own)], "item int, nth long")  # at_once rows at most
         told = hits.join(F.broadcast(names), "item").join(asked.select("nth", "item_id"), "nth").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         told = stored(told, f"{kept}/hits{turn}")
         removed(spark, f"{path}/index{turn}")
