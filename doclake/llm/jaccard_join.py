@@ -18,7 +18,14 @@ only the most + 1 pieces stay that the fewest sets hold, those that no other hol
 many otherwise different documents share are in the common pieces, which so never bring documents together.
 
 Each piece links its members to one of them first, and only pieces whose members are then in different components
-are joined with themselves. In a band sets of the band below meet only those of the band itself. A dense sketch of
+are joined with themselves. In a band sets of the band below meet only those of the band itself.
+
+Room. Before that join, shingles are counted that no set of another component holds, of all that are left to be joined.
+Two such sets of sizes a and b with u and v of them differ in u + v elements at least, so they need room: (a + b) / 9 is
+not below u + v. One of them then has room by itself, a / 9 not below u; sets without meet only sets with it. So documents
+made from one template, each with more text of its own than a link allows, do not meet each other at all.
+
+A dense sketch of
 1024 bits drops pairs whose Hamming distance is too large, a wide one those of long sets; the rest is verified on
 whole sets. Intermediate tables are removed when the components are known.
 
@@ -36,7 +43,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import columns, removed, scratch, slices, stored, trimmed, unused
+from doclake.llm.common import columns, quoted, removed, scratch, slices, stored, trimmed, unused
 from doclake.llm.components import components
 
 WORDS = 5
@@ -55,6 +62,8 @@ SLICE = 1 << 18
 SPARE = 1.15
 #: Rounds that link a piece's members to one of them, before members of different components meet.
 STARS = 2
+#: Shingles of components with more sets than this count as shared, so a shingle has no more rows than that from a task.
+BIG = 1000
 FIVE = (1 << 40) - 1
 #: Bytes of a word up to which powers are kept.
 USUAL_WORD = 4096
@@ -366,6 +375,67 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
 
 
+def _lone_given(parts: int):
+    """Shingles of sets (cid, comp, d1, d2, text), packed by partition: one row where two components hold a shingle (comp -1),
+    else one for each set that holds it."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def send(held):
+            h, cid, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, cid, comp = h[order], cid[order], comp[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            shared = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+            shared |= comp[first] < 0
+            keep = ~np.repeat(shared, np.diff(np.append(first, len(h))))
+            keep[first] = True
+            comp[first[shared]] = -1
+            h, cid, comp = h[keep], cid[keep], comp[keep]
+            part = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            spans = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True))
+            packed = [pa.array([c[order[x:y]].tobytes() for x, y in spans], pa.binary()) for c in (h, cid, comp)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *packed], ["part", "h", "cid", "comp"])
+
+        held, size = [], 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part, texts in slices(batch, SLICE):
+                    told = zip(shingles(texts), *(part.column(c).to_pylist() for c in ("cid", "comp", "d1", "d2")), strict=True)
+                    for own, cid, comp, d1, d2 in told:
+                        if len(own) and class_key(own) == (d1, d2):
+                            held.append((own, np.full(len(own), cid, np.int64), np.full(len(own), comp, np.int64)))
+                            size += len(own)
+                    if size >= HELD_PIECES:
+                        yield from send(held)
+                        held, size = [], 0
+            if held:
+                yield from send(held)
+        trimmed()
+
+    return run
+
+
+def _lone(table):
+    """Of one partition of shingles: cid, n of the sets that hold n of them which no other component holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    h, cid, comp = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("cid", np.int64), ("comp", np.int64)))
+    order = np.lexsort((cid, h))
+    h, cid, comp = h[order], cid[order], comp[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    alone = (np.minimum.reduceat(comp, first) == np.maximum.reduceat(comp, first)) & (comp[first] >= 0)
+    once = np.append(True, (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]))  # rows that repeat give a set twice
+    ids, counts = np.unique(cid[once & np.repeat(alone, np.diff(np.append(first, len(h))))], return_counts=True)
+    return pa.table({"cid": ids, "n": counts})
+
+
 def _possible(columns: list[str]) -> str:
     """What the sizes and sketches (columns) of two classes x and y tell without their sets."""
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in columns)
@@ -378,15 +448,17 @@ def _possible(columns: list[str]) -> str:
 class Join:
     """One similarity join and its written tables."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, *others: str):
+        """others: columns that tell rows of one id and text apart."""
         spark = docs.sparkSession
         self.path, self.turn = scratch(spark), 0
         self.docs = docs.select("doc_id", "text")
+        text_key = row_key(docs, *others).alias("text_key")
         parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         id_type = docs.schema["doc_id"].dataType.simpleString()
         dense = ", ".join(f"{c} long" for c in [*TOLD, *SKETCH]) + ", wide binary"
         columns = f"part int, keys binary, refs binary, doc_id {id_type}, text_key long, n long, d1 long, d2 long, {dense}"
-        given = self.docs.withColumn("text_key", F.xxhash64(F.lit("text"), F.col("text"))).mapInArrow(_given(parts), f"kind int, {columns}")
+        given = docs.select("doc_id", "text", text_key).mapInArrow(_given(parts), f"kind int, {columns}")
         given.write.partitionBy("kind").parquet(f"{self.path}/given")
         given = spark.read.schema(f"{columns}, kind int").parquet(f"{self.path}/given")
         # documents stay where they are, as copies of one text would all meet in one task; only pieces are dealt out
@@ -463,11 +535,31 @@ class Join:
         pairs = own.join(hubs, "key").where("comp <> h_comp")
         return pairs.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"))
 
+    def _rooms(self, own: DataFrame) -> DataFrame:
+        """cid, room of the sets that are left, but for those that no partner could have room for: a pair needs a sum of 0."""
+        sets = own.select("cid", "comp").distinct()
+        big = sets.groupBy("comp").agg(F.count("*").alias("sets")).where(F.col("sets") > BIG).select("comp", F.lit(True).alias("big"))
+        sets = sets.join(big, "comp", "left").select("cid", F.when(F.col("big"), F.lit(-1)).otherwise(F.col("comp")).alias("comp"))
+        sets = stored(sets.join(self.classes.select("cid", "n", "doc", "d1", "d2"), "cid"), f"{self.path}/left")
+        wanted = sets.select("cid", "comp", "doc", "d1", "d2")
+        if sets.count() <= FEW_IDS:
+            wanted = F.broadcast(wanted)  # of a checked size
+        parts = PARTS * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("cid", "comp", "d1", "d2", "text")
+        alone = found.mapInArrow(_lone_given(parts), "part int, h binary, cid binary, comp binary").groupBy("part").applyInArrow(_lone, "cid long, n long")
+        alone = alone.groupBy("cid").agg(F.sum("n").alias("u"))
+        room = F.expr(f"{100 - THRESHOLD} * n - {100 + THRESHOLD} * coalesce(u, 0)")
+        out = sets.select("cid", "n").join(alone, "cid", "left").withColumn("room", room)
+        return stored(out.where(f"room * {THRESHOLD} + {100 * (100 - THRESHOLD)} * n >= 0").select("cid", "room"), f"{self.path}/rooms")
+
     def _crossed(self, own: DataFrame) -> DataFrame:
-        """Pairs of a piece's members in different components, of which the sketch lets the join itself drop most."""
-        told = stored(own.join(self.classes.select("cid", "n", *SKETCH), "cid"), f"{self.path}/sketched")
-        meet = "x.key = y.key AND x.cid < y.cid AND (x.own OR y.own) AND x.comp <> y.comp AND " + _possible(SKETCH)
-        return told.alias("x").join(told.alias("y"), F.expr(meet)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        """Pairs of a piece's members in different components, one of which has room by itself; of these the sketch lets the
+        join itself drop most."""
+        told = own.join(self._rooms(own), "cid").join(self.classes.select("cid", "n", *SKETCH), "cid")
+        told = stored(told, f"{self.path}/sketched")
+        meet = "x.key = y.key AND x.cid <> y.cid AND (y.room < 0 OR x.cid < y.cid) AND x.room + y.room >= 0 AND (x.own OR y.own) AND x.comp <> y.comp AND " + _possible(SKETCH)
+        pairs = told.where("room >= 0").alias("x").join(told.alias("y"), F.expr(meet))
+        return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
 
     def links(self) -> tuple[DataFrame | None, DataFrame | None]:
         """All links found (a, b) and the components of their classes (node, comp).
@@ -510,20 +602,27 @@ class Join:
         return out.select("doc_id", "text_key", "n", F.col("first.doc_id").alias("component_id"), "first")
 
 
+def row_key(docs: DataFrame, *others: str):
+    """64 bits of the text and of other columns, but for maps, which have no hash."""
+    hashed = [F.col(quoted(c)) for c in others if "map<" not in docs.select(F.col(quoted(c))).schema[0].dataType.simpleString()]
+    return F.xxhash64(F.lit("text"), F.col("text"), *hashed)
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return Join(docs).component_ids().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents, of each component the one of the smallest id (ties: by a hash of the text).
+    """The documents, of each component the one of the smallest id; of equal ids the one with the least hash of all columns.
 
-    Repeated rows of one id and text count as one, also if they are empty.
+    Repeated rows count as one, as do rows of one id that have no words and are alike in all columns.
     """
-    found = Join(docs).component_ids()
-    one, two = unused(docs, "s_id", "s_key")
+    others = sorted(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = Join(docs, *others).component_ids()
+    one, two, both = unused(docs, "s_id", "s_key", "s_both")
     stays = found.where("doc_id <=> first.doc_id AND text_key = first.text_key").select(F.col("doc_id").alias(one), F.col("text_key").alias(two)).distinct()
-    stays = stored(stays, f"{scratch(docs.sparkSession)}/stays")
-    key = F.xxhash64(F.lit("text"), F.col("text"))
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(one)) & (key == F.col(two)))
-    return kept.dropDuplicates([one, two]).select(*columns(docs))
+    stays = stored(stays.withColumn(both, F.xxhash64(one, two)), f"{scratch(docs.sparkSession)}/stays")
+    key = row_key(docs, *others)
+    kept = docs.withColumn(both, F.xxhash64(F.col("doc_id"), key)).join(stays, both).where(F.col("doc_id").eqNullSafe(F.col(one)) & (key == F.col(two)))
+    return kept.dropDuplicates([both, one, two]).select(*columns(docs))  # where the join has dealt them to

@@ -180,6 +180,33 @@ def test_jaccard_join_deals_out_no_documents(spark, monkeypatch):
     assert got == sorted([(i, 56, 0) for i in range(700)] + [(i, 0, i) for i in range(700, 1400)] + [(1400, 57, 0)], key=repr)
 
 
+def family(n, q):
+    """Documents of 100 common words and a passage of 14 of their own each: no two are similar, nearly all share pieces."""
+    common = [f"c{i}" for i in range(100)]
+    return [" ".join([*common[: (at := q.randrange(101))], *[f"o{d}_{k}" for k in range(14)], *common[at:]]) for d in range(n)]
+
+
+def test_jaccard_join_of_a_family_grows_with_its_size(spark, monkeypatch):
+    """What meets in joins of pieces, of families just below the threshold: twice the documents, twice the rows."""
+    q, made = random.Random(8), []
+    crossed = jaccard_join.Join._crossed
+    monkeypatch.setattr(jaccard_join.Join, "_crossed", lambda self, own: (lambda out: made.append((own.count(), out.count())) or out)(crossed(self, own)))
+    for n in (300, 600):
+        texts = family(n, q)
+        near = texts[0].replace("c0 ", "other ")
+        data = spark.createDataFrame(list(enumerate([*texts, near])), "doc_id long, text string").repartition(3)
+        got = jaccard_join.near_components(data).where("component_id <> doc_id").collect()
+        assert [(r["doc_id"], r["component_id"]) for r in got] == [(n, 0)]
+    (small, few), (large, more) = made
+    assert small > 1000 and large <= 2.5 * small and few <= 300 and more <= 600, made
+
+
+def test_near_dedup_keeps_the_same_row_of_equal_ids(spark):
+    rows_ = [(1, "a b c d e f g", x) for x in "zyx"] + [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "w"), (3, None, "u"), (3, None, "v"), (3, None, "v")]
+    kept = [rows(jaccard_join.near_dedup(spark.createDataFrame(rows_, "doc_id long, text string, s string").repartition(p)), "doc_id", "s") for p in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3 and kept[0][1:] == [(3, "u"), (3, "v")]
+
+
 def test_jaccard_join_edges(docs, empty):
     _, label = components([t for _, t in BASE])
     ids = [i for i, _ in BASE]
