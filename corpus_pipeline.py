@@ -38,10 +38,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: that of the smallest id, of equal ids by a hash of the text.
+    """One document of each component of near copies stays: that of the smallest id, of equal ids by a hash of all columns.
 
-    Null and empty texts, and texts without words, are alike to nothing and stay; null ids come last; repeated rows of one
-    id and text stay once; very long texts are read whole; an empty table gives no rows.
+    Null and empty texts, and texts without words, are alike to nothing and stay; null ids come last; rows that repeat in
+    all columns stay once; very long texts are read whole; an empty table gives no rows.
     """
     return jaccard_join.near_dedup(docs)
 
