@@ -11,13 +11,15 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
 #: Stands between the texts of adjacent turns of one role that become one turn.
 JOINT = "\n"
 LOSS_ROLE = "assistant"
+#: Code points of a block, in which spans of a text are found.
+BLOCK = 2048
 #: Backslash comes first when escaping and last when reading back.
 CODES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
 
@@ -64,25 +66,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
             (t["role"] == LOSS_ROLE).alias("learns"),
         ),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start, size = acc["at"] + F.char_length(p["head"]), F.char_length(p["body"])
-        span = F.array(F.struct(start.alias("start"), size.alias("len")))
-        return F.struct(
-            (start + size + F.char_length(p["tail"])).alias("at"),
-            F.when(p["learns"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return (
-        held.select("conv_id", place.alias("placed"))
-        .select("conv_id", pieces.alias("pieces"))
-        .select(
-            "conv_id",
-            F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-            F.aggregate("pieces", zero, step)["spans"].alias("loss"),
-        )
-    )
+    rows_ = held.select("conv_id", place.alias("placed")).select("conv_id", F.posexplode(pieces).alias("i", "p")).select("conv_id", "i", "p.*")
+    # where a text begins is a running sum; it and the strings stay in the partition that the turns were dealt to
+    length = lambda *c: sum((F.char_length(x) for x in c), F.lit(0))
+    before = F.sum(length("head", "body", "tail")).over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - length("body", "tail")
+    span = F.when(F.col("learns"), F.struct("i", F.struct("start", F.char_length("body").alias("len")).alias("s")))
+    told = rows_.withColumn("start", before.cast("int")).select("conv_id", F.struct("i", F.concat("head", "body", "tail").alias("t")).alias("piece"), span.alias("span"))
+    listed = lambda c, field: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[field])
+    return told.groupBy("conv_id").agg(F.array_join(listed("piece", "t"), "").alias("formatted"), listed("span", "s").alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -96,7 +87,16 @@ def read_back(chats: DataFrame) -> DataFrame:
             unescape(F.substr(t, F.length(F.substring_index(t, MID, 1)) + len(MID) + 1), CODES[:3]).alias("text"),
         ),
     )
-    loss = F.array_join(F.transform("loss", lambda s: F.substr("formatted", s["start"] + 1, s["len"])), "")
+    # the text is cut into blocks once, so that a span reads its own blocks alone; `blocks` is named twice, or Spark would
+    # put the cutting in its place
+    chats = chats.withColumn("blocks", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def spoken(s: Column) -> Column:
+        first, last = F.floor(s["start"] / BLOCK), F.floor((s["start"] + F.greatest(s["len"], F.lit(1)) - 1) / BLOCK)
+        held = F.array_join(F.slice("blocks", (first + 1).cast("int"), (F.least(last, F.size("blocks") - 1) - first + 1).cast("int")), "")
+        return F.substr(held, (s["start"] % BLOCK + 1).cast("int"), s["len"])
+
+    loss = F.array_join(F.transform("loss", lambda s: F.when(s["len"] > 0, spoken(s)).otherwise("")), "")
     return chats.select("conv_id", "formatted", turns.alias("turns"), unescape(loss, CODES[:3]).alias("loss_text"))
 
 

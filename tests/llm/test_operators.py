@@ -336,6 +336,49 @@ def test_chat(spark):
     assert chat.digest(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_chat_with_many_turns_and_long_texts(spark):
+    """Spans over many blocks, and time about in proportion to the turns."""
+    import time
+
+    q = random.Random(6)
+
+    def chats(n):
+        return [(1, t, q.choice(["user", "assistant"]), "é<#" * q.choice([0, 1, 5])) for t in range(n)]
+
+    texts = {1: chats(3000), 2: [(2, 0, "user", "a" * 5000), (2, 1, "assistant", "b😀" * 400_000), (2, 2, "assistant", ""), (2, 3, "assistant", "c")]}
+    df = spark.createDataFrame([r for own in texts.values() for r in own], "conv_id long, turn long, role string, text string")
+    for x in chat.read_back(chat.format_chats(df)).collect():
+        assert x["loss_text"] == "".join(t for _, _, role, t in texts[x["conv_id"]] if role == "assistant")
+    took = []
+    for n in (20_000, 40_000):
+        data = spark.createDataFrame(chats(n), "conv_id long, turn long, role string, text string")
+        began = time.time()
+        assert chat.digest(chat.format_chats(data)).first()["formatted_chars"] > n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 5
+
+
+def test_long_words_in_bounded_memory(spark, tmp_path):
+    import tracemalloc
+
+    import numpy as np
+
+    pieces = lm_score.pieces_of(open(VOCAB, "rb").read())
+    logp = np.append(np.log(np.linspace(1, 2, pieces.size) / pieces.size / 2), -np.inf)
+    word = b" " + b"ab=x" * 3000
+    for span in (1, 7, 200, 1 << 20):
+        one, two = np.zeros(pieces.size + 1), np.zeros(pieces.size + 1)
+        assert lm_score._alone(word, pieces, logp, one, 2.0, span) == lm_score._alone(word, pieces, logp, two, 2.0) and np.allclose(one, two)
+    tracemalloc.start()
+    lm_score._alone(b"=" * 200_000, pieces, logp, np.zeros(pieces.size + 1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000  # two numbers a byte, and one span
+    said = [(i, "a few words here") for i in range(20)] + [(100, "x" * 300_000 + " end")]
+    got = lm_score.score_documents(spark.createDataFrame(said, "doc_id long, text string"), VOCAB).where("doc_id = 100").first()
+    assert got["n_tokens"] == 3 and -3e6 < got["score"] < 0
+
+
 def lattice(word, pieces, logp):
     """The sum over all cuts, by listing them."""
     if not word:
