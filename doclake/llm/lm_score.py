@@ -16,7 +16,7 @@ most) and writes each document as numbers; counts and word probabilities come ba
 Defined results: a null text counts as empty and has the end token alone; a null doc_id counts as empty text for
 its remainder; rows that repeat are documents of their own; without training documents N and V are 0 and pieces have
 equal scores; an empty table gives no rows; extra columns are ignored, whatever their names; a very long word is one
-lattice, whose size grows with the word.
+lattice, gone through in spans, of which a task holds two numbers for each byte.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BLOCK_WORDS = 400_000
 PRIOR = 0.01
 #: Words of more bytes go through the lattice one by one, shorter ones of one length together.
 LONG_WORD, TOGETHER = 40, 8192
+#: Places of a long word whose pieces are held at once.
+SPAN = 1 << 15
 SLOTS = 1 << 20
 ASCII_SPACE = frozenset(b" \t\n\v\f\r")
 
@@ -167,31 +169,52 @@ def _add(a: float, b: float) -> float:
     return b if a == -math.inf else a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-def _alone(word: bytes, pieces: Pieces, logp, counts, weight: float = 1.0) -> float:
-    """As _together() and, with counts, _expected(), for one long word."""
+def _ways_from(data, first: int, last: int, pieces: Pieces):
+    """(start, end, piece) of the pieces that begin from `first` to before `last`, by start and then by length."""
     import numpy as np
 
-    data, n, found = np.frombuffer(word, np.uint8), len(word), []
-    key = np.zeros(n, np.uint64)
+    found, key = [], np.zeros(last - first, np.uint64)
     with np.errstate(over="ignore"):
-        for size in range(1, min(n, pieces.longest) + 1):
-            key = pieces.grown(key[: n - size + 1], data[size - 1 :])
+        for size in range(1, pieces.longest + 1):
+            many = min(last, len(data) - size + 1) - first
+            if many <= 0:
+                break
+            key = pieces.grown(key[:many], data[first + size - 1 : first + size - 1 + many])
             at, own = pieces.find(key)
-            found.append((at, at + size, own))
+            found.append((at + first, at + first + size, own))
     starts, ends, own = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(starts, kind="stable")
-    starts, ends, own = starts[order], ends[order], own[order]
-    ways = list(zip(starts.tolist(), ends.tolist(), logp[own].tolist(), strict=True))
-    forward = [0.0] + [-math.inf] * n
-    for i, j, p in ways:
-        forward[j] = _add(forward[j], forward[i] + p)
+    return starts[order], ends[order], own[order]
+
+
+def _alone(word: bytes, pieces: Pieces, logp, counts, weight: float = 1.0, span: int = SPAN) -> float:
+    """As _together() and, with counts, _expected(), for one long word, in spans: of the whole word only its bytes and two
+    numbers for each are held."""
+    import numpy as np
+
+    data, n = np.frombuffer(word, np.uint8), len(word)
+    spans = [(x, min(n, x + span)) for x in range(0, n, span)]
+    forward = np.full(n + 1, -np.inf)
+    forward[0] = 0.0
+    for first, last in spans:
+        starts, ends, own = _ways_from(data, first, last, pieces)
+        reach = min(n, last + pieces.longest - 1)
+        held = forward[first : reach + 1].tolist()
+        for i, j, p in zip((starts - first).tolist(), (ends - first).tolist(), logp[own].tolist(), strict=True):
+            held[j] = _add(held[j], held[i] + p)
+        forward[first : reach + 1] = held
     if counts is not None:
-        backward = [-math.inf] * n + [0.0]
-        for i, j, p in reversed(ways):
-            backward[i] = _add(backward[i], p + backward[j])
-        share = np.exp(np.array(forward)[starts] + logp[own] + np.array(backward)[ends] - forward[n])
-        counts += weight * np.bincount(own, share, len(counts))
-    return forward[n]
+        backward = np.full(n + 1, -np.inf)
+        backward[n] = 0.0
+        for first, last in reversed(spans):
+            starts, ends, own = _ways_from(data, first, last, pieces)
+            held = backward[first : min(n, last + pieces.longest - 1) + 1].tolist()
+            for i, j, p in zip((starts[::-1] - first).tolist(), (ends[::-1] - first).tolist(), logp[own[::-1]].tolist(), strict=True):
+                held[i] = _add(held[i], p + held[j])
+            backward[first : first + len(held)] = held
+            share = np.exp(forward[starts] + logp[own] + backward[ends] - forward[n])
+            counts += weight * np.bincount(own, share, len(counts))
+    return float(forward[n])
 
 
 def word_logprobs(words: list[bytes], pieces: Pieces, logp, counts=None, weights=None):
