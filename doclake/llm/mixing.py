@@ -1,13 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed place in [0, 2^60) by a hash of its id. A source takes each of its documents `full`
+Every document has a fixed place in [0, 2^60) by a hash of its id and text. A source takes each of its documents `full`
 times and once more where the place is below the source's threshold. Thresholds come from histograms of words by
 source and hash bucket: the running sum over at most 4096 buckets shows in which bucket the budget ends, and only
 that bucket is split again by the next 12 bits. Nothing is sorted but those bucket sums, and a document is kept
 or dropped by its own row and its source's threshold.
 
-Defined results: a null text has size 0; a null source is a source of its own, the last one; rows with one doc_id
-(null ids too) share their place and are taken alike; a source without words has target 0; an empty table gives
+Defined results: a null text has size 0; a null source is a source of its own, the last one; rows of one doc_id
+and text share their place and are taken alike; a source without words has target 0; an empty table gives
 no rows; mix() leaves all columns of the input as they are, whatever their names, and mix_report() ignores those it
 doesn't need; very long texts only have larger sizes.
 """
@@ -29,7 +29,7 @@ MAX_SOURCES = 1_000_000
 
 
 def place() -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")), 64 - PLACE_BITS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string"), F.col("text")), 64 - PLACE_BITS)
 
 
 def _word_counts(batches):
@@ -38,14 +38,14 @@ def _word_counts(batches):
     for batch in batches:
         for part, texts in slices(batch):
             sizes = pa.array([len(t.encode("utf-8", "surrogatepass").split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), sizes], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "source", "place")], sizes], ["doc_id", "source", "place", "size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words; whole texts, one pass, no shuffle."""
+    """doc_id, source, place, size: the number of words; whole texts, one pass, no shuffle."""
     kinds = dict(docs.dtypes)
-    held = docs.select("doc_id", "source", "text")
-    return held.mapInArrow(_word_counts, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long")
+    held = docs.select("doc_id", "source", place().alias("place"), "text")
+    return held.mapInArrow(_word_counts, f"doc_id {kinds['doc_id']}, source {kinds['source']}, place long, size long")
 
 
 def targets(totals: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -116,14 +116,14 @@ def _ruled(df: DataFrame, rule: DataFrame, place_: Column) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (size times copies) of every document."""
-    sized = stored(sizes(docs).withColumn("place", place()), scratch(docs.sparkSession))
+    sized = stored(sizes(docs), scratch(docs.sparkSession))
     out = _ruled(sized, thresholds(sized), F.col("place"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken. Texts stay where they are: no shuffle of them."""
-    sized = stored(sizes(docs).withColumn("place", place()).select("source", "place", "size"), scratch(docs.sparkSession))
+    sized = stored(sizes(docs).select("source", "place", "size"), scratch(docs.sparkSession))
     of, full, below, copy = unused(docs, "of_source", "full", "below", "copy")
     rule = thresholds(sized).select(F.col("source").alias(of), F.col("full").alias(full), F.col("below").alias(below))
     ruled = docs.join(F.broadcast(rule), F.col("source").eqNullSafe(F.col(of)))
