@@ -207,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("apart"), *rows], ["label", "apart", "text", "meta"])
 
     held = sample.withColumn("label", F.col("label").cast("double")).withColumn("apart", fold).drop("l_id", "doc_id")
-    rows = held.mapInArrow(run, "label double, apart boolean, text binary, meta binary").distinct().limit(2 * (max_labelled + max_pool)).toArrow().sort_by([("text", "ascending"), ("meta", "ascending")])
+    rows = held.mapInArrow(run, "label double, apart boolean, text binary, meta binary").distinct()
+    # rows of one id can make the sample larger than meant: then a part of it that is the same in all runs
+    rows = rows.orderBy(F.xxhash64("text", "meta", "label"), "text", "meta", "label").limit(2 * (max_labelled + max_pool)).toArrow().sort_by([("text", "ascending"), ("meta", "ascending")])
     if not rows.num_rows:
         return None
     y = rows.column("label").to_numpy(zero_copy_only=False).astype(float)
