@@ -12,22 +12,29 @@ from pyspark.sql import functions as F
 from doclake.functions.media import sniff_mime
 from doclake.operators import markdown as m
 from doclake.operators import packages, records, render, styles, tables
+from doclake.operators.content import ELEMENT, PARAGRAPH, RUN, complete, element, of_lines, tidy
 from doclake.sources import package, xmlrows
-from doclake.sources.scratch import stored
+from doclake.sources.scratch import passing, stored
 
 
 @dataclass
 class Ir:
-    """The flat tables that all readers give and all writers take."""
+    """The flat tables that all readers give and all writers take.
+
+    blocks: doc_id, blk, kind, heading, list_level, list_ordered, align, level (of a table: how many are around it); runs of
+    the body: doc_id, blk, pos and content.RUN; cells: doc_id, blk (their table), row, col, spans, content (content.ELEMENT).
+    """
 
     blocks: DataFrame
     runs: DataFrame
     cells: DataFrame
     meta: DataFrame
-    #: doc_id, error of documents that could not be read whole
+    #: doc_id, error of documents that could not be read whole, and warnings: how many things in them no writer knows
     errors: DataFrame | None = None
     #: doc_id, media_id, mime, bytes of images; runs name them
     media: DataFrame | None = None
+    #: the greatest level of a table
+    deepest: int = 0
 
     def written(self) -> Ir:
         """The tables written once, for writers that read them several times; media are, as parts of a package."""
@@ -46,13 +53,14 @@ def read_md(docs: DataFrame) -> Ir:
     runs = m.inline_runs(blocks.where("kind = 'paragraph' AND font IS NULL"), "doc_id", "blk").unionByName(code, allowMissingColumns=True)
     meta = fronts.select("doc_id").join(m.front_matter_map(fronts), "doc_id", "left")
     meta = meta.select("doc_id", *[F.col("meta")[k].alias(k) for k in ("title", "author", "subject")])
-    cells = m.pipe_table_cells(grouped).withColumns({"row_span": F.lit(1), "col_span": F.lit(1)})
+    run = lambda columns: element("run", **dict(zip(MD_RUN, columns, strict=True)))
+    content = F.concat(F.array(element("paragraph")), m.inline_array(F.col("text"), run)).alias("content")
+    cells = m.pipe_table_cells(grouped).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), content)
     return Ir(blocks, runs.withColumn("media_id", F.lit(None).cast("string")), cells, meta)
 
 
 TABLE = ("doc_id", "sec", "tbl")
-#: Begins a paragraph of a cell: a character that XML can't have.
-PARAGRAPH = "\x1e"
+MD_RUN = ("text", "bold", "italic", "underline", "strike", "sup", "sub", "font", "color", "url")
 
 
 def _with_spans(cells: DataFrame) -> DataFrame:
@@ -79,30 +87,45 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     start = F.col("row_type").isin("paragraph", "pageBreak") | F.lag("row_type").over(own).isin("table", "pageBreak")
     opens = (F.col("row_type") == "paragraph") & F.coalesce(F.lead("row_type").over(own) == "pageBreak", F.lit(False))  # nothing is before the break
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumns({"start": start, "opens": opens})
-    like = ("heading", "list_level", "list_ordered")
+    like = tuple(PARAGRAPH)
+    rows = complete(rows, RUN)
     body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct(*like)), True).over(own)).where("tbl IS NULL")
     body = body.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own))
     is_break = F.col("row_type") == "pageBreak"
     paragraphs = body.where("start AND NOT opens").select("doc_id", "blk", F.when(is_break, "pageBreak").otherwise("paragraph").alias("kind"), *[F.when(~is_break, F.col(f"like.{c}")).alias(c) for c in like])
-    at = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl")
-    blocks = paragraphs.unionByName(at.select("doc_id", "blk", F.lit("table").alias("kind")), allowMissingColumns=True)
-    pieces = body.where("row_type IN ('text', 'lineBreak') OR media_id IS NOT NULL").withColumn("text", F.when(F.col("row_type") == "lineBreak", "\n").otherwise(F.coalesce("text", F.lit(""))))
-    runs = pieces.select("doc_id", "blk", F.col("ord").alias("pos"), "text", *RUN_FLAGS, "color", "url", "font", "media_id")
-    # lines and paragraphs of a cell stay apart; paragraphs without text are no lines
-    shown = F.when(F.col("row_type") == "paragraph", PARAGRAPH).when(F.col("row_type") == "lineBreak", "\n").otherwise(F.col("text"))
-    inside = rows.where("tbl IS NOT NULL AND row_type IN ('text', 'lineBreak', 'paragraph', 'cell')").withColumn("text", shown)
-    text = F.regexp_replace(F.trim(m.ordered_join("text", "ord", ""), F.lit(PARAGRAPH)), f"{PARAGRAPH}+", "\n").alias("text")
-    inside = inside.groupBy(*TABLE, "row", "col").agg(text, *[F.max(c).alias(c) for c in ("col_span", "row_span", "vm")])
+    at = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl", "level", "host", "row", "col")
+    blocks = paragraphs.unionByName(at.select("doc_id", "blk", F.lit("table").alias("kind"), "level"), allowMissingColumns=True)
+    is_note = F.col("row_type").isin("footnote", "endnote")
+    text = F.when(F.col("row_type") == "lineBreak", "\n").when(is_note, "").otherwise(F.coalesce("text", F.lit("")))
+    rows_ = lambda df: df.withColumns({"note_kind": F.when(is_note, F.col("row_type")), "text": text})
+    is_run = "row_type IN ('text', 'lineBreak', 'footnote', 'endnote') OR media_id IS NOT NULL"
+    runs = rows_(body.where(is_run)).select("doc_id", "blk", F.col("ord").alias("pos"), *RUN)
+    # the content of cells; a table within a cell stands in its host's
+    host = F.when(F.col("row_type") == "table", F.col("host")).otherwise(F.col("tbl"))
+    inside = rows.where(f"tbl IS NOT NULL AND ({is_run} OR row_type IN ('paragraph', 'cell') OR row_type = 'table' AND host IS NOT NULL)").withColumn("tbl", host)
+    is_element = F.col("row_type").isin("paragraph", "table", "cell")
+    inside = rows_(inside).withColumn("text", F.when(~is_element, F.col("text"))).withColumn("inner", F.when(F.col("row_type") == "table", F.col("ord")))
+    kind = F.when(F.col("row_type").isin("paragraph", "table"), F.col("row_type")).otherwise("run")
+    one = F.when(F.col("row_type") != "cell", F.struct(F.col("ord").cast("long").alias("o"), F.struct(kind.alias("kind"), *[F.col(c).cast(t).alias(c) for c, t in ELEMENT.items() if c != "kind"]).alias("x")))
+    held = F.transform(F.array_sort(F.collect_list(one)), lambda e: e["x"])
+    own = F.col("row_type") == "cell"
+    inside = inside.groupBy(*TABLE, "row", "col").agg(tidy(held).alias("content"), *[F.max(F.when(own, F.col(c))).alias(c) for c in ("col_span", "row_span", "vm")])
     spans = {c: F.coalesce(c, F.lit(1)) for c in ("col_span", "row_span")}
     inside = inside.withColumns(spans)
-    cells = (_with_spans(stored(inside)) if by_cell else inside).join(at, list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "text")
-    return Ir(blocks, runs, cells, meta)
+    cells = (_with_spans(stored(inside)) if by_cell else inside).join(at.select(*TABLE, "blk"), list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "content")
+    deepest = at.agg(F.max("level")).first()[0] or 0
+    return Ir(blocks, runs, cells, meta, deepest=deepest)
 
 
-def _errors(*tables_: DataFrame) -> DataFrame:
-    """doc_id, error of the packages, and of their parts, that could not be read."""
-    told = reduce(DataFrame.unionByName, [t.select("doc_id", "error") for t in tables_])
-    return told.where("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
+def _errors(rows: DataFrame, *tables_: DataFrame) -> DataFrame:
+    """doc_id, error of the packages, and of their parts, that could not be read; warnings of those with things that are
+    not read: text boxes (but for their text), charts, other drawings, notes that are not there."""
+    told = reduce(DataFrame.unionByName, [t.select("doc_id", "error") for t in (rows, *tables_)]).where("error IS NOT NULL").withColumn("warned", F.lit(0))
+    lost = F.col("row_type") == "unsupported"
+    if "note" in rows.columns:
+        lost = lost | F.col("row_type").isin("footnote", "endnote") & F.col("note").isNull()
+    warned = rows.where(lost).select("doc_id", F.lit(None).cast("string").alias("error"), F.lit(1).alias("warned"))
+    return told.unionByName(warned).groupBy("doc_id").agg(F.min("error").alias("error"), F.sum("warned").cast("int").alias("warnings"))
 
 
 def _media(parts: DataFrame, media_id: Column) -> DataFrame:
@@ -111,7 +134,7 @@ def _media(parts: DataFrame, media_id: Column) -> DataFrame:
 
 def read_docx(docs: DataFrame) -> Ir:
     """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering."""
-    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/media/", "docProps/core.xml")
+    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "docProps/core.xml")
     every = stored(package.unzip_parts(docs, wanted, ("word/document.xml",)))
     parts = every.where("error IS NULL")
     meta = xmlrows.core_meta(parts).select("doc_id", "title", "author", "subject")
@@ -121,19 +144,26 @@ def read_docx(docs: DataFrame) -> Ir:
     plain, paragraphs = rows.where("row_type <> 'paragraph' OR row_type IS NULL"), rows.where("row_type = 'paragraph'")
     listed = F.when(F.col("num_id") != "0", F.coalesce("ilvl", F.lit(0)))
     paragraphs = paragraphs.withColumn("ilvl", listed).join(names, ["doc_id", "style_id"], "left").join(kinds, ["doc_id", "num_id", "ilvl"], "left")
+    sides = F.col("align").isin(*packages.ALIGNS)
     paragraphs = paragraphs.withColumns({
+        "align": F.when(F.col("align") == "both", "justify").when(F.col("align") == "start", "left").when(F.col("align") == "end", "right").when(sides, F.col("align")),
         "heading": F.when(F.col("known"), F.col("named")).otherwise(F.col("heading")), "list_level": F.col("ilvl"),
         "list_ordered": F.when(F.col("ilvl").isNotNull(), F.coalesce(~F.col("fmt").isin("bullet", "none"), F.lit(False))),
     })
     rels = xmlrows.relationships(parts).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
+    is_note = F.col("row_type").isin("footnote", "endnote")
+    notes = xmlrows.notes(parts).groupBy("doc_id", F.col("kind").alias("row_type"), F.col("note_id").alias("ref")).agg(F.min("text").alias("note"))
+    called = stored(plain.where(is_note).join(notes, ["doc_id", "row_type", "ref"], "left"))
+    plain = plain.where(~F.coalesce(is_note, F.lit(False)))
     linked = plain.where("ref IS NOT NULL").drop("url").join(rels, ["doc_id", "ref"], "left")
     linked = linked.withColumns({
         "url": F.when(F.col("row_type") == "text", F.when(F.col("cls") == "hyperlink", F.col("target")).when(F.col("ref").startswith("#"), F.nullif("ref", F.lit("#")))),
         "media_id": F.when((F.col("row_type") == "image") & (F.col("cls") == "image"), F.regexp_replace("target", "^/?(word/)?", "")),
     })
-    columns = [*rows.columns, "list_level", "list_ordered", "media_id"]
-    told = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [plain.where("ref IS NULL"), linked, paragraphs]).select(*columns)
-    errors = _errors(every, rows, xmlrows.part_errors(parts, "word/styles.xml", "word/numbering.xml"))
+    columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
+    told = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [plain.where("ref IS NULL"), linked, paragraphs, called]).select(*columns)
+    whole = rows.where(~F.coalesce(is_note, F.lit(False))).select("doc_id", "error", "row_type").unionByName(called.select("doc_id", "error", "row_type", "note"), allowMissingColumns=True)
+    errors = _errors(whole, every, xmlrows.part_errors(parts, "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml"))
     media = parts.where("part LIKE 'word/media/%'")
     return replace(_from_rows(told, meta, by_cell=True), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
 
@@ -157,13 +187,22 @@ def read_hwpx(docs: DataFrame) -> Ir:
     by_style = styles.style_heading(named_styles.drop("para_shape").withColumn("para_shape", F.col("id"))).withColumnsRenamed({"para_shape": "style_id", "level": "by_style"})
     lists = once(xmlrows.hwpx_para_shapes(parts).where("kind IN ('BULLET', 'NUMBER')"), "id").select("doc_id", F.col("id").alias("ref"), F.col("kind").alias("list_kind"), F.col("level").alias("list_level"))
     paragraphs = rows.where("row_type = 'paragraph'").join(by_style, ["doc_id", "style_id"], "left").join(by_shape, ["doc_id", "ref"], "left").join(lists, ["doc_id", "ref"], "left")
+    sides = once(xmlrows.hwpx_para_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), F.lower("align").alias("side")).where(F.col("side").isin(*packages.ALIGNS))
+    paragraphs = paragraphs.drop("align").join(sides, ["doc_id", "ref"], "left").withColumnRenamed("side", "align")
     paragraphs = paragraphs.withColumns({"heading": F.coalesce("by_style", "by_shape"), "list_ordered": F.col("list_kind") == "NUMBER"})
     # texts: emphasis; images: the file of that name or number
-    shapes = once(xmlrows.hwpx_char_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"))
-    texts = rows.where("row_type <> 'paragraph'").drop(*RUN_FLAGS, "color").join(shapes, ["doc_id", "ref"], "left")
+    faces = xmlrows.hwpx_fonts(parts).where("lang IN ('HANGUL', 'LATIN')").where(F.col("face") != packages.FIRST_FACE).groupBy("doc_id", F.lower("lang").alias("lang"), F.col("id").alias("at")).agg(F.min("face").alias("face"))
+    shapes = once(xmlrows.hwpx_char_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"), F.nullif("size_pt", F.lit(10.0)).alias("size_pt"), "latin", "hangul")
+    for lane in ("latin", "hangul"):
+        known = faces.where(F.col("lang") == lane).select("doc_id", F.col("at").alias(lane), F.col("face").alias(f"{lane}_face"))
+        shapes = shapes.join(known, ["doc_id", lane], "left")
+    shapes = shapes.withColumn("font", F.coalesce("latin_face", "hangul_face")).drop("latin", "hangul", "latin_face", "hangul_face")
+    texts = rows.where("row_type <> 'paragraph'").drop(*RUN_FLAGS, "color", "font", "size_pt").join(shapes, ["doc_id", "ref"], "left")
+    is_note = F.col("row_type").isin("footnote", "endnote")
+    texts = texts.withColumn("note", F.when(is_note, F.col("text")))
     file = F.when(F.col("ref").rlike(r"^\d+$"), F.concat(F.lit("BIN"), F.lpad("ref", 4, "0"))).otherwise(F.regexp_replace("ref", r"\.\w+$", ""))
     texts = texts.withColumn("media_id", F.when(F.col("row_type") == "image", file))
-    columns = [*rows.columns, "list_level", "list_ordered", "media_id"]
+    columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [texts, paragraphs]).select(*columns)
     # a table stands in a paragraph: one that holds nothing else is no block
     last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
@@ -171,7 +210,7 @@ def read_hwpx(docs: DataFrame) -> Ir:
     holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph")).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
     media = parts.where("part LIKE '%BinData/%'")
-    errors = _errors(every, read, xmlrows.part_errors(parts, "Contents/header.xml"))
+    errors = _errors(read, every, xmlrows.part_errors(parts, "Contents/header.xml"))
     return replace(_from_rows(rows, meta, by_cell=False), errors=errors, media=_media(media, F.regexp_extract("part", r"BinData/([^/]+?)(?:\.\w+)?$", 1)))
 
 
@@ -203,10 +242,10 @@ def read_hwp(streams: DataFrame) -> Ir:
     inside = lines.groupBy("doc_id", "sec", "cell").agg(m.ordered_join("line", "blk", "\n").alias("text"))
     own = records.cell_attributes(body).withColumn("sec", number).join(body.select("doc_id", "sec", "rec", "tbl"), ["doc_id", "sec", "rec"]).withColumnRenamed("rec", "cell").where("tbl IS NOT NULL")
     cells = own.join(at, ["doc_id", "sec", "tbl"]).join(inside, ["doc_id", "sec", "cell"], "left")
-    cells = cells.select("doc_id", "blk", *[F.col(c).cast("int").alias(c) for c in ("row", "col", "row_span", "col_span")], F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    cells = cells.select("doc_id", "blk", *[F.col(c).cast("int").alias(c) for c in ("row", "col", "row_span", "col_span")], of_lines(F.trim(F.coalesce("text", F.lit("")))).alias("content"))
     every = streams.select("doc_id").distinct()
     meta = every.withColumns({k: F.lit(None).cast("string") for k in ("title", "author", "subject")})
-    errors = every.join(body.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("error", F.lit("no body text"))
+    errors = every.join(body.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no body text").alias("error"), F.lit(0).alias("warnings"))
     return Ir(blocks, runs, cells, meta, errors)
 
 
@@ -215,15 +254,15 @@ def write_md(ir: Ir) -> DataFrame:
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media), packages.DOCX_FIXED)
+    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest), packages.DOCX_FIXED)
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media), packages.HWPX_FIXED)
+    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest), packages.HWPX_FIXED)
 
 
 def write_hml(ir: Ir) -> DataFrame:
-    return packages.hml(ir.blocks, ir.runs, ir.cells, ir.meta)
+    return packages.hml(ir.blocks, ir.runs, ir.cells, ir.meta, ir.deepest)
 
 
 #: Readers and writers by format; own ones are added to these.
@@ -231,16 +270,36 @@ READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_doc
 WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_docx, "hwpx": write_hwpx, "hml": write_hml}
 
 
-def convert(docs: DataFrame, from_: str, to: str) -> DataFrame:
-    """The documents in another format; from packages with error, which tells of a document that was not read whole.
+def _by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents under numbers of their own, written once, and doc_id by number: ids may repeat or be null."""
+    held = stored(docs.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id()))
+    return held.drop("own_id"), held.select("doc_id", "own_id")
+
+
+def convert(docs: DataFrame, from_: str, to: str, warnings: bool = False) -> DataFrame:
+    """The documents in another format; from packages with error, which tells of a document that was not read whole, and with
+    `warnings`, if wanted, how many things in it no writer knows.
 
-    A document that can't be read at all has a row too, with the error alone.
+    A row of `docs` gives a row, whatever its doc_id: a document that can't be read at all has the error alone. Of binary
+    streams a doc_id's rows are one document; those without an id are left out. The result is written; all other tables
+    that were written for it are removed.
     """
     if from_ not in READERS or to not in WRITERS:
         raise ValueError(f"no conversion from {from_} to {to}")
-    ir = READERS[from_](docs).written()
-    out = WRITERS[to](ir)
-    return out if ir.errors is None else out.join(ir.errors, "doc_id", "full")
+    with passing(docs.sparkSession):
+        docs, ids = (docs.where("doc_id IS NOT NULL"), None) if from_ == "hwp" else _by_row(docs)
+        ir = READERS[from_](docs).written()
+        out = WRITERS[to](ir)
+        columns = out.columns
+        if ir.errors is not None:
+            columns = [*columns, "error"]
+            out = out.join(ir.errors, "doc_id", "full")
+            if warnings:
+                columns.append("warnings")
+                out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
+        if ids is not None:
+            out = ids.join(out, "doc_id", "left").drop("doc_id").withColumnRenamed("own_id", "doc_id")
+        return stored(out.select(*columns), lasting=True)
 
 
 def visit(nodes: DataFrame, by_kind: dict[str, Column], default: Column, name: str = "out") -> DataFrame:

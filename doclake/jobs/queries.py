@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from doclake.jobs import convert_queries, foreign_queries, markdown_queries, render_queries, resolve_queries, scalar_queries, table_queries
+from doclake.jobs import content_queries, convert_queries, foreign_queries, markdown_queries, render_queries, resolve_queries, scalar_queries, table_queries
 
-MODULES = (markdown_queries, scalar_queries, table_queries, resolve_queries, render_queries, convert_queries, foreign_queries)
+MODULES = (markdown_queries, scalar_queries, table_queries, resolve_queries, render_queries, convert_queries, foreign_queries, content_queries)
 
 
 def queries():

@@ -178,33 +178,46 @@ def pipe_table_cells_padded(grouped: DataFrame) -> DataFrame:
     return out.select("doc_id", "blk", "row", "col", F.floor(F.lit(41954) / F.col("many")).cast("int").alias("width"), F.split("text", "<br>", -1).alias("lines"))
 
 
-def inline_runs(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, text and style columns of every run of `text`; url of links; empty pieces are gone."""
-    plain, marked = F.split("text", INLINE, -1), F.regexp_extract_all("text", F.lit(INLINE), F.lit(0))
+def _pieces(text: Column) -> Column:
+    """The pieces of a text between, and of, its inline constructs: structs of t and form; empty ones are gone."""
+    plain, marked = F.split(text, INLINE, -1), F.regexp_extract_all(text, F.lit(INLINE), F.lit(0))
     woven = F.flatten(F.transform(plain, lambda p, i: F.array(F.struct(p.alias("t"), F.lit(False).alias("m")), F.struct(F.get(marked, i).alias("t"), F.lit(True).alias("m")))))
-    rows = texts.select(*keys, F.posexplode(woven).alias("pos", "piece")).select(*keys, "pos", F.col("piece.t").alias("t"), F.col("piece.m").alias("m"))
-    rows = rows.where("t IS NOT NULL AND t <> ''")
-    t = F.col("t")
-    is_ = lambda lead: F.col("m") & t.startswith(lead)
-    held = lambda mark: is_(mark) & t.endswith(mark) & (F.length(t) > 2 * len(mark))
-    form = (
-        F.when(~F.col("m"), "plain").when(held("***"), "bi").when(held("**"), "b").when(is_("*"), "i").when(is_("~~"), "s").when(is_("`"), "code")
+    return F.filter(woven, lambda p: p["t"] != "")
+
+
+def _form(t: Column, m: Column) -> Column:
+    held = lambda mark: t.startswith(mark) & t.endswith(mark) & (F.length(t) > 2 * len(mark))
+    is_ = lambda lead: t.startswith(lead)
+    return (
+        F.when(~m, "plain").when(held("***"), "bi").when(held("**"), "b").when(is_("*"), "i").when(is_("~~"), "s").when(is_("`"), "code")
         .when(is_("<u>"), "u").when(is_("<sup>"), "sup").when(is_("<sub>"), "sub").otherwise("link")
     )
-    f = F.col("form")
+
+
+def _run_columns(t: Column, f: Column) -> list[Column]:
     cut = lambda a, b: F.substr(t, F.lit(a + 1), F.length(t) - (a + b))
     body = (
         F.when(f == "plain", t).when(f == "bi", cut(3, 3)).when(f.isin("b", "s"), cut(2, 2)).when(f.isin("i", "code"), cut(1, 1)).when(f == "u", cut(3, 4))
         .when(f.isin("sup", "sub"), cut(5, 6)).otherwise(F.regexp_extract(t, r"^\[([^\]]+)\]", 1))
     )
     flag = lambda *names: F.when(f.isin(*names), F.lit(True))
-    out = rows.withColumn("form", form)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
-    return out.select(
-        *keys, n.alias("pos"), body.alias("text"), flag("b", "bi").alias("bold"), flag("i", "bi").alias("italic"), flag("u", "link").alias("underline"),
+    return [
+        body.alias("text"), flag("b", "bi").alias("bold"), flag("i", "bi").alias("italic"), flag("u", "link").alias("underline"),
         flag("s").alias("strike"), flag("sup").alias("sup"), flag("sub").alias("sub"), F.when(f == "code", CODE_FONT).alias("font"),
         F.when(f == "link", LINK_COLOR).alias("color"), F.when(f == "link", F.regexp_extract(t, r"\(([^)]+)\)$", 1)).alias("url"),
-    )
+    ]
+
+
+def inline_runs(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, text and style columns of every run of `text`; url of links."""
+    rows = texts.select(*keys, F.posexplode(_pieces(F.col("text"))).alias("pos", "piece")).select(*keys, "pos", F.col("piece.t").alias("t"), _form(F.col("piece.t"), F.col("piece.m")).alias("form"))
+    return rows.select(*keys, "pos", *_run_columns(F.col("t"), F.col("form")))
+
+
+def inline_array(text: Column, made) -> Column:
+    """An array of made(columns of a run) for the runs of a text, in order, where rows are not to be parted."""
+    formed = F.transform(_pieces(text), lambda p: F.struct(p["t"].alias("t"), _form(p["t"], p["m"]).alias("f")))
+    return F.transform(formed, lambda p: made(_run_columns(p["t"], p["f"])))
 
 
 def inline_plain(text: Column) -> Column:

@@ -1,29 +1,44 @@
-"""Flat tables to the parts of DOCX and HWPX packages and to flat XML: string expressions and ordered aggregation."""
+"""Flat tables to the parts of DOCX and HWPX packages and to flat XML: string expressions and ordered aggregation.
+
+Runs of the body are rows, those of cells are elements of arrays (content.py); one expression writes both. Tables are
+written from the innermost ones outwards, a level a round.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.media import jpeg_size, png_height, png_width
 from doclake.functions.text import escape_xml
+from doclake.operators.content import RUN, complete, element, rendered, with_content
 from doclake.operators.markdown import ordered_join
-from doclake.operators.registry import assign_rel_ids, dedup_shapes
+from doclake.operators.registry import FIRST_FACE, LANES, assign_rel_ids
 from doclake.operators.tables import materialise_merges
 from doclake.sources.scratch import stored
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-#: Namespaces of the formats, fixed values.
+#: Namespaces and content types of the formats, fixed values.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PKG = "http://schemas.openxmlformats.org/package/2006"
 DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 HP, HH, HC = (f"http://www.hancom.co.kr/hwpml/2011/{k}" for k in ("paragraph", "head", "core"))
+OPF = "http://www.idpf.org/2007/opf/"
+WORD_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.{}+xml"
 #: Attributes of a run that make its shape.
-SHAPE = ["bold", "italic", "underline", "strike", "sup", "sub", "font", "color"]
-#: Paragraph shapes of HWPX: 0 is plain, 1 to 6 are headings, from LIST_SHAPE on there are two for each list level.
+SHAPE = ["bold", "italic", "underline", "strike", "sup", "sub", "font", "color", "size_pt"]
+#: Paragraph shapes of HWPX: 0 is plain, 1 to 6 are headings, from LIST_SHAPE on there are two for each list level; then all
+#: again for each alignment.
 LIST_SHAPE, LIST_LEVELS = 7, 9
+SHAPES = LIST_SHAPE + 2 * LIST_LEVELS
+ALIGNS = ("left", "center", "right", "justify", "distribute")
 EMU_PX = 9525
+#: Twips of the page and its margins where a document tells none.
+PAGE_DOCX = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440" w:header="720" w:footer="720" w:gutter="0"/></w:sectPr>'
+CELL = ["doc_id", "blk", "row", "col"]
 
 
 def _text(x: Column) -> Column:
@@ -34,177 +49,377 @@ def _all(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _if(flag: str, xml: str) -> Column:
+def _if(flag: Column, xml: str) -> Column:
     return F.when(F.coalesce(flag, F.lit(False)), xml).otherwise("")
 
 
-def _part(name: str, ord_: int, xml: Column) -> Column:
-    return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("part"), F.encode(_all(HEAD, xml), "UTF-8").alias("bytes"))
+def _some(value: Column, *parts: Column | str) -> Column:
+    return F.when(value.isNotNull(), _all(*parts)).otherwise("")
+
+
+def _part(name: str, ord_: int, xml: Column, when: Column | None = None) -> Column:
+    part = F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("part"), F.encode(_all(HEAD, xml), "UTF-8").alias("bytes"))
+    return part if when is None else F.when(when, part)
 
 
 def _ext() -> Column:
     return F.substring_index("mime", "/", -1)
 
 
-def _images(runs: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """doc_id, blk, pos, kind, url, media_id, mime, w, h of runs that need a relationship: links, and images with bytes."""
-    links = runs.where("url IS NOT NULL AND media_id IS NULL").select("doc_id", "blk", "pos", F.lit("link").alias("kind"), "url")
-    if media is None:
-        none = {"media_id": "string", "mime": "string", "w": "long", "h": "long"}
-        return links.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}), None
-    jpeg, png = jpeg_size(F.col("bytes")), F.col("mime") == "image/png"
-    sized = media.withColumns({"j": jpeg, "w": png_width(F.col("bytes")), "h": png_height(F.col("bytes"))})
-    sized = stored(sized.select("doc_id", "media_id", "mime", F.when(png, F.col("w")).otherwise(F.col("j.w")).alias("w"), F.when(png, F.col("h")).otherwise(F.col("j.h")).alias("h")))
-    images = runs.where("media_id IS NOT NULL").select("doc_id", "blk", "pos", "media_id").join(sized, ["doc_id", "media_id"]).withColumn("kind", F.lit("image"))
-    return links.unionByName(images, allowMissingColumns=True), media
+def _lines(text: Column, between: str, wrap) -> Column:
+    """The lines of a text, each wrapped, with what stands between them."""
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), wrap), between)
+
+
+# ---- links, images and notes
+
+
+def _references(runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> DataFrame:
+    """CELL, at, kind (link, image, note), url, media_id, mime, w, h, note_kind, note, rel_id, image_no, note_no of what runs
+    of the body (row and col -1, at their pos) and of cells (at their place in the content) refer to, numbered in order.
+
+    An image without bytes is left out; a note that isn't there has no number.
+    """
+    fields = ["url", "media_id", "note_kind", "note"]
+    needs = lambda c: c("url").isNotNull() | c("media_id").isNotNull() | c("note_kind").isNotNull()
+    own = runs.where(needs(F.col)).select("doc_id", "blk", F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("long").alias("at"), F.col("blk").cast("long").alias("begin"), *fields)
+    held = cells.where(F.exists("content", lambda x: needs(lambda n: x[n]))).select(*CELL, F.posexplode("content").alias("at", "x"))
+    held = held.where(needs(lambda n: F.col(f"x.{n}"))).select(*CELL, F.col("at").cast("long").alias("at"), F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), *[f"x.{f}" for f in fields])
+    every = own.unionByName(held).withColumn("ord", F.struct("begin", "row", "col", "at")).drop("begin")
+    kind = F.when(F.col("note_kind").isNotNull(), "note").when(F.col("media_id").isNotNull(), "image").otherwise("link")
+    every = every.withColumn("kind", kind)
+    sizes = {"mime": "string", "w": "long", "h": "long"}
+    found = complete(every.where("kind = 'link'"), sizes)
+    if media is not None:
+        jpeg, png = jpeg_size(F.col("bytes")), F.col("mime") == "image/png"
+        sized = media.withColumns({"j": jpeg, "pw": png_width(F.col("bytes")), "ph": png_height(F.col("bytes"))})
+        sized = stored(sized.select("doc_id", "media_id", "mime", *[F.when(png, F.col(f"p{k}")).otherwise(F.col(f"j.{k}")).cast("long").alias(k) for k in ("w", "h")]).dropDuplicates(["doc_id", "media_id"]))
+        found = found.unionByName(every.where("kind = 'image'").join(sized, ["doc_id", "media_id"]).select(*found.columns))
+    found = assign_rel_ids(found, first=2)
+    notes = every.where("kind = 'note'")
+    number = F.count("note").over(Window.partitionBy("doc_id", "note_kind").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    notes = notes.withColumn("note_no", F.when(F.col("note").isNotNull(), number))
+    return stored(found.unionByName(notes, allowMissingColumns=True).drop("ord"))
+
+
+REF = ["kind", "rel_id", "image_no", "note_no", "mime", "w", "h"]
+
+
+def _with_refs(runs: DataFrame, cells: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with a struct `ref`, and cells with `refs` by place in the content. Only those that refer to something are joined."""
+    own = refs.where("row = -1").select("doc_id", "blk", F.col("at").alias("pos"), F.struct(*REF).alias("ref"))
+    runs = runs.join(own, ["doc_id", "blk", "pos"], "left")
+    has = F.exists("content", lambda x: x["url"].isNotNull() | x["media_id"].isNotNull() | x["note_kind"].isNotNull())
+    held = refs.where("row >= 0").groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), F.struct(*REF)))).alias("refs"))
+    kind = held.schema["refs"].dataType
+    return runs, cells.where(~has).withColumn("refs", F.lit(None).cast(kind)).unionByName(cells.where(has).join(held, CELL, "left"))
 
 
 def _media_parts(refs: DataFrame, media: DataFrame | None, first: int, name: Column) -> DataFrame | None:
     """doc_id, media: the image parts of a document. Bytes join last."""
     if media is None:
         return None
-    held = refs.where("kind = 'image'").select("doc_id", "media_id", "mime", "image_no").join(media.select("doc_id", "media_id", "bytes"), ["doc_id", "media_id"])
+    held = refs.where("kind = 'image'").select("doc_id", "media_id", "mime", "image_no").join(media.select("doc_id", "media_id", "bytes").dropDuplicates(["doc_id", "media_id"]), ["doc_id", "media_id"])
     one = F.struct((F.col("image_no") + first).cast("int").alias("ord"), name.alias("part"), "bytes")
     return held.groupBy("doc_id").agg(F.collect_list(one).alias("media"))
 
 
 def _packed(docs: DataFrame, parts: list[Column], media: DataFrame | None) -> DataFrame:
     """doc_id, parts: a row for each package."""
-    own = F.array(*parts)
+    own = F.filter(F.array(*parts), lambda p: p.isNotNull())
     if media is None:
         return docs.select("doc_id", own.alias("parts"))
     return docs.join(media, "doc_id", "left").select("doc_id", F.when(F.col("media").isNull(), own).otherwise(F.concat(own, "media")).alias("parts"))
 
 
-def _bodies(blocks: DataFrame, inline: DataFrame, cells: DataFrame, paragraph, table_row, table) -> DataFrame:
-    """doc_id, body: paragraphs, tables and breaks in the order of blocks. The three callables give XML columns."""
+# ---- tables and bodies
+
+
+def _merged_below(cells: DataFrame) -> DataFrame:
+    """Cells with the blank ones (row_span 0) below those of several rows, where they aren't there already."""
+    below = materialise_merges(cells, "doc_id", "blk").join(cells.select(*CELL), CELL, "left_anti")
+    at = [F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("row", "col", "col_span")]
+    return cells.unionByName(below.select("doc_id", "blk", *at, F.lit(0).alias("row_span"), F.array(element("paragraph")).alias("content")), allowMissingColumns=True)
+
+
+def _tables(blocks: DataFrame, cells: DataFrame, deepest: int, cell: Callable[[Callable], Column], row, table) -> DataFrame:
+    """doc_id, blk, xml of the tables of the body. cell(inner) gives a cell's XML, where inner(block) is a table within;
+    `deepest` is the greatest level of a table."""
+    none = F.lit(None).cast("map<bigint,string>")
+
+    def made(own: DataFrame) -> DataFrame:
+        own = own.withColumn("tc", cell(lambda inner: F.try_element_at(F.col("inners"), inner)))
+        rows = own.groupBy("doc_id", "blk", "row").agg(ordered_join("tc", "col", "").alias("tcs"), F.max(F.col("col") + F.col("col_span")).alias("end"), F.sum("col_span").alias("wide"))
+        return rows.withColumn("tr", row(F.col("tcs"))).groupBy("doc_id", "blk").agg(table(ordered_join("tr", "row", "")).alias("xml"))
+
+    if not deepest:
+        return made(cells.withColumn("inners", none))
+    levels = blocks.where("kind = 'table'").select("doc_id", "blk", "level")
+    cells, done = stored(cells.join(levels, ["doc_id", "blk"])), None
+    for level in range(deepest, -1, -1):
+        own = cells.where(F.col("level") == level)
+        if done is None:
+            done = stored(made(own.withColumn("inners", none)))
+            continue
+        holds = F.exists("content", lambda x: x["kind"] == "table")
+        named = own.where(holds).select(*CELL, F.explode(F.filter("content", lambda x: x["kind"] == "table")).alias("x")).select(*CELL, F.col("x.inner").alias("inner"))
+        found = named.join(done.select("doc_id", F.col("blk").cast("long").alias("inner"), "xml"), ["doc_id", "inner"])
+        inners = found.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("inner", "xml"))).alias("inners"))
+        done = stored(made(own.where(~holds).withColumn("inners", none).unionByName(own.where(holds).join(inners, CELL, "left"))))
+    return done
+
+
+def _bodies(blocks: DataFrame, inline: DataFrame, tables: DataFrame, paragraph) -> DataFrame:
+    """doc_id, body: paragraphs, breaks and tables in the order of blocks; documents without any block are left out."""
     held = blocks.where("kind <> 'table'").join(inline, ["doc_id", "blk"], "left")
     paragraphs = held.select("doc_id", "blk", paragraph(F.coalesce("inline", F.lit(""))).alias("xml"))
-    rows = cells.groupBy("doc_id", "blk", "row").agg(ordered_join("cell", "col", "").alias("tcs"))
-    tables = rows.withColumn("tr", table_row(F.col("tcs"))).groupBy("doc_id", "blk").agg(table(ordered_join("tr", "row", "")).alias("xml"))
     return stored(paragraphs.unionByName(tables).groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")))
 
 
-def _lines(between: str, wrap) -> Column:
-    """The lines of `text`, each wrapped, with what stands between them."""
-    return F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), wrap), between)
+def _prepared(ir_runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    runs, cells = complete(ir_runs, RUN), with_content(cells)
+    refs = _references(runs, cells, media)
+    return *_with_refs(runs, cells, refs), refs
 
 
-def _merged_below(cells: DataFrame) -> DataFrame:
-    """Cells with the blank ones (row_span 0) below those of several rows, where they aren't there already."""
-    below = materialise_merges(cells, "doc_id", "blk").join(cells.select("doc_id", "blk", "row", "col"), ["doc_id", "blk", "row", "col"], "left_anti")
-    return cells.unionByName(below.select("doc_id", "blk", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "col_span", F.lit(0).alias("row_span"), F.lit("").alias("text")))
+def _in_cells(c: str) -> Callable:
+    """ref fields of the element at a place of a cell's content."""
+    return lambda i: (lambda name: F.try_element_at(F.col(c), i)[name])
 
 
+# ---- DOCX
+
 _LEVELS = lambda fmt, text: "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text.format(i + 1)}"/></w:lvl>' for i in range(9))
-_HEADINGS = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/><w:basedOn w:val="Normal"/><w:rPr><w:sz w:val="{40 - 4 * n}"/></w:rPr></w:style>' for n in range(1, 7))
-_TYPES = "".join(f'<Default Extension="{ext}" ContentType="{kind}"/>' for ext, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"), *((e, f"image/{e}") for e in ("png", "jpeg", "gif", "webp"))))
+#: Half-points of the headings, of this library's choice.
+_HEADINGS = "".join(
+    f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/><w:basedOn w:val="Normal"/><w:pPr><w:outlineLvl w:val="{n - 1}"/></w:pPr><w:rPr><w:b/><w:sz w:val="{size}"/></w:rPr></w:style>'
+    for n, size in enumerate((32, 28, 26, 24, 22, 21), 1)
+)
 #: Parts that all packages of a kind share.
 DOCX_FIXED = {part: HEAD + xml for part, xml in {
-    "word/styles.xml": f'<w:styles xmlns:w="{W}"><w:style w:type="paragraph" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{_HEADINGS}</w:styles>',
+    "word/styles.xml": f'<w:styles xmlns:w="{W}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{_HEADINGS}</w:styles>',
     "word/numbering.xml": f'<w:numbering xmlns:w="{W}"><w:abstractNum w:abstractNumId="0">{_LEVELS("bullet", "o")}</w:abstractNum><w:abstractNum w:abstractNumId="1">{_LEVELS("decimal", "%{}.")}</w:abstractNum>'
     '<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num></w:numbering>',
-    "_rels/.rels": f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/officeDocument" Target="word/document.xml"/></Relationships>',
-    "[Content_Types].xml": f'<Types xmlns="{PKG}/content-types">{_TYPES}</Types>',
+    "_rels/.rels": f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/officeDocument" Target="word/document.xml"/>'
+    f'<Relationship Id="rId2" Type="{PKG}/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>',
 }.items()}
-HWPX_FIXED = {"version.xml": f'{HEAD}<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" major="5" minor="1"/>'}
+_DEFAULTS = "".join(f'<Default Extension="{ext}" ContentType="{kind}"/>' for ext, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"), *((e, f"image/{e}") for e in ("png", "jpeg", "gif", "webp"))))
+_OVERRIDE = '<Override PartName="/{}" ContentType="{}"/>'
+_OVERRIDES = "".join(_OVERRIDE.format(f"word/{name}.xml", WORD_TYPE.format(kind)) for name, kind in (("document", "document.main"), ("styles", "styles"), ("numbering", "numbering"))) + _OVERRIDE.format("docProps/core.xml", "application/vnd.openxmlformats-package.core-properties+xml")
+NOTES = ("footnote", "endnote")
 
 
-def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have."""
-    refs, media = _images(runs, media)
-    linked = stored(assign_rel_ids(refs.withColumn("ord", F.struct("blk", "pos")), first=2).drop("ord"))
+def _docx_run(c: Callable, ref: Callable) -> Column:
+    """A run's XML; c gives its columns, ref those of what it refers to."""
+    as_text = lambda x: x.cast("string")
     pr = _all(
-        "<w:rPr>", F.when(F.col("font").isNotNull(), _all('<w:rFonts w:ascii="', _text(F.col("font")), '"/>')).otherwise(""), _if("bold", "<w:b/>"), _if("italic", "<w:i/>"), _if("strike", "<w:strike/>"),
-        F.when(F.col("color").isNotNull(), _all('<w:color w:val="', F.col("color"), '"/>')).otherwise(""), _if("underline", '<w:u w:val="single"/>'),
-        _if("sup", '<w:vertAlign w:val="superscript"/>'), _if("sub", '<w:vertAlign w:val="subscript"/>'), "</w:rPr>",
+        "<w:rPr>", _some(c("font"), '<w:rFonts w:ascii="', _text(c("font")), '" w:hAnsi="', _text(c("font")), '" w:eastAsia="', _text(c("font")), '"/>'), _if(c("bold"), "<w:b/>"), _if(c("italic"), "<w:i/>"), _if(c("strike"), "<w:strike/>"),
+        _some(c("color"), '<w:color w:val="', _text(c("color")), '"/>'), _some(c("size_pt"), '<w:sz w:val="', as_text(F.round(c("size_pt") * 2).cast("int")), '"/>'), _if(c("underline"), '<w:u w:val="single"/>'),
+        _if(c("sup"), '<w:vertAlign w:val="superscript"/>'), _if(c("sub"), '<w:vertAlign w:val="subscript"/>'), "</w:rPr>",
     )
-    words = _lines("<w:br/>", lambda t: _all('<w:t xml:space="preserve">', _text(t), "</w:t>"))
-    run = _all("<w:r>", pr, words, "</w:r>")
-    number, size = F.col("image_no").cast("string"), [(F.col(c) * EMU_PX).cast("string") for c in ("w", "h")]
+    run = _all("<w:r>", pr, _lines(c("text"), "<w:br/>", lambda t: F.when(t == "", "").otherwise(_all('<w:t xml:space="preserve">', _text(t), "</w:t>"))), "</w:r>")
+    number, size = as_text(ref("image_no")), [as_text(F.coalesce(ref(k), F.lit(100)) * EMU_PX) for k in ("w", "h")]
     picture = _all(
         '<w:r><w:drawing><wp:inline><wp:extent cx="', size[0], '" cy="', size[1], '"/><wp:docPr id="', number, '" name="image', number, f'"/><a:graphic><a:graphicData uri="{DRAWING}/picture"><pic:pic><pic:nvPicPr><pic:cNvPr id="', number,
-        '" name="image', number, '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', F.col("rel_id"), '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', size[0], '" cy="', size[1],
-        '"/></a:xfrm><a:prstGeom prst="rect"/></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>',
+        '" name="image', number, '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', ref("rel_id"), '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', size[0], '" cy="', size[1],
+        '"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>',
     )
-    told = runs.join(linked.select("doc_id", "blk", "pos", "kind", "rel_id", "image_no", "w", "h"), ["doc_id", "blk", "pos"], "left").where("media_id IS NULL OR kind = 'image'")
-    xml = F.when(F.col("kind") == "image", picture).when(F.col("kind") == "link", _all('<w:hyperlink r:id="', F.col("rel_id"), '">', run, "</w:hyperlink>")).otherwise(run)
-    inline = told.withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    style = F.when(F.col("heading").isNotNull(), _all('<w:pStyle w:val="Heading', F.col("heading").cast("string"), '"/>')).otherwise("")
-    numbering = F.when(F.col("list_level").isNotNull(), _all('<w:numPr><w:ilvl w:val="', F.col("list_level").cast("string"), '"/><w:numId w:val="', F.when(F.col("list_ordered"), "2").otherwise("1"), '"/></w:numPr>')).otherwise("")
-    paragraph = lambda x: F.when(F.col("kind") == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all("<w:p><w:pPr>", style, numbering, "</w:pPr>", x, "</w:p>"))
+    note = F.when(ref("note_no").isNotNull(), _all("<w:r><w:", c("note_kind"), 'Reference w:id="', as_text(ref("note_no")), '"/></w:r>')).otherwise("")
+    link = _all('<w:hyperlink r:id="', ref("rel_id"), '">', run, "</w:hyperlink>")
+    return F.when(c("note_kind").isNotNull(), note).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).when(c("url").isNotNull(), F.coalesce(link, run)).otherwise(run)
+
+
+def _docx_opens(c: Callable) -> Column:
+    style = _some(c("heading"), '<w:pStyle w:val="Heading', c("heading").cast("string"), '"/>')
+    level = F.least(c("list_level"), F.lit(8)).cast("string")
+    numbering = _some(c("list_level"), '<w:numPr><w:ilvl w:val="', level, '"/><w:numId w:val="', F.when(c("list_ordered"), "2").otherwise("1"), '"/></w:numPr>')
+    align = _some(c("align"), '<w:jc w:val="', F.when(c("align") == "justify", "both").otherwise(c("align")), '"/>')
+    return _all("<w:p><w:pPr>", style, numbering, align, "</w:pPr>")
+
+
+def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0) -> DataFrame:
+    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have."""
+    runs, cells, refs = _prepared(runs, cells, media)
+    xml = _docx_run(F.col, lambda name: F.col("ref")[name])
+    inline = runs.withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
+    paragraph = lambda x: F.when(F.col("kind") == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all(_docx_opens(F.col), x, "</w:p>"))
     span = F.when(F.col("col_span") > 1, _all('<w:gridSpan w:val="', F.col("col_span").cast("string"), '"/>')).otherwise("")
     merge = F.when(F.col("row_span") > 1, '<w:vMerge w:val="restart"/>').when(F.col("row_span") == 0, "<w:vMerge/>").otherwise("")
-    cell = _all("<w:tc><w:tcPr>", span, merge, "</w:tcPr><w:p><w:r>", words, "</w:r></w:p></w:tc>")
-    body = _bodies(blocks, inline, _merged_below(cells).withColumn("cell", cell), paragraph, lambda t: _all("<w:tr>", t, "</w:tr>"), lambda t: _all("<w:tbl><w:tblPr/>", t, "</w:tbl>"))
+    ref_at = _in_cells("refs")
+
+    def cell(inner) -> Column:
+        inside = rendered(_docx_opens, "</w:p>", lambda c, i: _docx_run(c, ref_at(i)), inner, "<w:p/>")
+        return _all("<w:tc><w:tcPr>", span, merge, "</w:tcPr>", inside, "</w:tc>")
+
+    grid = lambda: F.repeat(F.lit("<w:gridCol/>"), F.max("wide").cast("int"))
+    table = lambda t: _all('<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/></w:tblPr><w:tblGrid>', grid(), "</w:tblGrid>", t, "</w:tbl>")
+    tables = _tables(blocks, _merged_below(cells), deepest, cell, lambda t: _all("<w:tr>", t, "</w:tr>"), table)
+    body = _bodies(complete(blocks, {"align": "string"}), inline, tables, paragraph)
+    number = F.col("image_no").cast("string")
     name = F.concat(F.lit("media/image"), number, F.lit("."), _ext())
     target = F.when(F.col("kind") == "link", _all(f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name, '"/>'))
-    targets = linked.withColumn("one", _all('<Relationship Id="', F.col("rel_id"), target)).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
-    docs = body.join(targets, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    docs = docs.select("doc_id", "body", *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
+    linked = refs.where("kind <> 'note'").withColumn("one", _all('<Relationship Id="', F.col("rel_id"), target)).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
+    # a note's paragraphs: a line each
+    lines = _lines(F.col("note"), "", lambda t: _all('<w:p><w:r><w:t xml:space="preserve">', _text(t), "</w:t></w:r></w:p>"))
+    one = _all("<w:", F.col("note_kind"), ' w:id="', F.col("note_no").cast("string"), '">', lines, "</w:", F.col("note_kind"), ">")
+    notes = refs.where("note_no IS NOT NULL").withColumn("one", one).groupBy("doc_id", "note_kind").agg(ordered_join("one", "note_no", "").alias("xml"))
+    notes = notes.groupBy("doc_id").agg(*[F.max(F.when(F.col("note_kind") == k, F.col("xml"))).alias(k) for k in NOTES])
+    docs = body.join(linked, "doc_id", "left").join(notes, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
+    docs = docs.select("doc_id", "body", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
     names = f'xmlns:w="{W}" xmlns:r="{R}" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture" xmlns:wp="{DRAWING}/wordprocessingDrawing"'
+    rel = lambda id_, kind, file: f'<Relationship Id="{id_}" Type="{R}/{kind}" Target="{file}.xml"/>'
     parts = [
-        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), "<w:sectPr/></w:body></w:document>")),
-        _part("word/_rels/document.xml.rels", 2, _all(f'<Relationships xmlns="{PKG}/relationships"><Relationship Id="rId1" Type="{R}/styles" Target="styles.xml"/><Relationship Id="rIdLists" Type="{R}/numbering" Target="numbering.xml"/>', F.col("links"), "</Relationships>")),
+        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), f"{PAGE_DOCX}</w:body></w:document>")),
+        _part("word/_rels/document.xml.rels", 2, _all(
+            f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_some(F.col(k), rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], F.col("links"), "</Relationships>")),
         _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator><dc:subject>", _text(F.col("subject")), "</dc:subject></cp:coreProperties>")),
+        _part("[Content_Types].xml", 0, _all(f'<Types xmlns="{PKG}/content-types">{_DEFAULTS}{_OVERRIDES}', *[_some(F.col(k), _OVERRIDE.format(f"word/{k}s.xml", WORD_TYPE.format(f"{k}s"))) for k in NOTES], "</Types>")),
+        *[_part(f"word/{k}s.xml", 4 + i, _all(f'<w:{k}s xmlns:w="{W}">', F.col(k), f"</w:{k}s>"), F.col(k).isNotNull()) for i, k in enumerate(NOTES)],
     ]
-    return _packed(docs, parts, _media_parts(linked, media, 3, F.concat(F.lit("word/"), name)))
-
-
-def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """doc_id, parts of HWPX packages but for HWPX_FIXED; equal run styles share a character shape, headings and list levels
-    have a paragraph shape each."""
-    refs, media = _images(runs, media)
-    images = stored(assign_rel_ids(refs.where("kind = 'image'").withColumn("ord", F.struct("blk", "pos"))).drop("ord", "url"))
-    plain = runs.select("doc_id", "blk", "pos", "text", "url", "media_id", *SHAPE).withColumn("at", F.struct("blk", "pos"))
-    shaped = stored(dedup_shapes(plain, SHAPE, "at", 1))
-    opened = F.when(F.col("url").isNotNull(), _all('<hp:run><hp:ctrl><hp:fieldBegin type="HYPERLINK" url="', _text(F.col("url")), '"/></hp:ctrl></hp:run>')).otherwise("")
-    closed = F.when(F.col("url").isNotNull(), "<hp:run><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>").otherwise("")
-    words = _lines("<hp:lineBreak/>", _text)
-    number = F.col("image_no").cast("string")
-    picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', number, '"/></hp:pic></hp:run>')
-    run = _all(opened, '<hp:run charPrIDRef="', F.col("shape_id").cast("string"), '"><hp:t>', words, "</hp:t></hp:run>", closed)
-    told = shaped.join(images.select("doc_id", "blk", "pos", "image_no"), ["doc_id", "blk", "pos"], "left").where("media_id IS NULL OR image_no IS NOT NULL")
-    inline = told.withColumn("xml", F.when(F.col("image_no").isNotNull(), picture).otherwise(run)).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    listed = F.when(F.col("list_level").isNotNull(), LIST_SHAPE + 2 * F.least(F.col("list_level"), F.lit(LIST_LEVELS - 1)) + F.coalesce("list_ordered", F.lit(False)).cast("int"))
-    style, shape = F.coalesce("heading", F.lit(0)).cast("string"), F.coalesce("heading", listed, F.lit(0)).cast("string")
-    paragraph = lambda x: _all('<hp:p paraPrIDRef="', shape, '" styleIDRef="', style, '"', F.when(F.col("kind") == "pageBreak", ' pageBreak="1"').otherwise(""), ">", x, "</hp:p>")
-    as_text = lambda c: F.col(c).cast("string")
-    cell = _all(
-        '<hp:tc><hp:subList><hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:t>', words, '</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="', as_text("col"), '" rowAddr="', as_text("row"),
-        '"/><hp:cellSpan colSpan="', as_text("col_span"), '" rowSpan="', as_text("row_span"), '"/></hp:tc>',
-    )
-    body = _bodies(blocks, inline, cells.where("row_span > 0").withColumn("cell", cell), paragraph, lambda t: _all("<hp:tr>", t, "</hp:tr>"), lambda t: _all('<hp:p paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:tbl>', t, "</hp:tbl></hp:run></hp:p>"))
-    flag = lambda c, xml: F.when(F.coalesce(c, F.lit(False)), xml).otherwise("")
-    char = _all(
-        '<hh:charPr id="', as_text("shape_id"), '" height="1000" textColor="#', F.coalesce("color", F.lit("000000")), '">', flag("bold", "<hh:bold/>"), flag("italic", "<hh:italic/>"), flag("underline", '<hh:underline type="BOTTOM"/>'),
-        flag("strike", '<hh:strikeout shape="SOLID"/>'), flag("sup", "<hh:superScript/>"), flag("sub", "<hh:subScript/>"), "</hh:charPr>",
+    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("word/"), name)))
+
+
+# ---- HWPX
+
+_NO_LINE = "".join(f'<hh:{s}Border type="NONE" width="0.1 mm" color="#000000"/>' for s in ("left", "right", "top", "bottom"))
+#: Border fill 1 has no lines, 2 is that of cells.
+_FILLS = f'<hh:borderFills itemCnt="2"><hh:borderFill id="1">{_NO_LINE}</hh:borderFill><hh:borderFill id="2">{_NO_LINE.replace("NONE", "SOLID").replace("0.1 mm", "0.12 mm")}</hh:borderFill></hh:borderFills>'
+_NUMBERS = '<hh:numberings itemCnt="1"><hh:numbering id="1" start="1">' + "".join(f'<hh:paraHead level="{n}" start="1" numFormat="DIGIT">^{n}.</hh:paraHead>' for n in range(1, 8)) + '</hh:numbering></hh:numberings><hh:bullets itemCnt="1"><hh:bullet id="1" char="●"/></hh:bullets>'
+
+
+def _paragraph_shapes() -> str:
+    out = []
+    for align in (None, *ALIGNS):
+        said = "" if align is None else f'<hh:align horizontal="{align.upper()}" vertical="BASELINE"/>'
+        heads = [f'type="{"OUTLINE" if n else "NONE"}" level="{n}"' for n in range(LIST_SHAPE)] + [f'type="{k}" idRef="1" level="{n}"' for n in range(LIST_LEVELS) for k in ("BULLET", "NUMBER")]
+        out += [f'{said}<hh:heading {x}/><hh:border borderFillIDRef="1"/>' for x in heads]
+    return f'<hh:paraProperties itemCnt="{len(out)}">' + "".join(f'<hh:paraPr id="{n}">{x}</hh:paraPr>' for n, x in enumerate(out)) + "</hh:paraProperties>"
+
+
+_STYLES = f'<hh:styles itemCnt="{LIST_SHAPE}">' + "".join(f'<hh:style id="{n}" type="PARA" name="{f"heading {n}" if n else "Normal"}" paraPrIDRef="{n}" charPrIDRef="0" nextStyleIDRef="0"/>' for n in range(LIST_SHAPE)) + "</hh:styles>"
+HWPX_FIXED = {
+    "version.xml": f'{HEAD}<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" tagetApplication="WORDPROCESSOR" major="5" minor="1" micro="0" buildNumber="1"/>',
+    "settings.xml": f'{HEAD}<ha:HWPApplicationSetting xmlns:ha="http://www.hancom.co.kr/hwpml/2011/app"><ha:CaretPosition listIDRef="0" paraIDRef="0" pos="0"/></ha:HWPApplicationSetting>',
+    "META-INF/container.xml": f'{HEAD}<ocf:container xmlns:ocf="urn:oasis:names:tc:opendocument:xmlns:container"><ocf:rootfiles><ocf:rootfile full-path="Contents/content.hpf" media-type="application/hwpml-package+xml"/></ocf:rootfiles></ocf:container>',
+}
+_PAGE_HWPX = '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:secPr><hp:pagePr landscape="WIDELY" width="59528" height="84188" gutterType="LEFT_ONLY"><hp:margin left="8504" right="8504" top="5668" bottom="4252" header="4252" footer="4252" gutter="0"/></hp:pagePr></hp:secPr></hp:run>'
+
+
+def _shape_key(c: Callable) -> Column:
+    return F.struct(*[c(k).alias(k) for k in SHAPE])
+
+
+def _char_shapes(runs: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, shapes (a map from the style of a run to an id from 1, by first appearance), keys, fonts (from 1 too)."""
+    is_text = lambda c: c("media_id").isNull() & c("note_kind").isNull()
+    own = runs.where(is_text(F.col)).select("doc_id", F.col("blk").cast("long").alias("begin"), F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("long").alias("at"), *SHAPE)
+    held = cells.select(*CELL, F.posexplode("content").alias("at", "x")).where("x.kind = 'run'").where(is_text(lambda n: F.col(f"x.{n}")))
+    held = held.select("doc_id", F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), "row", "col", F.col("at").cast("long").alias("at"), *[f"x.{k}" for k in SHAPE])
+    seen = own.unionByName(held).groupBy("doc_id", *SHAPE).agg(F.min(F.struct("begin", "row", "col", "at")).alias("first"))
+    by_doc = seen.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", _shape_key(F.col).alias("key")))), lambda s: s["key"]).alias("keys"))
+    fonts = F.array_distinct(F.filter(F.transform("keys", lambda k: k["font"]), lambda f: f.isNotNull()))
+    return stored(by_doc.select("doc_id", "keys", F.map_from_arrays("keys", F.sequence(F.lit(1), F.size("keys"))).alias("shapes"), fonts.alias("fonts")))
+
+
+def _char_xml(k: Column, id_: Column) -> Column:
+    font = F.coalesce(F.array_position(F.col("fonts"), k["font"]), F.lit(0)).cast("string")
+    lanes = [lane.lower() for names in LANES.values() for lane in names]
+    return _all(
+        '<hh:charPr id="', id_.cast("string"), '" height="', F.round(F.coalesce(k["size_pt"], F.lit(10.0)) * 100).cast("int").cast("string"), '" textColor="#', _text(F.coalesce(k["color"], F.lit("000000"))), '" borderFillIDRef="1"><hh:fontRef',
+        *[x for lane in lanes for x in (f' {lane}="', font, '"')], "/>", _if(k["bold"], "<hh:bold/>"), _if(k["italic"], "<hh:italic/>"), _if(k["underline"], '<hh:underline type="BOTTOM" shape="SOLID" color="#000000"/>'),
+        _if(k["strike"], '<hh:strikeout shape="SOLID" color="#000000"/>'), _if(k["sup"], "<hh:supscript/>"), _if(k["sub"], "<hh:subscript/>"), "</hh:charPr>",
     )
-    distinct = shaped.groupBy("doc_id", "shape_id").agg(*[F.first(c).alias(c) for c in SHAPE])
-    chars = distinct.withColumn("one", char).groupBy("doc_id").agg(ordered_join("one", "shape_id", "").alias("chars"))
-    item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '"/>')
-    items = images.withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
-    docs = body.join(chars, "doc_id", "left").join(items, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    docs = docs.select("doc_id", "body", *[F.coalesce(k, F.lit("")).alias(k) for k in ("chars", "items", "title", "author", "subject")])
-    paras = "".join(f'<hh:paraPr id="{n}"><hh:heading type="{"OUTLINE" if n else "NONE"}" level="{n}"/></hh:paraPr>' for n in range(LIST_SHAPE))
-    paras += "".join(f'<hh:paraPr id="{LIST_SHAPE + 2 * n + k}"><hh:heading type="{kind}" idRef="1" level="{n}"/></hh:paraPr>' for n in range(LIST_LEVELS) for k, kind in enumerate(("BULLET", "NUMBER")))
-    named = "".join(f'<hh:style id="{n}" type="PARA" name="{f"heading {n}" if n else "Normal"}" paraPrIDRef="{n}" charPrIDRef="0"/>' for n in range(LIST_SHAPE))
+
+
+def _hwpx_run(c: Callable, ref: Callable) -> Column:
+    number = F.coalesce(F.try_element_at(F.col("shapes"), _shape_key(c)), F.lit(0)).cast("string")
+    opened = _all('<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldBegin type="HYPERLINK" url="', _text(c("url")), '"/></hp:ctrl></hp:run>')
+    run = _all('<hp:run charPrIDRef="', number, '"><hp:t>', _lines(c("text"), "<hp:lineBreak/>", _text), "</hp:t></hp:run>")
+    picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', ref("image_no").cast("string"), '"/></hp:pic></hp:run>')
+    tag = F.when(c("note_kind") == "endnote", "hp:endNote").otherwise("hp:footNote")
+    lines = _lines(c("note"), "", lambda t: _all('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:t>', _text(t), "</hp:t></hp:run></hp:p>"))
+    note = _all('<hp:run charPrIDRef="0"><hp:ctrl><', tag, ' number="', ref("note_no").cast("string"), '"><hp:subList>', lines, "</hp:subList></", tag, "></hp:ctrl></hp:run>")
+    link = _all(opened, run, '<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>')
+    return F.when(c("note_kind").isNotNull(), F.coalesce(note, F.lit(""))).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).when(c("url").isNotNull(), link).otherwise(run)
+
+
+def _hwpx_opens(c: Callable, more: Column | str = "") -> Column:
+    listed = F.when(c("list_level").isNotNull(), LIST_SHAPE + 2 * F.least(c("list_level"), F.lit(LIST_LEVELS - 1)) + F.coalesce(c("list_ordered"), F.lit(False)).cast("int"))
+    align = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in ALIGNS]), c("align")), F.lit(0)) * SHAPES
+    shape = F.coalesce(c("heading"), listed, F.lit(0)) + align
+    return _all('<hp:p paraPrIDRef="', shape.cast("string"), '" styleIDRef="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, ">")
+
+
+def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0) -> DataFrame:
+    """doc_id, parts of HWPX packages but for HWPX_FIXED; equal run styles share a character shape, headings, list levels and
+    alignments have a paragraph shape each, fonts are listed once for all scripts."""
+    runs, cells, refs = _prepared(runs, cells, media)
+    shapes = _char_shapes(runs, cells)
+    known = shapes.select("doc_id", "shapes")
+    xml = _hwpx_run(F.col, lambda name: F.col("ref")[name])
+    inline = runs.join(known, "doc_id", "left").withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
+    breaks = F.when(F.col("kind") == "pageBreak", ' pageBreak="1"').otherwise("")
+    paragraph = lambda x: _all(_hwpx_opens(F.col, breaks), x, "</hp:p>")
+    as_text = lambda c: F.col(c).cast("string")
+    ref_at, holder = _in_cells("refs"), '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'
+
+    def cell(inner) -> Column:
+        inside = rendered(_hwpx_opens, "</hp:p>", lambda c, i: _hwpx_run(c, ref_at(i)), lambda b: _all(holder, inner(b), "</hp:run></hp:p>"), '<hp:p paraPrIDRef="0" styleIDRef="0"/>')
+        return _all(
+            '<hp:tc borderFillIDRef="2"><hp:subList>', inside, '</hp:subList><hp:cellAddr colAddr="', as_text("col"), '" rowAddr="', as_text("row"),
+            '"/><hp:cellSpan colSpan="', as_text("col_span"), '" rowSpan="', as_text("row_span"), '"/></hp:tc>',
+        )
+
+    table = lambda t: _all('<hp:tbl rowCnt="', (F.max("row") + 1).cast("string"), '" colCnt="', F.max("end").cast("string"), '" borderFillIDRef="2">', t, "</hp:tbl>")
+    tables = _tables(blocks, cells.where("row_span > 0").join(known, "doc_id", "left"), deepest, cell, lambda t: _all("<hp:tr>", t, "</hp:tr>"), table)
+    tables = tables.withColumn("xml", _all(holder, F.col("xml"), "</hp:run></hp:p>"))
+    body = _bodies(complete(blocks, {"align": "string"}), inline, tables, paragraph)
+    number = F.col("image_no").cast("string")
+    item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '" isEmbeded="1"/>')
+    items = refs.where("kind = 'image'").withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
+    file = _all('<odf:file-entry odf:full-path="BinData/image', number, ".", _ext(), '" odf:media-type="', F.col("mime"), '"/>')
+    files = refs.where("kind = 'image'").withColumn("one", file).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("files"))
+    docs = body.join(shapes.drop("shapes"), "doc_id", "left").join(items, "doc_id", "left").join(files, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType))
+    docs = docs.withColumns({c: none(c) for c in ("keys", "fonts")} | {c: F.coalesce(c, F.lit("")) for c in ("items", "files", "title", "author", "subject")})
     about = lambda name, c: F.when(F.col(c) != "", _all(f'<opf:meta name="{name}" content="text">', _text(F.col(c)), "</opf:meta>")).otherwise("")
+    faces = F.array_join(F.transform("fonts", lambda f, i: _all('<hh:font id="', (i + 1).cast("string"), '" face="', _text(f), '" type="TTF" isEmbedded="0"/>')), "")
+    count = (F.size("fonts") + 1).cast("string")
+    lanes = [lane for names in LANES.values() for lane in names]
+    fonts = _all(f'<hh:fontfaces itemCnt="{len(lanes)}">', *[x for lane in lanes for x in (f'<hh:fontface lang="{lane}" fontCnt="', count, f'"><hh:font id="0" face="{FIRST_FACE}" type="TTF" isEmbedded="0"/>', faces, "</hh:fontface>")], "</hh:fontfaces>")
+    plain = _char_xml(F.struct(*[F.lit(None).cast(RUN[k]).alias(k) for k in SHAPE]), F.lit(0))
+    chars = _all('<hh:charProperties itemCnt="', (F.size("keys") + 1).cast("string"), '">', plain, F.array_join(F.transform("keys", lambda k, i: _char_xml(k, i + 1)), ""), "</hh:charProperties>")
+    fixed = "".join(f'<odf:file-entry odf:full-path="{n}" odf:media-type="application/xml"/>' for n in ("version.xml", "settings.xml", "Contents/header.xml", "Contents/section0.xml", "Contents/content.hpf"))
     parts = [
         F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
-        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}"><hh:refList><hh:charProperties><hh:charPr id="0" height="1000" textColor="#000000"/>', F.col("chars"), f"</hh:charProperties><hh:paraProperties>{paras}</hh:paraProperties><hh:styles>{named}</hh:styles></hh:refList></hh:head>")),
-        _part("Contents/section0.xml", 2, _all(f'<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">', F.col("body"), "</hs:sec>")),
-        _part("Contents/content.hpf", 3, _all('<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:metadata><opf:title>', _text(F.col("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"), '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml"/><opf:item id="section0" href="Contents/section0.xml"/>', F.col("items"), "</opf:manifest></opf:package>")),
+        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="1"><hh:refList>', fonts, _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")),
+        _part("Contents/section0.xml", 2, _all(f'<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">{_PAGE_HWPX}</hp:p>', F.col("body"), "</hs:sec>")),
+        _part("Contents/content.hpf", 3, _all(f'<opf:package xmlns:opf="{OPF}"><opf:metadata><opf:title>', _text(F.col("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"),
+            '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="section0" href="Contents/section0.xml" media-type="application/xml"/><opf:item id="settings" href="settings.xml" media-type="application/xml"/>', F.col("items"),
+            '</opf:manifest><opf:spine><opf:itemref idref="header"/><opf:itemref idref="section0"/></opf:spine></opf:package>')),
+        _part("META-INF/manifest.xml", 4, _all(f'<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0">{fixed}', F.col("files"), "</odf:manifest>")),
     ]
-    return _packed(docs, parts, _media_parts(images, media, 3, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())))
+    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())))
+
+
+# ---- flat XML
 
 
-def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, deepest: int = 0) -> DataFrame:
     """doc_id, xml: one flat XML text for each document."""
-    char = _all("<CHAR>", _text(F.col("text")), "</CHAR>")
-    inline = runs.withColumn("xml", char).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    paragraph = lambda x: _all('<P ParaShape="', F.coalesce("heading", F.lit(0)).cast("string"), '"', F.when(F.col("kind") == "pageBreak", ' PageBreak="true"').otherwise(""), '><TEXT CharShape="0">', x, "</TEXT></P>")
-    cell = _all('<CELL ColAddr="', F.col("col").cast("string"), '" RowAddr="', F.col("row").cast("string"), '" ColSpan="', F.col("col_span").cast("string"), '" RowSpan="', F.col("row_span").cast("string"), '"><PARALIST><P><TEXT><CHAR>', _text(F.col("text")), "</CHAR></TEXT></P></PARALIST></CELL>")
-    body = _bodies(blocks, inline, cells.where("row_span > 0").withColumn("cell", cell), paragraph, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<P><TEXT><TABLE>", t, "</TABLE></TEXT></P>"))
+    runs, cells = complete(runs, RUN), with_content(cells)
+    char = lambda c: _all("<CHAR>", _text(F.coalesce(c("text"), F.lit(""))), "</CHAR>")
+    inline = runs.withColumn("xml", char(F.col)).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
+    opens = lambda c, more="": _all('<P ParaShape="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, '><TEXT CharShape="0">')
+    breaks = F.when(F.col("kind") == "pageBreak", ' PageBreak="true"').otherwise("")
+    number = {c: F.col(c).cast("string") for c in ("col", "row", "col_span", "row_span")}
+
+    def cell(inner) -> Column:
+        inside = rendered(opens, "</TEXT></P>", lambda c, i: char(c), lambda b: _all("<P><TEXT>", inner(b), "</TEXT></P>"), '<P><TEXT><CHAR/></TEXT></P>')
+        return _all('<CELL ColAddr="', number["col"], '" RowAddr="', number["row"], '" ColSpan="', number["col_span"], '" RowSpan="', number["row_span"], '"><PARALIST>', inside, "</PARALIST></CELL>")
+
+    tables = _tables(blocks, cells.where("row_span > 0"), deepest, cell, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<TABLE>", t, "</TABLE>"))
+    tables = tables.withColumn("xml", _all("<P><TEXT>", F.col("xml"), "</TEXT></P>"))
+    body = _bodies(blocks, inline, tables, lambda x: _all(opens(F.col, breaks), x, "</TEXT></P>"))
     told = body.join(meta, "doc_id", "left")
     return told.select("doc_id", _all(HEAD, '<HWPML Version="2.91"><HEAD><DOCSUMMARY><TITLE>', _text(F.coalesce("title", F.lit(""))), "</TITLE></DOCSUMMARY></HEAD><BODY><SECTION>", F.col("body"), "</SECTION></BODY></HWPML>").alias("xml"))

@@ -2,40 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclake.operators.content import RUN, complete, with_content
 from doclake.operators.markdown import ordered_join
 
 
-def wrapped(text: Column, flag: str, left: str, right: str) -> Column:
-    return F.when(F.coalesce(flag, F.lit(False)), F.concat(F.lit(left), text, F.lit(right))).otherwise(text)
-
-
-def run_md() -> Column:
+def run_md(c=F.col) -> Column:
     """A run's Markdown from its columns, inner marks first. A link's own underline is not written again."""
-    t = wrapped(F.col("text"), "strike", "~~", "~~")
-    under = F.col("underline") & F.col("url").isNull()
-    t = F.when(F.coalesce(under, F.lit(False)), F.concat(F.lit("<u>"), t, F.lit("</u>"))).otherwise(t)
-    stars = F.when(F.col("bold") & F.col("italic"), "***").when(F.col("bold"), "**").when(F.col("italic"), "*").otherwise("")
+    put = lambda t, flag, left, right: F.when(F.coalesce(flag, F.lit(False)), F.concat(F.lit(left), t, F.lit(right))).otherwise(t)
+    t = put(c("text"), c("strike"), "~~", "~~")
+    t = put(t, c("underline") & c("url").isNull(), "<u>", "</u>")
+    stars = F.when(c("bold") & c("italic"), "***").when(c("bold"), "**").when(c("italic"), "*").otherwise("")
     t = F.concat(stars, t, stars)
-    t = wrapped(wrapped(t, "sup", "<sup>", "</sup>"), "sub", "<sub>", "</sub>")
-    return F.when(F.col("url").isNotNull(), F.concat(F.lit("["), t, F.lit("]("), "url", F.lit(")"))).otherwise(t)
+    t = put(put(t, c("sup"), "<sup>", "</sup>"), c("sub"), "<sub>", "</sub>")
+    return F.when(c("url").isNotNull(), F.concat(F.lit("["), t, F.lit("]("), c("url"), F.lit(")"))).otherwise(t)
 
 
 def paragraph_md(inline: Column) -> Column:
     """A paragraph's Markdown from heading, list_level and list_ordered; an ordered item's number is its level's."""
     bare = F.regexp_replace(inline, r"^\s+|\s+$", "")
-    mark = F.when(F.col("list_ordered"), F.concat((F.col("list_level") + 1).cast("string"), F.lit("."))).otherwise("-")
+    return F.when(bare == "", "").when(F.col("heading").isNotNull() | F.col("list_level").isNotNull(), F.concat(_lead(F.col), bare)).otherwise(inline)
+
+
+def _lead(c) -> Column:
+    """What a heading or a list item begins with."""
+    mark = F.when(c("list_ordered"), F.concat((c("list_level") + 1).cast("string"), F.lit("."))).otherwise("-")
     return (
-        F.when(bare == "", "").when(F.col("heading").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("heading")), F.lit(" "), bare))
-        .when(F.col("list_level").isNotNull(), F.concat(F.repeat(F.lit("  "), F.col("list_level")), mark, F.lit(" "), bare)).otherwise(inline)
+        F.when(c("heading").isNotNull(), F.concat(F.repeat(F.lit("#"), c("heading")), F.lit(" ")))
+        .when(c("list_level").isNotNull(), F.concat(F.repeat(F.lit("  "), c("list_level")), mark, F.lit(" "))).otherwise("")
     )
 
 
+def cell_md(content: Column, special: Column) -> Column:
+    """A cell's Markdown: its paragraphs that aren't blank, with breaks between; tables in it are blocks of their own.
+    special: what images and notes show, by place in the content."""
+    begin, lead = "\x1e", "\x1f"  # no text from XML has these
+    piece = lambda x, i: F.coalesce(F.try_element_at(special, i), F.when(x["media_id"].isNull() & x["note_kind"].isNull(), run_md(lambda n: x[n])), F.lit(""))
+    shown = F.transform(content, lambda x, i: F.when(x["kind"] == "paragraph", F.concat(F.lit(begin), _lead(lambda n: x[n]), F.lit(lead))).when(x["kind"] == "run", piece(x, i)).otherwise(F.lit(begin)))
+
+    def whole(line: Column) -> Column:
+        cut = F.split(line, lead, 2)
+        inline = F.regexp_replace(F.get(cut, F.size(cut) - 1), r"^\s+|\s+$", "")
+        return F.when(inline == "", "").otherwise(F.concat(F.when(F.size(cut) > 1, F.get(cut, F.lit(0))).otherwise(""), inline))
+
+    lines = F.filter(F.transform(F.split(F.array_join(shown, ""), begin, -1), whole), lambda x: x != "")
+    return F.replace(F.array_join(lines, "<br>"), F.lit("\n"), F.lit("<br>"))
+
+
 def table_md(cells: DataFrame) -> DataFrame:
-    """doc_id, blk, md of tables. cells: doc_id, blk, row, col, row_span, text. The first row is the header; merged-away
-    cells are '', empty ones a space."""
+    """doc_id, blk, md of tables. cells: doc_id, blk, row, col, row_span, text, a line break of which becomes `<br>`. The
+    first row is the header; merged-away cells are '', empty ones a space."""
     shown = F.when(F.col("row_span") == 0, "").when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.replace("text", F.lit("\n"), F.lit("<br>")))
     rows = cells.withColumn("shown", shown).groupBy("doc_id", "blk", "row").agg(ordered_join("shown", "col", " | ").alias("line"), F.count("*").alias("many"))
     line = F.concat(F.lit("| "), "line", F.lit(" |"))
@@ -43,22 +61,53 @@ def table_md(cells: DataFrame) -> DataFrame:
     return rows.withColumn("ruled", ruled).groupBy("doc_id", "blk").agg(ordered_join("ruled", "row", "\n").alias("md"))
 
 
-def _with_images(runs: DataFrame, media: DataFrame | None) -> DataFrame:
-    """Runs with image, the Markdown of those that show one. Bytes join only these; an image without bytes is left out."""
-    if media is None:
-        return runs.withColumn("image", F.lit(None).cast("string"))
-    shown = F.concat(F.lit("![image](data:"), "mime", F.lit(";base64,"), F.base64("bytes"), F.lit(")"))
-    images = runs.where("media_id IS NOT NULL").join(media, ["doc_id", "media_id"]).withColumn("image", shown).select(*runs.columns, "image")
-    return runs.where("media_id IS NULL").unionByName(images, allowMissingColumns=True)
+CELL = ["doc_id", "blk", "row", "col"]
+
+
+def _specials(runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Runs with `special`, what an image or a note shows, cells with `special` by place in their content, and doc_id, md of
+    the notes' texts. Bytes join only images; an image without bytes, and a note that isn't there, show nothing."""
+    kind = "map<int,string>"
+    if media is None and "note_kind" not in runs.columns:
+        return runs.withColumn("special", F.lit(None).cast("string")), cells.withColumn("special", F.lit(None).cast(kind)), None
+    runs = complete(runs, RUN)
+    fields = ["media_id", "note_kind", "note"]
+    needs = lambda c: c("media_id").isNotNull() | c("note_kind").isNotNull()
+    own = runs.where(needs(F.col)).select("doc_id", "blk", F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("int").alias("at"), F.col("blk").cast("long").alias("begin"), *fields)
+    has = F.exists("content", lambda x: needs(lambda n: x[n]))
+    held = cells.where(has).select(*CELL, F.posexplode("content").alias("at", "x")).where(needs(lambda n: F.col(f"x.{n}")))
+    held = held.select(*CELL, "at", F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), *[f"x.{f}" for f in fields])
+    every = own.unionByName(held)
+    order = Window.partitionBy("doc_id", "note_kind").orderBy("begin", "row", "col", "at")
+    known = every.where("note_kind IS NOT NULL AND note IS NOT NULL").withColumn("no", F.row_number().over(order).cast("string"))
+    name = F.concat(F.when(F.col("note_kind") == "endnote", "e").otherwise(""), "no")
+    known = known.withColumn("special", F.concat(F.lit("[^"), name, F.lit("]")))
+    line = F.concat("special", F.lit(": "), F.regexp_replace("note", r"\s*\n\s*", " "))
+    texts = known.withColumns({"line": line, "nth": F.struct(F.col("note_kind") == "endnote", F.col("no").cast("int"))}).groupBy("doc_id").agg(ordered_join("line", "nth", "\n").alias("md"))
+    told = known.select(*CELL, "at", "special")
+    if media is not None:
+        images = every.where("note_kind IS NULL").join(media.dropDuplicates(["doc_id", "media_id"]), ["doc_id", "media_id"])
+        told = told.unionByName(images.select(*CELL, "at", F.concat(F.lit("![image](data:"), "mime", F.lit(";base64,"), F.base64("bytes"), F.lit(")")).alias("special")))
+    at_body = told.where("row = -1").select("doc_id", "blk", F.col("at").cast(runs.schema["pos"].dataType).alias("pos"), "special")
+    plain, special = runs.where(~needs(F.col)).withColumn("special", F.lit(None).cast("string")), runs.where(needs(F.col)).join(at_body, ["doc_id", "blk", "pos"])
+    by_cell = told.where("row >= 0").groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("at", "special"))).alias("special"))
+    cells = cells.where(~has).withColumn("special", F.lit(None).cast(kind)).unionByName(cells.where(has).join(by_cell, CELL, "left"))
+    return plain.unionByName(special.select(*plain.columns)), cells, texts
 
 
 def render_markdown(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """doc_id, md. blocks: doc_id, blk, kind, heading, list_level, list_ordered; runs: doc_id, blk, pos and style;
-    cells: doc_id, blk, row, col, row_span, text; meta: doc_id, title, author, subject; media: doc_id, media_id, mime, bytes."""
-    inline = _with_images(runs, media).withColumn("piece", F.coalesce("image", run_md())).groupBy("doc_id", "blk").agg(ordered_join("piece", "pos", "").alias("inline"))
+    cells: doc_id, blk, row, col, row_span, content; meta: doc_id, title, author, subject; media: doc_id, media_id, mime, bytes.
+    Notes are called by `[^1]` (endnotes `[^e1]`) and told at the end."""
+    runs, cells, notes = _specials(runs, with_content(cells), media)
+    inline = runs.withColumn("piece", F.coalesce("special", run_md())).groupBy("doc_id", "blk").agg(ordered_join("piece", "pos", "").alias("inline"))
     paragraphs = blocks.where("kind = 'paragraph'").join(inline, ["doc_id", "blk"]).select("doc_id", "blk", paragraph_md(F.col("inline")).alias("md"))
     breaks = blocks.where("kind = 'pageBreak'").select("doc_id", "blk", F.lit("---").alias("md"))
-    body = paragraphs.unionByName(breaks).unionByName(table_md(cells)).where(r"md rlike '\\S'")
+    tables = table_md(cells.select("doc_id", "blk", "row", "col", "row_span", cell_md(F.col("content"), F.col("special")).alias("text")))
+    body = paragraphs.unionByName(breaks).unionByName(tables).where(r"md rlike '\\S'")
+    if notes is not None:
+        last = F.lit((1 << 31) - 1 if dict(blocks.dtypes)["blk"] == "int" else (1 << 62)).cast(blocks.schema["blk"].dataType)
+        body = body.unionByName(notes.select("doc_id", last.alias("blk"), "md"))
     text = body.groupBy("doc_id").agg(ordered_join("md", "blk", "\n\n").alias("body"))
     line = lambda k: F.when(F.coalesce(k, F.lit("")) != "", F.concat(F.lit(f'{k}: "'), k, F.lit('"')))
     front = F.concat_ws("\n", F.lit("---"), line("title"), line("author"), line("subject"), F.lit("---"))

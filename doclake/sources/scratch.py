@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -21,8 +23,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/doclake-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written and read again, for tables that several later steps read: they don't compute it anew."""
-    path = scratch(df.sparkSession)
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of written tables, which nothing may read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """What is stored within goes to one folder, which is removed at the end: results have to be stored by then elsewhere."""
+    path = scratch(spark)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        removed(spark, path)
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """`df` written and read again, for tables that several later steps read: they don't compute it anew. `lasting`: not
+    among the tables that passing() removes."""
+    folder = None if lasting else _folder.get()
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from doclake.sources.arrow import mapped_rows
 
-#: One row for each thing found, in document order; what a type doesn't have is null.
-ROW = "ord long, row_type string, sec int, tbl int, row int, col int, para int, text string, style_id string, align string, heading int, num_id string, ilvl int, bold boolean, italic boolean, underline boolean, strike boolean, size_pt double, color string, ref string, url string, col_span int, row_span int, vm string, sup boolean, sub boolean, font string"
+#: One row for each thing found, in document order; what a type doesn't have is null. A table within a cell tells the table
+#: (host), row and col of that cell, and how many tables are around it (level).
+ROW = "ord long, row_type string, sec int, tbl int, row int, col int, para int, text string, style_id string, align string, heading int, num_id string, ilvl int, bold boolean, italic boolean, underline boolean, strike boolean, size_pt double, color string, ref string, url string, col_span int, row_span int, vm string, sup boolean, sub boolean, font string, host int, level int"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
+#: What stands for a text box and for a chart (fixed values).
+TEXT_BOX, CHART = "[텍스트 상자: {}]", "[차트: 변환되지 않음]"
+
+
 def _bare(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -37,6 +42,11 @@ def _flag(pr, name: str):
     return None if v is None or v in ("0", "false", "none") else True
 
 
+def _placed(tbl: int, inside: dict) -> dict:
+    """The place of a table, from the place that it is found in."""
+    return {"tbl": tbl, "host": inside.get("tbl"), "row": inside.get("row"), "col": inside.get("col"), "level": inside.get("level", -1) + 1}
+
+
 class _Docx:
     """Collects the rows of one word/document.xml."""
 
@@ -61,7 +71,7 @@ class _Docx:
             elif tag == "p":
                 self.paragraph(e, at)
             elif tag == "tbl":
-                self.table(e)
+                self.table(e, at)
 
     def paragraph(self, p, at: dict):
         self.para += 1
@@ -96,25 +106,43 @@ class _Docx:
         for e in r:
             tag = _bare(e.tag)
             if tag == "t":
-                self.add("text", at, text=e.text or "", **style)
+                if e.text:
+                    self.add("text", at, text=e.text, **style)
             elif tag == "tab":
                 self.add("text", at, text="\t", **style)
             elif tag == "br":
                 self.add("pageBreak" if _attr(e, "type") == "page" else "lineBreak", at)
             elif tag in ("footnoteReference", "endnoteReference"):
                 self.add(tag[:-9], at, ref=_attr(e, "id"))
-            elif tag == "drawing":
-                blip = next((x for x in e.iter() if _bare(x.tag) == "blip"), None)
-                self.add("image", at, ref=_attr(blip, "embed") if blip is not None else None)
-
-    def table(self, tbl):
+            elif tag in ("drawing", "pict", "AlternateContent"):
+                self.drawn(e, at, style)
+
+    def drawn(self, e, at: dict, style: dict):
+        """A picture if there is any, else a text box's text, else a chart's placeholder; of alternatives the first."""
+        chosen = _child(e, "Choice") if _bare(e.tag) == "AlternateContent" else e
+        every = list((e if chosen is None else chosen).iter())
+        blip = next((x for x in every if _bare(x.tag) in ("blip", "imagedata")), None)
+        box = next((x for x in every if _bare(x.tag) == "txbxContent"), None)
+        if blip is not None:
+            self.add("image", at, ref=_attr(blip, "embed") or _attr(blip, "id"))
+        elif box is not None:
+            lines = ["".join(t.text or "" for t in p.iter() if _bare(t.tag) == "t") for p in box.iter() if _bare(p.tag) == "p"]
+            self.add("text", at, text=TEXT_BOX.format("\n".join(lines).strip()), **style)
+            self.add("unsupported", at, text="text box")
+        elif any(_bare(x.tag) == "chart" for x in every):
+            self.add("text", at, text=CHART, **style)
+            self.add("unsupported", at, text="chart")
+        else:
+            self.add("unsupported", at, text="drawing")
+
+    def table(self, tbl, inside: dict):
         self.tbl += 1
         own = self.tbl
-        self.add("table", {"tbl": own})
+        self.add("table", _placed(own, inside))
         for r, tr in enumerate(x for x in tbl if _bare(x.tag) == "tr"):
             for c, tc in enumerate(x for x in tr if _bare(x.tag) == "tc"):
                 pr = _child(tc, "tcPr")
-                at = {"tbl": own, "row": r, "col": c}
+                at = {"tbl": own, "row": r, "col": c, "level": inside.get("level", -1) + 1}
                 vm = _val(pr, "vMerge")
                 self.add("cell", at, col_span=int(_val(pr, "gridSpan") or 1), vm=None if vm is None else vm or "continue")
                 self.blocks(tc, at)
@@ -144,6 +172,9 @@ class _Hwpx:
         self.rows.append({"ord": len(self.rows), "row_type": kind, "sec": 0} | at | more)
 
     def paragraph(self, p, at: dict):
+        tags = {_bare(x.tag) for x in p.iter()}
+        if "secPr" in tags and not tags & {"t", "tbl", "pic", "footNote", "endNote"}:
+            return  # there for the page alone
         self.para += 1
         at = at | {"para": self.para}
         self.add("paragraph", at, style_id=_attr(p, "styleIDRef"), ref=_attr(p, "paraPrIDRef"))
@@ -161,10 +192,15 @@ class _Hwpx:
             elif tag in ("lineBreak", "lf"):
                 self.add("lineBreak", at)
             elif tag == "tbl":
-                self.table(x)
+                self.table(x, at)
             elif tag == "pic":
                 img = next((y for y in x.iter() if _bare(y.tag) == "img"), None)
                 self.add("image", at, ref=_attr(img if img is not None else x, "binaryItemIDRef"))
+            elif tag in ("footNote", "endNote"):
+                lines = ["".join(t.text or "" for t in p.iter() if _bare(t.tag) == "t") for p in x.iter() if _bare(p.tag) == "p"]
+                self.add(tag.lower(), at, text="\n".join(lines))
+            elif tag in ("chart", "equation", "ole", "video"):
+                self.add("unsupported", at, text=tag)
             elif tag == "p":
                 self.paragraph(x, at)
             elif tag == "fieldBegin":
@@ -187,14 +223,14 @@ class _Hwpx:
             pieces.append(x.tail or "")
         self.add("text", at, text="".join(pieces), ref=shape, url=self.url)
 
-    def table(self, tbl):
+    def table(self, tbl, inside: dict):
         self.tbl += 1
         own = self.tbl
-        self.add("table", {"tbl": own})
+        self.add("table", _placed(own, inside))
         for r, tr in enumerate(x for x in tbl if _bare(x.tag) == "tr"):
             for c, tc in enumerate(x for x in tr if _bare(x.tag) == "tc"):
                 span, place = _child(tc, "cellSpan"), _child(tc, "cellAddr")
-                at = {"tbl": own, "row": _int(place, "rowAddr", r), "col": _int(place, "colAddr", c)}
+                at = {"tbl": own, "row": _int(place, "rowAddr", r), "col": _int(place, "colAddr", c), "level": inside.get("level", -1) + 1}
                 self.add("cell", at, col_span=_int(span, "colSpan", 1), row_span=_int(span, "rowSpan", 1))
                 for x in tc:
                     for p in x if _bare(x.tag) == "subList" else [x]:
@@ -434,7 +470,7 @@ def hwpx_char_shapes(parts: DataFrame) -> DataFrame:
 
     def read(e):
         font, color, shade = _child(e, "fontRef"), _attr(e, "textColor"), _attr(e, "shadeColor")
-        flags = [_on(e, n) for n in ("bold", "italic", "underline", "strikeout", "superScript", "subScript")]
+        flags = [any(_on(e, n) for n in names) for names in (("bold",), ("italic",), ("underline",), ("strikeout",), ("superScript", "supscript"), ("subScript", "subscript"))]
         bare = [None if v in (None, "none") else v.lstrip("#") for v in (color, shade)]
         return (_attr(e, "id"), _int(e, "height", 1000) / 100, *flags, *bare, _attr(e, "borderFillIDRef"), None if font is None else _attr(font, "hangul"), None if font is None else _attr(font, "latin"))
 
