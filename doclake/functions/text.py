@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name parts of families (fixed lists).
-SERIF = ("times", "batang", "바탕", "serif", "georgia", "명조")
-MONO = ("courier", "consolas", "mono", "menlo", "monaco")
+#: Name parts of font classes (fixed values); those of fixed width in any case.
+MONO = ("Courier New", "Consolas", "Lucida Console", "Monaco", "Menlo", "monospace", "Ubuntu Mono", "Source Code Pro", "Fira Code", "JetBrains Mono", "D2Coding", "NanumGothicCoding")
+GOTHIC = ("고딕", "Gothic", "Sans", "Arial", "Helvetica", "Verdana", "Tahoma", "돋움")
+MYEONGJO = ("바탕", "명조", "Batang", "Times", "Serif", "Georgia")
 
 
 def escape_xml(x: Column, drop_control: bool = False) -> Column:
@@ -23,11 +24,13 @@ def is_korean(face: Column) -> Column:
 
 
 def is_monospace(face: Column) -> Column:
-    return F.lower(face).rlike("|".join(MONO))
+    return F.lower(face).rlike("|".join(MONO).lower())
 
 
 def font_family(face: Column) -> Column:
-    return F.when(is_monospace(face), "modern").when(F.lower(face).rlike("|".join(SERIF)), "roman").otherwise("swiss")
+    """The class of a face in font tables; fixed width first, then gothic."""
+    has = lambda names: face.rlike("|".join(names))
+    return F.when(is_monospace(face), "FCAT_FIXED").when(has(GOTHIC), "FCAT_GOTHIC").when(has(MYEONGJO), "FCAT_MYEONGJO").otherwise("FCAT_UNKNOWN")
 
 
 def apply_markers(text: Column, mark: Column) -> Column:

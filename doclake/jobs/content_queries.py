@@ -141,6 +141,27 @@ def warned(spark, sf_dir):
     return quality.outcomes(done.select("doc_id", F.lit("docx").alias("from_"), F.lit("hwpx").alias("to_"), "error", "warnings"))
 
 
+def _style(name: str, based: str, inner: str) -> str:
+    return f'<w:style w:styleId="{name}"><w:name w:val="{name}"/>' + (f'<w:basedOn w:val="{based}"/>' if based else "") + inner + "</w:style>"
+
+
+CHAINED = {
+    "word/document.xml": '<w:document xmlns:w="w"><w:body>' + "".join([
+        _p(_r("top {k}") + _r("off", '<w:b w:val="0"/>') + _r("own", '<w:sz w:val="24"/><w:color w:val="AA0000"/>'), '<w:pStyle w:val="Top"/>'),
+        _p(_r("base"), '<w:pStyle w:val="Base"/><w:jc w:val="end"/>'), _p(_r("plain")), _p(_r("unknown"), '<w:pStyle w:val="gone"/>'),
+    ]) + "</w:body></w:document>",
+    "word/styles.xml": '<w:styles xmlns:w="w">' + _style("Top", "Mid", "") + _style("Mid", "Base", '<w:pPr><w:jc w:val="center"/></w:pPr><w:rPr><w:i/></w:rPr>')
+    + _style("Base", "", '<w:pPr><w:jc w:val="both"/></w:pPr><w:rPr><w:b/><w:sz w:val="3{level}"/><w:color w:val="112233"/></w:rPr>') + "</w:styles>",
+}
+
+
+def styles_in_hwpx(spark, sf_dir):
+    """What style chains of DOCX tell, read from the shapes of the HWPX that is written."""
+    docs = c.convert(_parts(spark, sf_dir, CHAINED), "docx_styled", "hwpx").select("doc_id", "bytes")
+    ir = c.read_hwpx(docs)
+    return ir.runs.join(ir.blocks.select("doc_id", "blk", "align"), ["doc_id", "blk"]).select("doc_id", "text", "size_pt", "color", "bold", "italic", "align")
+
+
 def repeated_ids(spark, sf_dir):
     """Documents that share an id, or have none, each with a row of its own."""
     docs = built(spark, sf_dir, "SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 5 END AS doc_id, concat('# Title ', c_custkey, chr(10), chr(10), '| ', c_name, ' |') AS md FROM {customer}")
@@ -178,5 +199,8 @@ QUERIES = {
     "notes_markdown": (notes_markdown, f"SELECT c_custkey AS doc_id, {NOTES_MD} AS md, CAST(NULL AS VARCHAR) AS error, 3 AS warnings FROM customer"),
     "notes_through_formats": (notes_through_formats, f"SELECT c_custkey AS doc_id, {NOTES_MD} AS md FROM customer"),
     "conversion_warnings": (warned, "SELECT 'docx' AS from_, 'hwpx' AS to_, CASE WHEN c_custkey % 7 = 0 THEN 'error' ELSE s END AS status, count(*) AS n FROM customer, (VALUES ('ok'), ('warnings')) v(s) GROUP BY ALL"),
+    "styles_in_hwpx": (styles_in_hwpx, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT concat('top ', c_custkey) AS text, (30 + c_custkey % 3) / 2.0::DOUBLE AS size_pt, '112233' AS color, true AS bold, true AS italic, 'center' AS align
+  UNION ALL SELECT 'off', (30 + c_custkey % 3) / 2.0, '112233', NULL, true, 'center' UNION ALL SELECT 'own', 12.0, 'AA0000', true, true, 'center' UNION ALL SELECT 'base', (30 + c_custkey % 3) / 2.0, '112233', true, NULL, 'right'
+  UNION ALL SELECT 'plain', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, NULL) v"""),
     "repeated_ids": (repeated_ids, "SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 5 END AS doc_id, concat('# Title ', c_custkey, chr(10), chr(10), '| ', c_name, ' |', chr(10), '| --- |') AS md FROM customer"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,13 +132,32 @@ def _media(parts: DataFrame, media_id: Column) -> DataFrame:
     return parts.select("doc_id", media_id.alias("media_id"), sniff_mime(F.col("bytes")).alias("mime"), "bytes").where("media_id IS NOT NULL")
 
 
-def read_docx(docs: DataFrame) -> Ir:
-    """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering."""
+def _styled(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a DOCX document whose paragraphs and texts have what their paragraph's style, or the nearest one that it is
+    based on, tells and they don't: alignment, size, colour, bold, italic."""
+    told = xmlrows.docx_styles(parts).dropDuplicates(["doc_id", "style_id"]).select("doc_id", "style_id", "based_on", *STYLED)
+    inherited = styles.style_inherit(stored(told), list(STYLED), {}).withColumn("sz", F.col("sz") / 2)
+    of = rows.where("row_type = 'paragraph'").select("doc_id", "para", "style_id").join(inherited, ["doc_id", "style_id"])
+    rows = rows.join(of.select("doc_id", "para", *[F.col(s).alias(f"s_{s}") for s in STYLED]), ["doc_id", "para"], "left")
+    kind = {c: "paragraph" if c == "align" else "text" for c in STYLED.values()}
+    return rows.withColumns({c: F.coalesce(c, F.when(F.col("row_type") == kind[c], F.nullif(f"s_{s}", F.lit("auto")) if c == "color" else F.col(f"s_{s}"))) for s, c in STYLED.items()}).drop(*[f"s_{s}" for s in STYLED])
+
+
+#: What styles tell of texts and paragraphs, and the columns of rows for it.
+STYLED = {"align": "align", "sz": "size_pt", "color": "color", "bold": "bold", "italic": "italic"}
+
+
+def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
+    """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering; what else styles
+    tell is written to texts and paragraphs with `resolve`."""
     wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "docProps/core.xml")
     every = stored(package.unzip_parts(docs, wanted, ("word/document.xml",)))
     parts = every.where("error IS NULL")
     meta = xmlrows.core_meta(parts).select("doc_id", "title", "author", "subject")
     rows = stored(xmlrows.docx_rows(parts))
+    if resolve:
+        rows = stored(_styled(parts, rows).select(*rows.columns))
+    rows = rows.withColumns({c: F.when(F.col(c), F.lit(True)) for c in RUN_FLAGS})
     names = xmlrows.docx_styles(parts).groupBy("doc_id", "style_id").agg(F.max("heading").alias("named"), F.lit(True).alias("known"))
     kinds = xmlrows.nums(parts).join(xmlrows.num_levels(parts), ["doc_id", "abstract_id"]).groupBy("doc_id", "num_id", "ilvl").agg(F.min("fmt").alias("fmt"))
     plain, paragraphs = rows.where("row_type <> 'paragraph' OR row_type IS NULL"), rows.where("row_type = 'paragraph'")
@@ -266,7 +285,7 @@ def write_hml(ir: Ir) -> DataFrame:
 
 
 #: Readers and writers by format; own ones are added to these.
-READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "hwpx": read_hwpx, "hwp": read_hwp}
+READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "docx_styled": partial(read_docx, resolve=True), "hwpx": read_hwpx, "hwp": read_hwp}
 WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_docx, "hwpx": write_hwpx, "hml": write_hml}
 
 

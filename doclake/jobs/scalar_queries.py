@@ -30,8 +30,15 @@ def escape_query(spark, sf_dir):
     return rows.select("doc_id", F.md5(text.escape_xml(F.col("text"), True)).alias("digest"), F.length(text.escape_xml(F.col("text"))).alias("n"))
 
 
+FACES = (
+    "맑은 고딕", "Courier New", "Times New Roman", "함초롬바탕", "Arial", "Consolas", "lucida console", "Monaco", "Menlo", "DejaVu monospace", "Ubuntu Mono", "Source Code Pro", "Fira Code", "JetBrains Mono", "D2Coding",
+    "NanumGothicCoding", "Nanum Gothic", "Noto Sans", "Helvetica", "Verdana", "Tahoma", "돋움체", "나눔명조", "Batang", "Noto Serif", "Georgia", "Comic", "arial", "monoline",
+)
+
+
 def fonts_query(spark, sf_dir):
-    rows = built(spark, sf_dir, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '맑은 고딕' WHEN 1 THEN 'Courier New' WHEN 2 THEN 'Times New Roman' WHEN 3 THEN '함초롬바탕' ELSE 'Arial' END AS face FROM {part}")
+    names = ", ".join(f"'{f}'" for f in FACES)
+    rows = built(spark, sf_dir, f"SELECT p_partkey, element_at(array({names}), CAST(1 + p_partkey % {len(FACES)} AS INT)) AS face FROM {{part}}")
     face = F.col("face")
     return rows.select("p_partkey", text.font_family(face).alias("family"), text.is_monospace(face).alias("mono"), text.is_korean(face).alias("korean"))
 
@@ -98,7 +105,8 @@ QUERIES = {
     "fn_escape_xml": (escape_query, """SELECT doc_id, md5(replace(e, chr(7), '')) AS digest, length(e) AS n FROM (SELECT doc_id,
         replace(replace(replace(replace(replace(concat(text, '<a b="c">&''', chr(7)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS e FROM documents WHERE text IS NOT NULL) q
         UNION ALL SELECT doc_id, md5('&lt;a b=&quot;c&quot;&gt;&amp;&apos;'), 40 FROM documents WHERE false"""),
-    "fn_fonts": (fonts_query, "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'modern' WHEN 2 THEN 'roman' WHEN 3 THEN 'roman' ELSE 'swiss' END AS family, p_partkey % 5 = 1 AS mono, p_partkey % 5 IN (0, 3) AS korean FROM part"),
+    "fn_fonts": (fonts_query, """SELECT p_partkey, CASE WHEN i IN (1, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15) THEN 'FCAT_FIXED' WHEN i IN (0, 4, 16, 17, 18, 19, 20, 21) THEN 'FCAT_GOTHIC' WHEN i IN (2, 3, 22, 23, 24, 25) THEN 'FCAT_MYEONGJO' ELSE 'FCAT_UNKNOWN' END AS family,
+  i IN (1, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15) AS mono, i IN (0, 3, 21, 22) AS korean FROM (SELECT p_partkey, p_partkey % 29 AS i FROM part) z"""),
     "fn_maps": (maps_query, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'JUSTIFY' WHEN 3 THEN 'CENTER' ELSE 'LEFT' END AS align, CASE p_partkey % 3 WHEN 1 THEN 'DASH_DOT' ELSE 'SOLID' END AS border, CASE p_partkey % 2 WHEN 0 THEN '#800000' ELSE '#00FFFF' END AS color FROM part"),
     "fn_markers": (markers_query, "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN repeat(' ', CAST(p_size % 3 + p_size % 2 AS INT)) ELSE concat(repeat(' ', CAST(p_size % 3 AS INT)), m, p_type, m, repeat(' ', CAST(p_size % 2 AS INT))) END AS t FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN '**' ELSE '~~' END AS m FROM part) q"),
     "fn_colors": (colors_query, """SELECT p_partkey, v, concat('#', lpad(lower(hex(v % 256)), 2, '0'), lpad(lower(hex(v // 256 % 256)), 2, '0'), lpad(lower(hex(v // 65536)), 2, '0')) AS back FROM (

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.media import jpeg_size, png_height, png_width
-from doclake.functions.text import escape_xml
+from doclake.functions.text import escape_xml, font_family
 from doclake.operators.content import RUN, complete, element, rendered, with_content
 from doclake.operators.markdown import ordered_join
 from doclake.operators.registry import FIRST_FACE, LANES, assign_rel_ids
@@ -383,7 +383,7 @@ def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     none = lambda c: F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType))
     docs = docs.withColumns({c: none(c) for c in ("keys", "fonts")} | {c: F.coalesce(c, F.lit("")) for c in ("items", "files", "title", "author", "subject")})
     about = lambda name, c: F.when(F.col(c) != "", _all(f'<opf:meta name="{name}" content="text">', _text(F.col(c)), "</opf:meta>")).otherwise("")
-    faces = F.array_join(F.transform("fonts", lambda f, i: _all('<hh:font id="', (i + 1).cast("string"), '" face="', _text(f), '" type="TTF" isEmbedded="0"/>')), "")
+    faces = F.array_join(F.transform("fonts", lambda f, i: _all('<hh:font id="', (i + 1).cast("string"), '" face="', _text(f), '" type="TTF" isEmbedded="0"><hh:typeInfo familyType="', font_family(f), '"/></hh:font>')), "")
     count = (F.size("fonts") + 1).cast("string")
     lanes = [lane for names in LANES.values() for lane in names]
     fonts = _all(f'<hh:fontfaces itemCnt="{len(lanes)}">', *[x for lane in lanes for x in (f'<hh:fontface lang="{lane}" fontCnt="', count, f'"><hh:font id="0" face="{FIRST_FACE}" type="TTF" isEmbedded="0"/>', faces, "</hh:fontface>")], "</hh:fontfaces>")

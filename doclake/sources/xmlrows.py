@@ -38,8 +38,9 @@ def _val(e, name: str, attr: str = "val"):
 
 
 def _flag(pr, name: str):
+    """True or False where the property is told, None where it is not."""
     v = _val(pr, name)
-    return None if v is None or v in ("0", "false", "none") else True
+    return None if v is None else v not in ("0", "false", "none", "off")
 
 
 def _placed(tbl: int, inside: dict) -> dict:
