@@ -20,7 +20,7 @@ many otherwise different documents share are in the common pieces, which so neve
 Each piece links its members to one of them first, and only pieces whose members are then in different components
 are joined with themselves. In a band sets of the band below meet only those of the band itself.
 
-Room. Before that join, shingles are counted that no set of another component holds, of all that are left to be joined.
+Room. Where that join could make many pairs, shingles are counted that no set of another component holds, of all that are left to be joined.
 Two such sets of sizes a and b with u and v of them differ in u + v elements at least, so they need room: (a + b) / 9 is
 not below u + v. One of them then has room by itself, a / 9 not below u; sets without meet only sets with it. So documents
 made from one template, each with more text of its own than a link allows, do not meet each other at all.
@@ -64,6 +64,8 @@ SPARE = 1.15
 STARS = 2
 #: Shingles of components with more sets than this count as shared, so a shingle has no more rows than that from a task.
 BIG = 1000
+#: Rooms are found where pieces could make more pairs than this for each of their rows; a join of fewer costs less.
+ROOM_FROM = 1000
 FIVE = (1 << 40) - 1
 #: Bytes of a word up to which powers are kept.
 USUAL_WORD = 4096
@@ -552,10 +554,16 @@ class Join:
         out = sets.select("cid", "n").join(alone, "cid", "left").withColumn("room", room)
         return stored(out.where(f"room * {THRESHOLD} + {100 * (100 - THRESHOLD)} * n >= 0").select("cid", "room"), f"{self.path}/rooms")
 
+    def _many(self, own: DataFrame) -> bool:
+        sizes = own.groupBy("key").agg(F.count("*").alias("c"))
+        told = sizes.agg(F.sum("c").alias("rows"), F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs")).first()
+        return (told["pairs"] or 0) > ROOM_FROM * (told["rows"] or 0)
+
     def _crossed(self, own: DataFrame) -> DataFrame:
-        """Pairs of a piece's members in different components, one of which has room by itself; of these the sketch lets the
-        join itself drop most."""
-        told = own.join(self._rooms(own), "cid").join(self.classes.select("cid", "n", *SKETCH), "cid")
+        """Pairs of a piece's members in different components; of many pairs those alone of which one member has room by
+        itself. The sketch lets the join itself drop most."""
+        told = own.join(self._rooms(own), "cid") if self._many(own) else own.withColumn("room", F.lit(0))
+        told = told.join(self.classes.select("cid", "n", *SKETCH), "cid")
         told = stored(told, f"{self.path}/sketched")
         meet = "x.key = y.key AND x.cid <> y.cid AND (y.room < 0 OR x.cid < y.cid) AND x.room + y.room >= 0 AND (x.own OR y.own) AND x.comp <> y.comp AND " + _possible(SKETCH)
         pairs = told.where("room >= 0").alias("x").join(told.alias("y"), F.expr(meet))
