@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doclake.jobs import convert as c
-from doclake.jobs.fixtures import built, md_docs
+from doclake.jobs.fixtures import built, md_docs, page_docs
 from doclake.jobs.foreign_queries import DOCX, PICTURE, PICTURE_SQL, _hc, _hp, _list, _p, _parts, _r
 from doclake.operators import quality
 from doclake.operators.integrity import missing_counts, missing_refs
@@ -162,6 +162,30 @@ def styles_in_hwpx(spark, sf_dir):
     return ir.runs.join(ir.blocks.select("doc_id", "blk", "align"), ["doc_id", "blk"]).select("doc_id", "text", "size_pt", "color", "bold", "italic", "align")
 
 
+_SECT = lambda w, h, left: f'<w:sectPr><w:pgSz w:w="{w}" w:h="{h}"/><w:pgMar w:top="700" w:right="800" w:bottom="900" w:left="{left}" w:header="500" w:footer="600"/></w:sectPr>'
+SECTIONED = {
+    "word/document.xml": '<w:document xmlns:w="w"><w:body>' + "".join([
+        _p(_r("first {k}")), _TBL([_TC(_p(_r("cell")))]), f"<w:p><w:pPr>{_SECT(16838, 11906, 1000)}</w:pPr></w:p>",
+        _p(_r("second")), _p(_r("last of it"), _SECT(10000, 12000, 1100)), _p(_r("third")), _p(_r("end")), _SECT(11906, 16838, "12{level}0"),
+    ]) + "</w:body></w:document>",
+}
+
+
+def sections_through_formats(spark, sf_dir):
+    """Sections after DOCX, HWPX, DOCX and HWPX: the page of each, and the texts that it holds."""
+    ir = c.read_hwpx(_through(_parts(spark, sf_dir, SECTIONED), "docx", "hwpx", "docx", "hwpx"))
+    lists = ir.sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "page"))).alias("s"))
+    held = ir.runs.join(lists, "doc_id").withColumn("sec", F.size(F.filter("s", lambda x: x["begin"] < F.col("blk"))) - 1)
+    rows = held.groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "pos", "text"))), lambda x: x["text"]), "|").alias("texts"), F.first(F.col("s")[F.col("sec")]["page"]).alias("page"))
+    return rows.select("doc_id", "sec", "texts", *[F.get("page", F.lit(i)).alias(k) for i, k in enumerate(("w", "h", "top", "bottom", "left", "right", "header", "footer"))])
+
+
+def markdown_pages(spark, sf_dir):
+    """The page that front matter tells, in DOCX made of it."""
+    ir = c.read_docx(c.convert(built(spark, sf_dir, page_docs), "md", "docx").select("doc_id", "bytes"))
+    return ir.sections.select("doc_id", F.get("page", F.lit(0)).alias("w"), F.get("page", F.lit(2)).alias("top"))
+
+
 def repeated_ids(spark, sf_dir):
     """Documents that share an id, or have none, each with a row of its own."""
     docs = built(spark, sf_dir, "SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 5 END AS doc_id, concat('# Title ', c_custkey, chr(10), chr(10), '| ', c_name, ' |') AS md FROM {customer}")
@@ -202,5 +226,8 @@ QUERIES = {
     "styles_in_hwpx": (styles_in_hwpx, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT concat('top ', c_custkey) AS text, (30 + c_custkey % 3) / 2.0::DOUBLE AS size_pt, '112233' AS color, true AS bold, true AS italic, 'center' AS align
   UNION ALL SELECT 'off', (30 + c_custkey % 3) / 2.0, '112233', NULL, true, 'center' UNION ALL SELECT 'own', 12.0, 'AA0000', true, true, 'center' UNION ALL SELECT 'base', (30 + c_custkey % 3) / 2.0, '112233', true, NULL, 'right'
   UNION ALL SELECT 'plain', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, NULL) v"""),
+    "sections_through_formats": (sections_through_formats, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT 0 AS sec, concat('first ', c_custkey) AS texts, 84190 AS w, 59530 AS h, 3500 AS top, 4500 AS bottom, 5000 AS "left", 4000 AS "right", 2500 AS header, 3000 AS footer
+  UNION ALL SELECT 1, 'second|last of it', 50000, 60000, 3500, 4500, 5500, 4000, 2500, 3000 UNION ALL SELECT 2, 'third|end', 59530, 84190, 3500, 4500, CAST(6000 + 50 * (c_custkey % 3) AS INT), 4000, 2500, 3000) v"""),
+    "markdown_pages": (markdown_pages, """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(coalesce(5 * nullif(o_custkey, 0), 59530) AS INT) WHEN o_orderkey % 5 = 0 THEN 59525 ELSE 59530 END AS w, CASE WHEN o_orderkey % 5 = 0 THEN CAST(5 * (o_custkey % 100) AS INT) WHEN o_orderkey % 3 = 0 THEN 5665 ELSE 7200 END AS top FROM orders"""),
     "repeated_ids": (repeated_ids, "SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 5 END AS doc_id, concat('# Title ', c_custkey, chr(10), chr(10), '| ', c_name, ' |', chr(10), '| --- |') AS md FROM customer"),
 }

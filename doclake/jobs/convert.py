@@ -35,10 +35,12 @@ class Ir:
     media: DataFrame | None = None
     #: the greatest level of a table
     deepest: int = 0
+    #: doc_id, begin (a section's blocks have a greater blk, and those before the next one's), page (xmlrows.PAGE_OF)
+    sections: DataFrame | None = None
 
     def written(self) -> Ir:
         """The tables written once, for writers that read them several times; media are, as parts of a package."""
-        return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors") if (v := getattr(self, k)) is not None})
+        return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors", "sections") if (v := getattr(self, k)) is not None})
 
 
 RUN_FLAGS = ("bold", "italic", "underline", "strike", "sup", "sub")
@@ -56,7 +58,9 @@ def read_md(docs: DataFrame) -> Ir:
     run = lambda columns: element("run", **dict(zip(MD_RUN, columns, strict=True)))
     content = F.concat(F.array(element("paragraph")), m.inline_array(F.col("text"), run)).alias("content")
     cells = m.pipe_table_cells(grouped).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), content)
-    return Ir(blocks, runs.withColumn("media_id", F.lit(None).cast("string")), cells, meta)
+    keys = ["pageWidth", "pageHeight", "marginTop", "marginBottom", "marginLeft", "marginRight", "marginHeader", "marginFooter"]
+    sections = m.front_matter_page(fronts).select("doc_id", F.lit(-1).cast("long").alias("begin"), F.array(*[F.col(k).cast("int") for k in keys], F.lit(0)).alias("page"))
+    return Ir(blocks, runs.withColumn("media_id", F.lit(None).cast("string")), cells, meta, sections=sections)
 
 
 TABLE = ("doc_id", "sec", "tbl")
@@ -114,7 +118,10 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     inside = inside.withColumns(spans)
     cells = (_with_spans(stored(inside)) if by_cell else inside).join(at.select(*TABLE, "blk"), list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "content")
     deepest = at.agg(F.max("level")).first()[0] or 0
-    return Ir(blocks, runs, cells, meta, deepest=deepest)
+    # DOCX (by_cell) tells a section's page where it ends, HWPX where it begins
+    begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0)) if by_cell else F.col("ord") - 1
+    sections = rows.where("row_type = 'section'").select("doc_id", begin.cast("long").alias("begin"), F.split("text", " ").cast("array<int>").alias("page"))
+    return Ir(blocks, runs, cells, meta, deepest=deepest, sections=sections)
 
 
 def _errors(rows: DataFrame, *tables_: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ def read_hwpx(docs: DataFrame) -> Ir:
     # a table stands in a paragraph: one that holds nothing else is no block
     last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
-    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph")).alias("more"))
+    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph", "section")).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
     media = parts.where("part LIKE '%BinData/%'")
     errors = _errors(read, every, xmlrows.part_errors(parts, "Contents/header.xml"))
@@ -273,11 +280,11 @@ def write_md(ir: Ir) -> DataFrame:
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest), packages.DOCX_FIXED)
+    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections), packages.DOCX_FIXED)
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest), packages.HWPX_FIXED)
+    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections), packages.HWPX_FIXED)
 
 
 def write_hml(ir: Ir) -> DataFrame:

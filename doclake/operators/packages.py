@@ -36,8 +36,9 @@ LIST_SHAPE, LIST_LEVELS = 7, 9
 SHAPES = LIST_SHAPE + 2 * LIST_LEVELS
 ALIGNS = ("left", "center", "right", "justify", "distribute")
 EMU_PX = 9525
-#: Twips of the page and its margins where a document tells none.
-PAGE_DOCX = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440" w:header="720" w:footer="720" w:gutter="0"/></w:sectPr>'
+#: The page where a document tells none, in HWPUNIT: width, height, margins at top, bottom, left and right, of header, footer
+#: and gutter.
+A4_PAGE = (59530, 84190, 7200, 7200, 7200, 7200, 3600, 3600, 0)
 CELL = ["doc_id", "blk", "row", "col"]
 
 
@@ -124,14 +125,26 @@ def _media_parts(refs: DataFrame, media: DataFrame | None, first: int, name: Col
     return held.groupBy("doc_id").agg(F.collect_list(one).alias("media"))
 
 
-def _packed(docs: DataFrame, parts: list[Column], media: DataFrame | None) -> DataFrame:
-    """doc_id, parts: a row for each package."""
+def _packed(docs: DataFrame, parts: list[Column], media: DataFrame | None, more: Column | None = None) -> DataFrame:
+    """doc_id, parts: a row for each package; `more` is an array of parts."""
     own = F.filter(F.array(*parts), lambda p: p.isNotNull())
+    own = own if more is None else F.concat(own, more)
     if media is None:
         return docs.select("doc_id", own.alias("parts"))
     return docs.join(media, "doc_id", "left").select("doc_id", F.when(F.col("media").isNull(), own).otherwise(F.concat(own, "media")).alias("parts"))
 
 
+def _sections(docs: DataFrame, sections: DataFrame | None) -> DataFrame:
+    """doc_id, begins, pages of all documents: a list of sections each, at least one."""
+    page = F.array(*[F.lit(x) for x in A4_PAGE])
+    if sections is None:
+        return docs.select("doc_id").distinct().select("doc_id", F.array(F.lit(-1).cast("long")).alias("begins"), F.array(page).alias("pages"))
+    held = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "page"))).alias("s"))
+    told = held.select("doc_id", F.transform("s", lambda x: x["begin"]).alias("begins"), F.transform("s", lambda x: x["page"]).alias("pages"))
+    out = docs.select("doc_id").distinct().join(told, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("begins", F.array(F.lit(-1).cast("long"))).alias("begins"), F.coalesce("pages", F.array(page)).alias("pages"))
+
+
 # ---- tables and bodies
 
 
@@ -169,11 +182,15 @@ def _tables(blocks: DataFrame, cells: DataFrame, deepest: int, cell: Callable[[C
     return done
 
 
-def _bodies(blocks: DataFrame, inline: DataFrame, tables: DataFrame, paragraph) -> DataFrame:
-    """doc_id, body: paragraphs, breaks and tables in the order of blocks; documents without any block are left out."""
+def _flow(blocks: DataFrame, inline: DataFrame, tables: DataFrame, paragraph) -> DataFrame:
+    """doc_id, blk, xml of paragraphs, breaks and tables."""
     held = blocks.where("kind <> 'table'").join(inline, ["doc_id", "blk"], "left")
-    paragraphs = held.select("doc_id", "blk", paragraph(F.coalesce("inline", F.lit(""))).alias("xml"))
-    return stored(paragraphs.unionByName(tables).groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")))
+    return held.select("doc_id", "blk", paragraph(F.coalesce("inline", F.lit(""))).alias("xml")).unionByName(tables)
+
+
+def _bodies(flow: DataFrame) -> DataFrame:
+    """doc_id, body: all in the order of blocks; documents without any block are left out."""
+    return stored(flow.groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")))
 
 
 def _prepared(ir_runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,8 +254,19 @@ def _docx_opens(c: Callable) -> Column:
     return _all("<w:p><w:pPr>", style, numbering, align, "</w:pPr>")
 
 
-def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0) -> DataFrame:
-    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have."""
+def _sect_pr(page: Column) -> Column:
+    """A page in HWPUNIT as section properties, in twips."""
+    size = lambda i: F.floor(F.get(page, F.lit(i)) / 5).cast("string")
+    wide = F.when(F.get(page, F.lit(0)) > F.get(page, F.lit(1)), ' w:orient="landscape"').otherwise("")
+    return _all(
+        '<w:sectPr><w:pgSz w:w="', size(0), '" w:h="', size(1), '"', wide, '/><w:pgMar w:top="', size(2), '" w:right="', size(5), '" w:bottom="', size(3), '" w:left="', size(4),
+        '" w:header="', size(6), '" w:footer="', size(7), '" w:gutter="', size(8), '"/></w:sectPr>',
+    )
+
+
+def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None) -> DataFrame:
+    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have. A section's page stands in a paragraph of its own at its
+    end, the last one's at the end of the body."""
     runs, cells, refs = _prepared(runs, cells, media)
     xml = _docx_run(F.col, lambda name: F.col("ref")[name])
     inline = runs.withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
@@ -254,7 +282,16 @@ def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     grid = lambda: F.repeat(F.lit("<w:gridCol/>"), F.max("wide").cast("int"))
     table = lambda t: _all('<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/></w:tblPr><w:tblGrid>', grid(), "</w:tblGrid>", t, "</w:tbl>")
     tables = _tables(blocks, _merged_below(cells), deepest, cell, lambda t: _all("<w:tr>", t, "</w:tr>"), table)
-    body = _bodies(complete(blocks, {"align": "string"}), inline, tables, paragraph)
+    flow = _flow(complete(blocks, {"align": "string"}), inline, tables, paragraph).withColumn("blk", F.col("blk").cast("long") * 2)
+    if sections is not None:
+        lists = _sections(sections, sections)
+        ends = lists.where(F.size("begins") > 1).select("doc_id", "begins", F.posexplode(F.slice("pages", F.lit(1), F.size("pages") - 1)).alias("i", "page"))
+        flow = flow.unionByName(ends.select("doc_id", (F.element_at("begins", F.col("i") + 2) * 2 + 1).alias("blk"), _all("<w:p><w:pPr>", _sect_pr(F.col("page")), "</w:pPr></w:p>").alias("xml")))
+    body = _bodies(flow)
+    if sections is None:
+        body = body.withColumn("last", F.array(*[F.lit(x) for x in A4_PAGE]))
+    else:
+        body = body.join(lists.select("doc_id", F.element_at("pages", -1).alias("last")), "doc_id", "left").withColumn("last", F.coalesce("last", F.array(*[F.lit(x) for x in A4_PAGE])))
     number = F.col("image_no").cast("string")
     name = F.concat(F.lit("media/image"), number, F.lit("."), _ext())
     target = F.when(F.col("kind") == "link", _all(f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name, '"/>'))
@@ -265,11 +302,11 @@ def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     notes = refs.where("note_no IS NOT NULL").withColumn("one", one).groupBy("doc_id", "note_kind").agg(ordered_join("one", "note_no", "").alias("xml"))
     notes = notes.groupBy("doc_id").agg(*[F.max(F.when(F.col("note_kind") == k, F.col("xml"))).alias(k) for k in NOTES])
     docs = body.join(linked, "doc_id", "left").join(notes, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    docs = docs.select("doc_id", "body", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
+    docs = docs.select("doc_id", "body", "last", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
     names = f'xmlns:w="{W}" xmlns:r="{R}" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture" xmlns:wp="{DRAWING}/wordprocessingDrawing"'
     rel = lambda id_, kind, file: f'<Relationship Id="{id_}" Type="{R}/{kind}" Target="{file}.xml"/>'
     parts = [
-        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), f"{PAGE_DOCX}</w:body></w:document>")),
+        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), _sect_pr(F.col("last")), "</w:body></w:document>")),
         _part("word/_rels/document.xml.rels", 2, _all(
             f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_some(F.col(k), rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], F.col("links"), "</Relationships>")),
         _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator><dc:subject>", _text(F.col("subject")), "</dc:subject></cp:coreProperties>")),
@@ -302,7 +339,16 @@ HWPX_FIXED = {
     "settings.xml": f'{HEAD}<ha:HWPApplicationSetting xmlns:ha="http://www.hancom.co.kr/hwpml/2011/app"><ha:CaretPosition listIDRef="0" paraIDRef="0" pos="0"/></ha:HWPApplicationSetting>',
     "META-INF/container.xml": f'{HEAD}<ocf:container xmlns:ocf="urn:oasis:names:tc:opendocument:xmlns:container"><ocf:rootfiles><ocf:rootfile full-path="Contents/content.hpf" media-type="application/hwpml-package+xml"/></ocf:rootfiles></ocf:container>',
 }
-_PAGE_HWPX = '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:secPr><hp:pagePr landscape="WIDELY" width="59528" height="84188" gutterType="LEFT_ONLY"><hp:margin left="8504" right="8504" top="5668" bottom="4252" header="4252" footer="4252" gutter="0"/></hp:pagePr></hp:secPr></hp:run>'
+
+
+def _sec_pr(page: Column) -> Column:
+    """The paragraph that a section begins with, for its page."""
+    size = lambda i: F.get(page, F.lit(i)).cast("string")
+    return _all(
+        '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:secPr><hp:pagePr landscape="WIDELY" width="', size(0), '" height="', size(1), '" gutterType="LEFT_ONLY"><hp:margin left="', size(4), '" right="', size(5),
+        '" top="', size(2), '" bottom="', size(3), '" header="', size(6), '" footer="', size(7), '" gutter="', size(8), '"/></hp:pagePr></hp:secPr></hp:run></hp:p>',
+    )
+
 
 
 def _shape_key(c: Callable) -> Column:
@@ -350,8 +396,8 @@ def _hwpx_opens(c: Callable, more: Column | str = "") -> Column:
     return _all('<hp:p paraPrIDRef="', shape.cast("string"), '" styleIDRef="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, ">")
 
 
-def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0) -> DataFrame:
-    """doc_id, parts of HWPX packages but for HWPX_FIXED; equal run styles share a character shape, headings, list levels and
+def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None) -> DataFrame:
+    """doc_id, parts of HWPX packages but for HWPX_FIXED, a section a part; equal run styles share a character shape, headings, list levels and
     alignments have a paragraph shape each, fonts are listed once for all scripts."""
     runs, cells, refs = _prepared(runs, cells, media)
     shapes = _char_shapes(runs, cells)
@@ -373,7 +419,16 @@ def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     table = lambda t: _all('<hp:tbl rowCnt="', (F.max("row") + 1).cast("string"), '" colCnt="', F.max("end").cast("string"), '" borderFillIDRef="2">', t, "</hp:tbl>")
     tables = _tables(blocks, cells.where("row_span > 0").join(known, "doc_id", "left"), deepest, cell, lambda t: _all("<hp:tr>", t, "</hp:tr>"), table)
     tables = tables.withColumn("xml", _all(holder, F.col("xml"), "</hp:run></hp:p>"))
-    body = _bodies(complete(blocks, {"align": "string"}), inline, tables, paragraph)
+    flow = _flow(complete(blocks, {"align": "string"}), inline, tables, paragraph)
+    # a block is in the last section that begins before it
+    lists = _sections(blocks, sections) if sections is not None else None
+    if lists is None:
+        body = _bodies(flow).select("doc_id", F.array("body").alias("bodies"), F.array(F.array(*[F.lit(x) for x in A4_PAGE])).alias("pages"))
+    else:
+        sec = F.greatest(F.size(F.filter("begins", lambda b: b < F.col("blk"))) - 1, F.lit(0))
+        by_sec = flow.join(lists, "doc_id").withColumn("sec", sec).groupBy("doc_id", "sec").agg(ordered_join("xml", "blk", "").alias("body"), F.element_at(F.first("pages"), F.col("sec") + 1).alias("page"))
+        held = F.array_sort(F.collect_list(F.struct("sec", "body", "page")))
+        body = stored(by_sec.groupBy("doc_id").agg(held.alias("s")).select("doc_id", F.transform("s", lambda x: x["body"]).alias("bodies"), F.transform("s", lambda x: x["page"]).alias("pages")))
     number = F.col("image_no").cast("string")
     item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '" isEmbeded="1"/>')
     items = refs.where("kind = 'image'").withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
@@ -389,17 +444,24 @@ def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     fonts = _all(f'<hh:fontfaces itemCnt="{len(lanes)}">', *[x for lane in lanes for x in (f'<hh:fontface lang="{lane}" fontCnt="', count, f'"><hh:font id="0" face="{FIRST_FACE}" type="TTF" isEmbedded="0"/>', faces, "</hh:fontface>")], "</hh:fontfaces>")
     plain = _char_xml(F.struct(*[F.lit(None).cast(RUN[k]).alias(k) for k in SHAPE]), F.lit(0))
     chars = _all('<hh:charProperties itemCnt="', (F.size("keys") + 1).cast("string"), '">', plain, F.array_join(F.transform("keys", lambda k, i: _char_xml(k, i + 1)), ""), "</hh:charProperties>")
-    fixed = "".join(f'<odf:file-entry odf:full-path="{n}" odf:media-type="application/xml"/>' for n in ("version.xml", "settings.xml", "Contents/header.xml", "Contents/section0.xml", "Contents/content.hpf"))
+    entry = lambda name: f'<odf:file-entry odf:full-path="{name}" odf:media-type="application/xml"/>'
+    fixed = "".join(map(entry, ("version.xml", "settings.xml", "Contents/header.xml", "Contents/content.hpf")))
+    each = lambda xml: F.array_join(F.transform("bodies", lambda b, i: _all(*[i.cast("string") if x is None else x for x in xml])), "")
+    name = ("Contents/section", None, ".xml")
+    listed, read = each(('<opf:item id="section', None, '" href="', *name, '" media-type="application/xml"/>')), each(('<opf:itemref idref="section', None, '"/>'))
+    files = each(('<odf:file-entry odf:full-path="', *name, '" odf:media-type="application/xml"/>'))
+    open_ = f'{HEAD}<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">'
+    bodies = F.transform("bodies", lambda b, i: F.struct(
+        (F.lit(100) + i).cast("int").alias("ord"), F.concat(F.lit("Contents/section"), i.cast("string"), F.lit(".xml")).alias("part"), F.encode(_all(open_, _sec_pr(F.get("pages", i)), b, "</hs:sec>"), "UTF-8").alias("bytes")))
     parts = [
         F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
-        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="1"><hh:refList>', fonts, _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")),
-        _part("Contents/section0.xml", 2, _all(f'<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">{_PAGE_HWPX}</hp:p>', F.col("body"), "</hs:sec>")),
+        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="', F.size("bodies").cast("string"), '"><hh:refList>', fonts, _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")),
         _part("Contents/content.hpf", 3, _all(f'<opf:package xmlns:opf="{OPF}"><opf:metadata><opf:title>', _text(F.col("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"),
-            '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="section0" href="Contents/section0.xml" media-type="application/xml"/><opf:item id="settings" href="settings.xml" media-type="application/xml"/>', F.col("items"),
-            '</opf:manifest><opf:spine><opf:itemref idref="header"/><opf:itemref idref="section0"/></opf:spine></opf:package>')),
-        _part("META-INF/manifest.xml", 4, _all(f'<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0">{fixed}', F.col("files"), "</odf:manifest>")),
+            '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="settings" href="settings.xml" media-type="application/xml"/>', listed, F.col("items"),
+            '</opf:manifest><opf:spine><opf:itemref idref="header"/>', read, "</opf:spine></opf:package>")),
+        _part("META-INF/manifest.xml", 4, _all(f'<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0">{fixed}', files, F.col("files"), "</odf:manifest>")),
     ]
-    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())))
+    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())), bodies)
 
 
 # ---- flat XML
@@ -420,6 +482,6 @@ def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, d
 
     tables = _tables(blocks, cells.where("row_span > 0"), deepest, cell, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<TABLE>", t, "</TABLE>"))
     tables = tables.withColumn("xml", _all("<P><TEXT>", F.col("xml"), "</TEXT></P>"))
-    body = _bodies(blocks, inline, tables, lambda x: _all(opens(F.col, breaks), x, "</TEXT></P>"))
+    body = _bodies(_flow(blocks, inline, tables, lambda x: _all(opens(F.col, breaks), x, "</TEXT></P>")))
     told = body.join(meta, "doc_id", "left")
     return told.select("doc_id", _all(HEAD, '<HWPML Version="2.91"><HEAD><DOCSUMMARY><TITLE>', _text(F.coalesce("title", F.lit(""))), "</TITLE></DOCSUMMARY></HEAD><BODY><SECTION>", F.col("body"), "</SECTION></BODY></HWPML>").alias("xml"))

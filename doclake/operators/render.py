@@ -44,11 +44,11 @@ def cell_md(content: Column, special: Column) -> Column:
 
     def whole(line: Column) -> Column:
         cut = F.split(line, lead, 2)
-        inline = F.regexp_replace(F.get(cut, F.size(cut) - 1), r"^\s+|\s+$", "")
+        inline = F.regexp_replace(F.replace(F.get(cut, F.size(cut) - 1), F.lit("\n"), F.lit("<br>")), r"^\s+|\s+$", "")
         return F.when(inline == "", "").otherwise(F.concat(F.when(F.size(cut) > 1, F.get(cut, F.lit(0))).otherwise(""), inline))
 
     lines = F.filter(F.transform(F.split(F.array_join(shown, ""), begin, -1), whole), lambda x: x != "")
-    return F.replace(F.array_join(lines, "<br>"), F.lit("\n"), F.lit("<br>"))
+    return F.array_join(lines, "<br>")
 
 
 def table_md(cells: DataFrame) -> DataFrame:

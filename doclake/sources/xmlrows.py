@@ -20,6 +20,11 @@ NAMES = [c.split()[0] for c in ROW.split(", ")]
 TEXT_BOX, CHART = "[텍스트 상자: {}]", "[차트: 변환되지 않음]"
 
 
+#: The page of a section, in HWPUNIT: a row `section` has these as its text. It stands where a section of DOCX ends, and where
+#: one of HWPX begins.
+PAGE_OF = ("w", "h", "top", "bottom", "left", "right", "header", "footer", "gutter")
+
+
 def _bare(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -73,10 +78,23 @@ class _Docx:
                 self.paragraph(e, at)
             elif tag == "tbl":
                 self.table(e, at)
+            elif tag == "sectPr":
+                self.section(e)
+
+    def section(self, e):
+        """A section ends here."""
+        self.add("section", {}, text=" ".join(str(5 * (_int(_child(e, name), a, d) or (d if a in ("w", "h") else 0))) for _, name, a, d in PAGE[: len(PAGE_OF)]))
 
     def paragraph(self, p, at: dict):
-        self.para += 1
         pr = _child(p, "pPr")
+        ends = _child(pr, "sectPr")
+        if ends is None or any(_bare(x.tag) != "pPr" for x in p):  # else it is there for the page alone
+            self.filled(p, pr, at)
+        if ends is not None:
+            self.section(ends)
+
+    def filled(self, p, pr, at: dict):
+        self.para += 1
         style = _val(pr, "pStyle")
         level = re.match(r"(?i)heading\s*(\d)", style or "")
         num = _child(pr, "numPr")
@@ -174,6 +192,11 @@ class _Hwpx:
 
     def paragraph(self, p, at: dict):
         tags = {_bare(x.tag) for x in p.iter()}
+        if "secPr" in tags and not at:
+            page = next((x for x in p.iter() if _bare(x.tag) in ("pagePr", "pagepr")), None)
+            margin = _child(page, "margin")
+            sizes = [_int(page, "width", 59528), _int(page, "height", 84188), *[_int(margin, k, 0) for k in PAGE_OF[2:]]]
+            self.add("section", {}, text=" ".join(map(str, sizes)))
         if "secPr" in tags and not tags & {"t", "tbl", "pic", "footNote", "endNote"}:
             return  # there for the page alone
         self.para += 1
