@@ -139,6 +139,20 @@ def _media(parts: DataFrame, media_id: Column) -> DataFrame:
     return parts.select("doc_id", media_id.alias("media_id"), sniff_mime(F.col("bytes")).alias("mime"), "bytes").where("media_id IS NOT NULL")
 
 
+#: Parts of DOCX beside the document whose errors are told.
+SMALL_PARTS = ("word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml")
+
+
+def _parts_of(parts: DataFrame, names: tuple[str, ...], folders: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """All parts, written once, those of each of `names` and those below each of `folders` apart from all others; and a
+    function that reads the parts of some of these alone."""
+    kind = F.when(F.col("part").isin(*names), F.col("part")).otherwise("other")
+    for f in folders:
+        kind = F.when(F.col("part").startswith(f), f).otherwise(kind)
+    every = stored(parts.withColumn("of", kind), by="of")
+    return every, lambda *names: every.where(F.col("of").isin(*names) & F.col("error").isNull())
+
+
 def _styled(parts: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of a DOCX document whose paragraphs and texts have what their paragraph's style, or the nearest one that it is
     based on, tells and they don't: alignment, size, colour, bold, italic."""
@@ -158,15 +172,14 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering; what else styles
     tell is written to texts and paragraphs with `resolve`."""
     wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "docProps/core.xml")
-    every = stored(package.unzip_parts(docs, wanted, ("word/document.xml",)))
-    parts = every.where("error IS NULL")
-    meta = xmlrows.core_meta(parts).select("doc_id", "title", "author", "subject")
-    rows = stored(xmlrows.docx_rows(parts))
+    every, of = _parts_of(package.unzip_parts(docs, wanted, ("word/document.xml",)), wanted, ("word/media/",))
+    meta = xmlrows.core_meta(of("docProps/core.xml")).select("doc_id", "title", "author", "subject")
+    rows = stored(xmlrows.docx_rows(of("word/document.xml")))
     if resolve:
-        rows = stored(_styled(parts, rows).select(*rows.columns))
+        rows = stored(_styled(of("word/styles.xml"), rows).select(*rows.columns))
     rows = rows.withColumns({c: F.when(F.col(c), F.lit(True)) for c in RUN_FLAGS})
-    names = xmlrows.docx_styles(parts).groupBy("doc_id", "style_id").agg(F.max("heading").alias("named"), F.lit(True).alias("known"))
-    kinds = xmlrows.nums(parts).join(xmlrows.num_levels(parts), ["doc_id", "abstract_id"]).groupBy("doc_id", "num_id", "ilvl").agg(F.min("fmt").alias("fmt"))
+    names = xmlrows.docx_styles(of("word/styles.xml")).groupBy("doc_id", "style_id").agg(F.max("heading").alias("named"), F.lit(True).alias("known"))
+    kinds = xmlrows.nums(of("word/numbering.xml")).join(xmlrows.num_levels(of("word/numbering.xml")), ["doc_id", "abstract_id"]).groupBy("doc_id", "num_id", "ilvl").agg(F.min("fmt").alias("fmt"))
     plain, paragraphs = rows.where("row_type <> 'paragraph' OR row_type IS NULL"), rows.where("row_type = 'paragraph'")
     listed = F.when(F.col("num_id") != "0", F.coalesce("ilvl", F.lit(0)))
     paragraphs = paragraphs.withColumn("ilvl", listed).join(names, ["doc_id", "style_id"], "left").join(kinds, ["doc_id", "num_id", "ilvl"], "left")
@@ -176,9 +189,9 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
         "heading": F.when(F.col("known"), F.col("named")).otherwise(F.col("heading")), "list_level": F.col("ilvl"),
         "list_ordered": F.when(F.col("ilvl").isNotNull(), F.coalesce(~F.col("fmt").isin("bullet", "none"), F.lit(False))),
     })
-    rels = xmlrows.relationships(parts).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
+    rels = xmlrows.relationships(of("word/_rels/document.xml.rels")).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
     is_note = F.col("row_type").isin("footnote", "endnote")
-    notes = xmlrows.notes(parts).groupBy("doc_id", F.col("kind").alias("row_type"), F.col("note_id").alias("ref")).agg(F.min("text").alias("note"))
+    notes = xmlrows.notes(of("word/footnotes.xml", "word/endnotes.xml")).groupBy("doc_id", F.col("kind").alias("row_type"), F.col("note_id").alias("ref")).agg(F.min("text").alias("note"))
     called = stored(plain.where(is_note).join(notes, ["doc_id", "row_type", "ref"], "left"))
     plain = plain.where(~F.coalesce(is_note, F.lit(False)))
     linked = plain.where("ref IS NOT NULL").drop("url").join(rels, ["doc_id", "ref"], "left")
@@ -189,36 +202,36 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
     told = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [plain.where("ref IS NULL"), linked, paragraphs, called]).select(*columns)
     whole = rows.where(~F.coalesce(is_note, F.lit(False))).select("doc_id", "error", "row_type").unionByName(called.select("doc_id", "error", "row_type", "note"), allowMissingColumns=True)
-    errors = _errors(whole, every, xmlrows.part_errors(parts, "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml"))
-    media = parts.where("part LIKE 'word/media/%'")
+    errors = _errors(whole, every, xmlrows.part_errors(of(*SMALL_PARTS), *SMALL_PARTS))
+    media = of("word/media/")
     return replace(_from_rows(told, meta, by_cell=True), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
 
 
 def read_hwpx(docs: DataFrame) -> Ir:
     """From doc_id, bytes. A heading is told by the paragraph's style or by the shape that a heading style names; emphasis by
     the character shape, a list by the paragraph shape."""
-    every = stored(package.unzip_parts(docs, ("Contents/", "BinData/"), ("Contents/section0.xml",)))
-    parts = every.where("error IS NULL")
+    every, of = _parts_of(package.unzip_parts(docs, ("Contents/", "BinData/"), ("Contents/section0.xml",)), ("Contents/header.xml", "Contents/content.hpf"), ("BinData/", "Contents/section"))
+    header = of("Contents/header.xml")
     xml = F.col("bytes").cast("string")
     told = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
     named = {"title": "//*[local-name()='title']", "author": "//*[local-name()='meta'][@name='creator']", "subject": "//*[local-name()='meta'][@name='subject']"}
-    meta = parts.where("part = 'Contents/content.hpf'").select("doc_id", *[told(path).alias(k) for k, path in named.items()])
-    read = stored(xmlrows.hwpx_rows(parts))
+    meta = of("Contents/content.hpf").select("doc_id", *[told(path).alias(k) for k, path in named.items()])
+    read = stored(xmlrows.hwpx_rows(of("Contents/section")))
     rows = read.where("error IS NULL AND NOT (row_type = 'text' AND text = '')")
     once = lambda df, key: df.dropDuplicates(["doc_id", key])
     # paragraphs: headings and lists
     own_level = F.when((F.col("type") == "HEADING") & (F.col("level") > 0), F.col("level"))
-    named_styles = stored(xmlrows.hwpx_styles(parts).withColumns({"ord": F.col("id").try_cast("int"), "own_level": own_level}))
+    named_styles = stored(xmlrows.hwpx_styles(header).withColumns({"ord": F.col("id").try_cast("int"), "own_level": own_level}))
     by_shape = styles.style_heading(named_styles).withColumnsRenamed({"para_shape": "ref", "level": "by_shape"})
     by_style = styles.style_heading(named_styles.drop("para_shape").withColumn("para_shape", F.col("id"))).withColumnsRenamed({"para_shape": "style_id", "level": "by_style"})
-    lists = once(xmlrows.hwpx_para_shapes(parts).where("kind IN ('BULLET', 'NUMBER')"), "id").select("doc_id", F.col("id").alias("ref"), F.col("kind").alias("list_kind"), F.col("level").alias("list_level"))
+    lists = once(xmlrows.hwpx_para_shapes(header).where("kind IN ('BULLET', 'NUMBER')"), "id").select("doc_id", F.col("id").alias("ref"), F.col("kind").alias("list_kind"), F.col("level").alias("list_level"))
     paragraphs = rows.where("row_type = 'paragraph'").join(by_style, ["doc_id", "style_id"], "left").join(by_shape, ["doc_id", "ref"], "left").join(lists, ["doc_id", "ref"], "left")
-    sides = once(xmlrows.hwpx_para_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), F.lower("align").alias("side")).where(F.col("side").isin(*packages.ALIGNS))
+    sides = once(xmlrows.hwpx_para_shapes(header), "id").select("doc_id", F.col("id").alias("ref"), F.lower("align").alias("side")).where(F.col("side").isin(*packages.ALIGNS))
     paragraphs = paragraphs.drop("align").join(sides, ["doc_id", "ref"], "left").withColumnRenamed("side", "align")
     paragraphs = paragraphs.withColumns({"heading": F.coalesce("by_style", "by_shape"), "list_ordered": F.col("list_kind") == "NUMBER"})
     # texts: emphasis; images: the file of that name or number
-    faces = xmlrows.hwpx_fonts(parts).where("lang IN ('HANGUL', 'LATIN')").where(F.col("face") != packages.FIRST_FACE).groupBy("doc_id", F.lower("lang").alias("lang"), F.col("id").alias("at")).agg(F.min("face").alias("face"))
-    shapes = once(xmlrows.hwpx_char_shapes(parts), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"), F.nullif("size_pt", F.lit(10.0)).alias("size_pt"), "latin", "hangul")
+    faces = xmlrows.hwpx_fonts(header).where("lang IN ('HANGUL', 'LATIN')").where(F.col("face") != packages.FIRST_FACE).groupBy("doc_id", F.lower("lang").alias("lang"), F.col("id").alias("at")).agg(F.min("face").alias("face"))
+    shapes = once(xmlrows.hwpx_char_shapes(header), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"), F.nullif("size_pt", F.lit(10.0)).alias("size_pt"), "latin", "hangul")
     for lane in ("latin", "hangul"):
         known = faces.where(F.col("lang") == lane).select("doc_id", F.col("at").alias(lane), F.col("face").alias(f"{lane}_face"))
         shapes = shapes.join(known, ["doc_id", lane], "left")
@@ -235,8 +248,8 @@ def read_hwpx(docs: DataFrame) -> Ir:
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
     holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph", "section")).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
-    media = parts.where("part LIKE '%BinData/%'")
-    errors = _errors(read, every, xmlrows.part_errors(parts, "Contents/header.xml"))
+    media = of("BinData/")
+    errors = _errors(read, every, xmlrows.part_errors(header, "Contents/header.xml"))
     return replace(_from_rows(rows, meta, by_cell=False), errors=errors, media=_media(media, F.regexp_extract("part", r"BinData/([^/]+?)(?:\.\w+)?$", 1)))
 
 

@@ -11,8 +11,13 @@ BYTES, ROWS = 8 << 20, 20_000
 TYPES = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool_", "double": "float64", "binary": "binary"}
 
 
-def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[..., list[tuple]]) -> DataFrame:
-    """doc_id and `columns` (DDL): each(*inputs of a row) lists the rows that it becomes."""
+#: Inputs of a row up to SMALL bytes, whose rows a task may take again, and how many it keeps.
+SMALL, KEPT = 1 << 16, 64
+
+
+def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[..., list[tuple]], repeats: bool = False) -> DataFrame:
+    """doc_id and `columns` (DDL): each(*inputs of a row) lists the rows that it becomes. repeats: many rows have equal inputs,
+    as parts that a program puts into all its packages; a task works on each once."""
     kind = df.schema["doc_id"].dataType.simpleString()
     names, ddl = zip(*(c.split() for c in columns.split(", ")), strict=True)
 
@@ -25,11 +30,23 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
             values = zip(*rows, strict=True) if rows else [[]] * len(names)
             return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(list(v), t) for v, t in zip(values, types, strict=True)]], ["doc_id", *names])
 
+        known: dict[tuple, list[tuple]] = {}
+
+        def found_of(own: list) -> list[tuple]:
+            if not repeats or sum(len(x) for x in own if x is not None) > SMALL:
+                return each(*own)
+            key = tuple(own)
+            if key not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[key] = each(*own)
+            return known[key]
+
         for batch in batches:
             ids, given = batch.column("doc_id"), [batch.column(c) for c in inputs]
             at, rows, held = [], [], 0
             for i in range(batch.num_rows):
-                found = each(*[c[i].as_py() for c in given])
+                found = found_of([c[i].as_py() for c in given])
                 rows += found
                 at += [i] * len(found)
                 held += sum(len(v) for row in found for v in row if type(v) is bytes)

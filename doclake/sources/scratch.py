@@ -44,10 +44,11 @@ def passing(spark: SparkSession):
         removed(spark, path)
 
 
-def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+def stored(df: DataFrame, lasting: bool = False, by: str | None = None) -> DataFrame:
     """`df` written and read again, for tables that several later steps read: they don't compute it anew. `lasting`: not
-    among the tables that passing() removes."""
+    among the tables that passing() removes. by: a column whose values have a folder each, so that who wants one of them
+    reads no others."""
     folder = None if lasting else _folder.get()
     path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -352,7 +352,7 @@ def _elements(parts: DataFrame, path: str, tag: str, columns: str, read) -> Data
             out += got if isinstance(got, list) else [got]
         return out
 
-    return mapped_rows(parts.where(F.col("part") == path), ["bytes"], columns, rows)
+    return mapped_rows(parts.where(F.col("part") == path), ["bytes"], columns, rows, repeats=True)
 
 
 def part_errors(parts: DataFrame, *paths: str) -> DataFrame:
@@ -365,7 +365,7 @@ def part_errors(parts: DataFrame, *paths: str) -> DataFrame:
         except ET.ParseError as e:
             return [(f"ParseError: {part}: {e}",)]
 
-    return mapped_rows(parts.where(F.col("part").isin(*paths)), ["part", "bytes"], "error string", rows)
+    return mapped_rows(parts.where(F.col("part").isin(*paths)), ["part", "bytes"], "error string", rows, repeats=True)
 
 
 def _number(v: str | None) -> int | None:
