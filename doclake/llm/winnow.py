@@ -5,8 +5,10 @@ equal ones, with its position. Two texts that share GRAM + WINDOW - 1 code point
 there. A text of fewer grams than a window is one window; a text shorter than a gram is one gram.
 
 Defined results: a null text counts as empty and has no hashes; two empty fingerprints are alike (1.0), an empty
-and another are not (0.0); rows with one doc_id follow each other by text; null ids come after all others; an
-empty table gives no rows; extra columns are ignored. Rows that share one doc_id share a stretch below.
+and another are not (0.0); ids of any type that has an order are taken; rows with one doc_id follow each other by
+descending hash of the text (64 bits, null as empty), then by text; null ids come after all others; an empty table
+gives no rows; extra columns are ignored. A stretch below may begin within one doc_id; only rows that are the same in
+doc_id and text share one.
 """
 
 from __future__ import annotations
@@ -124,42 +126,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return named_back(held.mapInArrow(run, f"{typed(held)}, hashes array<long>, positions array<long>"), back)
 
 
-def _stretch(id_: Column, cuts: list[int], kind: str, step: int = 100) -> Column:
-    """How many of the descending `cuts` are above the id, found in two steps; null ids come last.
+def _heads(docs: DataFrame) -> list[str]:
+    """The first key of each stretch as JSON, in descending order: keys are dealt into ranges, without their texts."""
+    n = STRETCHES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.select("doc_id", "mark").distinct()
+    ranges = keys.repartitionByRange(n, F.col("doc_id").desc_nulls_last(), F.col("mark").desc()).withColumn("range", F.spark_partition_id())
+    heads = ranges.groupBy("range").agg(F.max(F.struct("doc_id", "mark")).alias("head"))
+    in_all = F.sort_array(F.collect_list("head"), asc=False)
+    return heads.agg(F.transform(in_all, lambda h: F.to_json(h)).alias("heads")).first()["heads"]
 
-    The cuts are one literal each time, which Spark makes an array once, however many partitions there are.
+
+def _place(key: Column, heads: list[str], kind: str, step: int = 100) -> tuple[Column, Column]:
+    """The number of the stretch that a key is in, found in two steps, and whether the key is its head.
+
+    The heads are one literal each time, which Spark makes an array once, however many partitions there are.
     """
-    if not cuts:
-        return F.when(id_.isNull(), F.lit(1)).otherwise(F.lit(0))
-    all_, coarse = (F.split(F.lit(",".join(map(str, c))), ",").cast(f"array<{kind}>") for c in (cuts, cuts[::step]))
-    hop = F.greatest(F.size(F.filter(coarse, lambda c: c > id_)) - 1, F.lit(0)) * step
-    fine = F.size(F.filter(F.slice(all_, hop + 1, F.lit(step)), lambda c: c > id_))
-    return F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(hop + fine)
+    type_ = f"array<struct<doc_id: {kind}, mark: bigint>>"
+    all_, coarse = (F.from_json(F.lit(f"[{','.join(h)}]"), type_) for h in (heads, heads[::step]))
+    hop = F.greatest(F.size(F.filter(coarse, lambda h: h >= key)) - 1, F.lit(0)) * step
+    own = hop + F.size(F.filter(F.slice(all_, hop + 1, F.lit(step)), lambda h: h >= key)) - 1
+    return own, F.get(all_, own).eqNullSafe(key)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Partitions of rows (stretch, lent, doc_id, text) sorted by these; doc_id and text descend and ascend.
+    """Partitions of rows (stretch, lent, doc_id, mark, text) sorted by these; doc_id and mark, a hash of the text, descend.
 
     A stretch is a range of the descending order and ends with the first row of the next stretch, lent to it; the
-    last one is lent the very first row. Ranges come from quantiles of the ids; of the rest only the head of each
-    range, one id for each, is known to the driver.
+    last one is lent the very first row. A stretch may begin within the rows of one doc_id; only the first key of each
+    is known to the driver.
     """
-    spark = docs.sparkSession
-    n = STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10 * n)).first()[0] or []
-    rows = docs.select("doc_id", "text", _stretch(F.col("doc_id"), sorted(set(found), reverse=True), kind).alias("own"))
-    heads = sorted(rows.groupBy("own").agg(F.max("doc_id").alias("head")).collect())
-    if not heads:
-        return rows.select(F.col("own").alias("stretch"), F.lit(False).alias("lent"), "doc_id", "text")
-    lent = spark.createDataFrame([(h[0], h[1], heads[i - 1][0]) for i, h in enumerate(heads)], f"own int, head {kind}, to int")
-    both = rows.join(F.broadcast(lent), "own")  # a row for each stretch
+    heads = _heads(rows)
+    order = ["stretch", "lent", F.col("doc_id").desc_nulls_last(), F.col("mark").desc(), F.col("text").asc_nulls_first()]
+    own, first = _place(F.struct("doc_id", "mark"), heads, kind)
+    placed = rows.withColumn("own", own).withColumn("first", first)
     once = F.struct(F.col("own").alias("stretch"), F.lit(False).alias("lent"))
-    twice = F.array(once, F.struct(F.col("to").alias("stretch"), F.lit(True).alias("lent")))
-    goes = F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), twice).otherwise(F.array(once))).alias("g")
-    held = both.select("doc_id", "text", goes).select("g.stretch", "g.lent", "doc_id", "text")
-    order = ["stretch", "lent", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    before = F.when(F.col("own") > 0, F.col("own") - 1).otherwise(F.lit(max(len(heads) - 1, 0)))
+    twice = F.array(once, F.struct(before.alias("stretch"), F.lit(True).alias("lent")))
+    goes = F.explode(F.when(F.col("first"), twice).otherwise(F.array(once))).alias("g")
+    held = placed.select("doc_id", "mark", "text", goes).select("g.stretch", "g.lent", "doc_id", "mark", "text")
     return held.repartition("stretch").sortWithinPartitions(*order)
 
 

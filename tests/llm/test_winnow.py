@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from doclake.llm import winnow as w
 
@@ -39,8 +40,13 @@ def test_guarantee():
         assert np.intersect1d(a, b).size
 
 
+def mark(text):
+    h = xxhash.xxh64((text or "").encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
 def expected(rows):
-    rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, [-ord(c) for c in x[1] or ""] + [1]), reverse=True)
+    rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, mark(x[1])), reverse=True)
     out = []
     for i, (id_, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -75,3 +81,19 @@ def test_positions_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "some words here " * 5, 7)], "doc_id long, text string, hashes int")
     r = w.fingerprints(docs).first()
     assert list(zip(r["hashes"], r["positions"], strict=True)) == by_hand("some words here " * 5)
+
+
+def test_one_id_is_cut_into_many_stretches(spark):
+    rows = [(None, f"text number {i} " * 6) for i in range(300)] + [(7, f"other {i} " * 9) for i in range(300)] + [(1, "rest")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [r["count"] for r in w.in_order(docs).where("NOT lent").groupBy("stretch").count().collect()]
+    assert sum(parts) == len(rows) and len(parts) > 10 and max(parts) < 120
+    assert got(w.with_edits(docs)) == expected(rows)
+
+
+def test_ids_of_text(spark):
+    rows = [(f"id \"{i}\", é", f"text number {i} " * 6) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, "none")], "doc_id string, text string")
+    numbered = {id_: n for n, id_ in enumerate(sorted(r[0] for r in rows))}
+    want = expected([(numbered[id_], text) for id_, text in rows] + [(None, "none")])
+    assert got(w.with_edits(docs)) == sorted([({v: k for k, v in numbered.items()}.get(x[0]), *x[1:]) for x in want], key=repr)
