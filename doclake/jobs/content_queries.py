@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from doclake.jobs import convert as c
 from doclake.jobs.fixtures import built, md_docs, page_docs
-from doclake.jobs.foreign_queries import DOCX, PICTURE, PICTURE_SQL, _hc, _hp, _list, _p, _parts, _r
+from doclake.jobs.foreign_queries import DOCX, PICTURE, PICTURE_SQL, _hc, _hp, _list, _p, _parts, _payload, _r, _record, _text
 from doclake.operators import quality
+from doclake.operators import records as rec
 from doclake.operators.integrity import missing_counts, missing_refs
 from doclake.sources import package
 
@@ -102,7 +103,7 @@ def cell_content_md(spark, sf_dir):
 
 def package_integrity(spark, sf_dir):
     """References that lead nowhere, by kind, in packages made of Markdown, and in those of converted DOCX and HWPX."""
-    docs, foreign = built(spark, sf_dir, md_docs), _parts(spark, sf_dir, NOTED)
+    docs, foreign = built(spark, sf_dir, md_docs), _parts(spark, sf_dir, NOTED).unionByName(_parts(spark, sf_dir, MARGINED).withColumn("doc_id", F.col("doc_id") + 10**12))
     packed = {"docx": [c.convert(docs, "md", "docx"), c.convert(foreign, "docx", "docx")], "hwpx": [c.convert(docs, "md", "hwpx"), c.convert(foreign, "docx", "hwpx")]}
     made = [missing_counts(package.unzip_parts(x.select("doc_id", "bytes")), format_).withColumn("source", F.lit(name)) for format_, both in packed.items() for name, x in zip(("md", "docx"), both, strict=True)]
     return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
@@ -180,6 +181,47 @@ def sections_through_formats(spark, sf_dir):
     return rows.select("doc_id", "sec", "texts", *[F.get("page", F.lit(i)).alias(k) for i, k in enumerate(("w", "h", "top", "bottom", "left", "right", "header", "footer"))])
 
 
+_SECT_WITH = lambda refs: "<w:sectPr>" + "".join(f'<w:{k}Reference w:type="{t}" r:id="{r}"/>' for k, t, r in refs) + '<w:pgSz w:w="10000" w:h="12000"/></w:sectPr>'
+_STORY = lambda tag, *texts: f'<w:{tag} xmlns:w="w">' + "".join(_p(_r(t)) for t in texts) + f"</w:{tag}>"
+MARGINED = {
+    "word/document.xml": '<w:document xmlns:w="w" xmlns:r="r"><w:body>' + "".join([
+        _p(_r("one {k}")), _TBL([_TC(_p(_r("cell")))]), f"<w:p><w:pPr>{_SECT_WITH([('header', 'default', 'rIdA'), ('header', 'first', 'rIdB'), ('footer', 'default', 'rIdC')])}</w:pPr></w:p>",
+        _p(_r("two"), _SECT_WITH([])), _p(_r("three")), _SECT_WITH([("header", "default", "rIdB"), ("footer", "default", "gone"), ("footer", "even", "rIdC")]),
+    ]) + "</w:body></w:document>",
+    "word/_rels/document.xml.rels": '<Relationships xmlns="p">' + "".join(f'<Relationship Id="{i}" Type="http://x/{k}" Target="{t}"/>' for i, k, t in (("rIdA", "header", "header7.xml"), ("rIdB", "header", "/word/header9.xml"), ("rIdC", "footer", "footer1.xml"))) + "</Relationships>",
+    "word/header7.xml": _STORY("hdr", "Report {k}", "of &lt;{name}&gt;"), "word/header9.xml": _STORY("hdr", "Appendix {level}"), "word/footer1.xml": _STORY("ftr", "foot {k}"),
+}
+
+
+def margins_through_formats(spark, sf_dir):
+    """Headers and footers after DOCX, HWPX, DOCX and HWPX, by section; and what was told of those that didn't go through."""
+    docs = _parts(spark, sf_dir, MARGINED)
+    warned = c.convert(docs, "docx", "hwpx", warnings=True)
+    held = c.read_hwpx(_through(warned.select("doc_id", "bytes"), "hwpx", "docx", "hwpx"))
+    texts = held.runs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "pos", "text"))), lambda x: x["text"]), "|").alias("body"))
+    return held.margins.join(warned.select("doc_id", "warnings"), "doc_id").join(texts, "doc_id").select("doc_id", "sec", "kind", "text", "warnings", "body")
+
+
+def margins_of_binary(spark, sf_dir):
+    """Headers and footers of binary documents, by section, in DOCX made of them; and the pages and texts of its sections."""
+    rows = built(spark, sf_dir, "SELECT c_custkey AS doc_id, c_custkey, c_name FROM {customer}")
+    r = lambda tag, level, payload: _record(rows, tag, level, payload)
+    head = "unhex('00000000')"
+    said = lambda level, text: F.concat(r(rec.PARAGRAPH, level, head), r(rec.TEXT, level + 1, _text(text)))
+    holder = lambda letters: F.concat(r(rec.PARAGRAPH, 0, head), r(rec.CONTROL, 1, f"encode('{letters}', 'US-ASCII')"))
+    page = r(rec.PAGE, 2, _payload(("50000", 4), ("c_custkey % 100 * 10 + 60000", 4), *[(str(n), 4) for n in (1000, 2000, 3000, 4000, 500, 600)]))
+    first = F.concat(holder("dces"), page, said(0, "concat('body ', c_custkey)"), holder("daeh"), said(2, "c_name"), said(2, "'second line'"), holder("toof"), said(2, "concat('foot ', c_custkey)"), said(0, "'after'"))
+    second = F.concat(said(0, "'next'"), holder("daeh"), said(2, "concat('other ', c_custkey)"))
+    told = F.array(*[F.struct(F.lit(s).alias("stream"), b.alias("bytes")) for s, b in (("BodyText/Section0", first), ("BodyText/Section1", second))])
+    streams = rows.select("doc_id", F.explode(told).alias("s")).select("doc_id", "s.stream", F.lit(False).alias("compressed"), "s.bytes")
+    ir = c.read_docx(c.convert(streams, "hwp", "docx").select("doc_id", "bytes"))
+    lists = ir.sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "page"))).alias("s"))
+    held = ir.runs.join(lists, "doc_id").withColumn("sec", F.size(F.filter("s", lambda x: x["begin"] < F.col("blk"))) - 1)
+    texts = held.groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "pos", "text"))), lambda x: x["text"]), "|").alias("texts"), F.first(F.col("s")[F.col("sec")]["page"]).alias("page"))
+    stories = ir.margins.groupBy("doc_id", "sec").agg(*[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in ("header", "footer")])
+    return texts.join(stories, ["doc_id", "sec"], "left").select("doc_id", "sec", "texts", F.get("page", F.lit(0)).alias("w"), F.get("page", F.lit(1)).alias("h"), F.get("page", F.lit(4)).alias("left_"), "header", "footer")
+
+
 def markdown_pages(spark, sf_dir):
     """The page that front matter tells, in DOCX made of it."""
     ir = c.read_docx(c.convert(built(spark, sf_dir, page_docs), "md", "docx").select("doc_id", "bytes"))
@@ -228,6 +270,10 @@ QUERIES = {
   UNION ALL SELECT 'plain', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, NULL) v"""),
     "sections_through_formats": (sections_through_formats, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT 0 AS sec, concat('first ', c_custkey) AS texts, 84190 AS w, 59530 AS h, 3500 AS top, 4500 AS bottom, 5000 AS "left", 4000 AS "right", 2500 AS header, 3000 AS footer
   UNION ALL SELECT 1, 'second|last of it', 50000, 60000, 3500, 4500, 5500, 4000, 2500, 3000 UNION ALL SELECT 2, 'third|end', 59530, 84190, 3500, 4500, CAST(6000 + 50 * (c_custkey % 3) AS INT), 4000, 2500, 3000) v"""),
+    "margins_through_formats": (margins_through_formats, """SELECT c_custkey AS doc_id, v.*, 3 AS warnings, concat('one ', c_custkey, '|two|three') AS body FROM customer, LATERAL (SELECT 0 AS sec, 'header' AS kind, concat('Report ', c_custkey, chr(10), 'of <', c_name, '>') AS text
+  UNION ALL SELECT 0, 'footer', concat('foot ', c_custkey) UNION ALL SELECT 2, 'header', concat('Appendix ', c_custkey % 3)) v"""),
+    "margins_of_binary": (margins_of_binary, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT 0 AS sec, concat('body ', c_custkey, '|after') AS texts, 50000 AS w, CAST(60000 + c_custkey % 100 * 10 AS INT) AS h, 1000 AS left_, concat(c_name, chr(10), 'second line') AS header, concat('foot ', c_custkey) AS footer
+  UNION ALL SELECT 1, 'next', 59530, 84190, 7200, concat('other ', c_custkey), NULL) v"""),
     "markdown_pages": (markdown_pages, """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(coalesce(5 * nullif(o_custkey, 0), 59530) AS INT) WHEN o_orderkey % 5 = 0 THEN 59525 ELSE 59530 END AS w, CASE WHEN o_orderkey % 5 = 0 THEN CAST(5 * (o_custkey % 100) AS INT) WHEN o_orderkey % 3 = 0 THEN 5665 ELSE 7200 END AS top FROM orders"""),
     "repeated_ids": (repeated_ids, "SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 5 END AS doc_id, concat('# Title ', c_custkey, chr(10), chr(10), '| ', c_name, ' |', chr(10), '| --- |') AS md FROM customer"),
 }

@@ -37,10 +37,12 @@ class Ir:
     deepest: int = 0
     #: doc_id, begin (a section's blocks have a greater blk, and those before the next one's), page (xmlrows.PAGE_OF)
     sections: DataFrame | None = None
+    #: doc_id, sec (from 0), kind (header, footer), text: a line a paragraph; a section without has that of the one before
+    margins: DataFrame | None = None
 
     def written(self) -> Ir:
         """The tables written once, for writers that read them several times; media are, as parts of a package."""
-        return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors", "sections") if (v := getattr(self, k)) is not None})
+        return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors", "sections", "margins") if (v := getattr(self, k)) is not None})
 
 
 RUN_FLAGS = ("bold", "italic", "underline", "strike", "sup", "sub")
@@ -90,7 +92,8 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     own = Window.partitionBy("doc_id", "sec").orderBy("ord")
     start = F.col("row_type").isin("paragraph", "pageBreak") | F.lag("row_type").over(own).isin("table", "pageBreak")
     opens = (F.col("row_type") == "paragraph") & F.coalesce(F.lead("row_type").over(own) == "pageBreak", F.lit(False))  # nothing is before the break
-    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumns({"start": start, "opens": opens})
+    beside = F.col("row_type").isin("section", "unsupported", *xmlrows.MARGINS)
+    body = rows.where("tbl IS NULL OR row_type = 'table'").where(~beside).withColumns({"start": start, "opens": opens})
     like = tuple(PARAGRAPH)
     rows = complete(rows, RUN)
     body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct(*like)), True).over(own)).where("tbl IS NULL")
@@ -121,16 +124,22 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     # DOCX (by_cell) tells a section's page where it ends, HWPX where it begins
     begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0)) if by_cell else F.col("ord") - 1
     sections = rows.where("row_type = 'section'").select("doc_id", begin.cast("long").alias("begin"), F.split("text", " ").cast("array<int>").alias("page"))
-    return Ir(blocks, runs, cells, meta, deepest=deepest, sections=sections)
+    # those of DOCX stand before their section's row, those of HWPX behind it
+    told = rows.where(F.col("row_type").isin("section", *xmlrows.MARGINS))
+    before = F.count(F.when(F.col("row_type") == "section", 1)).over(Window.partitionBy("doc_id").orderBy("ord"))
+    told = told.withColumn("sec", F.greatest(before - (0 if by_cell else 1), F.lit(0)).cast("int")).where("row_type <> 'section' AND note IS NOT NULL")
+    margins = told.groupBy("doc_id", "sec", F.col("row_type").alias("kind")).agg(m.ordered_join("note", "ord", "\n").alias("text"))
+    return Ir(blocks, runs, cells, meta, deepest=deepest, sections=sections, margins=margins)
 
 
 def _errors(rows: DataFrame, *tables_: DataFrame) -> DataFrame:
     """doc_id, error of the packages, and of their parts, that could not be read; warnings of those with things that are
-    not read: text boxes (but for their text), charts, other drawings, notes that are not there."""
+    not read: text boxes (but for their text), charts, other drawings, headers and footers of some pages alone, and notes,
+    headers and footers that are not there."""
     told = reduce(DataFrame.unionByName, [t.select("doc_id", "error") for t in (rows, *tables_)]).where("error IS NOT NULL").withColumn("warned", F.lit(0))
     lost = F.col("row_type") == "unsupported"
     if "note" in rows.columns:
-        lost = lost | F.col("row_type").isin("footnote", "endnote") & F.col("note").isNull()
+        lost = lost | F.col("row_type").isin("footnote", "endnote", *xmlrows.MARGINS) & F.col("note").isNull()
     warned = rows.where(lost).select("doc_id", F.lit(None).cast("string").alias("error"), F.lit(1).alias("warned"))
     return told.unionByName(warned).groupBy("doc_id").agg(F.min("error").alias("error"), F.sum("warned").cast("int").alias("warnings"))
 
@@ -171,8 +180,8 @@ STYLED = {"align": "align", "sz": "size_pt", "color": "color", "bold": "bold", "
 def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering; what else styles
     tell is written to texts and paragraphs with `resolve`."""
-    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "docProps/core.xml")
-    every, of = _parts_of(package.unzip_parts(docs, wanted, ("word/document.xml",)), wanted, ("word/media/",))
+    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "word/header", "word/footer", "docProps/core.xml")
+    every, of = _parts_of(package.unzip_parts(docs, wanted, ("word/document.xml",)), wanted, ("word/media/", "word/header", "word/footer"))
     meta = xmlrows.core_meta(of("docProps/core.xml")).select("doc_id", "title", "author", "subject")
     rows = stored(xmlrows.docx_rows(of("word/document.xml")))
     if resolve:
@@ -192,7 +201,13 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     rels = xmlrows.relationships(of("word/_rels/document.xml.rels")).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
     is_note = F.col("row_type").isin("footnote", "endnote")
     notes = xmlrows.notes(of("word/footnotes.xml", "word/endnotes.xml")).groupBy("doc_id", F.col("kind").alias("row_type"), F.col("note_id").alias("ref")).agg(F.min("text").alias("note"))
-    called = stored(plain.where(is_note).join(notes, ["doc_id", "row_type", "ref"], "left"))
+    called = plain.where(is_note).join(notes, ["doc_id", "row_type", "ref"], "left")
+    is_margin = F.col("row_type").isin(*xmlrows.MARGINS)
+    texts = xmlrows.margin_texts(of("word/header", "word/footer")).select("doc_id", F.regexp_replace("part", "^word/", "").alias("target"), F.col("text").alias("note"))
+    named = rels.where(F.col("cls").isin(*xmlrows.MARGINS)).select("doc_id", "ref", F.regexp_replace("target", "^/?(word/)?", "").alias("target"))
+    margins = plain.where(is_margin).join(named.join(texts, ["doc_id", "target"]).drop("target"), ["doc_id", "ref"], "left")
+    called = stored(called.unionByName(margins))
+    is_note = is_note | is_margin
     plain = plain.where(~F.coalesce(is_note, F.lit(False)))
     linked = plain.where("ref IS NOT NULL").drop("url").join(rels, ["doc_id", "ref"], "left")
     linked = linked.withColumns({
@@ -238,7 +253,8 @@ def read_hwpx(docs: DataFrame) -> Ir:
     shapes = shapes.withColumn("font", F.coalesce("latin_face", "hangul_face")).drop("latin", "hangul", "latin_face", "hangul_face")
     texts = rows.where("row_type <> 'paragraph'").drop(*RUN_FLAGS, "color", "font", "size_pt").join(shapes, ["doc_id", "ref"], "left")
     is_note = F.col("row_type").isin("footnote", "endnote")
-    texts = texts.withColumn("note", F.when(is_note, F.col("text")))
+    is_told = is_note | F.col("row_type").isin(*xmlrows.MARGINS)
+    texts = texts.withColumn("note", F.when(is_told, F.col("text")))
     file = F.when(F.col("ref").rlike(r"^\d+$"), F.concat(F.lit("BIN"), F.lpad("ref", 4, "0"))).otherwise(F.regexp_replace("ref", r"\.\w+$", ""))
     texts = texts.withColumn("media_id", F.when(F.col("row_type") == "image", file))
     columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
@@ -246,7 +262,7 @@ def read_hwpx(docs: DataFrame) -> Ir:
     # a table stands in a paragraph: one that holds nothing else is no block
     last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
     body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
-    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph", "section")).alias("more"))
+    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph", "section", *xmlrows.MARGINS)).alias("more"))
     rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
     media = of("BinData/")
     errors = _errors(read, every, xmlrows.part_errors(header, "Contents/header.xml"))
@@ -261,13 +277,26 @@ def read_hwp(streams: DataFrame) -> Ir:
     number = F.regexp_extract("stream", r"^BodyText/Section(\d+)$", 1).try_cast("int")
     body = records.table_of_record(records.para_of_record(held.withColumn("sec", number).where("sec IS NOT NULL")))
     # a table's own record is no cell's; its paragraphs stand in cells
+    letters = F.when(F.col("tag") == records.CONTROL, F.reverse(F.decode(F.substring("payload", 1, 4), "ISO-8859-1")))
+    body = records.route_header_footer(body.withColumn("ctrl", letters)).drop("ctrl")
     body = stored(body.withColumn("blk", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "rec"))))
     place = ["doc_id", "sec", "para"]
-    openers = body.where(F.col("tag") == records.PARAGRAPH).select("doc_id", "sec", F.col("rec").alias("para"), "blk", "tbl", "cell")
+    openers = body.where(F.col("tag") == records.PARAGRAPH).select("doc_id", "sec", F.col("rec").alias("para"), "blk", "tbl", "cell", "place")
     points = body.where(F.col("tag") == records.CHAR_SHAPE).groupBy(*place).agg(F.min_by("payload", "rec").alias("points"))
     texts = body.where(F.col("tag") == records.TEXT).select(*place, F.col("rec").alias("at"), "payload").join(points, place, "left").join(openers, place)
-    cut = texts.select("doc_id", "sec", "blk", "tbl", "cell", "at", F.posexplode(records.shape_runs(F.col("payload"), F.col("points"))).alias("nth", "run"))
-    pieces = stored(cut.select("doc_id", "sec", "blk", "tbl", "cell", "at", "nth", F.col("run.shape").alias("id"), F.col("run.text").alias("text")))
+    cut = texts.select("doc_id", "sec", "blk", "tbl", "cell", "place", "at", F.posexplode(records.shape_runs(F.col("payload"), F.col("points"))).alias("nth", "run"))
+    every_piece = stored(cut.select("doc_id", "sec", "blk", "tbl", "cell", "place", "at", "nth", F.col("run.shape").alias("id"), F.col("run.text").alias("text")))
+    pieces, body = every_piece.where("place = 'body'"), body.withColumn("tag", F.when(F.col("place") == "body", F.col("tag")))
+    # sections by the number of their stream; a page that none tells is the usual one
+    streams_ = Window.partitionBy("doc_id").orderBy("sec")
+    numbered = stored(body.groupBy("doc_id", "sec").agg(F.min("blk").alias("first")).withColumn("nth_sec", F.row_number().over(streams_) - 1))
+    page = F.array(*[F.col(k) if k != "gutter" else F.lit(0) for k in xmlrows.PAGE_OF])
+    pages = records.page_defs(body).withColumn("sec", number).groupBy("doc_id", "sec").agg(F.min_by(page, "rec").alias("page"))
+    usual = F.array(*[F.lit(x) for x in packages.A4_PAGE])
+    sections = numbered.join(pages, ["doc_id", "sec"], "left").select("doc_id", (F.col("first") - 1).cast("long").alias("begin"), F.coalesce(F.col("page").cast("array<int>"), usual).alias("page"))
+    margins = every_piece.where("place <> 'body'").groupBy("doc_id", "sec", "place", "blk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "nth", "text"))), lambda p: p["text"]), "").alias("line"))
+    margins = margins.withColumn("line", F.regexp_replace("line", "\n+$", "")).groupBy("doc_id", "sec", F.col("place").alias("kind")).agg(m.ordered_join("line", "blk", "\n").alias("text"))
+    margins = margins.join(numbered, ["doc_id", "sec"]).select("doc_id", F.col("nth_sec").alias("sec"), "kind", "text")
     on = lambda c: F.when(F.col(c), F.lit(True)).alias(c)
     none = {k: F.lit(None).cast("boolean" if k in RUN_FLAGS else "string") for k in (*RUN_FLAGS, "color", "url", "font", "media_id") if k not in ("bold", "italic")}
     order = F.row_number().over(Window.partitionBy("doc_id", "blk").orderBy("at", "nth")) - 1
@@ -285,7 +314,7 @@ def read_hwp(streams: DataFrame) -> Ir:
     every = streams.select("doc_id").distinct()
     meta = every.withColumns({k: F.lit(None).cast("string") for k in ("title", "author", "subject")})
     errors = every.join(body.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no body text").alias("error"), F.lit(0).alias("warnings"))
-    return Ir(blocks, runs, cells, meta, errors)
+    return Ir(blocks, runs, cells, meta, errors, sections=sections, margins=margins)
 
 
 def write_md(ir: Ir) -> DataFrame:
@@ -293,11 +322,11 @@ def write_md(ir: Ir) -> DataFrame:
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections), packages.DOCX_FIXED)
+    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins), packages.DOCX_FIXED)
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections), packages.HWPX_FIXED)
+    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins), packages.HWPX_FIXED)
 
 
 def write_hml(ir: Ir) -> DataFrame:

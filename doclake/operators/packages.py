@@ -145,6 +145,22 @@ def _sections(docs: DataFrame, sections: DataFrame | None) -> DataFrame:
     return out.select("doc_id", F.coalesce("begins", F.array(F.lit(-1).cast("long"))).alias("begins"), F.coalesce("pages", F.array(page)).alias("pages"))
 
 
+def _margins(margins: DataFrame) -> DataFrame:
+    """doc_id, margins: an array of sec, kind, text, n (from 1) for each document that has any."""
+    held = F.array_sort(F.collect_list(F.struct("sec", "kind", "text")))
+    return margins.groupBy("doc_id").agg(F.transform(held, lambda x, i: F.struct(x["sec"].alias("sec"), x["kind"].alias("kind"), x["text"].alias("text"), (i + 1).alias("n"))).alias("margins"))
+
+
+def _with_margins(docs: DataFrame, margins: DataFrame | None) -> DataFrame:
+    """The documents with `margins`, an empty array where there are none."""
+    none = F.array().cast("array<struct<sec:int,kind:string,text:string,n:int>>")
+    return docs.withColumn("margins", none) if margins is None else docs.join(_margins(margins), "doc_id", "left").withColumn("margins", F.coalesce("margins", none))
+
+
+def _each_margin(xml: Callable[[Column], Column], when: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
+    return F.array_join(F.transform(F.filter("margins", when), xml), "")
+
+
 # ---- tables and bodies
 
 
@@ -254,17 +270,27 @@ def _docx_opens(c: Callable) -> Column:
     return _all("<w:p><w:pPr>", style, numbering, align, "</w:pPr>")
 
 
-def _sect_pr(page: Column) -> Column:
-    """A page in HWPUNIT as section properties, in twips."""
+def _docx_paragraphs(text: Column) -> Column:
+    """A plain paragraph for each line."""
+    return _lines(text, "", lambda t: _all('<w:p><w:r><w:t xml:space="preserve">', _text(t), "</w:t></w:r></w:p>"))
+
+
+def _margin_name(x: Column) -> Column:
+    return F.concat(x["kind"], x["n"].cast("string"))
+
+
+def _sect_pr(page: Column, sec: Column) -> Column:
+    """A page in HWPUNIT as section properties, in twips, with the headers and footers of the section `sec`."""
+    named = _each_margin(lambda x: _all("<w:", x["kind"], 'Reference w:type="default" r:id="rId_', _margin_name(x), '"/>'), lambda x: x["sec"] == sec)
     size = lambda i: F.floor(F.get(page, F.lit(i)) / 5).cast("string")
     wide = F.when(F.get(page, F.lit(0)) > F.get(page, F.lit(1)), ' w:orient="landscape"').otherwise("")
     return _all(
-        '<w:sectPr><w:pgSz w:w="', size(0), '" w:h="', size(1), '"', wide, '/><w:pgMar w:top="', size(2), '" w:right="', size(5), '" w:bottom="', size(3), '" w:left="', size(4),
+        '<w:sectPr>', named, '<w:pgSz w:w="', size(0), '" w:h="', size(1), '"', wide, '/><w:pgMar w:top="', size(2), '" w:right="', size(5), '" w:bottom="', size(3), '" w:left="', size(4),
         '" w:header="', size(6), '" w:footer="', size(7), '" w:gutter="', size(8), '"/></w:sectPr>',
     )
 
 
-def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None) -> DataFrame:
+def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None, margins: DataFrame | None = None) -> DataFrame:
     """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have. A section's page stands in a paragraph of its own at its
     end, the last one's at the end of the body."""
     runs, cells, refs = _prepared(runs, cells, media)
@@ -286,34 +312,40 @@ def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     if sections is not None:
         lists = _sections(sections, sections)
         ends = lists.where(F.size("begins") > 1).select("doc_id", "begins", F.posexplode(F.slice("pages", F.lit(1), F.size("pages") - 1)).alias("i", "page"))
-        flow = flow.unionByName(ends.select("doc_id", (F.element_at("begins", F.col("i") + 2) * 2 + 1).alias("blk"), _all("<w:p><w:pPr>", _sect_pr(F.col("page")), "</w:pPr></w:p>").alias("xml")))
+        ends = _with_margins(ends, margins)
+        flow = flow.unionByName(ends.select("doc_id", (F.element_at("begins", F.col("i") + 2) * 2 + 1).alias("blk"), _all("<w:p><w:pPr>", _sect_pr(F.col("page"), F.col("i")), "</w:pPr></w:p>").alias("xml")))
     body = _bodies(flow)
     if sections is None:
-        body = body.withColumn("last", F.array(*[F.lit(x) for x in A4_PAGE]))
+        body = body.withColumns({"last": F.array(*[F.lit(x) for x in A4_PAGE]), "last_sec": F.lit(0)})
     else:
-        body = body.join(lists.select("doc_id", F.element_at("pages", -1).alias("last")), "doc_id", "left").withColumn("last", F.coalesce("last", F.array(*[F.lit(x) for x in A4_PAGE])))
+        body = body.join(lists.select("doc_id", F.element_at("pages", -1).alias("last"), (F.size("pages") - 1).alias("last_sec")), "doc_id", "left")
+        body = body.withColumns({"last": F.coalesce("last", F.array(*[F.lit(x) for x in A4_PAGE])), "last_sec": F.coalesce("last_sec", F.lit(0))})
+    body = _with_margins(body, margins)
     number = F.col("image_no").cast("string")
     name = F.concat(F.lit("media/image"), number, F.lit("."), _ext())
     target = F.when(F.col("kind") == "link", _all(f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name, '"/>'))
     linked = refs.where("kind <> 'note'").withColumn("one", _all('<Relationship Id="', F.col("rel_id"), target)).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
     # a note's paragraphs: a line each
-    lines = _lines(F.col("note"), "", lambda t: _all('<w:p><w:r><w:t xml:space="preserve">', _text(t), "</w:t></w:r></w:p>"))
-    one = _all("<w:", F.col("note_kind"), ' w:id="', F.col("note_no").cast("string"), '">', lines, "</w:", F.col("note_kind"), ">")
+    one = _all("<w:", F.col("note_kind"), ' w:id="', F.col("note_no").cast("string"), '">', _docx_paragraphs(F.col("note")), "</w:", F.col("note_kind"), ">")
     notes = refs.where("note_no IS NOT NULL").withColumn("one", one).groupBy("doc_id", "note_kind").agg(ordered_join("one", "note_no", "").alias("xml"))
     notes = notes.groupBy("doc_id").agg(*[F.max(F.when(F.col("note_kind") == k, F.col("xml"))).alias(k) for k in NOTES])
     docs = body.join(linked, "doc_id", "left").join(notes, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    docs = docs.select("doc_id", "body", "last", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
+    docs = docs.select("doc_id", "body", "last", "last_sec", "margins", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
     names = f'xmlns:w="{W}" xmlns:r="{R}" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture" xmlns:wp="{DRAWING}/wordprocessingDrawing"'
     rel = lambda id_, kind, file: f'<Relationship Id="{id_}" Type="{R}/{kind}" Target="{file}.xml"/>'
     parts = [
-        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), _sect_pr(F.col("last")), "</w:body></w:document>")),
+        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), _sect_pr(F.col("last"), F.col("last_sec")), "</w:body></w:document>")),
         _part("word/_rels/document.xml.rels", 2, _all(
-            f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_some(F.col(k), rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], F.col("links"), "</Relationships>")),
+            f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_some(F.col(k), rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], _each_margin(lambda x: _all('<Relationship Id="rId_', _margin_name(x), f'" Type="{R}/', x["kind"], '" Target="', _margin_name(x), '.xml"/>')), F.col("links"), "</Relationships>")),
         _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator><dc:subject>", _text(F.col("subject")), "</dc:subject></cp:coreProperties>")),
-        _part("[Content_Types].xml", 0, _all(f'<Types xmlns="{PKG}/content-types">{_DEFAULTS}{_OVERRIDES}', *[_some(F.col(k), _OVERRIDE.format(f"word/{k}s.xml", WORD_TYPE.format(f"{k}s"))) for k in NOTES], "</Types>")),
+        _part("[Content_Types].xml", 0, _all(f'<Types xmlns="{PKG}/content-types">{_DEFAULTS}{_OVERRIDES}', *[_some(F.col(k), _OVERRIDE.format(f"word/{k}s.xml", WORD_TYPE.format(f"{k}s"))) for k in NOTES], _each_margin(lambda x: _all('<Override PartName="/word/', _margin_name(x), '.xml" ContentType="', *[y for p in WORD_TYPE.split("{}") for y in (p, x["kind"])][:-1], '"/>')), "</Types>")),
         *[_part(f"word/{k}s.xml", 4 + i, _all(f'<w:{k}s xmlns:w="{W}">', F.col(k), f"</w:{k}s>"), F.col(k).isNotNull()) for i, k in enumerate(NOTES)],
     ]
-    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("word/"), name)))
+    tag = lambda x: F.when(x["kind"] == "header", "hdr").otherwise("ftr")
+    more = F.transform("margins", lambda x: F.struct(
+        (x["n"] + 99).cast("int").alias("ord"), F.concat(F.lit("word/"), _margin_name(x), F.lit(".xml")).alias("part"),
+        F.encode(_all(HEAD, "<w:", tag(x), f' xmlns:w="{W}">', _docx_paragraphs(x["text"]), "</w:", tag(x), ">"), "UTF-8").alias("bytes")))
+    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("word/"), name)), more)
 
 
 # ---- HWPX
@@ -341,16 +373,21 @@ HWPX_FIXED = {
 }
 
 
-def _sec_pr(page: Column) -> Column:
-    """The paragraph that a section begins with, for its page."""
+def _hwpx_paragraphs(text: Column) -> Column:
+    """A plain paragraph for each line."""
+    return _lines(text, "", lambda t: _all('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:t>', _text(t), "</hp:t></hp:run></hp:p>"))
+
+
+def _sec_pr(page: Column, sec: Column) -> Column:
+    """The paragraph that the section `sec` begins with, for its page, headers and footers."""
+    told = _each_margin(lambda x: _all('<hp:run charPrIDRef="0"><hp:ctrl><hp:', x["kind"], ' id="', x["n"].cast("string"), '" applyPageType="BOTH"><hp:subList>', _hwpx_paragraphs(x["text"]), "</hp:subList></hp:", x["kind"], "></hp:ctrl></hp:run>"), lambda x: x["sec"] == sec)
     size = lambda i: F.get(page, F.lit(i)).cast("string")
     return _all(
         '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:secPr><hp:pagePr landscape="WIDELY" width="', size(0), '" height="', size(1), '" gutterType="LEFT_ONLY"><hp:margin left="', size(4), '" right="', size(5),
-        '" top="', size(2), '" bottom="', size(3), '" header="', size(6), '" footer="', size(7), '" gutter="', size(8), '"/></hp:pagePr></hp:secPr></hp:run></hp:p>',
+        '" top="', size(2), '" bottom="', size(3), '" header="', size(6), '" footer="', size(7), '" gutter="', size(8), '"/></hp:pagePr></hp:secPr></hp:run>', told, "</hp:p>",
     )
 
 
-
 def _shape_key(c: Callable) -> Column:
     return F.struct(*[c(k).alias(k) for k in SHAPE])
 
@@ -383,7 +420,7 @@ def _hwpx_run(c: Callable, ref: Callable) -> Column:
     run = _all('<hp:run charPrIDRef="', number, '"><hp:t>', _lines(c("text"), "<hp:lineBreak/>", _text), "</hp:t></hp:run>")
     picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', ref("image_no").cast("string"), '"/></hp:pic></hp:run>')
     tag = F.when(c("note_kind") == "endnote", "hp:endNote").otherwise("hp:footNote")
-    lines = _lines(c("note"), "", lambda t: _all('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:t>', _text(t), "</hp:t></hp:run></hp:p>"))
+    lines = _hwpx_paragraphs(c("note"))
     note = _all('<hp:run charPrIDRef="0"><hp:ctrl><', tag, ' number="', ref("note_no").cast("string"), '"><hp:subList>', lines, "</hp:subList></", tag, "></hp:ctrl></hp:run>")
     link = _all(opened, run, '<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>')
     return F.when(c("note_kind").isNotNull(), F.coalesce(note, F.lit(""))).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).when(c("url").isNotNull(), link).otherwise(run)
@@ -396,7 +433,7 @@ def _hwpx_opens(c: Callable, more: Column | str = "") -> Column:
     return _all('<hp:p paraPrIDRef="', shape.cast("string"), '" styleIDRef="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, ">")
 
 
-def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None) -> DataFrame:
+def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None, margins: DataFrame | None = None) -> DataFrame:
     """doc_id, parts of HWPX packages but for HWPX_FIXED, a section a part; equal run styles share a character shape, headings, list levels and
     alignments have a paragraph shape each, fonts are listed once for all scripts."""
     runs, cells, refs = _prepared(runs, cells, media)
@@ -423,12 +460,18 @@ def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     # a block is in the last section that begins before it
     lists = _sections(blocks, sections) if sections is not None else None
     if lists is None:
-        body = _bodies(flow).select("doc_id", F.array("body").alias("bodies"), F.array(F.array(*[F.lit(x) for x in A4_PAGE])).alias("pages"))
+        body = _bodies(flow).select("doc_id", F.array("body").alias("bodies"), F.array(F.array(*[F.lit(x) for x in A4_PAGE])).alias("pages"), F.array(F.lit(0)).alias("secs"))
     else:
         sec = F.greatest(F.size(F.filter("begins", lambda b: b < F.col("blk"))) - 1, F.lit(0))
         by_sec = flow.join(lists, "doc_id").withColumn("sec", sec).groupBy("doc_id", "sec").agg(ordered_join("xml", "blk", "").alias("body"), F.element_at(F.first("pages"), F.col("sec") + 1).alias("page"))
         held = F.array_sort(F.collect_list(F.struct("sec", "body", "page")))
-        body = stored(by_sec.groupBy("doc_id").agg(held.alias("s")).select("doc_id", F.transform("s", lambda x: x["body"]).alias("bodies"), F.transform("s", lambda x: x["page"]).alias("pages")))
+        body = stored(by_sec.groupBy("doc_id").agg(held.alias("s")).select("doc_id", F.transform("s", lambda x: x["body"]).alias("bodies"), F.transform("s", lambda x: x["page"]).alias("pages"), F.transform("s", lambda x: x["sec"]).alias("secs")))
+    body = _with_margins(body, margins)
+    # a section without blocks has no part: what it tells goes to the next one that doesn't tell the same
+    heir = lambda x: F.coalesce(F.array_min(F.filter("secs", lambda s: s >= x["sec"])), F.lit(-1))
+    moved = F.transform("margins", lambda x: x.withField("sec", heir(x)))
+    last = lambda x, i: ~F.exists(F.slice(F.col("margins"), i + 2, F.size("margins")), lambda y: (y["sec"] == x["sec"]) & (y["kind"] == x["kind"]))
+    body = body.withColumn("margins", moved).withColumn("margins", F.filter("margins", last))
     number = F.col("image_no").cast("string")
     item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '" isEmbeded="1"/>')
     items = refs.where("kind = 'image'").withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
@@ -452,7 +495,7 @@ def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataF
     files = each(('<odf:file-entry odf:full-path="', *name, '" odf:media-type="application/xml"/>'))
     open_ = f'{HEAD}<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">'
     bodies = F.transform("bodies", lambda b, i: F.struct(
-        (F.lit(100) + i).cast("int").alias("ord"), F.concat(F.lit("Contents/section"), i.cast("string"), F.lit(".xml")).alias("part"), F.encode(_all(open_, _sec_pr(F.get("pages", i)), b, "</hs:sec>"), "UTF-8").alias("bytes")))
+        (F.lit(100) + i).cast("int").alias("ord"), F.concat(F.lit("Contents/section"), i.cast("string"), F.lit(".xml")).alias("part"), F.encode(_all(open_, _sec_pr(F.get("pages", i), F.get("secs", i)), b, "</hs:sec>"), "UTF-8").alias("bytes")))
     parts = [
         F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
         _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="', F.size("bodies").cast("string"), '"><hh:refList>', fonts, _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")),

@@ -24,6 +24,10 @@ TEXT_BOX, CHART = "[텍스트 상자: {}]", "[차트: 변환되지 않음]"
 #: one of HWPX begins.
 PAGE_OF = ("w", "h", "top", "bottom", "left", "right", "header", "footer", "gutter")
 
+#: What stands in the margins of a section's pages: rows of these kinds are with the section's own row. DOCX names a part (ref),
+#: HWPX has the text. Those of even or first pages alone are told as unsupported.
+MARGINS = ("header", "footer")
+
 
 def _bare(tag: str) -> str:
     return tag.rpartition("}")[2]
@@ -83,6 +87,12 @@ class _Docx:
 
     def section(self, e):
         """A section ends here."""
+        for x in e:
+            kind = _bare(x.tag).removesuffix("Reference")
+            if kind in MARGINS and _attr(x, "type") in (None, "default"):
+                self.add(kind, {}, ref=_attr(x, "id"))
+            elif kind in MARGINS:
+                self.add("unsupported", {}, text=f"{_attr(x, 'type')} {kind}")
         self.add("section", {}, text=" ".join(str(5 * (_int(_child(e, name), a, d) or (d if a in ("w", "h") else 0))) for _, name, a, d in PAGE[: len(PAGE_OF)]))
 
     def paragraph(self, p, at: dict):
@@ -179,6 +189,19 @@ def _int(e, name: str, default: int) -> int:
     return int(v) if v and v.lstrip("-").isdigit() else default
 
 
+def _tags(e):
+    """The names of the elements in e, but for those of what stands in margins."""
+    for x in e:
+        yield (tag := _bare(x.tag))
+        if tag not in MARGINS:
+            yield from _tags(x)
+
+
+def _paragraph_texts(e) -> str:
+    """The texts of all paragraphs, a line each."""
+    return "\n".join("".join("\t" if _bare(t.tag) == "tab" else t.text or "" for t in p.iter() if _bare(t.tag) in ("t", "tab")) for p in e.iter() if _bare(p.tag) == "p")
+
+
 class _Hwpx:
     """Collects the rows of one section part: paragraphs, texts and tables at any depth; a nested table is a table of its own."""
 
@@ -191,13 +214,15 @@ class _Hwpx:
         self.rows.append({"ord": len(self.rows), "row_type": kind, "sec": 0} | at | more)
 
     def paragraph(self, p, at: dict):
-        tags = {_bare(x.tag) for x in p.iter()}
+        tags = set(_tags(p))
         if "secPr" in tags and not at:
             page = next((x for x in p.iter() if _bare(x.tag) in ("pagePr", "pagepr")), None)
             margin = _child(page, "margin")
             sizes = [_int(page, "width", 59528), _int(page, "height", 84188), *[_int(margin, k, 0) for k in PAGE_OF[2:]]]
             self.add("section", {}, text=" ".join(map(str, sizes)))
         if "secPr" in tags and not tags & {"t", "tbl", "pic", "footNote", "endNote"}:
+            for x in (x for x in p.iter() if _bare(x.tag) in MARGINS):
+                self.margin(x)
             return  # there for the page alone
         self.para += 1
         at = at | {"para": self.para}
@@ -208,6 +233,14 @@ class _Hwpx:
             self.walk(run, at, _attr(run, "charPrIDRef"))
         self.url = None
 
+    def margin(self, e):
+        """A header or footer, of all pages or, where even ones have their own, of odd ones."""
+        pages = _attr(e, "applyPageType")
+        if pages in (None, "BOTH", "ODD"):
+            self.add(_bare(e.tag), {}, text=_paragraph_texts(e))
+        else:
+            self.add("unsupported", {}, text=f"{pages} {_bare(e.tag)}")
+
     def walk(self, e, at: dict, shape):
         for x in e:
             tag = _bare(x.tag)
@@ -221,8 +254,9 @@ class _Hwpx:
                 img = next((y for y in x.iter() if _bare(y.tag) == "img"), None)
                 self.add("image", at, ref=_attr(img if img is not None else x, "binaryItemIDRef"))
             elif tag in ("footNote", "endNote"):
-                lines = ["".join(t.text or "" for t in p.iter() if _bare(t.tag) == "t") for p in x.iter() if _bare(p.tag) == "p"]
-                self.add(tag.lower(), at, text="\n".join(lines))
+                self.add(tag.lower(), at, text=_paragraph_texts(x))
+            elif tag in MARGINS:
+                self.margin(x)
             elif tag in ("chart", "equation", "ole", "video"):
                 self.add("unsupported", at, text=tag)
             elif tag == "p":
@@ -329,11 +363,11 @@ def core_meta(parts: DataFrame) -> DataFrame:
 
 
 def relationships(parts: DataFrame) -> DataFrame:
-    """doc_id, rel_id, cls (image, hyperlink, other), target."""
+    """doc_id, rel_id, cls (image, hyperlink, header, footer, other), target."""
     xml = F.col("bytes").cast("string")
     at = lambda a: F.xpath(xml, F.lit(f"//*[local-name()='Relationship']/@{a}"))
     rows = parts.where("part = 'word/_rels/document.xml.rels'").select("doc_id", F.explode(F.arrays_zip(at("Id").alias("i"), at("Type").alias("t"), at("Target").alias("g"))).alias("r"))
-    cls = F.when(F.col("r.t").contains("/image"), "image").when(F.col("r.t").contains("/hyperlink"), "hyperlink").otherwise("other")
+    cls = F.when(F.col("r.t").contains("/image"), "image").when(F.col("r.t").contains("/hyperlink"), "hyperlink").when(F.col("r.t").endswith("/header"), "header").when(F.col("r.t").endswith("/footer"), "footer").otherwise("other")
     return rows.select("doc_id", F.col("r.i").alias("rel_id"), cls.alias("cls"), F.col("r.g").alias("target"))
 
 
@@ -483,6 +517,18 @@ def notes(parts: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def margin_texts(parts: DataFrame) -> DataFrame:
+    """doc_id, part, text of headers and footers of DOCX, a line a paragraph; null where a part is no XML."""
+
+    def rows(part, data):
+        try:
+            return [(part, _paragraph_texts(ET.fromstring(data)))]
+        except ET.ParseError:
+            return [(part, None)]
+
+    return mapped_rows(parts, ["part", "bytes"], "part string, text string", rows, repeats=True)
+
+
 def _on(e, name: str) -> bool:
     """Whether a shape has a property: an element that no attribute switches off."""
     c = _child(e, name)

@@ -89,3 +89,18 @@ def test_nothing_but_the_result_stays(spark):
     assert out.count() == 4
     with pytest.raises(ValueError):
         convert.convert(docs, "md", "none")
+
+
+def test_headers_of_odd_parts(spark):
+    """A header that is no XML, one without a part; an empty one stops that of the section before; a document without any."""
+    sect = lambda *ids: "<w:p><w:pPr><w:sectPr>" + "".join(f'<w:headerReference r:id="{i}"/>' for i in ids) + "</w:sectPr></w:pPr></w:p>"
+    body = p(r("a")) + sect("r1") + p(r("b")) + sect("r2") + p(r("c")) + sect("r3", "none") + p(r("d"))
+    more = {f"word/header{i}.xml": x for i, x in ((1, f'<w:hdr xmlns:w="w">{p(r("one"))}</w:hdr>'), (2, '<w:hdr xmlns:w="w"><w:p/></w:hdr>'), (3, "<broken"))}
+    rels = "<x>" + "".join(f'<Relationship Id="r{i}" Type="t/header" Target="header{i}.xml"/>' for i in (1, 2, 3)) + "</x>"
+    docs = docx(spark, body, p(r("none")), **more, **{"word/_rels/document.xml.rels": rels})
+    ir = convert.read_docx(docs)
+    want = [(0, 0, "header", "one"), (0, 1, "header", "")]
+    assert sorted(tuple(x) for x in ir.margins.collect()) == want
+    assert [tuple(x) for x in ir.errors.where("warnings > 0").select("doc_id", "warnings").collect()] == [(0, 2)]
+    again = convert.read_hwpx(convert.convert(docs, "docx", "hwpx").select("doc_id", "bytes"))
+    assert sorted(tuple(x) for x in again.margins.collect()) == want
