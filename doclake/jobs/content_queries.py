@@ -243,7 +243,7 @@ ELEMENTS = f"""SELECT c_custkey AS doc_id, tbl, level, "row", col, nth, kind, CA
   CASE WHEN kind <> 'run' THEN NULL WHEN tbl IN (2, 4) THEN CASE WHEN col = 0 THEN concat('in ', c_custkey) ELSE 'over' END WHEN tbl IN (3, 5) THEN concat('deepest ', c_custkey)
     WHEN "row" = 0 AND col = 0 THEN CASE nth WHEN 1 THEN concat('plain ', c_custkey, ' ') WHEN 2 THEN 'bold' WHEN 3 THEN 'link' WHEN 5 THEN concat('item ', c_name) ELSE '' END
     WHEN "row" = 0 THEN CASE nth WHEN 1 THEN 'before' ELSE 'after' END ELSE CASE nth WHEN 1 THEN '' WHEN 2 THEN 'two' WHEN 3 THEN chr(10) ELSE 'lines' END END AS text,
-  flags, CASE WHEN tbl = 1 AND "row" = 0 AND col = 0 AND nth = 3 THEN concat('http://x/', c_custkey) END AS url, CASE WHEN flags = 's' THEN 14.0 END AS size_pt,
+  flags, CASE WHEN tbl = 1 AND "row" = 0 AND col = 0 AND nth = 3 THEN concat('http://x/', c_custkey) END AS url, CASE WHEN flags = 's' THEN CAST(14 AS DOUBLE) END AS size_pt,
   CASE WHEN tbl = 1 AND ("row" = 0 AND col = 0 AND nth = 7 OR "row" = 1 AND col = 1 AND nth = 1) THEN 'image' END AS media, nullif(inner_, 0) AS inner_tbl
 FROM customer, (VALUES (1, 0, 0, 0, 0, 'paragraph', '', 0), (1, 0, 0, 0, 1, 'run', '', 0), (1, 0, 0, 0, 2, 'run', 'b', 0), (1, 0, 0, 0, 3, 'run', '', 0), (1, 0, 0, 0, 4, 'paragraph', '', 0), (1, 0, 0, 0, 5, 'run', '', 0), (1, 0, 0, 0, 6, 'paragraph', '', 0), (1, 0, 0, 0, 7, 'run', '', 0),
   (1, 0, 0, 1, 0, 'paragraph', '', 0), (1, 0, 0, 1, 1, 'run', '', 0), (1, 0, 0, 1, 2, 'table', '', 2), (1, 0, 0, 1, 3, 'paragraph', '', 0), (1, 0, 0, 1, 4, 'run', 's', 0), (1, 0, 1, 0, 0, 'paragraph', '', 0), (1, 0, 2, 0, 0, 'paragraph', '', 0),
@@ -255,7 +255,7 @@ QUERIES = {
     "cell_content_docx": (cell_content_docx, f"SELECT c_custkey AS doc_id, {CELL_MD} AS md FROM customer"),
     "cell_elements_docx": (cell_elements_docx, ELEMENTS),
     "cell_elements_lost": (cell_elements_lost, "SELECT c_custkey AS doc_id, 34 AS n_elements, 0 AS n_changed FROM customer"),
-    "cell_content_hwpx": (cell_content_hwpx, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT 'centre' AS text, NULL AS bold, NULL AS font, NULL AS color, NULL AS size_pt, NULL AS url
+    "cell_content_hwpx": (cell_content_hwpx, """SELECT c_custkey AS doc_id, v.* FROM customer, LATERAL (SELECT 'centre' AS text, NULL AS bold, NULL AS font, NULL AS color, CAST(NULL AS DOUBLE) AS size_pt, NULL AS url
   UNION ALL SELECT 'bold', true, concat('Font ', c_custkey % 3), '00AA00', 13.5, NULL UNION ALL SELECT 'link', NULL, NULL, NULL, NULL, concat('http://x/', c_custkey) UNION ALL SELECT 'item', NULL, NULL, NULL, NULL, NULL
   UNION ALL SELECT concat('deep ', c_custkey), true, concat('Font ', c_custkey % 3), '00AA00', 13.5, NULL UNION ALL SELECT concat('last ', c_custkey), NULL, NULL, NULL, NULL, NULL) v"""),
     "cell_content_md": (cell_content_md, f"SELECT c_custkey AS doc_id, replace({MD_CELLS}, '`', '') AS md FROM customer"),
