@@ -30,32 +30,34 @@ def numeral(n: Column, fmt: Column) -> Column:
 
 
 def list_counters(items: DataFrame) -> DataFrame:
-    """Items with counter (null for bullets) and r0..r8: how often each level has been reset so far.
+    """Items with counter (null for bullets) and n0..n8: how many items each level has had since it was last reset.
 
     items: doc_id, blk, num_id, ilvl, fmt, start. A non-bullet item resets all deeper levels of its list; bullets
-    neither count nor reset. So a level's counter is a row number within its list and its number of resets.
+    neither count nor reset. All is told by running sums and maxima in the order of the list, which is sorted once.
     """
     w = Window.partitionBy("doc_id", "num_id").orderBy("blk")
     counts = F.col("fmt") != "bullet"
-    out = items.withColumns({f"r{k}": F.sum((counts & (F.col("ilvl") < k)).cast("int")).over(w) for k in range(LEVELS)})
-    out = out.withColumn("reset", F.element_at(F.array(*[f"r{k}" for k in range(LEVELS)]), (F.col("ilvl") + 1).cast("int")))
-    n = F.row_number().over(Window.partitionBy("doc_id", "num_id", "ilvl", "reset").orderBy("blk"))
-    return out.withColumn("counter", F.when(counts, n + F.coalesce("start", F.lit(1)) - 1)).drop("reset")
+    so_far = {f"n{k}": F.sum(F.when(F.col("ilvl") == k, 1).otherwise(0)).over(w) for k in range(LEVELS)}
+    at_reset = {f"n{k}": F.col(f"n{k}") - F.coalesce(F.max(F.when(counts & (F.col("ilvl") < k), F.col(f"n{k}"))).over(w), F.lit(0)) for k in range(LEVELS)}
+    out = items.withColumns(so_far).withColumns(at_reset)
+    n = F.element_at(F.array(*[f"n{k}" for k in range(LEVELS)]), (F.col("ilvl") + 1).cast("int")).cast("int")
+    return out.withColumn("counter", F.when(counts, n + F.coalesce("start", F.lit(1)) - 1))
 
 
 def list_labels(items: DataFrame, levels: DataFrame) -> DataFrame:
     """doc_id, blk, num_id, ilvl, label. levels: num_id, ilvl, fmt, text, start (one row each; of a checked, small size
     or joined by shuffle: left to the optimiser). Items without a level have label ''."""
-    own = items.join(levels, ["num_id", "ilvl"], "left")
-    fmts = levels.groupBy("num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", "fmt"))).alias("fmts"))
-    rows = list_counters(own).join(fmts, "num_id", "left")
-    w = Window.partitionBy("doc_id", "num_id").orderBy("blk")
-    # the last counter of each level, with the resets it was made under: void once there are more
+    own = items.select("doc_id", "blk", "num_id", "ilvl").join(levels.select("num_id", "ilvl", "fmt", "start"), ["num_id", "ilvl"], "left")
+    lists = levels.groupBy("num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct("fmt", "text", "start")))).alias("levels"))
+    rows = list_counters(own).drop("start", "counter").join(lists, "num_id", "left")
+    rows = rows.withColumn("text", F.col("levels")[F.col("ilvl")]["text"])
+    # a level that has no item since it was reset, or whose items are bullets, shows 1
+    level = lambda k: F.col("levels")[F.lit(k).cast(levels.schema["ilvl"].dataType)]
     for k in range(LEVELS):
-        seen = F.last(F.when((F.col("ilvl") == k) & F.col("counter").isNotNull(), F.struct("counter", f"r{k}")), True).over(w)
-        rows = rows.withColumn(f"v{k}", F.when(seen[f"r{k}"] == F.col(f"r{k}"), seen["counter"]))
-    values = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.coalesce(f"v{k}", F.lit(1)).alias("v")) for k in range(LEVELS)])
-    fill = lambda t, x: F.replace(t, F.concat(F.lit("%"), (x["k"] + 1).cast("string")), numeral(x["v"], F.col("fmts")[x["k"]]))
+        seen = (F.col(f"n{k}") > 0) & (level(k)["fmt"] != "bullet")
+        rows = rows.withColumn(f"v{k}", F.when(seen, F.coalesce(level(k)["start"], F.lit(1)) + F.col(f"n{k}").cast("int") - 1))
+    values = F.array(*[F.struct(F.lit(k).cast(levels.schema["ilvl"].dataType).alias("k"), F.coalesce(f"v{k}", F.lit(1)).alias("v")) for k in range(LEVELS)])
+    fill = lambda t, x: F.replace(t, F.concat(F.lit("%"), (x["k"] + 1).cast("string")), numeral(x["v"], F.col("levels")[x["k"]]["fmt"]))
     filled = F.aggregate(F.slice(values, 1, (F.col("ilvl") + 1).cast("int")), F.col("text"), fill)
     symbol = F.element_at(F.array(*[F.lit(b) for b in BULLETS]), F.least(F.col("ilvl") + 1, F.lit(len(BULLETS))).cast("int"))
     for given, shown in BULLET_TEXTS.items():
