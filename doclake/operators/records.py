@@ -196,28 +196,28 @@ def para_of_record(records: DataFrame) -> DataFrame:
     return records.withColumn("para", F.last(F.when(F.col("tag") == PARAGRAPH, F.col("rec")), True).over(w))
 
 
-def _span_of(records: DataFrame, opens: Column, name: str) -> DataFrame:
-    """Records with `name`: the record that opens their span. A span ends before the first later record of a level below
-    its own, or where another opens."""
+def _span_of(records: DataFrame, opens: Column, level: Column, name: str, *told: str) -> DataFrame:
+    """Records with `name`: the record that opens their span, and `told`, columns of that record. A span ends before the
+    first later record of a level below its own (level), or where another opens. All windows have one order."""
     w = Window.partitionBy("doc_id", "stream").orderBy("rec")
-    out = records.withColumn("span_", F.last(F.when(opens, F.struct("rec", "level")), True).over(w))
-    closes = F.when((F.col("rec") > F.col("span_.rec")) & (F.col("level") < F.col("span_.level")), F.col("rec"))
-    out = out.withColumn("end_", F.min(closes).over(Window.partitionBy("doc_id", "stream", "span_.rec")))
-    return out.withColumn(name, F.when(F.col("end_").isNull() | (F.col("rec") < F.col("end_")), F.col("span_.rec"))).drop("span_", "end_")
+    out = records.withColumn("span_", F.last(F.when(opens, F.struct("rec", level.alias("level_"), *told)), True).over(w))
+    out = out.withColumn("end_", F.max(F.when((F.col("rec") > F.col("span_.rec")) & (level < F.col("span_.level_")), F.col("span_.rec"))).over(w))
+    inside = F.col("span_.rec").isNotNull() & (F.col("end_").isNull() | (F.col("end_") < F.col("span_.rec")))
+    return out.withColumn(name, F.when(inside, F.struct(F.col("span_.rec"), *[F.col(f"span_.{c}") for c in told]))).drop("span_", "end_")
 
 
 def table_of_record(records: DataFrame) -> DataFrame:
     """Records with tbl and cell, the openers of their table and their cell within it."""
-    out = _span_of(records, F.col("tag") == TABLE, "tbl")
-    w = Window.partitionBy("doc_id", "stream", "tbl").orderBy("rec")
-    return out.withColumn("cell", F.when(F.col("tbl").isNotNull(), F.last(F.when(F.col("tag") == CELL, F.col("rec")), True).over(w)))
+    w = Window.partitionBy("doc_id", "stream").orderBy("rec")
+    out = _span_of(records, F.col("tag") == TABLE, F.col("level"), "tbl").withColumn("tbl", F.col("tbl.rec"))
+    cell = F.last(F.when((F.col("tag") == CELL) & F.col("tbl").isNotNull(), F.struct("rec", "tbl")), True).over(w)
+    return out.withColumn("cell", F.when(cell["tbl"] == F.col("tbl"), cell["rec"]))
 
 
 def route_header_footer(records: DataFrame) -> DataFrame:
     """Records (with ctrl, a control's four letters) with place: body, header or footer."""
     opens = (F.col("tag") == CONTROL) & F.col("ctrl").isin("head", "foot")
-    out = _span_of(records.withColumn("level", F.col("level") + F.when(opens, 1).otherwise(0)), opens, "part_")
-    w = Window.partitionBy("doc_id", "stream", "part_")
-    letters = F.max(F.when(opens, F.col("ctrl"))).over(w)
-    place = F.when(F.col("part_").isNull(), "body").when(letters == "head", "header").otherwise("footer")
-    return out.withColumn("place", place).withColumn("level", F.col("level") - F.when(opens, 1).otherwise(0)).drop("part_")
+    level = F.col("level") + F.when(opens, 1).otherwise(0)
+    out = _span_of(records, opens, level, "part_", "ctrl")
+    place = F.when(F.col("part_").isNull(), "body").when(F.col("part_.ctrl") == "head", "header").otherwise("footer")
+    return out.withColumn("place", place).drop("part_")
