@@ -83,14 +83,20 @@ def _line(value: Column, rule: Column, of_type: bool) -> Column:
     return F.when(value.isNull() | ~(auto | rule.isin("exact", "atLeast")), 115).when(auto, F.floor(value / 240 * 100 + 0.5)).otherwise(value * TWIP).cast("int")
 
 
+def _of(inherited: DataFrame) -> str:
+    return "sheet" if "sheet" in inherited.columns else "doc_id"
+
+
 def resolved_paragraphs(paragraphs: DataFrame, inherited: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, para, style_id, direct properties in twips, last) with what they end up with, in HWPUNIT.
 
     Indents and spacings are blocks: a paragraph that has any of one takes all of it, else the nearest style that has.
-    A direct `after` becomes 0, and so does that of a document's last block. inherited: align, ind and spacing.
+    A direct `after` becomes 0, and so does that of a document's last block. inherited: align, ind and spacing, by doc_id
+    or by the sheet that paragraphs name.
     """
     own = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()
-    rows = paragraphs.join(inherited.select("doc_id", "style_id", F.col("align").alias("s_align"), "ind", "spacing"), ["doc_id", "style_id"], "left")
+    of = _of(inherited)
+    rows = paragraphs.join(inherited.select(of, "style_id", F.col("align").alias("s_align"), "ind", "spacing"), [of, "style_id"], "left")
     rows = rows.withColumns({"has_ind": own("ind_left", "ind_right", "first_line", "hanging"), "has_spacing": own("before", "after", "line")})
     ind = {c: F.when(F.col("has_ind"), F.col(c)).otherwise(F.col(f"ind.{c}")) for c in ("ind_left", "ind_right", "first_line", "hanging")}
     space = {c: F.when(F.col("has_spacing"), F.col(c)).otherwise(F.col(f"spacing.{c}")) for c in ("before", "after", "line", "line_rule")}
@@ -112,7 +118,8 @@ def resolved_runs(runs: DataFrame, inherited: DataFrame) -> DataFrame:
     text white, boxed text has a fill of its own. A colour that is still black comes from the style, but not of links.
     """
     names = F.create_map(*[F.lit(x) for pair in HIGHLIGHTS.items() for x in pair])
-    rows = runs.join(inherited.select("doc_id", "style_id", F.col("sz").alias("s_size"), F.nullif("color", F.lit("auto")).alias("s_color")), ["doc_id", "style_id"], "left")
+    of = _of(inherited)
+    rows = runs.join(inherited.select(of, "style_id", F.col("sz").alias("s_size"), F.nullif("color", F.lit("auto")).alias("s_color")), [of, "style_id"], "left")
     link, black = F.coalesce("link", F.lit(False)), F.coalesce(F.col("shade").isin("000000", "black"), F.lit(False))
     color = F.coalesce("color", F.when(link, "0000FF").otherwise("000000"))
     color = F.when(black & (color == "000000"), "FFFFFF").otherwise(color)

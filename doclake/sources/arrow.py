@@ -24,6 +24,7 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
     def run(batches):
         import pyarrow as pa
 
+        binary = [i for i, t in enumerate(ddl) if t == "binary"]
         types = [getattr(pa, TYPES[t])() for t in ddl]
 
         def batch_of(ids, at, rows):
@@ -49,7 +50,7 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
                 found = found_of([c[i].as_py() for c in given])
                 rows += found
                 at += [i] * len(found)
-                held += sum(len(v) for row in found for v in row if type(v) is bytes)
+                held += sum(len(row[j]) for j in binary for row in found if row[j] is not None)
                 if held > BYTES or len(rows) > ROWS:
                     yield batch_of(ids, at, rows)
                     at, rows, held = [], [], 0
