@@ -442,13 +442,21 @@ def register_markdown_blocks(spark: SparkSession, name: str = "markdown_blocks")
     """A table function for ad-hoc SQL: name(md) gives ln, kind, raw of its lines that aren't blank. Jobs use markdown_blocks()."""
     from pyspark.sql.functions import udtf
 
+    # one pattern for all kinds, of which the first that fits is told by its name
+    rules = {"heading": r"#{1,6}\s+", "fence": "```", "hrule": r"[-*_]{3,}\s*$", "table": r"\s*\|.+\|", "bullet": r"\s*[-*+]\s+.", "ordered": r"\s*\d+[.)]\s+."}
+    rule = "|".join(f"(?P<{kind}>{r})" for kind, r in rules.items())
+
     class Lines:
-        def eval(self, md: str):
+        def __init__(self):
             import re
 
-            rules = [("heading", r"#{1,6}\s+"), ("fence", "```"), ("hrule", r"[-*_]{3,}\s*$"), ("table", r"\s*\|.+\|"), ("bullet", r"\s*[-*+]\s+."), ("ordered", r"\s*\d+[.)]\s+.")]
+            self.match = re.compile(rule).match
+
+        def eval(self, md: str):
+            match = self.match
             for ln, raw in enumerate((md or "").split("\n")):
-                if raw.strip():
-                    yield ln, next((k for k, rule in rules if re.match(rule, raw)), "text"), raw
+                if raw and not raw.isspace():
+                    found = match(raw)
+                    yield ln, found.lastgroup if found else "text", raw
 
     spark.udtf.register(name, udtf(Lines, returnType="ln int, kind string, raw string"))
