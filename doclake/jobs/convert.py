@@ -80,6 +80,20 @@ def _with_spans(cells: DataFrame) -> DataFrame:
     return plain.unionByName(found.select(*plain.columns))
 
 
+def _pages(rows: DataFrame, ends: bool) -> DataFrame:
+    """The sections that rows tell, with ord from 1. ends: a section's page is told where it ends, as in DOCX, and not where
+    it begins, as in HWPX."""
+    begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0)) if ends else F.col("ord") - 1
+    return rows.where("row_type = 'section'").select("doc_id", begin.cast("long").alias("begin"), F.split("text", " ").cast("array<int>").alias("page"))
+
+
+def docx_sections(docs: DataFrame) -> DataFrame:
+    """The sections of read_docx(docs), for who wants nothing else of the packages: their other parts are left packed, and
+    neither runs nor cells are written."""
+    rows = xmlrows.docx_rows(package.unzip_parts(docs, ("word/document.xml",), ("word/document.xml",)), ("section",))
+    return _pages(rows.where("error IS NULL").withColumn("ord", F.col("ord") + 1), ends=True)
+
+
 def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     """Rows of a package's XML to the flat tables; blk is the place of a block's first row in the document.
 
@@ -122,9 +136,7 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     inside = inside.withColumns(spans)
     cells = (_with_spans(stored(inside)) if by_cell else inside).join(at.select(*TABLE, "blk"), list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "content")
     deepest = at.agg(F.max("level")).first()[0] or 0
-    # DOCX (by_cell) tells a section's page where it ends, HWPX where it begins
-    begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0)) if by_cell else F.col("ord") - 1
-    sections = rows.where("row_type = 'section'").select("doc_id", begin.cast("long").alias("begin"), F.split("text", " ").cast("array<int>").alias("page"))
+    sections = _pages(rows, by_cell)
     # those of DOCX stand before their section's row, those of HWPX behind it
     told = rows.where(F.col("row_type").isin("section", *xmlrows.MARGINS))
     before = F.count(F.when(F.col("row_type") == "section", 1)).over(Window.partitionBy("doc_id").orderBy("ord"))
@@ -153,14 +165,20 @@ def _media(parts: DataFrame, media_id: Column) -> DataFrame:
 SMALL_PARTS = ("word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml")
 
 
-def _parts_of(parts: DataFrame, names: tuple[str, ...], folders: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
-    """All parts, written once, those of each of `names` and those below each of `folders` apart from all others; and a
-    function that reads the parts of some of these alone."""
-    kind = F.when(F.col("part").isin(*names), F.col("part")).otherwise("other")
-    for f in folders:
-        kind = F.when(F.col("part").startswith(f), f).otherwise(kind)
-    every = stored(parts.withColumn("of", kind), by="of")
-    return every, lambda *names: every.where(F.col("of").isin(*names) & F.col("error").isNull())
+def _parts_of(docs: DataFrame, names: tuple[str, ...], folders: tuple[str, ...], prefixes: tuple[str, ...], required: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The packages opened and written once, a row each with a column for each of `names` and `folders`; and a function that
+    reads the parts of some of these alone."""
+    every = stored(package.unzip_columns(docs, names, folders, prefixes, required))
+
+    def of(*wanted: str) -> DataFrame:
+        if len(wanted) == 1 and wanted[0] in names:
+            own = F.col(f"p{names.index(wanted[0])}")
+            return every.where(own.isNotNull()).select("doc_id", F.lit(wanted[0]).alias("part"), own.alias("bytes"))
+        one = lambda n: F.array(F.struct(F.lit(n).alias("part"), F.col(f"p{names.index(n)}").alias("bytes")))
+        held = F.concat(*[one(n) if n in names else F.col(f"f{folders.index(n)}") for n in wanted])
+        return every.where("error IS NULL").select("doc_id", F.explode(held).alias("x")).select("doc_id", "x.part", "x.bytes").where("bytes IS NOT NULL")
+
+    return every, of
 
 
 def _styled(parts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -181,8 +199,9 @@ STYLED = {"align": "align", "sz": "size_pt", "color": "color", "bold": "bold", "
 def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering; what else styles
     tell is written to texts and paragraphs with `resolve`."""
-    wanted = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "word/media/", "word/header", "word/footer", "docProps/core.xml")
-    every, of = _parts_of(package.unzip_parts(docs, wanted, ("word/document.xml",)), wanted, ("word/media/", "word/header", "word/footer"))
+    names = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "docProps/core.xml")
+    folders = ("word/media/", "word/header", "word/footer")
+    every, of = _parts_of(docs, names, folders, (*names, *folders), ("word/document.xml",))
     meta = xmlrows.core_meta(of("docProps/core.xml")).select("doc_id", "title", "author", "subject")
     rows = stored(xmlrows.docx_rows(of("word/document.xml")))
     if resolve:
@@ -226,7 +245,8 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
 def read_hwpx(docs: DataFrame) -> Ir:
     """From doc_id, bytes. A heading is told by the paragraph's style or by the shape that a heading style names; emphasis by
     the character shape, a list by the paragraph shape."""
-    every, of = _parts_of(package.unzip_parts(docs, ("Contents/", "BinData/"), ("Contents/section0.xml",)), ("Contents/header.xml", "Contents/content.hpf"), ("BinData/", "Contents/section"))
+    names = ("Contents/header.xml", "Contents/content.hpf")
+    every, of = _parts_of(docs, names, ("BinData/", "Contents/section"), ("Contents/", "BinData/"), ("Contents/section0.xml",))
     header = of("Contents/header.xml")
     xml = F.col("bytes").cast("string")
     told = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
@@ -322,11 +342,11 @@ def write_md(ir: Ir) -> DataFrame:
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins), packages.DOCX_FIXED)
+    return packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins)
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return package.zip_parts(packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins), packages.HWPX_FIXED)
+    return packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins)
 
 
 def write_hml(ir: Ir) -> DataFrame:
@@ -336,6 +356,9 @@ def write_hml(ir: Ir) -> DataFrame:
 #: Readers and writers by format; own ones are added to these.
 READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "docx_styled": partial(read_docx, resolve=True), "hwpx": read_hwpx, "hwp": read_hwp}
 WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_docx, "hwpx": write_hwpx, "hml": write_hml}
+#: Formats whose writers give the parts of packages (doc_id, parts), which are zipped when nothing is joined any more, and the
+#: parts that all of their packages share.
+PACKED = {"docx": packages.DOCX_FIXED, "hwpx": packages.HWPX_FIXED}
 #: Formats whose writers read each table once: the tables need not be written for them.
 ONCE = {"hml"}
 
@@ -367,15 +390,21 @@ def convert(docs: DataFrame, from_: str, to: str, warnings: bool = False) -> Dat
             ir = ir.written()
         out = WRITERS[to](ir)
         columns = out.columns
+        if ids is not None:
+            out = ids.join(out, "doc_id", "left")
         if ir.errors is not None:
             columns = [*columns, "error"]
-            out = out.join(ir.errors, "doc_id", "full")
+            out = out.join(ir.errors, "doc_id", "full" if ids is None else "left")
             if warnings:
                 columns.append("warnings")
                 out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
         if ids is not None:
-            out = ids.join(out, "doc_id", "left").drop("doc_id").withColumnRenamed("own_id", "doc_id")
-        return stored(out.select(*columns), lasting=True)
+            out = out.drop("doc_id").withColumnRenamed("own_id", "doc_id")
+        if to in PACKED:
+            columns = ["bytes" if c == "parts" else c for c in columns]
+            told = F.struct(*[c for c in out.columns if c != "parts"]).alias("doc_id")
+            out = package.zip_parts(out.select(told, "parts"), PACKED[to]).select("doc_id.*", "bytes")
+        return stored(out.select(*columns), lasting=True, rows=DOCUMENTS if to in PACKED else 0)
 
 
 def visit(nodes: DataFrame, by_kind: dict[str, Column], default: Column, name: str = "out") -> DataFrame:

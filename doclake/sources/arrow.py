@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 #: An output batch ends with the row that makes it larger than this many bytes or rows.
 BYTES, ROWS = 8 << 20, 20_000
 TYPES = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool_", "double": "float64", "binary": "binary"}
+#: The parts of a package, as one value.
+PARTS = "array<struct<part:string,bytes:binary>>"
 
 
 #: Inputs of a row up to SMALL bytes, whose rows a task may take again, and how many it keeps.
@@ -24,8 +26,8 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
     def run(batches):
         import pyarrow as pa
 
-        binary = [i for i, t in enumerate(ddl) if t == "binary"]
-        types = [getattr(pa, TYPES[t])() for t in ddl]
+        binary, lists = ([i for i, t in enumerate(ddl) if t == kind] for kind in ("binary", PARTS))
+        types = [pa.list_(pa.struct([("part", pa.string()), ("bytes", pa.binary())])) if t == PARTS else getattr(pa, TYPES[t])() for t in ddl]
 
         def batch_of(ids, at, rows):
             values = zip(*rows, strict=True) if rows else [[]] * len(names)
@@ -51,6 +53,7 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
                 rows += found
                 at += [i] * len(found)
                 held += sum(len(row[j]) for j in binary for row in found if row[j] is not None)
+                held += sum(len(data) for j in lists for row in found for _, data in row[j] or ())
                 if held > BYTES or len(rows) > ROWS:
                     yield batch_of(ids, at, rows)
                     at, rows, held = [], [], 0
