@@ -102,17 +102,19 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     rows: those of xmlrows with heading, list_level, list_ordered of paragraphs, url of texts, media_id of images. A page
     break is a block of its own; what follows it, or a table, in the same paragraph is a paragraph of its own behind it.
     """
-    # places and numbers of tables begin anew in each section
-    rows = stored(rows.where("error IS NULL").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")))
-    own = Window.partitionBy("doc_id", "sec").orderBy("ord")
+    # places and numbers of tables begin anew in each section; DOCX has one part, in whose order its rows are
+    order = F.col("ord") + 1 if by_cell else F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")
+    beside = F.col("row_type").isin("section", "unsupported", *xmlrows.MARGINS)
+    rows = rows.where("error IS NULL").withColumns({"ord": order, "body": (F.col("tbl").isNull() | (F.col("row_type") == "table")) & ~beside})
+    own = Window.partitionBy("doc_id", "sec", "body").orderBy("ord")
     start = F.col("row_type").isin("paragraph", "pageBreak") | F.lag("row_type").over(own).isin("table", "pageBreak")
     opens = (F.col("row_type") == "paragraph") & F.coalesce(F.lead("row_type").over(own) == "pageBreak", F.lit(False))  # nothing is before the break
-    beside = F.col("row_type").isin("section", "unsupported", *xmlrows.MARGINS)
-    body = rows.where("tbl IS NULL OR row_type = 'table'").where(~beside).withColumns({"start": start, "opens": opens})
     like = tuple(PARAGRAPH)
-    rows = complete(rows, RUN)
-    body = body.withColumn("like", F.last(F.when(F.col("row_type") == "paragraph", F.struct(*like)), True).over(own)).where("tbl IS NULL")
-    body = body.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own))
+    rows = rows.withColumns({"start": start, "opens": opens, "like": F.last(F.when(F.col("row_type") == "paragraph", F.struct(*like)), True).over(own)})
+    # dealt by document once: what follows finds each row's block beside it
+    rows = stored(complete(rows.withColumn("blk", F.last(F.when(F.col("start"), F.col("ord")), True).over(own)), RUN))
+    body = rows.where("body AND tbl IS NULL")
+    rows = rows.drop("blk", "like", "start", "opens", "body")
     is_break = F.col("row_type") == "pageBreak"
     paragraphs = body.where("start AND NOT opens").select("doc_id", "blk", F.when(is_break, "pageBreak").otherwise("paragraph").alias("kind"), *[F.when(~is_break, F.col(f"like.{c}")).alias(c) for c in like])
     at = rows.where("row_type = 'table'").select("doc_id", "sec", F.col("ord").alias("blk"), "tbl", "level", "host", "row", "col")
@@ -203,41 +205,22 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     folders = ("word/media/", "word/header", "word/footer")
     every, of = _parts_of(docs, names, folders, (*names, *folders), ("word/document.xml",))
     meta = xmlrows.core_meta(of("docProps/core.xml")).select("doc_id", "title", "author", "subject")
-    rows = stored(xmlrows.docx_rows(of("word/document.xml")))
+    column = {name: f"p{i}" for i, name in enumerate(names)} | {name: f"f{i}" for i, name in enumerate(folders)}
+    opened = every.where("error IS NULL")
+    rows = stored(xmlrows.docx_package_rows(opened, column["word/document.xml"], [column[n] for n in xmlrows.NAMING], [column[n] for n in folders[1:]]))
     if resolve:
         rows = stored(_styled(of("word/styles.xml"), rows).select(*rows.columns))
     rows = rows.withColumns({c: F.when(F.col(c), F.lit(True)) for c in RUN_FLAGS})
-    names = xmlrows.docx_styles(of("word/styles.xml")).groupBy("doc_id", "style_id").agg(F.max("heading").alias("named"), F.lit(True).alias("known"))
-    kinds = xmlrows.nums(of("word/numbering.xml")).join(xmlrows.num_levels(of("word/numbering.xml")), ["doc_id", "abstract_id"]).groupBy("doc_id", "num_id", "ilvl").agg(F.min("fmt").alias("fmt"))
-    plain, paragraphs = rows.where("row_type <> 'paragraph' OR row_type IS NULL"), rows.where("row_type = 'paragraph'")
-    listed = F.when(F.col("num_id") != "0", F.coalesce("ilvl", F.lit(0)))
-    paragraphs = paragraphs.withColumn("ilvl", listed).join(names, ["doc_id", "style_id"], "left").join(kinds, ["doc_id", "num_id", "ilvl"], "left")
-    sides = F.col("align").isin(*packages.ALIGNS)
-    paragraphs = paragraphs.withColumns({
-        "align": F.when(F.col("align") == "both", "justify").when(F.col("align") == "start", "left").when(F.col("align") == "end", "right").when(sides, F.col("align")),
-        "heading": F.when(F.col("known"), F.col("named")).otherwise(F.col("heading")), "list_level": F.col("ilvl"),
-        "list_ordered": F.when(F.col("ilvl").isNotNull(), F.coalesce(~F.col("fmt").isin("bullet", "none"), F.lit(False))),
-    })
-    rels = xmlrows.relationships(of("word/_rels/document.xml.rels")).where("cls <> 'other'").groupBy("doc_id", F.col("rel_id").alias("ref")).agg(F.min_by("target", "cls").alias("target"), F.min("cls").alias("cls"))
-    is_note = F.col("row_type").isin("footnote", "endnote")
-    notes = xmlrows.notes(of("word/footnotes.xml", "word/endnotes.xml")).groupBy("doc_id", F.col("kind").alias("row_type"), F.col("note_id").alias("ref")).agg(F.min("text").alias("note"))
-    called = plain.where(is_note).join(notes, ["doc_id", "row_type", "ref"], "left")
-    is_margin = F.col("row_type").isin(*xmlrows.MARGINS)
-    texts = xmlrows.margin_texts(of("word/header", "word/footer")).select("doc_id", F.regexp_replace("part", "^word/", "").alias("target"), F.col("text").alias("note"))
-    named = rels.where(F.col("cls").isin(*xmlrows.MARGINS)).select("doc_id", "ref", F.regexp_replace("target", "^/?(word/)?", "").alias("target"))
-    margins = plain.where(is_margin).join(named.join(texts, ["doc_id", "target"]).drop("target"), ["doc_id", "ref"], "left")
-    called = stored(called.unionByName(margins))
-    is_note = is_note | is_margin
-    plain = plain.where(~F.coalesce(is_note, F.lit(False)))
-    linked = plain.where("ref IS NOT NULL").drop("url").join(rels, ["doc_id", "ref"], "left")
-    linked = linked.withColumns({
-        "url": F.when(F.col("row_type") == "text", F.when(F.col("cls") == "hyperlink", F.col("target")).when(F.col("ref").startswith("#"), F.nullif("ref", F.lit("#")))),
-        "media_id": F.when((F.col("row_type") == "image") & (F.col("cls") == "image"), F.regexp_replace("target", "^/?(word/)?", "")),
-    })
-    columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
-    told = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [plain.where("ref IS NULL"), linked, paragraphs, called]).select(*columns)
-    whole = rows.where(~F.coalesce(is_note, F.lit(False))).select("doc_id", "error", "row_type").unionByName(called.select("doc_id", "error", "row_type", "note"), allowMissingColumns=True)
-    errors = _errors(whole, every, xmlrows.part_errors(of(*SMALL_PARTS), *SMALL_PARTS))
+    is_ = lambda *kinds: F.coalesce(F.col("row_type").isin(*kinds), F.lit(False))
+    level = F.when(is_("paragraph") & (F.col("num_id") != "0"), F.coalesce("ilvl", F.lit(0)))
+    side = F.when(F.col("align") == "both", "justify").when(F.col("align") == "start", "left").when(F.col("align") == "end", "right").when(F.col("align").isin(*packages.ALIGNS), F.col("align"))
+    told = rows.withColumns({
+        "align": F.when(is_("paragraph"), side), "heading": F.when(F.col("known"), F.col("named")).otherwise(F.col("heading")),
+        "list_level": level, "list_ordered": F.when(level.isNotNull(), F.coalesce(~F.col("fmt").isin("bullet", "none"), F.lit(False))),
+        "url": F.when(is_("text"), F.when(F.col("cls") == "hyperlink", F.col("target")).when(F.col("ref").startswith("#"), F.nullif("ref", F.lit("#")))),
+        "media_id": F.when(is_("image") & (F.col("cls") == "image"), F.regexp_replace("target", "^/?(word/)?", "")),
+    }).drop("named", "known", "fmt", "target", "cls")
+    errors = _errors(told, every, xmlrows.part_errors(of(*SMALL_PARTS), *SMALL_PARTS))
     media = of("word/media/")
     return replace(_from_rows(told, meta, by_cell=True), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
 
@@ -374,37 +357,48 @@ def _by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def convert(docs: DataFrame, from_: str, to: str, warnings: bool = False) -> DataFrame:
-    """The documents in another format; from packages with error, which tells of a document that was not read whole, and with
+    """conversions() to one format."""
+    return conversions(docs, from_, (to,), warnings)[0]
+
+
+def conversions(docs: DataFrame, from_: str, to: tuple[str, ...], warnings: bool = False) -> list[DataFrame]:
+    """The documents in each of some other formats, for which they are read once; from packages with error, which tells of a document that was not read whole, and with
     `warnings`, if wanted, how many things in it no writer knows.
 
     A row of `docs` gives a row, whatever its doc_id: a document that can't be read at all has the error alone. Of binary
     streams a doc_id's rows are one document; those without an id are left out. The result is written; all other tables
     that were written for it are removed.
     """
-    if from_ not in READERS or to not in WRITERS:
-        raise ValueError(f"no conversion from {from_} to {to}")
+    for one in to:
+        if from_ not in READERS or one not in WRITERS:
+            raise ValueError(f"no conversion from {from_} to {one}")
     with passing(docs.sparkSession):
         docs, ids = (docs.where("doc_id IS NOT NULL"), None) if from_ == "hwp" else _by_row(docs)
         ir = READERS[from_](docs)
-        if to not in ONCE:
+        if len(to) > 1 or not ONCE.issuperset(to):
             ir = ir.written()
-        out = WRITERS[to](ir)
-        columns = out.columns
-        if ids is not None:
-            out = ids.join(out, "doc_id", "left")
-        if ir.errors is not None:
-            columns = [*columns, "error"]
-            out = out.join(ir.errors, "doc_id", "full" if ids is None else "left")
-            if warnings:
-                columns.append("warnings")
-                out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
-        if ids is not None:
-            out = out.drop("doc_id").withColumnRenamed("own_id", "doc_id")
-        if to in PACKED:
-            columns = ["bytes" if c == "parts" else c for c in columns]
-            told = F.struct(*[c for c in out.columns if c != "parts"]).alias("doc_id")
-            out = package.zip_parts(out.select(told, "parts"), PACKED[to]).select("doc_id.*", "bytes")
-        return stored(out.select(*columns), lasting=True, rows=DOCUMENTS if to in PACKED else 0)
+        return [_converted(ir, ids, one, warnings) for one in to]
+
+
+def _converted(ir: Ir, ids: DataFrame | None, to: str, warnings: bool) -> DataFrame:
+    """The tables written in a format, a row for each of `ids` if there are any."""
+    out = WRITERS[to](ir)
+    columns = out.columns
+    if ids is not None:
+        out = ids.join(out, "doc_id", "left")
+    if ir.errors is not None:
+        columns = [*columns, "error"]
+        out = out.join(ir.errors, "doc_id", "full" if ids is None else "left")
+        if warnings:
+            columns.append("warnings")
+            out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
+    if ids is not None:
+        out = out.drop("doc_id").withColumnRenamed("own_id", "doc_id")
+    if to in PACKED:
+        columns = ["bytes" if c == "parts" else c for c in columns]
+        told = F.struct(*[c for c in out.columns if c != "parts"]).alias("doc_id")
+        out = package.zip_parts(out.select(told, "parts"), PACKED[to]).select("doc_id.*", "bytes")
+    return stored(out.select(*columns), lasting=True, rows=DOCUMENTS if to in PACKED else 0)
 
 
 def visit(nodes: DataFrame, by_kind: dict[str, Column], default: Column, name: str = "out") -> DataFrame:

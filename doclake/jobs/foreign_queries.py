@@ -18,9 +18,8 @@ from doclake.sources import package
 PICTURE = "concat(unhex('89504E47'), encode(CAST(c_custkey AS STRING), 'UTF-8'))"
 
 
-def _parts(spark, sf_dir, parts: dict[str, str]):
-    """Packages of parts; each is a template with {k}, {name}, {level}, or SQL that begins with `=`."""
-    rows = dealt(built(spark, sf_dir, "SELECT c_custkey AS doc_id, c_custkey, c_name, c_custkey % 3 AS level FROM {customer}"))
+def _held(parts: dict[str, str]):
+    """An array of parts; each is a template with {k}, {name}, {level}, or SQL that begins with `=`."""
 
     def part(i, name, text):
         if text.startswith("="):
@@ -32,8 +31,16 @@ def _parts(spark, sf_dir, parts: dict[str, str]):
             data = F.encode(filled, "UTF-8")
         return F.struct(F.lit(i).alias("ord"), F.lit(name).alias("part"), data.alias("bytes"))
 
-    held = F.array(*[part(i, name, text) for i, (name, text) in enumerate(parts.items())])
-    return package.zip_parts(rows.select("doc_id", held.alias("parts")))
+    return F.array(*[part(i, name, text) for i, (name, text) in enumerate(parts.items())])
+
+
+def _customers(spark, sf_dir):
+    return dealt(built(spark, sf_dir, "SELECT c_custkey AS doc_id, c_custkey, c_name, c_custkey % 3 AS level FROM {customer}"))
+
+
+def _parts(spark, sf_dir, parts: dict[str, str]):
+    """Packages of parts, as _held() takes them."""
+    return package.zip_parts(_customers(spark, sf_dir).select("doc_id", _held(parts).alias("parts")))
 
 
 def _p(inner: str, pr: str = "") -> str:
@@ -147,10 +154,12 @@ def hwpx_to_md(spark, sf_dir):
 
 def outcomes(spark, sf_dir):
     """Conversions of which some packages are cut off and some documents are no XML."""
-    docs = foreign_docx(spark, sf_dir)
-    broken = _parts(spark, sf_dir, {"word/document.xml": "<w:document>"}).withColumnRenamed("bytes", "other")
-    docs = docs.join(broken, "doc_id").select("doc_id", F.expr("CASE WHEN doc_id % 7 = 0 THEN substring(bytes, 1, 40) WHEN doc_id % 11 = 0 THEN other ELSE bytes END").alias("bytes"))
-    done = [c.convert(docs, "docx", to).select("doc_id", F.lit("docx").alias("from_"), F.lit(to).alias("to_"), "error", F.lit(0).alias("warnings")) for to in ("md", "hwpx")]
+    other = _held({"word/document.xml": "<w:document>"})
+    held = F.when((F.col("doc_id") % 11 == 0) & (F.col("doc_id") % 7 != 0), other).otherwise(_held(DOCX))
+    docs = package.zip_parts(_customers(spark, sf_dir).select("doc_id", held.alias("parts")))
+    docs = docs.select("doc_id", F.expr("CASE WHEN doc_id % 7 = 0 THEN substring(bytes, 1, 40) ELSE bytes END").alias("bytes"))
+    formats = ("md", "hwpx")
+    done = [df.select("doc_id", F.lit("docx").alias("from_"), F.lit(to).alias("to_"), "error", F.lit(0).alias("warnings")) for to, df in zip(formats, c.conversions(docs, "docx", formats), strict=True)]
     return quality.outcomes(done[0].unionByName(done[1]))
 
 
