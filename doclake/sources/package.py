@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import struct
 import zipfile
@@ -10,7 +11,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.sources.arrow import PARTS, mapped_rows
+from doclake.sources.arrow import PARTS, SMALL, mapped_rows
 
 FORMATS = ("hwpx", "hwp", "docx", "md")
 
@@ -101,6 +102,14 @@ def _entry(part: str, data: bytes) -> tuple[bytes, bytes, bytes]:
     return head, name, data if stored else packed
 
 
+#: Small parts that many packages share are packed once.
+_small_entry = functools.lru_cache(64)(_entry)
+
+
+def _shared_entry(part: str, data: bytes) -> tuple[bytes, bytes, bytes]:
+    return (_small_entry if len(data) <= SMALL else _entry)(part, data)
+
+
 def _zipped(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
     """A package of parts, which the writer of zipfile takes several times as long for. It is as small as a row, so no part
     needs large numbers."""
@@ -116,7 +125,8 @@ def _zipped(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
 def zip_parts(packed: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
     """doc_id, bytes of packages from rows (doc_id, parts array<struct<ord, part, bytes>>), a package each; no bytes without parts.
 
-    Parts go in order, `mimetype` first and not packed. `fixed` parts, the same in all packages, are packed once a task.
+    Parts go in order, `mimetype` first and not packed. `fixed` parts, the same in all packages, are packed
+    once a task, and so are small parts that packages share by chance.
     """
     texts = {part: xml.encode() for part, xml in (fixed or {}).items()}
     same: list[tuple[bytes, bytes, bytes]] = []
@@ -129,7 +139,7 @@ def zip_parts(packed: DataFrame, fixed: dict[str, str] | None = None) -> DataFra
         own = sorted((p for p in parts if p), key=lambda p: (p["part"] != "mimetype", p["ord"]))
         if len(own) + len(same) >= 0xFFFF:
             raise ValueError("too many parts for a package")
-        return [(_zipped([*(_entry(p["part"], p["bytes"] or b"") for p in own), *same]),)]
+        return [(_zipped([*(_shared_entry(p["part"], p["bytes"] or b"") for p in own), *same]),)]
 
     return mapped_rows(packed, ["parts"], "bytes binary", zipped)
 

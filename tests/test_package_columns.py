@@ -56,3 +56,11 @@ def test_zips_are_as_zipfile_reads_them(spark):
 def test_a_document_without_blocks_has_a_row_and_no_package(spark):
     got = {r["doc_id"]: r["bytes"] for r in convert.convert(docs(spark, "text", ""), "md", "docx").collect()}
     assert set(got) == {0, 1} and got[0] is not None and got[1] is None
+
+
+def test_shared_parts_are_packed_once():
+    package._small_entry.cache_clear()
+    shared = b"<h/>" * 5000
+    for i in range(200):
+        package._zipped([package._shared_entry("Contents/header.xml", shared), package._shared_entry("Contents/section0.xml", str(i).encode())])
+    assert package._small_entry.cache_info().misses == 201
