@@ -35,20 +35,30 @@ def png_height(data: Column) -> Column:
     return F.coalesce(F.nullif(be(data, 20, 4), F.lit(0)), F.lit(100))
 
 
+def _jpeg(b: bytes | None) -> tuple[int, int]:
+    i = 2
+    while b and i + 9 <= len(b):
+        if b[i] != 0xFF:
+            i += 1
+        elif b[i + 1] in (0xC0, 0xC2):
+            h, w = int.from_bytes(b[i + 5 : i + 7], "big"), int.from_bytes(b[i + 7 : i + 9], "big")
+            return (w or 100, h or 100)
+        else:
+            i += 2 + int.from_bytes(b[i + 2 : i + 4], "big")
+    return 100, 100
+
+
 def _jpeg_sizes(data: pd.Series) -> pd.DataFrame:
-    def one(b: bytes | None) -> tuple[int, int]:
-        i = 2
-        while b and i + 9 <= len(b):
-            if b[i] != 0xFF:
-                i += 1
-            elif b[i + 1] in (0xC0, 0xC2):
-                h, w = int.from_bytes(b[i + 5 : i + 7], "big"), int.from_bytes(b[i + 7 : i + 9], "big")
-                return (w or 100, h or 100)
-            else:
-                i += 2 + int.from_bytes(b[i + 2 : i + 4], "big")
-        return 100, 100
-
-    return pd.DataFrame([one(b) for b in data], columns=["w", "h"])
+    return pd.DataFrame([_jpeg(b) for b in data], columns=["w", "h"])
+
+
+def measured(data: bytes) -> tuple[str, int, int]:
+    """sniff_mime(), and width and height as png_width(), png_height() or jpeg_size() tell them, of one image."""
+    kinds = {b"\xff\xd8": "image/jpeg", b"GI": "image/gif"}
+    mime = "image/png" if data[:2] == b"\x89P" else kinds.get(data[:2]) or ("image/webp" if data[8:10] == b"WE" else "image/png")
+    if mime != "image/png":
+        return mime, *_jpeg(data)
+    return mime, int.from_bytes(data[16:20], "big") or 100, int.from_bytes(data[20:24], "big") or 100
 
 
 def jpeg_size(data: Column) -> Column:

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.media import sniff_mime
 from doclake.operators import markdown as m
-from doclake.operators import packages, records, render, styles, tables
-from doclake.operators.content import ELEMENT, PARAGRAPH, RUN, complete, element, of_lines, tidy
+from doclake.operators import nested, packages, records, render, styles, tables
+from doclake.operators.content import BLOCK, DOCUMENT, ELEMENT, ELEMENT_AT, PARAGRAPH, RUN, RUN_AT, complete, of_lines, tidy
+from doclake.operators.markdown import let
 from doclake.sources import package, xmlrows
+from doclake.sources.documents import docx_documents, hwpx_documents
 from doclake.sources.scratch import passing, stored
 
 
 @dataclass
 class Ir:
-    """The flat tables that all readers give and all writers take.
+    """The flat tables that all readers give, or documents that they are made of; documents() gives writers the latter.
 
     blocks: doc_id, blk, kind, heading, list_level, list_ordered, align, level (of a table: how many are around it); runs of
     the body: doc_id, blk, pos and content.RUN; cells: doc_id, blk (their table), row, col, spans, content (content.ELEMENT).
@@ -39,31 +41,80 @@ class Ir:
     sections: DataFrame | None = None
     #: doc_id, sec (from 0), kind (header, footer), text: a line a paragraph; a section without has that of the one before
     margins: DataFrame | None = None
+    #: the documents as one row each (content.DOCUMENT), written, if that is what the reader gives; the tables are made of it
+    docs: DataFrame | None = None
 
     def written(self) -> Ir:
-        """The tables written once, for writers that read them several times; media are, as parts of a package."""
+        """The tables written once, for who reads them several times; media are, as parts of a package."""
+        if self.docs is not None:
+            return self
         return replace(self, **{k: stored(v) for k in ("blocks", "runs", "cells", "meta", "errors", "sections", "margins") if (v := getattr(self, k)) is not None})
 
 
 RUN_FLAGS = ("bold", "italic", "underline", "strike", "sup", "sub")
 
 
+def _of_documents(docs: DataFrame, deepest: int, errors: bool = True) -> Ir:
+    tables_ = nested.flat(docs)
+    return Ir(**tables_ | ({} if errors else {"errors": None, "media": None, "margins": None}), deepest=deepest, docs=docs)
+
+
+def documents(ir: Ir) -> DataFrame:
+    """The documents of a reader, of flat tables if it gives no others."""
+    return ir.docs if ir.docs is not None else nested.nest(ir)
+
+
+def _md_block(b: Column) -> Column:
+    """A block of Markdown with its runs or its cells."""
+    none = lambda kind: F.array().cast(kind)
+    run = lambda columns: _typed(dict(zip(MD_RUN, columns, strict=True)), RUN_AT)
+    placed = lambda runs: F.transform(runs, lambda r, i: r.withField("pos", i.cast("long")))
+    code = F.array(_typed({"pos": F.lit(0), "text": b["text"], "font": b["font"]}, RUN_AT))
+    runs = F.when(b["kind"] != "paragraph", none(BLOCK["runs"])).when(b["font"].isNotNull(), code).otherwise(placed(m.inline_array(b["text"], run)))
+    element_ = lambda columns: _typed({"kind": F.lit("run")} | dict(zip(MD_RUN, columns, strict=True)), ELEMENT_AT)
+    content = lambda text: F.concat(F.array(_typed({"kind": F.lit("paragraph")}, ELEMENT_AT)), m.inline_array(F.trim(text), element_))
+    cell = lambda row, col, text: F.struct(row.alias("row"), col.alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), content(text).alias("content"))
+    cells = F.flatten(F.transform(F.filter(b["rows"], lambda raw: ~raw.rlike(m.TABLE_SEP)), lambda raw, row: F.transform(m.row_cells(raw), lambda text, col: cell(row, col, text))))
+    given = {k: b[k] for k in ("blk", "kind", "heading", "list_level", "list_ordered")}
+    return _typed(given | {"runs": F.coalesce(runs, none(BLOCK["runs"])), "cells": F.when(b["kind"] == "table", cells).otherwise(none(BLOCK["cells"]))}, BLOCK)
+
+
+def _typed(given: dict[str, Column], fields: dict[str, str]) -> Column:
+    return F.struct(*[given.get(k, F.lit(None)).cast(t).alias(k) for k, t in fields.items()])
+
+
+def _links_numbered(blocks: Column) -> Column:
+    """The blocks of Markdown with the numbers of their links (rel), in order."""
+    has = lambda x: x["url"].isNotNull()
+    many = lambda xs: F.size(F.filter(xs, has))
+    in_cells = lambda cells: F.aggregate(cells, F.lit(0), lambda n, c: n + many(c["content"]))
+    sums = lambda counts: F.aggregate(counts, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    numbered = lambda xs, before: F.when(many(xs) > 0, F.transform(xs, lambda x, i: F.when(has(x), x.withField("rel", before + many(F.slice(xs, F.lit(1), i + 1)))).otherwise(x))).otherwise(xs)
+
+    def of_cells(cells: Column, before: Column) -> Column:
+        return let(sums(F.transform(cells, lambda c: many(c["content"]))), lambda at: F.transform(cells, lambda c, i: c.withField("content", numbered(c["content"], before + F.get(at, i)))))
+
+    def whole(b: Column, before: Column) -> Column:
+        cells = F.when(in_cells(b["cells"]) > 0, of_cells(b["cells"], before)).otherwise(b["cells"])
+        return F.when(many(b["runs"]) > 0, b.withField("runs", numbered(b["runs"], before))).otherwise(b.withField("cells", cells))
+
+    every = lambda counts: let(sums(counts), lambda at: F.transform(blocks, lambda b, i: F.when(F.get(counts, i) > 0, whole(b, F.get(at, i))).otherwise(b)))
+    counted = F.transform(blocks, lambda b: many(b["runs"]) + in_cells(b["cells"]))
+    return let(counted, lambda counts: F.when(F.exists(counts, lambda n: n > 0), every(counts)).otherwise(blocks))
+
+
 def read_md(docs: DataFrame) -> Ir:
-    """From doc_id, md."""
-    fronts = m.split_front_matter(docs)
-    # each document's front matter and blocks are written as one row; all tables are read from these
-    held = stored(m.document_blocks(fronts))
-    with_rows = m.exploded(held)
-    blocks = with_rows.drop("rows")
-    code = blocks.where("font IS NOT NULL").select("doc_id", "blk", F.lit(0).alias("pos"), "text", "font")
-    runs = m.inline_runs(blocks.where("kind = 'paragraph' AND font IS NULL"), "doc_id", "blk").unionByName(code, allowMissingColumns=True)
-    meta = held.select("doc_id", *[m.front_matter_value(F.col("front"), k).alias(k) for k in ("title", "author", "subject")])
-    run = lambda columns: element("run", **dict(zip(MD_RUN, columns, strict=True)))
-    content = F.concat(F.array(element("paragraph")), m.inline_array(F.col("text"), run)).alias("content")
-    cells = m.pipe_table_cells(with_rows).select("doc_id", "blk", "row", "col", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), content)
+    """From doc_id, md. A document is read and written as one row."""
+    fronts = m.document_blocks(m.split_front_matter(docs))
+    blocks = let(F.transform(F.coalesce("blocks", F.array().cast(m.BLOCKS)), _md_block), _links_numbered)
+    front = {k: m.front_matter_value(F.col("front"), k) for k in ("title", "author", "subject")}
     keys = ["pageWidth", "pageHeight", "marginTop", "marginBottom", "marginLeft", "marginRight", "marginHeader", "marginFooter"]
-    sections = m.front_matter_page(held).select("doc_id", F.lit(-1).cast("long").alias("begin"), F.array(*[F.col(k).cast("int") for k in keys], F.lit(0)).alias("page"))
-    return Ir(blocks, runs.withColumn("media_id", F.lit(None).cast("string")), cells, meta, sections=sections)
+    own, told = m.page_values(keys)
+    page = F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.array(*[own[k] for k in keys], F.lit(0)).alias("page")))
+    given = front | {"blocks": blocks, "sections": F.when(told, page), "told": F.lit(True), "deepest": F.lit(0), "warnings": F.lit(0), "size": F.lit(0)}
+    none = lambda k, t: F.array().cast(t) if t.startswith("array") else F.lit(None).cast(t)
+    columns = [F.coalesce(given[k].cast(t), none(k, t)).alias(k) if k in given else none(k, t).alias(k) for k, t in DOCUMENT.items()]
+    return _of_documents(stored(fronts.select("doc_id", *columns)), 0, errors=False)
 
 
 TABLE = ("doc_id", "sec", "tbl")
@@ -80,10 +131,9 @@ def _with_spans(cells: DataFrame) -> DataFrame:
     return plain.unionByName(found.select(*plain.columns))
 
 
-def _pages(rows: DataFrame, ends: bool) -> DataFrame:
-    """The sections that rows tell, with ord from 1. ends: a section's page is told where it ends, as in DOCX, and not where
-    it begins, as in HWPX."""
-    begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0)) if ends else F.col("ord") - 1
+def _pages(rows: DataFrame) -> DataFrame:
+    """The sections that rows of DOCX tell, with ord from 1: a section's page is told where it ends."""
+    begin = F.coalesce(F.lag("ord").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0))
     return rows.where("row_type = 'section'").select("doc_id", begin.cast("long").alias("begin"), F.split("text", " ").cast("array<int>").alias("page"))
 
 
@@ -91,19 +141,16 @@ def docx_sections(docs: DataFrame) -> DataFrame:
     """The sections of read_docx(docs), for who wants nothing else of the packages: their other parts are left packed, and
     neither runs nor cells are written."""
     rows = xmlrows.docx_rows(package.unzip_parts(docs, ("word/document.xml",), ("word/document.xml",)), ("section",))
-    return _pages(rows.where("error IS NULL").withColumn("ord", F.col("ord") + 1), ends=True)
-
+    return _pages(rows.where("error IS NULL").withColumn("ord", F.col("ord") + 1))
 
-def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
-    """Rows of a package's XML to the flat tables; blk is the place of a block's first row in the document.
 
-    by_cell: whether columns count the cells of a row, and cells merged into the one above say so; else they are places.
+def _from_rows(rows: DataFrame, meta: DataFrame) -> Ir:
+    """Rows of a DOCX document to the flat tables; blk is the place of a block's first row in the document.
 
     rows: those of xmlrows with heading, list_level, list_ordered of paragraphs, url of texts, media_id of images. A page
     break is a block of its own; what follows it, or a table, in the same paragraph is a paragraph of its own behind it.
     """
-    # places and numbers of tables begin anew in each section; DOCX has one part, in whose order its rows are
-    order = F.col("ord") + 1 if by_cell else F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "ord")).cast("long")
+    order = F.col("ord") + 1
     beside = F.col("row_type").isin("section", "unsupported", *xmlrows.MARGINS)
     rows = rows.where("error IS NULL").withColumns({"ord": order, "body": (F.col("tbl").isNull() | (F.col("row_type") == "table")) & ~beside})
     own = Window.partitionBy("doc_id", "sec", "body").orderBy("ord")
@@ -136,13 +183,13 @@ def _from_rows(rows: DataFrame, meta: DataFrame, by_cell: bool) -> Ir:
     inside = inside.groupBy(*TABLE, "row", "col").agg(tidy(held).alias("content"), *[F.max(F.when(own, F.col(c))).alias(c) for c in ("col_span", "row_span", "vm")])
     spans = {c: F.coalesce(c, F.lit(1)) for c in ("col_span", "row_span")}
     inside = inside.withColumns(spans)
-    cells = (_with_spans(stored(inside)) if by_cell else inside).join(at.select(*TABLE, "blk"), list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "content")
+    cells = _with_spans(stored(inside)).join(at.select(*TABLE, "blk"), list(TABLE)).select("doc_id", "blk", "row", "col", "row_span", "col_span", "content")
     deepest = at.agg(F.max("level")).first()[0] or 0
-    sections = _pages(rows, by_cell)
-    # those of DOCX stand before their section's row, those of HWPX behind it
+    sections = _pages(rows)
+    # they stand before their section's row
     told = rows.where(F.col("row_type").isin("section", *xmlrows.MARGINS))
     before = F.count(F.when(F.col("row_type") == "section", 1)).over(Window.partitionBy("doc_id").orderBy("ord"))
-    told = told.withColumn("sec", F.greatest(before - (0 if by_cell else 1), F.lit(0)).cast("int")).where("row_type <> 'section' AND note IS NOT NULL")
+    told = told.withColumn("sec", before.cast("int")).where("row_type <> 'section' AND note IS NOT NULL")
     margins = told.groupBy("doc_id", "sec", F.col("row_type").alias("kind")).agg(m.ordered_join("note", "ord", "\n").alias("text"))
     return Ir(blocks, runs, cells, meta, deepest=deepest, sections=sections, margins=margins)
 
@@ -198,9 +245,26 @@ def _styled(parts: DataFrame, rows: DataFrame) -> DataFrame:
 STYLED = {"align": "align", "sz": "size_pt", "color": "color", "bold": "bold", "italic": "italic"}
 
 
-def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
-    """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering; what else styles
-    tell is written to texts and paragraphs with `resolve`."""
+def _read(docs: DataFrame) -> Ir:
+    """The tables of documents as they are read of packages."""
+    held = stored(docs)
+    return _of_documents(held, held.agg(F.max("deepest")).first()[0] or 0)
+
+
+def read_docx(docs: DataFrame) -> Ir:
+    """From doc_id, bytes. A heading is told by the name of the paragraph's style, a list by its numbering."""
+    return _read(docx_documents(docs))
+
+
+def read_hwpx(docs: DataFrame) -> Ir:
+    """From doc_id, bytes. A heading is told by the paragraph's style or by the shape that a heading style names; emphasis by
+    the character shape, a list by the paragraph shape."""
+    return _read(hwpx_documents(docs))
+
+
+def read_docx_styled(docs: DataFrame) -> Ir:
+    """read_docx() with what style chains tell written to texts and paragraphs. The chains are followed by joins, so rows are
+    tables here."""
     names = ("word/document.xml", "word/_rels/document.xml.rels", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/endnotes.xml", "docProps/core.xml")
     folders = ("word/media/", "word/header", "word/footer")
     every, of = _parts_of(docs, names, folders, (*names, *folders), ("word/document.xml",))
@@ -208,8 +272,7 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     column = {name: f"p{i}" for i, name in enumerate(names)} | {name: f"f{i}" for i, name in enumerate(folders)}
     opened = every.where("error IS NULL")
     rows = stored(xmlrows.docx_package_rows(opened, column["word/document.xml"], [column[n] for n in xmlrows.NAMING], [column[n] for n in folders[1:]]))
-    if resolve:
-        rows = stored(_styled(of("word/styles.xml"), rows).select(*rows.columns))
+    rows = stored(_styled(of("word/styles.xml"), rows).select(*rows.columns))
     rows = rows.withColumns({c: F.when(F.col(c), F.lit(True)) for c in RUN_FLAGS})
     is_ = lambda *kinds: F.coalesce(F.col("row_type").isin(*kinds), F.lit(False))
     level = F.when(is_("paragraph") & (F.col("num_id") != "0"), F.coalesce("ilvl", F.lit(0)))
@@ -222,54 +285,7 @@ def read_docx(docs: DataFrame, resolve: bool = False) -> Ir:
     }).drop("named", "known", "fmt", "target", "cls")
     errors = _errors(told, every, xmlrows.part_errors(of(*SMALL_PARTS), *SMALL_PARTS))
     media = of("word/media/")
-    return replace(_from_rows(told, meta, by_cell=True), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
-
-
-def read_hwpx(docs: DataFrame) -> Ir:
-    """From doc_id, bytes. A heading is told by the paragraph's style or by the shape that a heading style names; emphasis by
-    the character shape, a list by the paragraph shape."""
-    names = ("Contents/header.xml", "Contents/content.hpf")
-    every, of = _parts_of(docs, names, ("BinData/", "Contents/section"), ("Contents/", "BinData/"), ("Contents/section0.xml",))
-    header = of("Contents/header.xml")
-    xml = F.col("bytes").cast("string")
-    told = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
-    named = {"title": "//*[local-name()='title']", "author": "//*[local-name()='meta'][@name='creator']", "subject": "//*[local-name()='meta'][@name='subject']"}
-    meta = of("Contents/content.hpf").select("doc_id", *[told(path).alias(k) for k, path in named.items()])
-    read = stored(xmlrows.hwpx_rows(of("Contents/section")))
-    rows = read.where("error IS NULL AND NOT (row_type = 'text' AND text = '')")
-    once = lambda df, key: df.dropDuplicates(["doc_id", key])
-    # paragraphs: headings and lists
-    own_level = F.when((F.col("type") == "HEADING") & (F.col("level") > 0), F.col("level"))
-    named_styles = stored(xmlrows.hwpx_styles(header).withColumns({"ord": F.col("id").try_cast("int"), "own_level": own_level}))
-    by_shape = styles.style_heading(named_styles).withColumnsRenamed({"para_shape": "ref", "level": "by_shape"})
-    by_style = styles.style_heading(named_styles.drop("para_shape").withColumn("para_shape", F.col("id"))).withColumnsRenamed({"para_shape": "style_id", "level": "by_style"})
-    marks = xmlrows.hwpx_paragraph_marks(header)
-    paragraphs = rows.where("row_type = 'paragraph'").drop("align").join(by_style, ["doc_id", "style_id"], "left").join(by_shape, ["doc_id", "ref"], "left").join(marks, ["doc_id", "ref"], "left")
-    paragraphs = paragraphs.withColumn("align", F.when(F.col("side").isin(*packages.ALIGNS), F.col("side"))).drop("side")
-    paragraphs = paragraphs.withColumns({"heading": F.coalesce("by_style", "by_shape"), "list_ordered": F.col("list_kind") == "NUMBER"})
-    # texts: emphasis; images: the file of that name or number
-    faces = xmlrows.hwpx_fonts(header).where("lang IN ('HANGUL', 'LATIN')").where(F.col("face") != packages.FIRST_FACE).groupBy("doc_id", F.lower("lang").alias("lang"), F.col("id").alias("at")).agg(F.min("face").alias("face"))
-    shapes = once(xmlrows.hwpx_char_shapes(header), "id").select("doc_id", F.col("id").alias("ref"), *[F.when(F.col(c), F.lit(True)).alias(c) for c in RUN_FLAGS], F.nullif("color", F.lit("000000")).alias("color"), F.nullif("size_pt", F.lit(10.0)).alias("size_pt"), "latin", "hangul")
-    for lane in ("latin", "hangul"):
-        known = faces.where(F.col("lang") == lane).select("doc_id", F.col("at").alias(lane), F.col("face").alias(f"{lane}_face"))
-        shapes = shapes.join(known, ["doc_id", lane], "left")
-    shapes = shapes.withColumn("font", F.coalesce("latin_face", "hangul_face")).drop("latin", "hangul", "latin_face", "hangul_face")
-    texts = rows.where("row_type <> 'paragraph'").drop(*RUN_FLAGS, "color", "font", "size_pt").join(shapes, ["doc_id", "ref"], "left")
-    is_note = F.col("row_type").isin("footnote", "endnote")
-    is_told = is_note | F.col("row_type").isin(*xmlrows.MARGINS)
-    texts = texts.withColumn("note", F.when(is_told, F.col("text")))
-    file = F.when(F.col("ref").rlike(r"^\d+$"), F.concat(F.lit("BIN"), F.lpad("ref", 4, "0"))).otherwise(F.regexp_replace("ref", r"\.\w+$", ""))
-    texts = texts.withColumn("media_id", F.when(F.col("row_type") == "image", file))
-    columns = [*rows.columns, "list_level", "list_ordered", "media_id", "note"]
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [texts, paragraphs]).select(*columns)
-    # a table stands in a paragraph: one that holds nothing else is no block
-    last = F.last(F.when(F.col("row_type") == "paragraph", F.col("ord")), True).over(Window.partitionBy("doc_id", "sec").orderBy("ord"))
-    body = rows.where("tbl IS NULL OR row_type = 'table'").withColumn("at", last).groupBy("doc_id", "sec", F.col("at").alias("ord"))
-    holder = body.agg(F.bool_or(F.col("row_type") == "table").alias("holds"), F.bool_or(~F.col("row_type").isin("table", "paragraph", "section", *xmlrows.MARGINS)).alias("more"))
-    rows = rows.join(holder.where("holds AND NOT more").select("doc_id", "sec", "ord"), ["doc_id", "sec", "ord"], "left_anti")
-    media = of("BinData/")
-    errors = _errors(read, every, xmlrows.part_errors(header, "Contents/header.xml"))
-    return replace(_from_rows(rows, meta, by_cell=False), errors=errors, media=_media(media, F.regexp_extract("part", r"BinData/([^/]+?)(?:\.\w+)?$", 1)))
+    return replace(_from_rows(told, meta), errors=errors, media=_media(media, F.substring("part", 6, 1 << 20)))
 
 
 def read_hwp(streams: DataFrame) -> Ir:
@@ -320,30 +336,37 @@ def read_hwp(streams: DataFrame) -> Ir:
     return Ir(blocks, runs, cells, meta, errors, sections=sections, margins=margins)
 
 
+def _told(ir: Ir, written: DataFrame) -> DataFrame:
+    """What is written, with error and warnings only of readers that tell any."""
+    return written if ir.errors is not None else written.drop("error", "warnings")
+
+
 def write_md(ir: Ir) -> DataFrame:
-    return render.render_markdown(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media)
+    return _told(ir, render.render_markdown(documents(ir)))
 
 
 def write_docx(ir: Ir) -> DataFrame:
-    return packages.docx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins)
+    return _told(ir, packages.docx_parts(documents(ir), ir.deepest))
 
 
 def write_hwpx(ir: Ir) -> DataFrame:
-    return packages.hwpx_parts(ir.blocks, ir.runs, ir.cells, ir.meta, ir.media, ir.deepest, ir.sections, ir.margins)
+    return _told(ir, packages.hwpx_parts(documents(ir), ir.deepest))
 
 
 def write_hml(ir: Ir) -> DataFrame:
-    return packages.hml(ir.blocks, ir.runs, ir.cells, ir.meta, ir.deepest)
+    return _told(ir, packages.hml(documents(ir), ir.deepest))
 
 
 #: Readers and writers by format; own ones are added to these.
-READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "docx_styled": partial(read_docx, resolve=True), "hwpx": read_hwpx, "hwp": read_hwp}
+READERS: dict[str, Callable[[DataFrame], Ir]] = {"md": read_md, "docx": read_docx, "docx_styled": read_docx_styled, "hwpx": read_hwpx, "hwp": read_hwp}
 WRITERS: dict[str, Callable[[Ir], DataFrame]] = {"md": write_md, "docx": write_docx, "hwpx": write_hwpx, "hml": write_hml}
 #: Formats whose writers give the parts of packages (doc_id, parts), which are zipped when nothing is joined any more, and the
 #: parts that all of their packages share.
 PACKED = {"docx": packages.DOCX_FIXED, "hwpx": packages.HWPX_FIXED}
-#: Formats whose writers read each table once: the tables need not be written for them.
-ONCE = {"hml"}
+#: Formats whose writers take the documents that a reader gives.
+OWN = set(WRITERS)
+#: Formats whose readers give a row for each row, whatever its id may be.
+BY_ROW = ("md", "docx", "hwpx")
 
 
 #: The most documents of a written file, so that those which one task has made are read by several.
@@ -373,25 +396,29 @@ def conversions(docs: DataFrame, from_: str, to: tuple[str, ...], warnings: bool
         if from_ not in READERS or one not in WRITERS:
             raise ValueError(f"no conversion from {from_} to {one}")
     with passing(docs.sparkSession):
-        docs, ids = (docs.where("doc_id IS NOT NULL"), None) if from_ == "hwp" else _by_row(docs)
+        ids = None
+        if from_ == "hwp":
+            docs = docs.where("doc_id IS NOT NULL")
+        elif from_ not in BY_ROW or not OWN.issuperset(to):
+            docs, ids = _by_row(docs)
+        elif from_ == "md":  # texts that a query makes
+            docs = stored(docs, rows=DOCUMENTS)
         ir = READERS[from_](docs)
-        if len(to) > 1 or not ONCE.issuperset(to):
-            ir = ir.written()
+        ir = replace(ir, docs=documents(ir)) if OWN.intersection(to) else ir.written()
         return [_converted(ir, ids, one, warnings) for one in to]
 
 
 def _converted(ir: Ir, ids: DataFrame | None, to: str, warnings: bool) -> DataFrame:
-    """The tables written in a format, a row for each of `ids` if there are any."""
+    """The documents written in a format, a row for each of `ids` if there are any."""
     out = WRITERS[to](ir)
-    columns = out.columns
+    columns = [c for c in out.columns if c not in ("error", "warnings")]
     if ids is not None:
         out = ids.join(out, "doc_id", "left")
     if ir.errors is not None:
-        columns = [*columns, "error"]
-        out = out.join(ir.errors, "doc_id", "full" if ids is None else "left")
-        if warnings:
-            columns.append("warnings")
-            out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
+        columns = [*columns, "error", *["warnings"] * warnings]
+        if "error" not in out.columns:
+            out = out.join(ir.errors, "doc_id", "full" if ids is None else "left")
+        out = complete(out, {"warnings": "int"}).withColumn("warnings", F.coalesce("warnings", F.lit(0)))
     if ids is not None:
         out = out.drop("doc_id").withColumnRenamed("own_id", "doc_id")
     if to in PACKED:

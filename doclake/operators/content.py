@@ -16,6 +16,26 @@ RUN = {"text": "string", **dict.fromkeys(FLAGS, "boolean"), "color": "string", "
 ELEMENT = {"kind": "string", "ord": "long", **PARAGRAPH, **RUN, "inner": "long"}
 
 
+def struct_of(fields: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"{k}:{t}" for k, t in fields.items()) + ">"
+
+
+#: What a document that is one row tells of runs and elements besides. rel: the number of a link or of an image that is there,
+#: in one count; no: of images that are there, of foot- or endnotes that are there, or the place of a table within a cell among
+#: those of its level, from 0; med: the place of an image's bytes in the document's media, from 0.
+NUMBERED = {"rel": "int", "no": "int", "med": "int"}
+RUN_AT = {"pos": "bigint", **RUN, **NUMBERED}
+ELEMENT_AT = {**ELEMENT, **NUMBERED}
+CELL_AT = {"row": "int", "col": "int", "row_span": "int", "col_span": "int", "content": f"array<{struct_of(ELEMENT_AT)}>"}
+BLOCK = {"blk": "bigint", "kind": "string", **PARAGRAPH, "level": "int", "runs": f"array<{struct_of(RUN_AT)}>", "cells": f"array<{struct_of(CELL_AT)}>"}
+#: A document as one row: its blocks in order, with their runs or their cells (by row and column). told: whether there is a
+#: part for title, author and subject; deepest: the greatest level of a table; size: the bytes that it was read from.
+DOCUMENT = {
+    "blocks": f"array<{struct_of(BLOCK)}>", "sections": "array<struct<begin:bigint,page:array<int>>>", "margins": "array<struct<sec:int,kind:string,text:string>>", "title": "string", "author": "string", "subject": "string",
+    "told": "boolean", "media": "array<struct<media_id:string,mime:string,bytes:binary,w:bigint,h:bigint>>", "deepest": "int", "error": "string", "warnings": "int", "size": "bigint",
+}
+
+
 def complete(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """`df` with the columns that it lacks as nulls."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
@@ -55,10 +75,9 @@ def plain_text(content: Column) -> Column:
     return F.regexp_replace(F.trim(F.array_join(marked, ""), F.lit("\x1e")), "\x1e+", "\n")
 
 
-def rendered(opens, closes: str, run, table, blank: str) -> Column:
-    """The content in a format: opens(column of an element) begins a paragraph that `closes` ends, run(column, index) and
-    table(block) give what is in it and what stands between paragraphs; `blank` is an empty paragraph."""
-    content = F.col("content")
+def rendered(content: Column, opens, closes: str, run, table, blank: str) -> Column:
+    """The content in a format: opens(column of an element) begins a paragraph that `closes` ends, run(column) and
+    table(element) give what is in it and what stands between paragraphs; `blank` is an empty paragraph."""
 
     def one(x: Column, i: Column) -> Column:
         field = lambda name: x[name]
@@ -67,8 +86,8 @@ def rendered(opens, closes: str, run, table, blank: str) -> Column:
         is_open = F.when(before.isin("paragraph", "run"), "").otherwise(opens(field))
         return (
             F.when(x["kind"] == "paragraph", F.concat(closing, opens(field)))
-            .when(x["kind"] == "table", F.concat(closing, F.coalesce(table(x["inner"]), F.lit(""))))
-            .otherwise(F.concat(is_open, F.coalesce(run(field, i), F.lit(""))))
+            .when(x["kind"] == "table", F.concat(closing, F.coalesce(table(x), F.lit(""))))
+            .otherwise(F.concat(is_open, F.coalesce(run(field), F.lit(""))))
         )
 
     last = F.get(content, F.size(content) - 1)["kind"]

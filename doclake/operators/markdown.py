@@ -60,9 +60,19 @@ def front_matter_value(front: Column, key: str) -> Column:
     return F.trim(F.regexp_extract(F.try_element_at(F.filter(F.split(front, "\n", -1), lambda raw: raw.rlike(line)), F.lit(-1)), line, 1))
 
 
+def _own_page() -> dict[str, Column]:
+    return {k: F.expr(f"try_cast(nullif(regexp_extract(front, '(?m)^{k}: *([0-9]+)', 1), '') AS INT) * 5") for k in PAGE_DEFAULTS}
+
+
+def page_values(keys: list[str]) -> tuple[dict[str, Column], Column]:
+    """The page measures of `front` in HWPUNIT, with the defaults of those that it doesn't give, and whether it gives any."""
+    own = _own_page()
+    return {k: F.coalesce(own[k], F.lit(PAGE_DEFAULTS[k])) for k in keys}, reduce(lambda a, b: a | b, [c.isNotNull() for c in own.values()])
+
+
 def front_matter_page(front: DataFrame) -> DataFrame:
     """The page measures in HWPUNIT of documents that give any of them; the others get their defaults."""
-    own = {k: F.expr(f"try_cast(nullif(regexp_extract(front, '(?m)^{k}: *([0-9]+)', 1), '') AS INT) * 5") for k in PAGE_DEFAULTS}
+    own = _own_page()
     given = front.select("doc_id", *[c.alias(k) for k, c in own.items()])
     any_given = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in PAGE_DEFAULTS])
     return given.where(any_given).select("doc_id", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in PAGE_DEFAULTS.items()])
@@ -157,6 +167,9 @@ def ordered_join(value: str, order: str, sep: str = "\n") -> Column:
     return F.array_join(F.transform(held, lambda s: s[value]), sep)
 
 
+BLOCKS = "array<struct<blk:int,kind:string,heading:int,list_level:int,list_ordered:boolean,font:string,text:string,rows:array<string>>>"
+
+
 def blocks_of(lines: Column, groups: Column) -> Column:
     """The blocks of a document, in order: structs of blk (first line), kind, heading, list_level, list_ordered, font, text, rows.
 
@@ -200,6 +213,11 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     return exploded(document_blocks(split_front_matter(docs))).drop("rows")
 
 
+def row_cells(raw: Column) -> Column:
+    """The texts of the cells of a table's line."""
+    return let(F.split(raw, r"\|", -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts) - 2))
+
+
 def pipe_table_cells(blocks: DataFrame) -> DataFrame:
     """doc_id, blk, row, col, text of tables (blocks with rows); separator lines are gone, rows are not padded."""
     rows = F.filter("rows", lambda raw: ~raw.rlike(TABLE_SEP))

@@ -1,22 +1,23 @@
-"""Flat tables to the parts of DOCX and HWPX packages and to flat XML: string expressions and ordered aggregation.
+"""Documents (content.DOCUMENT, a row each) to the parts of DOCX and HWPX packages and to flat XML: string expressions.
 
-Runs of the body are rows, those of cells are elements of arrays (content.py); one expression writes both. Tables are
-written from the innermost ones outwards, a level a round.
+Runs of the body and those of cells are elements of arrays; one expression writes both. Tables are written from the
+innermost ones outwards, a level an expression (below LEVELS a level a round). A document is one row, so nothing is joined
+or shuffled on the way.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.functions.media import jpeg_size, png_height, png_width
 from doclake.functions.text import escape_xml, font_family
-from doclake.operators.content import RUN, complete, element, rendered, with_content
-from doclake.operators.markdown import ordered_join
-from doclake.operators.registry import FIRST_FACE, LANES, assign_rel_ids
-from doclake.operators.tables import materialise_merges
+from doclake.operators.content import CELL_AT, ELEMENT_AT, RUN, rendered, struct_of
+from doclake.operators.markdown import let
+from doclake.operators.registry import FIRST_FACE, LANES
 from doclake.sources.scratch import stored
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -39,7 +40,6 @@ EMU_PX = 9525
 #: The page where a document tells none, in HWPUNIT: width, height, margins at top, bottom, left and right, of header, footer
 #: and gutter.
 A4_PAGE = (59530, 84190, 7200, 7200, 7200, 7200, 3600, 3600, 0)
-CELL = ["doc_id", "blk", "row", "col"]
 
 
 def _text(x: Column) -> Column:
@@ -63,8 +63,12 @@ def _part(name: str, ord_: int, xml: Column, when: Column | None = None) -> Colu
     return part if when is None else F.when(when, part)
 
 
-def _ext() -> Column:
-    return F.substring_index("mime", "/", -1)
+def _fields(x: Column) -> Callable[[str], Column]:
+    return lambda name: x[name]
+
+
+def _joined(xml: Column) -> Column:
+    return F.array_join(xml, "")
 
 
 def _lines(text: Column, between: str, wrap) -> Column:
@@ -72,152 +76,107 @@ def _lines(text: Column, between: str, wrap) -> Column:
     return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), wrap), between)
 
 
-# ---- links, images and notes
-
-
-def _references(runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> DataFrame:
-    """CELL, at, kind (link, image, note), url, media_id, mime, w, h, note_kind, note, rel_id, image_no, note_no of what runs
-    of the body (row and col -1, at their pos) and of cells (at their place in the content) refer to, numbered in order.
-
-    An image without bytes is left out; a note that isn't there has no number.
-    """
-    fields = ["url", "media_id", "note_kind", "note"]
-    needs = lambda c: c("url").isNotNull() | c("media_id").isNotNull() | c("note_kind").isNotNull()
-    own = runs.where(needs(F.col)).select("doc_id", "blk", F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("long").alias("at"), F.col("blk").cast("long").alias("begin"), *fields)
-    held = cells.where(F.exists("content", lambda x: needs(lambda n: x[n]))).select(*CELL, F.posexplode("content").alias("at", "x"))
-    held = held.where(needs(lambda n: F.col(f"x.{n}"))).select(*CELL, F.col("at").cast("long").alias("at"), F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), *[f"x.{f}" for f in fields])
-    every = own.unionByName(held).withColumn("ord", F.struct("begin", "row", "col", "at")).drop("begin")
-    kind = F.when(F.col("note_kind").isNotNull(), "note").when(F.col("media_id").isNotNull(), "image").otherwise("link")
-    every = every.withColumn("kind", kind)
-    sizes = {"mime": "string", "w": "long", "h": "long"}
-    found = complete(every.where("kind = 'link'"), sizes)
-    if media is not None:
-        jpeg, png = jpeg_size(F.col("bytes")), F.col("mime") == "image/png"
-        sized = media.withColumns({"j": jpeg, "pw": png_width(F.col("bytes")), "ph": png_height(F.col("bytes"))})
-        sized = stored(sized.select("doc_id", "media_id", "mime", *[F.when(png, F.col(f"p{k}")).otherwise(F.col(f"j.{k}")).cast("long").alias(k) for k in ("w", "h")]).dropDuplicates(["doc_id", "media_id"]))
-        found = found.unionByName(every.where("kind = 'image'").join(sized, ["doc_id", "media_id"]).select(*found.columns))
-    found = assign_rel_ids(found, first=2)
-    notes = every.where("kind = 'note'")
-    number = F.count("note").over(Window.partitionBy("doc_id", "note_kind").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    notes = notes.withColumn("note_no", F.when(F.col("note").isNotNull(), number))
-    return stored(found.unionByName(notes, allowMissingColumns=True).drop("ord"))
-
-
-REF = ["kind", "rel_id", "image_no", "note_no", "mime", "w", "h"]
-
-
-def _with_refs(runs: DataFrame, cells: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs with a struct `ref`, and cells with `refs` by place in the content. Only those that refer to something are joined."""
-    own = refs.where("row = -1").select("doc_id", "blk", F.col("at").alias("pos"), F.struct(*REF).alias("ref"))
-    runs = runs.join(own, ["doc_id", "blk", "pos"], "left")
-    has = F.exists("content", lambda x: x["url"].isNotNull() | x["media_id"].isNotNull() | x["note_kind"].isNotNull())
-    held = refs.where("row >= 0").groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), F.struct(*REF)))).alias("refs"))
-    kind = held.schema["refs"].dataType
-    return runs, cells.where(~has).withColumn("refs", F.lit(None).cast(kind)).unionByName(cells.where(has).join(held, CELL, "left"))
-
-
-def _media_parts(refs: DataFrame, media: DataFrame | None, first: int, name: Column) -> DataFrame | None:
-    """doc_id, media: the image parts of a document. Bytes join last."""
-    if media is None:
-        return None
-    held = refs.where("kind = 'image'").select("doc_id", "media_id", "mime", "image_no").join(media.select("doc_id", "media_id", "bytes").dropDuplicates(["doc_id", "media_id"]), ["doc_id", "media_id"])
-    one = F.struct((F.col("image_no") + first).cast("int").alias("ord"), name.alias("part"), "bytes")
-    return held.groupBy("doc_id").agg(F.collect_list(one).alias("media"))
-
-
-def _packed(docs: DataFrame, parts: list[Column], media: DataFrame | None, more: Column | None = None) -> DataFrame:
-    """doc_id, parts: a row for each package; `more` is an array of parts."""
-    own = F.filter(F.array(*parts), lambda p: p.isNotNull())
-    own = own if more is None else F.concat(own, more)
-    if media is None:
-        return docs.select("doc_id", own.alias("parts"))
-    return docs.join(media, "doc_id", "left").select("doc_id", F.when(F.col("media").isNull(), own).otherwise(F.concat(own, "media")).alias("parts"))
-
-
-def _sections(docs: DataFrame, sections: DataFrame | None) -> DataFrame:
-    """doc_id, begins, pages of all documents: a list of sections each, at least one."""
-    page = F.array(*[F.lit(x) for x in A4_PAGE])
-    if sections is None:
-        return docs.select("doc_id").distinct().select("doc_id", F.array(F.lit(-1).cast("long")).alias("begins"), F.array(page).alias("pages"))
-    held = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "page"))).alias("s"))
-    told = held.select("doc_id", F.transform("s", lambda x: x["begin"]).alias("begins"), F.transform("s", lambda x: x["page"]).alias("pages"))
-    out = docs.select("doc_id").distinct().join(told, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("begins", F.array(F.lit(-1).cast("long"))).alias("begins"), F.coalesce("pages", F.array(page)).alias("pages"))
+# ---- what documents refer to
+
+
+def _elements(keep: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
+    """made(run) of all runs that `keep` holds for, of the body and of cells, in the order of blocks."""
+    of = lambda xs: F.transform(F.filter(xs, keep), made)
+    return F.flatten(F.transform("blocks", lambda b: F.concat(of(b["runs"]), F.flatten(F.transform(b["cells"], lambda c: of(c["content"]))))))
 
 
-def _margins(margins: DataFrame) -> DataFrame:
-    """doc_id, margins: an array of sec, kind, text, n (from 1) for each document that has any."""
-    held = F.array_sort(F.collect_list(F.struct("sec", "kind", "text")))
-    return margins.groupBy("doc_id").agg(F.transform(held, lambda x, i: F.struct(x["sec"].alias("sec"), x["kind"].alias("kind"), x["text"].alias("text"), (i + 1).alias("n"))).alias("margins"))
+def _images() -> Column:
+    """no, med of all images that are there, by their number."""
+    return F.sort_array(_elements(lambda x: x["med"].isNotNull(), lambda x: F.struct(x["no"].alias("no"), x["med"].alias("med"))))
 
 
-def _with_margins(docs: DataFrame, margins: DataFrame | None) -> DataFrame:
-    """The documents with `margins`, an empty array where there are none."""
-    none = F.array().cast("array<struct<sec:int,kind:string,text:string,n:int>>")
-    return docs.withColumn("margins", none) if margins is None else docs.join(_margins(margins), "doc_id", "left").withColumn("margins", F.coalesce("margins", none))
+def _of_media(med: Column, name: str) -> Column:
+    return F.get(F.col("media"), med)[name]
 
 
-def _each_margin(xml: Callable[[Column], Column], when: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
-    return F.array_join(F.transform(F.filter("margins", when), xml), "")
+def _ext(x: Column) -> Column:
+    return F.substring_index(_of_media(x["med"], "mime"), "/", -1)
+
+
+def _media_parts(folder: str) -> Column:
+    """The image parts of a document."""
+    name = lambda x: F.concat(F.lit(folder + "image"), x["no"].cast("string"), F.lit("."), _ext(x))
+    return F.transform(_images(), lambda x: F.struct((x["no"] + 9).cast("int").alias("ord"), name(x).alias("part"), _of_media(x["med"], "bytes").alias("bytes")))
+
+
+def _paged() -> dict[str, Column]:
+    """begins, pages (a list of sections each, at least one) and margins with their number n from 1, of a document."""
+    page = F.array(*[F.lit(x) for x in A4_PAGE])
+    none, some = F.lit(-1).cast("long"), F.size("sections") > 0
+    held = F.transform(F.sort_array("margins"), lambda x, i: F.struct(x["sec"].alias("sec"), x["kind"].alias("kind"), x["text"].alias("text"), (i + 1).alias("n")))
+    return {"begins": F.when(some, F.transform("sections", lambda x: x["begin"])).otherwise(F.array(none)), "pages": F.when(some, F.transform("sections", lambda x: x["page"])).otherwise(F.array(page)), "margins": held}
+
+
+def _each_margin(xml: Callable[[Column], Column], when: Callable[[Column], Column] = lambda x: F.lit(True), margins: Column | str = "margins") -> Column:
+    return _joined(F.transform(F.filter(margins, when), xml))
 
 
 # ---- tables and bodies
 
 
-def _merged_below(cells: DataFrame) -> DataFrame:
-    """Cells with the blank ones (row_span 0) below those of several rows, where they aren't there already."""
-    below = materialise_merges(cells, "doc_id", "blk").join(cells.select(*CELL), CELL, "left_anti")
-    at = [F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("row", "col", "col_span")]
-    return cells.unionByName(below.select("doc_id", "blk", *at, F.lit(0).alias("row_span"), F.array(element("paragraph")).alias("content")), allowMissingColumns=True)
+def _rows_of(cells: Column, cell: Callable[[Column], Column], opens: str, closes: str) -> Column:
+    """The XML of cells in order, with what opens and closes each row around them."""
+    before = lambda i: F.get(cells, i - 1)["row"]
+    lead = lambda c, i: F.when(i == 0, opens).when(before(i) != c["row"], closes + opens).otherwise("")
+    return F.concat(_joined(F.transform(cells, lambda c, i: F.concat(lead(c, i), cell(c)))), F.lit(closes))
+
+
+#: Levels of tables within cells that one expression writes; the analyser of plans goes no deeper.
+LEVELS = 2
+TABLE = Callable[[Column, Callable[[Column], Column]], Column]
+
 
+def _inner(x: Column) -> Column:
+    return F.get("inner", x["no"])
 
-def _tables(blocks: DataFrame, cells: DataFrame, deepest: int, cell: Callable[[Callable], Column], row, table) -> DataFrame:
-    """doc_id, blk, xml of the tables of the body. cell(inner) gives a cell's XML, where inner(block) is a table within;
-    `deepest` is the greatest level of a table."""
-    none = F.lit(None).cast("map<bigint,string>")
 
-    def made(own: DataFrame) -> DataFrame:
-        own = own.withColumn("tc", cell(lambda inner: F.try_element_at(F.col("inners"), inner)))
-        rows = own.groupBy("doc_id", "blk", "row").agg(ordered_join("tc", "col", "").alias("tcs"), F.max(F.col("col") + F.col("col_span")).alias("end"), F.sum("col_span").alias("wide"))
-        return rows.withColumn("tr", row(F.col("tcs"))).groupBy("doc_id", "blk").agg(table(ordered_join("tr", "row", "")).alias("xml"))
+def _at_level(level: int, table: TABLE, inner: Callable[[Column], Column]) -> Column:
+    """The XML of the tables of a level, in order."""
+    return F.transform(F.filter("blocks", lambda b: (b["kind"] == "table") & (b["level"] == level)), lambda b: table(b["cells"], inner))
 
-    if not deepest:
-        return made(cells.withColumn("inners", none))
-    levels = blocks.where("kind = 'table'").select("doc_id", "blk", "level")
-    cells, done = stored(cells.join(levels, ["doc_id", "blk"])), None
-    for level in range(deepest, -1, -1):
-        own = cells.where(F.col("level") == level)
-        if done is None:
-            done = stored(made(own.withColumn("inners", none)))
-            continue
-        holds = F.exists("content", lambda x: x["kind"] == "table")
-        named = own.where(holds).select(*CELL, F.explode(F.filter("content", lambda x: x["kind"] == "table")).alias("x")).select(*CELL, F.col("x.inner").alias("inner"))
-        found = named.join(done.select("doc_id", F.col("blk").cast("long").alias("inner"), "xml"), ["doc_id", "inner"])
-        inners = found.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("inner", "xml"))).alias("inners"))
-        done = stored(made(own.where(~holds).withColumn("inners", none).unionByName(own.where(holds).join(inners, CELL, "left"))))
-    return done
 
+def _with_inner(docs: DataFrame, deepest: int, tables: Callable[[int], Column]) -> tuple[DataFrame, int]:
+    """Documents with `inner`, the XML of the tables below LEVELS, written a level a round; and the greatest level that is left."""
+    docs = docs.withColumn("inner", F.lit(None).cast("array<string>"))
+    while deepest > LEVELS:
+        docs, deepest = stored(docs.withColumn("inner", tables(deepest))), deepest - 1
+    return docs, deepest
 
-def _flow(blocks: DataFrame, inline: DataFrame, tables: DataFrame, paragraph) -> DataFrame:
-    """doc_id, blk, xml of paragraphs, breaks and tables."""
-    held = blocks.where("kind <> 'table'").join(inline, ["doc_id", "blk"], "left")
-    return held.select("doc_id", "blk", paragraph(F.coalesce("inline", F.lit(""))).alias("xml")).unionByName(tables)
 
+def _flow(deepest: int, paragraph: Callable[[Column], Column], table: TABLE, held: Callable[[Column], Column] = lambda xml: xml) -> Column:
+    """An array of blk, xml of the paragraphs, breaks and tables of a document. table(cells, inner) gives a table's XML, where
+    inner(element) is a table within, and held() what stands around a table of the body."""
 
-def _bodies(flow: DataFrame) -> DataFrame:
-    """doc_id, body: all in the order of blocks; documents without any block are left out."""
-    return stored(flow.groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")))
+    def from_(level: int, inner: Callable[[Column], Column]) -> Column:
+        if level:
+            return let(_at_level(level, table, inner), lambda made: from_(level - 1, lambda x: F.get(made, x["no"])))
+        body = F.filter("blocks", lambda b: (b["kind"] != "table") | (F.coalesce(b["level"], F.lit(0)) == 0))
+        one = lambda b: F.struct(b["blk"].alias("blk"), F.when(b["kind"] == "table", held(table(b["cells"], inner))).otherwise(paragraph(b)).alias("xml"))
+        return F.filter(F.transform(body, one), lambda x: x["xml"].isNotNull())
 
+    return from_(deepest, _inner)
 
-def _prepared(ir_runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    runs, cells = complete(ir_runs, RUN), with_content(cells)
-    refs = _references(runs, cells, media)
-    return *_with_refs(runs, cells, refs), refs
 
+def _xml(flow: Column) -> Column:
+    return _joined(F.transform(flow, lambda x: x["xml"]))
 
-def _in_cells(c: str) -> Callable:
-    """ref fields of the element at a place of a cell's content."""
-    return lambda i: (lambda name: F.try_element_at(F.col(c), i)[name])
+
+def _merged_below(cells: Column) -> Column:
+    """Cells in order with the blank ones (row_span 0) below those of several rows, where they aren't there already."""
+    blank = {"kind": F.lit("paragraph")}
+    empty = F.array(F.struct(*[blank.get(k, F.lit(None)).cast(t).alias(k) for k, t in ELEMENT_AT.items()]))
+    made = {"row_span": F.lit(0), "content": empty}
+    below = lambda c: F.transform(F.sequence(F.lit(1), c["row_span"] - 1), lambda d: F.struct(*[made.get(k, c["row"] + d if k == "row" else c[k]).cast(t).alias(k) for k, t in CELL_AT.items()]))
+    placed = lambda xs, nth: F.transform(xs, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), F.lit(nth).alias("nth"), c.alias("c")))
+    tall = F.filter(cells, lambda c: c["row_span"] > 1)
+    every = F.sort_array(F.concat(placed(cells, 0), placed(F.flatten(F.transform(tall, below)), 1)))
+    first = lambda xs: F.filter(xs, lambda x, i: F.when(i == 0, F.lit(True)).otherwise((x["row"] != F.get(xs, i - 1)["row"]) | (x["col"] != F.get(xs, i - 1)["col"])))
+    return F.when(F.exists(cells, lambda c: c["row_span"] > 1), F.transform(let(every, first), lambda x: x["c"])).otherwise(cells)
 
 
 # ---- DOCX
@@ -242,8 +201,8 @@ _OVERRIDES = "".join(_OVERRIDE.format(f"word/{name}.xml", WORD_TYPE.format(kind)
 NOTES = ("footnote", "endnote")
 
 
-def _docx_run(c: Callable, ref: Callable) -> Column:
-    """A run's XML; c gives its columns, ref those of what it refers to."""
+def _docx_run(c: Callable) -> Column:
+    """A run's XML; c gives its columns."""
     as_text = lambda x: x.cast("string")
     pr = _all(
         "<w:rPr>", _some(c("font"), '<w:rFonts w:ascii="', _text(c("font")), '" w:hAnsi="', _text(c("font")), '" w:eastAsia="', _text(c("font")), '"/>'), _if(c("bold"), "<w:b/>"), _if(c("italic"), "<w:i/>"), _if(c("strike"), "<w:strike/>"),
@@ -251,15 +210,21 @@ def _docx_run(c: Callable, ref: Callable) -> Column:
         _if(c("sup"), '<w:vertAlign w:val="superscript"/>'), _if(c("sub"), '<w:vertAlign w:val="subscript"/>'), "</w:rPr>",
     )
     run = _all("<w:r>", pr, _lines(c("text"), "<w:br/>", lambda t: F.when(t == "", "").otherwise(_all('<w:t xml:space="preserve">', _text(t), "</w:t>"))), "</w:r>")
-    number, size = as_text(ref("image_no")), [as_text(F.coalesce(ref(k), F.lit(100)) * EMU_PX) for k in ("w", "h")]
+    rel_id, number = _rel_id(c), F.when(c("med").isNotNull(), as_text(c("no")))
+    size = [as_text(F.coalesce(_of_media(c("med"), k), F.lit(100)) * EMU_PX) for k in ("w", "h")]
     picture = _all(
         '<w:r><w:drawing><wp:inline><wp:extent cx="', size[0], '" cy="', size[1], '"/><wp:docPr id="', number, '" name="image', number, f'"/><a:graphic><a:graphicData uri="{DRAWING}/picture"><pic:pic><pic:nvPicPr><pic:cNvPr id="', number,
-        '" name="image', number, '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', ref("rel_id"), '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', size[0], '" cy="', size[1],
+        '" name="image', number, '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', rel_id, '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', size[0], '" cy="', size[1],
         '"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>',
     )
-    note = F.when(ref("note_no").isNotNull(), _all("<w:r><w:", c("note_kind"), 'Reference w:id="', as_text(ref("note_no")), '"/></w:r>')).otherwise("")
-    link = _all('<w:hyperlink r:id="', ref("rel_id"), '">', run, "</w:hyperlink>")
-    return F.when(c("note_kind").isNotNull(), note).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).when(c("url").isNotNull(), F.coalesce(link, run)).otherwise(run)
+    note = F.when(c("no").isNotNull(), _all("<w:r><w:", c("note_kind"), 'Reference w:id="', as_text(c("no")), '"/></w:r>')).otherwise("")
+    link = lambda xml: F.coalesce(_all('<w:hyperlink r:id="', rel_id, '">', xml, "</w:hyperlink>"), xml)
+    plain = let(run, lambda xml: F.when(c("url").isNotNull(), link(xml)).otherwise(xml))
+    return F.when(c("note_kind").isNotNull(), note).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).otherwise(plain)
+
+
+def _rel_id(c: Callable) -> Column:
+    return F.concat(F.lit("rId"), (c("rel") + 1).cast("string"))
 
 
 def _docx_opens(c: Callable) -> Column:
@@ -290,62 +255,75 @@ def _sect_pr(page: Column, sec: Column) -> Column:
     )
 
 
-def docx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None, margins: DataFrame | None = None) -> DataFrame:
-    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have. A section's page stands in a paragraph of its own at its
-    end, the last one's at the end of the body."""
-    runs, cells, refs = _prepared(runs, cells, media)
-    xml = _docx_run(F.col, lambda name: F.col("ref")[name])
-    inline = runs.withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    paragraph = lambda x: F.when(F.col("kind") == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all(_docx_opens(F.col), x, "</w:p>"))
-    span = F.when(F.col("col_span") > 1, _all('<w:gridSpan w:val="', F.col("col_span").cast("string"), '"/>')).otherwise("")
-    merge = F.when(F.col("row_span") > 1, '<w:vMerge w:val="restart"/>').when(F.col("row_span") == 0, "<w:vMerge/>").otherwise("")
-    ref_at = _in_cells("refs")
+def _docx_tables() -> TABLE:
+    """A table's XML."""
 
-    def cell(inner) -> Column:
-        inside = rendered(_docx_opens, "</w:p>", lambda c, i: _docx_run(c, ref_at(i)), inner, "<w:p/>")
+    def cell(c: Column, inner) -> Column:
+        span = F.when(c["col_span"] > 1, _all('<w:gridSpan w:val="', c["col_span"].cast("string"), '"/>')).otherwise("")
+        merge = F.when(c["row_span"] > 1, '<w:vMerge w:val="restart"/>').when(c["row_span"] == 0, "<w:vMerge/>").otherwise("")
+        inside = rendered(c["content"], _docx_opens, "</w:p>", _docx_run, inner, "<w:p/>")
         return _all("<w:tc><w:tcPr>", span, merge, "</w:tcPr>", inside, "</w:tc>")
 
-    grid = lambda: F.repeat(F.lit("<w:gridCol/>"), F.max("wide").cast("int"))
-    table = lambda t: _all('<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/></w:tblPr><w:tblGrid>', grid(), "</w:tblGrid>", t, "</w:tbl>")
-    tables = _tables(blocks, _merged_below(cells), deepest, cell, lambda t: _all("<w:tr>", t, "</w:tr>"), table)
-    flow = _flow(complete(blocks, {"align": "string"}), inline, tables, paragraph).withColumn("blk", F.col("blk").cast("long") * 2)
-    if sections is not None:
-        lists = _sections(sections, sections)
-        ends = lists.where(F.size("begins") > 1).select("doc_id", "begins", F.posexplode(F.slice("pages", F.lit(1), F.size("pages") - 1)).alias("i", "page"))
-        ends = _with_margins(ends, margins)
-        flow = flow.unionByName(ends.select("doc_id", (F.element_at("begins", F.col("i") + 2) * 2 + 1).alias("blk"), _all("<w:p><w:pPr>", _sect_pr(F.col("page"), F.col("i")), "</w:pPr></w:p>").alias("xml")))
-    body = _bodies(flow)
-    if sections is None:
-        body = body.withColumns({"last": F.array(*[F.lit(x) for x in A4_PAGE]), "last_sec": F.lit(0)})
-    else:
-        body = body.join(lists.select("doc_id", F.element_at("pages", -1).alias("last"), (F.size("pages") - 1).alias("last_sec")), "doc_id", "left")
-        body = body.withColumns({"last": F.coalesce("last", F.array(*[F.lit(x) for x in A4_PAGE])), "last_sec": F.coalesce("last_sec", F.lit(0))})
-    body = _with_margins(body, margins)
-    number = F.col("image_no").cast("string")
-    name = F.concat(F.lit("media/image"), number, F.lit("."), _ext())
-    target = F.when(F.col("kind") == "link", _all(f'" Type="{R}/hyperlink" Target="', _text(F.col("url")), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name, '"/>'))
-    linked = refs.where("kind <> 'note'").withColumn("one", _all('<Relationship Id="', F.col("rel_id"), target)).groupBy("doc_id").agg(ordered_join("one", "rel_id", "").alias("links"))
+    def grid(cells: Column) -> Column:
+        """How many columns the widest row has."""
+        start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("wide"), F.lit(0).alias("most"))
+        wide = lambda a, c: F.when(a["row"] == c["row"], a["wide"]).otherwise(0) + c["col_span"]
+        more = lambda a, c: F.struct(c["row"].alias("row"), wide(a, c).alias("wide"), F.greatest(a["most"], wide(a, c)).alias("most"))
+        return F.aggregate(cells, start, more)["most"]
+
+    def table(cells: Column, inner) -> Column:
+        xml = lambda own: _all('<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/></w:tblPr><w:tblGrid>', F.repeat(F.lit("<w:gridCol/>"), grid(own)), "</w:tblGrid>", _rows_of(own, lambda c: cell(c, inner), "<w:tr>", "</w:tr>"), "</w:tbl>")
+        return F.when(F.size(cells) > 0, let(_merged_below(cells), xml))
+
+    return table
+
+
+@functools.lru_cache(16)
+def _docx(context: SparkContext, deepest: int) -> Column:
+    """The parts of a document; kept, as it takes seconds to put together."""
+    def paragraph(b: Column) -> Column:
+        inline = _joined(F.transform(b["runs"], lambda r: _docx_run(_fields(r))))
+        return F.when(b["kind"] == "pageBreak", '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_all(_docx_opens(_fields(b)), inline, "</w:p>"))
+
+    # a section's end stands behind its last block
+    several = F.size("begins") > 1
+    ends = F.transform(F.slice("pages", F.lit(1), F.size("pages") - 1), lambda page, i: F.struct((F.get("begins", i + 1) * 2 + 1).alias("blk"), _all("<w:p><w:pPr>", _sect_pr(page, i), "</w:pPr></w:p>").alias("xml")))
+    twice = lambda f: F.transform(f, lambda x: F.struct((x["blk"] * 2).alias("blk"), x["xml"].alias("xml")))
+    flow = let(_flow(deepest, paragraph, _docx_tables()), lambda f: F.when(several, F.sort_array(F.concat(twice(f), ends))).otherwise(f))
+    name = lambda x: F.concat(F.lit("media/image"), x["no"].cast("string"), F.lit("."), _ext(x))
+    target = lambda x: F.when(x["med"].isNull(), _all(f'" Type="{R}/hyperlink" Target="', _text(x["url"]), '" TargetMode="External"/>')).otherwise(_all(f'" Type="{R}/image" Target="', name(x), '"/>'))
+    linked = F.sort_array(_elements(lambda x: x["rel"].isNotNull(), lambda x: F.struct(x["rel"].alias("rel"), _all('<Relationship Id="', _rel_id(_fields(x)), target(x)).alias("xml"))))
     # a note's paragraphs: a line each
-    one = _all("<w:", F.col("note_kind"), ' w:id="', F.col("note_no").cast("string"), '">', _docx_paragraphs(F.col("note")), "</w:", F.col("note_kind"), ">")
-    notes = refs.where("note_no IS NOT NULL").withColumn("one", one).groupBy("doc_id", "note_kind").agg(ordered_join("one", "note_no", "").alias("xml"))
-    notes = notes.groupBy("doc_id").agg(*[F.max(F.when(F.col("note_kind") == k, F.col("xml"))).alias(k) for k in NOTES])
-    docs = body.join(linked, "doc_id", "left").join(notes, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    docs = docs.select("doc_id", "body", "last", "last_sec", "margins", *NOTES, *[F.coalesce(k, F.lit("")).alias(k) for k in ("links", "title", "author", "subject")])
+    note = lambda k: lambda x: F.struct(x["no"].alias("no"), _all(f'<w:{k} w:id="', x["no"].cast("string"), '">', _docx_paragraphs(x["note"]), f"</w:{k}>").alias("xml"))
+    has = lambda k: lambda x: (x["note_kind"] == k) & x["no"].isNotNull()
+    told = {k: F.nullif(_xml(F.sort_array(_elements(has(k), note(k)))), F.lit("")) for k in NOTES}
+    about = {k: F.coalesce(k, F.lit("")) for k in ("title", "author", "subject")}
     names = f'xmlns:w="{W}" xmlns:r="{R}" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture" xmlns:wp="{DRAWING}/wordprocessingDrawing"'
     rel = lambda id_, kind, file: f'<Relationship Id="{id_}" Type="{R}/{kind}" Target="{file}.xml"/>'
-    parts = [
-        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", F.col("body"), _sect_pr(F.col("last"), F.col("last_sec")), "</w:body></w:document>")),
+    any_ = lambda is_: F.exists("blocks", lambda b: F.exists(b["runs"], is_) | F.exists(b["cells"], lambda c: F.exists(c["content"], is_)))
+    noted = {k: any_(has(k)) for k in NOTES}
+    own = lambda k, i: lambda xml: _part(f"word/{k}s.xml", i, _all(f'<w:{k}s xmlns:w="{W}">', xml, f"</w:{k}s>"), xml.isNotNull())
+    parts = lambda f: [
+        _part("word/document.xml", 1, _all(f"<w:document {names}><w:body>", _xml(f), _sect_pr(F.element_at("pages", -1), F.size("pages") - 1), "</w:body></w:document>")),
         _part("word/_rels/document.xml.rels", 2, _all(
-            f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_some(F.col(k), rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], _each_margin(lambda x: _all('<Relationship Id="rId_', _margin_name(x), f'" Type="{R}/', x["kind"], '" Target="', _margin_name(x), '.xml"/>')), F.col("links"), "</Relationships>")),
-        _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(F.col("title")), "</dc:title><dc:creator>", _text(F.col("author")), "</dc:creator><dc:subject>", _text(F.col("subject")), "</dc:subject></cp:coreProperties>")),
-        _part("[Content_Types].xml", 0, _all(f'<Types xmlns="{PKG}/content-types">{_DEFAULTS}{_OVERRIDES}', *[_some(F.col(k), _OVERRIDE.format(f"word/{k}s.xml", WORD_TYPE.format(f"{k}s"))) for k in NOTES], _each_margin(lambda x: _all('<Override PartName="/word/', _margin_name(x), '.xml" ContentType="', *[y for p in WORD_TYPE.split("{}") for y in (p, x["kind"])][:-1], '"/>')), "</Types>")),
-        *[_part(f"word/{k}s.xml", 4 + i, _all(f'<w:{k}s xmlns:w="{W}">', F.col(k), f"</w:{k}s>"), F.col(k).isNotNull()) for i, k in enumerate(NOTES)],
+            f'<Relationships xmlns="{PKG}/relationships">', rel("rId1", "styles", "styles"), rel("rIdLists", "numbering", "numbering"), *[_if(noted[k], rel(f"rId_{k}s", f"{k}s", f"{k}s")) for k in NOTES], _each_margin(lambda x: _all('<Relationship Id="rId_', _margin_name(x), f'" Type="{R}/', x["kind"], '" Target="', _margin_name(x), '.xml"/>')), _xml(linked), "</Relationships>")),
+        _part("docProps/core.xml", 3, _all(f'<cp:coreProperties xmlns:cp="{PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', _text(about["title"]), "</dc:title><dc:creator>", _text(about["author"]), "</dc:creator><dc:subject>", _text(about["subject"]), "</dc:subject></cp:coreProperties>")),
+        _part("[Content_Types].xml", 0, _all(f'<Types xmlns="{PKG}/content-types">{_DEFAULTS}{_OVERRIDES}', *[_if(noted[k], _OVERRIDE.format(f"word/{k}s.xml", WORD_TYPE.format(f"{k}s"))) for k in NOTES], _each_margin(lambda x: _all('<Override PartName="/word/', _margin_name(x), '.xml" ContentType="', *[y for p in WORD_TYPE.split("{}") for y in (p, x["kind"])][:-1], '"/>')), "</Types>")),
+        *[let(told[k], own(k, 4 + i)) for i, k in enumerate(NOTES)],
     ]
     tag = lambda x: F.when(x["kind"] == "header", "hdr").otherwise("ftr")
     more = F.transform("margins", lambda x: F.struct(
         (x["n"] + 99).cast("int").alias("ord"), F.concat(F.lit("word/"), _margin_name(x), F.lit(".xml")).alias("part"),
         F.encode(_all(HEAD, "<w:", tag(x), f' xmlns:w="{W}">', _docx_paragraphs(x["text"]), "</w:", tag(x), ">"), "UTF-8").alias("bytes")))
-    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("word/"), name)), more)
+    whole = lambda f: F.concat(F.filter(F.array(*parts(f)), lambda p: p.isNotNull()), more, _media_parts("word/media/"))
+    return let(flow, lambda f: F.when(F.size(f) > 0, whole(f)))
+
+
+def docx_parts(docs: DataFrame, deepest: int = 0) -> DataFrame:
+    """doc_id, parts of DOCX packages: what DOCX_FIXED doesn't have; error, warnings. A section's page stands in a paragraph of
+    its own at its end, the last one's at the end of the body."""
+    docs, deepest = _with_inner(docs, deepest, lambda level: _at_level(level, _docx_tables(), _inner))
+    return docs.withColumns(_paged()).select("doc_id", _docx(docs.sparkSession.sparkContext, deepest).alias("parts"), "error", "warnings")
 
 
 # ---- HWPX
@@ -378,9 +356,9 @@ def _hwpx_paragraphs(text: Column) -> Column:
     return _lines(text, "", lambda t: _all('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:t>', _text(t), "</hp:t></hp:run></hp:p>"))
 
 
-def _sec_pr(page: Column, sec: Column) -> Column:
+def _sec_pr(page: Column, sec: Column, margins: Column) -> Column:
     """The paragraph that the section `sec` begins with, for its page, headers and footers."""
-    told = _each_margin(lambda x: _all('<hp:run charPrIDRef="0"><hp:ctrl><hp:', x["kind"], ' id="', x["n"].cast("string"), '" applyPageType="BOTH"><hp:subList>', _hwpx_paragraphs(x["text"]), "</hp:subList></hp:", x["kind"], "></hp:ctrl></hp:run>"), lambda x: x["sec"] == sec)
+    told = _each_margin(lambda x: _all('<hp:run charPrIDRef="0"><hp:ctrl><hp:', x["kind"], ' id="', x["n"].cast("string"), '" applyPageType="BOTH"><hp:subList>', _hwpx_paragraphs(x["text"]), "</hp:subList></hp:", x["kind"], "></hp:ctrl></hp:run>"), lambda x: x["sec"] == sec, margins)
     size = lambda i: F.get(page, F.lit(i)).cast("string")
     return _all(
         '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:secPr><hp:pagePr landscape="WIDELY" width="', size(0), '" height="', size(1), '" gutterType="LEFT_ONLY"><hp:margin left="', size(4), '" right="', size(5),
@@ -392,20 +370,16 @@ def _shape_key(c: Callable) -> Column:
     return F.struct(*[c(k).alias(k) for k in SHAPE])
 
 
-def _char_shapes(runs: DataFrame, cells: DataFrame) -> DataFrame:
-    """doc_id, shapes (a map from the style of a run to an id from 1, by first appearance), keys, fonts (from 1 too)."""
-    is_text = lambda c: c("media_id").isNull() & c("note_kind").isNull()
-    own = runs.where(is_text(F.col)).select("doc_id", F.col("blk").cast("long").alias("begin"), F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("long").alias("at"), *SHAPE)
-    held = cells.select(*CELL, F.posexplode("content").alias("at", "x")).where("x.kind = 'run'").where(is_text(lambda n: F.col(f"x.{n}")))
-    held = held.select("doc_id", F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), "row", "col", F.col("at").cast("long").alias("at"), *[f"x.{k}" for k in SHAPE])
-    seen = own.unionByName(held).groupBy("doc_id", *SHAPE).agg(F.min(F.struct("begin", "row", "col", "at")).alias("first"))
-    by_doc = seen.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", _shape_key(F.col).alias("key")))), lambda s: s["key"]).alias("keys"))
-    fonts = F.array_distinct(F.filter(F.transform("keys", lambda k: k["font"]), lambda f: f.isNotNull()))
-    return stored(by_doc.select("doc_id", "keys", F.map_from_arrays("keys", F.sequence(F.lit(1), F.size("keys"))).alias("shapes"), fonts.alias("fonts")))
+def _char_shapes() -> Column:
+    """The distinct styles of runs, by first appearance."""
+    is_text = lambda x: x["media_id"].isNull() & x["note_kind"].isNull()
+    of = lambda xs: F.transform(F.filter(xs, is_text), lambda x: _shape_key(_fields(x)))
+    in_cells = lambda b: F.flatten(F.transform(b["cells"], lambda c: of(F.filter(c["content"], lambda x: x["kind"] == "run"))))
+    return F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(of(b["runs"]), in_cells(b)))))
 
 
-def _char_xml(k: Column, id_: Column) -> Column:
-    font = F.coalesce(F.array_position(F.col("fonts"), k["font"]), F.lit(0)).cast("string")
+def _char_xml(k: Column, id_: Column, fonts: Column) -> Column:
+    font = F.coalesce(F.array_position(fonts, k["font"]), F.lit(0)).cast("string")
     lanes = [lane.lower() for names in LANES.values() for lane in names]
     return _all(
         '<hh:charPr id="', id_.cast("string"), '" height="', F.round(F.coalesce(k["size_pt"], F.lit(10.0)) * 100).cast("int").cast("string"), '" textColor="#', _text(F.coalesce(k["color"], F.lit("000000"))), '" borderFillIDRef="1"><hh:fontRef',
@@ -414,14 +388,14 @@ def _char_xml(k: Column, id_: Column) -> Column:
     )
 
 
-def _hwpx_run(c: Callable, ref: Callable) -> Column:
-    number = F.coalesce(F.try_element_at(F.col("shapes"), _shape_key(c)), F.lit(0)).cast("string")
+def _hwpx_run(c: Callable, keys: Column) -> Column:
+    number = F.array_position(keys, _shape_key(c)).cast("string")
     opened = _all('<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldBegin type="HYPERLINK" url="', _text(c("url")), '"/></hp:ctrl></hp:run>')
     run = _all('<hp:run charPrIDRef="', number, '"><hp:t>', _lines(c("text"), "<hp:lineBreak/>", _text), "</hp:t></hp:run>")
-    picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', ref("image_no").cast("string"), '"/></hp:pic></hp:run>')
+    picture = _all('<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image', F.when(c("med").isNotNull(), c("no").cast("string")), '"/></hp:pic></hp:run>')
     tag = F.when(c("note_kind") == "endnote", "hp:endNote").otherwise("hp:footNote")
     lines = _hwpx_paragraphs(c("note"))
-    note = _all('<hp:run charPrIDRef="0"><hp:ctrl><', tag, ' number="', ref("note_no").cast("string"), '"><hp:subList>', lines, "</hp:subList></", tag, "></hp:ctrl></hp:run>")
+    note = _all('<hp:run charPrIDRef="0"><hp:ctrl><', tag, ' number="', c("no").cast("string"), '"><hp:subList>', lines, "</hp:subList></", tag, "></hp:ctrl></hp:run>")
     link = _all(opened, run, '<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>')
     return F.when(c("note_kind").isNotNull(), F.coalesce(note, F.lit(""))).when(c("media_id").isNotNull(), F.coalesce(picture, F.lit(""))).when(c("url").isNotNull(), link).otherwise(run)
 
@@ -433,102 +407,128 @@ def _hwpx_opens(c: Callable, more: Column | str = "") -> Column:
     return _all('<hp:p paraPrIDRef="', shape.cast("string"), '" styleIDRef="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, ">")
 
 
-def hwpx_parts(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None, deepest: int = 0, sections: DataFrame | None = None, margins: DataFrame | None = None) -> DataFrame:
-    """doc_id, parts of HWPX packages but for HWPX_FIXED, a section a part; equal run styles share a character shape, headings, list levels and
-    alignments have a paragraph shape each, fonts are listed once for all scripts."""
-    runs, cells, refs = _prepared(runs, cells, media)
-    shapes = _char_shapes(runs, cells)
-    known = shapes.select("doc_id", "shapes")
-    xml = _hwpx_run(F.col, lambda name: F.col("ref")[name])
-    inline = runs.join(known, "doc_id", "left").withColumn("xml", xml).groupBy("doc_id", "blk").agg(ordered_join("xml", "pos", "").alias("inline"))
-    breaks = F.when(F.col("kind") == "pageBreak", ' pageBreak="1"').otherwise("")
-    paragraph = lambda x: _all(_hwpx_opens(F.col, breaks), x, "</hp:p>")
-    as_text = lambda c: F.col(c).cast("string")
-    ref_at, holder = _in_cells("refs"), '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'
-
-    def cell(inner) -> Column:
-        inside = rendered(_hwpx_opens, "</hp:p>", lambda c, i: _hwpx_run(c, ref_at(i)), lambda b: _all(holder, inner(b), "</hp:run></hp:p>"), '<hp:p paraPrIDRef="0" styleIDRef="0"/>')
+_HOLDER = '<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'
+
+
+def _hwpx_held(xml: Column) -> Column:
+    return _all(_HOLDER, xml, "</hp:run></hp:p>")
+
+
+def _hwpx_tables(keys: Column) -> TABLE:
+    """A table's XML, with the styles of runs that `keys` lists."""
+
+    def cell(c: Column, inner) -> Column:
+        as_text = lambda n: c[n].cast("string")
+        inside = rendered(c["content"], _hwpx_opens, "</hp:p>", lambda x: _hwpx_run(x, keys), lambda x: _hwpx_held(inner(x)), '<hp:p paraPrIDRef="0" styleIDRef="0"/>')
         return _all(
             '<hp:tc borderFillIDRef="2"><hp:subList>', inside, '</hp:subList><hp:cellAddr colAddr="', as_text("col"), '" rowAddr="', as_text("row"),
             '"/><hp:cellSpan colSpan="', as_text("col_span"), '" rowSpan="', as_text("row_span"), '"/></hp:tc>',
         )
 
-    table = lambda t: _all('<hp:tbl rowCnt="', (F.max("row") + 1).cast("string"), '" colCnt="', F.max("end").cast("string"), '" borderFillIDRef="2">', t, "</hp:tbl>")
-    tables = _tables(blocks, cells.where("row_span > 0").join(known, "doc_id", "left"), deepest, cell, lambda t: _all("<hp:tr>", t, "</hp:tr>"), table)
-    tables = tables.withColumn("xml", _all(holder, F.col("xml"), "</hp:run></hp:p>"))
-    flow = _flow(complete(blocks, {"align": "string"}), inline, tables, paragraph)
-    # a block is in the last section that begins before it
-    lists = _sections(blocks, sections) if sections is not None else None
-    if lists is None:
-        body = _bodies(flow).select("doc_id", F.array("body").alias("bodies"), F.array(F.array(*[F.lit(x) for x in A4_PAGE])).alias("pages"), F.array(F.lit(0)).alias("secs"))
-    else:
-        sec = F.greatest(F.size(F.filter("begins", lambda b: b < F.col("blk"))) - 1, F.lit(0))
-        by_sec = flow.join(lists, "doc_id").withColumn("sec", sec).groupBy("doc_id", "sec").agg(ordered_join("xml", "blk", "").alias("body"), F.element_at(F.first("pages"), F.col("sec") + 1).alias("page"))
-        held = F.array_sort(F.collect_list(F.struct("sec", "body", "page")))
-        body = stored(by_sec.groupBy("doc_id").agg(held.alias("s")).select("doc_id", F.transform("s", lambda x: x["body"]).alias("bodies"), F.transform("s", lambda x: x["page"]).alias("pages"), F.transform("s", lambda x: x["sec"]).alias("secs")))
-    body = _with_margins(body, margins)
-    # a section without blocks has no part: what it tells goes to the next one that doesn't tell the same
-    heir = lambda x: F.coalesce(F.array_min(F.filter("secs", lambda s: s >= x["sec"])), F.lit(-1))
-    moved = F.transform("margins", lambda x: x.withField("sec", heir(x)))
-    last = lambda x, i: ~F.exists(F.slice(F.col("margins"), i + 2, F.size("margins")), lambda y: (y["sec"] == x["sec"]) & (y["kind"] == x["kind"]))
-    body = body.withColumn("margins", moved).withColumn("margins", F.filter("margins", last))
-    number = F.col("image_no").cast("string")
-    item = _all('<opf:item id="image', number, '" href="BinData/image', number, ".", _ext(), '" media-type="', F.col("mime"), '" isEmbeded="1"/>')
-    items = refs.where("kind = 'image'").withColumn("one", item).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("items"))
-    file = _all('<odf:file-entry odf:full-path="BinData/image', number, ".", _ext(), '" odf:media-type="', F.col("mime"), '"/>')
-    files = refs.where("kind = 'image'").withColumn("one", file).groupBy("doc_id").agg(ordered_join("one", "image_no", "").alias("files"))
-    docs = body.join(shapes.drop("shapes"), "doc_id", "left").join(items, "doc_id", "left").join(files, "doc_id", "left").join(meta.select("doc_id", "title", "author", "subject"), "doc_id", "left")
-    none = lambda c: F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType))
-    docs = docs.withColumns({c: none(c) for c in ("keys", "fonts")} | {c: F.coalesce(c, F.lit("")) for c in ("items", "files", "title", "author", "subject")})
-    about = lambda name, c: F.when(F.col(c) != "", _all(f'<opf:meta name="{name}" content="text">', _text(F.col(c)), "</opf:meta>")).otherwise("")
-    faces = F.array_join(F.transform("fonts", lambda f, i: _all('<hh:font id="', (i + 1).cast("string"), '" face="', _text(f), '" type="TTF" isEmbedded="0"><hh:typeInfo familyType="', font_family(f), '"/></hh:font>')), "")
-    count = (F.size("fonts") + 1).cast("string")
+    def table(cells: Column, inner) -> Column:
+        most = lambda own, of: F.array_max(F.transform(own, of)).cast("string")
+        xml = lambda own: _all('<hp:tbl rowCnt="', most(own, lambda c: c["row"] + 1), '" colCnt="', most(own, lambda c: c["col"] + c["col_span"]), '" borderFillIDRef="2">', _rows_of(own, lambda c: cell(c, inner), "<hp:tr>", "</hp:tr>"), "</hp:tbl>")
+        return let(F.filter(cells, lambda c: c["row_span"] > 0), lambda own: F.when(F.size(own) > 0, xml(own)))
+
+    return table
+
+
+@functools.lru_cache(16)
+def _hwpx(context: SparkContext, deepest: int) -> Column:
+    """The parts of a document; kept, as it takes seconds to put together."""
+
+    def flow(keys: Column) -> Column:
+        def paragraph(b: Column) -> Column:
+            breaks = F.when(b["kind"] == "pageBreak", ' pageBreak="1"').otherwise("")
+            return _all(_hwpx_opens(_fields(b), breaks), _joined(F.transform(b["runs"], lambda r: _hwpx_run(_fields(r), keys))), "</hp:p>")
+
+        return _flow(deepest, paragraph, _hwpx_tables(keys), _hwpx_held)
+
+    # a block is in the last section that begins before it; a section without blocks has no part
+    sec = lambda blk: F.greatest(F.size(F.filter("begins", lambda b: b < blk)) - 1, F.lit(0))
+    one = lambda f: F.array(F.struct(F.lit(0).alias("sec"), _xml(f).alias("body")))
+    numbered = lambda f: F.transform(f, lambda x: F.struct(sec(x["blk"]).alias("sec"), x["xml"].alias("xml")))
+    each = lambda g: F.transform(F.array_distinct(F.transform(g, lambda x: x["sec"])), lambda s: F.struct(s.alias("sec"), _xml(F.filter(g, lambda x: x["sec"] == s)).alias("body")))
+    in_sections = lambda f: F.when(F.size(f) == 0, F.array().cast("array<struct<sec:int,body:string>>")).when(F.size("begins") > 1, let(numbered(f), each)).otherwise(one(f))
+    item = lambda x: _all('<opf:item id="image', x["no"].cast("string"), '" href="BinData/image', x["no"].cast("string"), ".", _ext(x), '" media-type="', _of_media(x["med"], "mime"), '" isEmbeded="1"/>')
+    file = lambda x: _all('<odf:file-entry odf:full-path="BinData/image', x["no"].cast("string"), ".", _ext(x), '" odf:media-type="', _of_media(x["med"], "mime"), '"/>')
+    images = lambda xml: let(_images(), lambda xs: _joined(F.transform(xs, xml)))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    about = lambda name, c: F.when(said(c) != "", _all(f'<opf:meta name="{name}" content="text">', _text(F.col(c)), "</opf:meta>")).otherwise("")
     lanes = [lane for names in LANES.values() for lane in names]
-    fonts = _all(f'<hh:fontfaces itemCnt="{len(lanes)}">', *[x for lane in lanes for x in (f'<hh:fontface lang="{lane}" fontCnt="', count, f'"><hh:font id="0" face="{FIRST_FACE}" type="TTF" isEmbedded="0"/>', faces, "</hh:fontface>")], "</hh:fontfaces>")
-    plain = _char_xml(F.struct(*[F.lit(None).cast(RUN[k]).alias(k) for k in SHAPE]), F.lit(0))
-    chars = _all('<hh:charProperties itemCnt="', (F.size("keys") + 1).cast("string"), '">', plain, F.array_join(F.transform("keys", lambda k, i: _char_xml(k, i + 1)), ""), "</hh:charProperties>")
+    plain = F.struct(*[F.lit(None).cast(RUN[k]).alias(k) for k in SHAPE])
+
+    def header(keys: Column, many: Column) -> Column:
+        fonts = F.array_distinct(F.filter(F.transform(keys, lambda k: k["font"]), lambda f: f.isNotNull()))
+
+        def xml(fonts: Column) -> Column:
+            faces = _joined(F.transform(fonts, lambda f, i: _all('<hh:font id="', (i + 1).cast("string"), '" face="', _text(f), '" type="TTF" isEmbedded="0"><hh:typeInfo familyType="', font_family(f), '"/></hh:font>')))
+            count = (F.size(fonts) + 1).cast("string")
+            listed = lambda faces: _all(f'<hh:fontfaces itemCnt="{len(lanes)}">', *[x for lane in lanes for x in (f'<hh:fontface lang="{lane}" fontCnt="', count, f'"><hh:font id="0" face="{FIRST_FACE}" type="TTF" isEmbedded="0"/>', faces, "</hh:fontface>")], "</hh:fontfaces>")
+            chars = _all('<hh:charProperties itemCnt="', (F.size(keys) + 1).cast("string"), '">', _char_xml(plain, F.lit(0), fonts), _joined(F.transform(keys, lambda k, i: _char_xml(k, i + 1, fonts))), "</hh:charProperties>")
+            return _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="', many.cast("string"), '"><hh:refList>', let(faces, listed), _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")
+
+        return let(fonts, xml)
+
     entry = lambda name: f'<odf:file-entry odf:full-path="{name}" odf:media-type="application/xml"/>'
     fixed = "".join(map(entry, ("version.xml", "settings.xml", "Contents/header.xml", "Contents/content.hpf")))
-    each = lambda xml: F.array_join(F.transform("bodies", lambda b, i: _all(*[i.cast("string") if x is None else x for x in xml])), "")
     name = ("Contents/section", None, ".xml")
-    listed, read = each(('<opf:item id="section', None, '" href="', *name, '" media-type="application/xml"/>')), each(('<opf:itemref idref="section', None, '"/>'))
-    files = each(('<odf:file-entry odf:full-path="', *name, '" odf:media-type="application/xml"/>'))
     open_ = f'{HEAD}<hs:sec xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hp="{HP}" xmlns:hc="{HC}">'
-    bodies = F.transform("bodies", lambda b, i: F.struct(
-        (F.lit(100) + i).cast("int").alias("ord"), F.concat(F.lit("Contents/section"), i.cast("string"), F.lit(".xml")).alias("part"), F.encode(_all(open_, _sec_pr(F.get("pages", i), F.get("secs", i)), b, "</hs:sec>"), "UTF-8").alias("bytes")))
-    parts = [
-        F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
-        _part("Contents/header.xml", 1, _all(f'<hh:head xmlns:hh="{HH}" xmlns:hc="{HC}" version="1.4" secCnt="', F.size("bodies").cast("string"), '"><hh:refList>', fonts, _FILLS, chars, f"{_NUMBERS}{_paragraph_shapes()}{_STYLES}</hh:refList></hh:head>")),
-        _part("Contents/content.hpf", 3, _all(f'<opf:package xmlns:opf="{OPF}"><opf:metadata><opf:title>', _text(F.col("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"),
-            '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="settings" href="settings.xml" media-type="application/xml"/>', listed, F.col("items"),
-            '</opf:manifest><opf:spine><opf:itemref idref="header"/>', read, "</opf:spine></opf:package>")),
-        _part("META-INF/manifest.xml", 4, _all(f'<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0">{fixed}', files, F.col("files"), "</odf:manifest>")),
-    ]
-    return _packed(docs, parts, _media_parts(refs, media, 9, F.concat(F.lit("BinData/image"), number, F.lit("."), _ext())), bodies)
+
+    def margins(bodies: Column) -> Column:
+        """A section without a part: what it tells goes to the next one that doesn't tell the same."""
+        heir = lambda x: F.coalesce(F.array_min(F.filter(F.transform(bodies, lambda b: b["sec"]), lambda s: s >= x["sec"])), F.lit(-1))
+        last = lambda moved: lambda x, i: ~F.exists(F.slice(moved, i + 2, F.size(moved)), lambda y: (y["sec"] == x["sec"]) & (y["kind"] == x["kind"]))
+        return let(F.transform("margins", lambda x: x.withField("sec", heir(x))), lambda moved: F.filter(moved, last(moved)))
+
+    def parts(keys: Column, bodies: Column) -> Column:
+        of_each = lambda xml: _joined(F.transform(bodies, lambda b, i: _all(*[i.cast("string") if x is None else x for x in xml])))
+        listed, read = of_each(('<opf:item id="section', None, '" href="', *name, '" media-type="application/xml"/>')), of_each(('<opf:itemref idref="section', None, '"/>'))
+        files = of_each(('<odf:file-entry odf:full-path="', *name, '" odf:media-type="application/xml"/>'))
+        page = lambda sec: F.get("pages", sec)
+        written = let(margins(bodies), lambda told: F.transform(bodies, lambda b, i: F.struct(
+            (F.lit(100) + i).cast("int").alias("ord"), F.concat(F.lit("Contents/section"), i.cast("string"), F.lit(".xml")).alias("part"), F.encode(_all(open_, _sec_pr(page(b["sec"]), b["sec"], told), b["body"], "</hs:sec>"), "UTF-8").alias("bytes"))))
+        own = [
+            F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("part"), F.encode(F.lit("application/hwp+zip"), "UTF-8").alias("bytes")),
+            _part("Contents/header.xml", 1, header(keys, F.size(bodies))),
+            _part("Contents/content.hpf", 3, _all(f'<opf:package xmlns:opf="{OPF}"><opf:metadata><opf:title>', _text(said("title")), "</opf:title>", about("creator", "author"), about("subject", "subject"),
+                '</opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="settings" href="settings.xml" media-type="application/xml"/>', listed, images(item),
+                '</opf:manifest><opf:spine><opf:itemref idref="header"/>', read, "</opf:spine></opf:package>")),
+            _part("META-INF/manifest.xml", 4, _all(f'<odf:manifest xmlns:odf="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0">{fixed}', files, images(file), "</odf:manifest>")),
+        ]
+        return F.when(F.size(bodies) > 0, F.concat(F.array(*own), written, _media_parts("BinData/")))
+
+    return let(_char_shapes(), lambda keys: let(let(flow(keys), in_sections), lambda bodies: parts(keys, bodies)))
+
+
+def hwpx_parts(docs: DataFrame, deepest: int = 0) -> DataFrame:
+    """doc_id, parts of HWPX packages but for HWPX_FIXED, a section a part; error, warnings. Equal run styles share a character
+    shape, headings, list levels and alignments have a paragraph shape each, fonts are listed once for all scripts."""
+    docs, deepest = _with_inner(docs, deepest, lambda level: let(_char_shapes(), lambda keys: _at_level(level, _hwpx_tables(keys), _inner)))
+    return docs.withColumns(_paged()).select("doc_id", _hwpx(docs.sparkSession.sparkContext, deepest).alias("parts"), "error", "warnings")
 
 
 # ---- flat XML
 
 
-def hml(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, deepest: int = 0) -> DataFrame:
-    """doc_id, xml: one flat XML text for each document."""
-    runs, cells = complete(runs, RUN), with_content(cells)
+def hml(docs: DataFrame, deepest: int = 0) -> DataFrame:
+    """doc_id, xml, error, warnings: one flat XML text for each document that has blocks."""
     char = lambda c: _all("<CHAR>", _text(F.coalesce(c("text"), F.lit(""))), "</CHAR>")
     opens = lambda c, more="": _all('<P ParaShape="', F.coalesce(c("heading"), F.lit(0)).cast("string"), '"', more, '><TEXT CharShape="0">')
-    breaks = F.when(F.col("kind") == "pageBreak", ' PageBreak="true"').otherwise("")
-    number = {c: F.col(c).cast("string") for c in ("col", "row", "col_span", "row_span")}
 
-    def cell(inner) -> Column:
-        inside = rendered(opens, "</TEXT></P>", lambda c, i: char(c), lambda b: _all("<P><TEXT>", inner(b), "</TEXT></P>"), '<P><TEXT><CHAR/></TEXT></P>')
+    def paragraph(b: Column) -> Column:
+        breaks = F.when(b["kind"] == "pageBreak", ' PageBreak="true"').otherwise("")
+        return _all(opens(_fields(b), breaks), _joined(F.transform(b["runs"], lambda r: char(_fields(r)))), "</TEXT></P>")
+
+    def cell(c: Column, inner) -> Column:
+        number = {n: c[n].cast("string") for n in ("col", "row", "col_span", "row_span")}
+        inside = rendered(c["content"], opens, "</TEXT></P>", char, lambda x: _held(inner(x)), "<P><TEXT><CHAR/></TEXT></P>")
         return _all('<CELL ColAddr="', number["col"], '" RowAddr="', number["row"], '" ColSpan="', number["col_span"], '" RowSpan="', number["row_span"], '"><PARALIST>', inside, "</PARALIST></CELL>")
 
-    # all rows are dealt by document once; neither paragraphs nor bodies are joined or written on the way
-    tables = _tables(blocks, cells.where("row_span > 0").repartition("doc_id"), deepest, cell, lambda t: _all("<ROW>", t, "</ROW>"), lambda t: _all("<TABLE>", t, "</TABLE>"))
-    begun = blocks.where("kind <> 'table'").select("doc_id", "blk", opens(F.col, breaks).alias("begun"))
-    begun = begun.unionByName(tables.select("doc_id", "blk", _all("<P><TEXT>", F.col("xml")).alias("begun")))
-    inline = runs.select("doc_id", "blk", F.struct("pos", char(F.col).alias("xml")).alias("run"))
-    flow = begun.unionByName(inline, allowMissingColumns=True).repartition("doc_id").groupBy("doc_id", "blk")
-    flow = flow.agg(F.max("begun").alias("begun"), F.array_sort(F.collect_list("run")).alias("runs")).where("begun IS NOT NULL")
-    flow = flow.select("doc_id", "blk", _all(F.col("begun"), F.array_join(F.transform("runs", lambda r: r["xml"]), ""), "</TEXT></P>").alias("xml"))
-    told = flow.groupBy("doc_id").agg(ordered_join("xml", "blk", "").alias("body")).join(meta, "doc_id", "left")
-    return told.select("doc_id", _all(HEAD, '<HWPML Version="2.91"><HEAD><DOCSUMMARY><TITLE>', _text(F.coalesce("title", F.lit(""))), "</TITLE></DOCSUMMARY></HEAD><BODY><SECTION>", F.col("body"), "</SECTION></BODY></HWPML>").alias("xml"))
+    _held = lambda xml: _all("<P><TEXT>", xml, "</TEXT></P>")
+    xml = lambda own, inner: _all("<TABLE>", _rows_of(own, lambda c: cell(c, inner), "<ROW>", "</ROW>"), "</TABLE>")
+    table = lambda cells, inner: let(F.filter(cells, lambda c: c["row_span"] > 0), lambda own: F.when(F.size(own) > 0, xml(own, inner)))
+    head = _all(HEAD, '<HWPML Version="2.91"><HEAD><DOCSUMMARY><TITLE>', _text(F.coalesce("title", F.lit(""))), "</TITLE></DOCSUMMARY></HEAD><BODY><SECTION>")
+    docs, deepest = _with_inner(docs, deepest, lambda level: _at_level(level, table, _inner))
+    whole = let(_flow(deepest, paragraph, table, _held), lambda f: F.when(F.size(f) > 0, _all(head, _xml(f), "</SECTION></BODY></HWPML>")))
+    return docs.select("doc_id", whole.alias("xml"), "error", "warnings")

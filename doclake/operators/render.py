@@ -1,12 +1,11 @@
-"""Flat tables back to Markdown and to HTML tables, by ordered aggregation: runs, paragraphs, cells, rows, documents."""
+"""Documents back to Markdown, by expressions over a document's row, and flat tables to HTML, by ordered aggregation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.operators.content import RUN, complete, with_content
-from doclake.operators.markdown import ordered_join
+from doclake.operators.markdown import let, ordered_join
 
 
 def run_md(c=F.col) -> Column:
@@ -20,10 +19,8 @@ def run_md(c=F.col) -> Column:
     return F.when(c("url").isNotNull(), F.concat(F.lit("["), t, F.lit("]("), c("url"), F.lit(")"))).otherwise(t)
 
 
-def paragraph_md(inline: Column) -> Column:
-    """A paragraph's Markdown from heading, list_level and list_ordered; an ordered item's number is its level's."""
-    bare = F.regexp_replace(inline, r"^\s+|\s+$", "")
-    return F.when(bare == "", "").when(F.col("heading").isNotNull() | F.col("list_level").isNotNull(), F.concat(_lead(F.col), bare)).otherwise(inline)
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def _lead(c) -> Column:
@@ -35,86 +32,72 @@ def _lead(c) -> Column:
     )
 
 
-def cell_md(content: Column, special: Column) -> Column:
-    """A cell's Markdown: its paragraphs that aren't blank, with breaks between; tables in it are blocks of their own.
-    special: what images and notes show, by place in the content."""
+def _note_name(c) -> Column:
+    return F.concat(F.lit("[^"), F.when(c("note_kind") == "endnote", "e").otherwise(""), c("no").cast("string"), F.lit("]"))
+
+
+def _piece(c) -> Column:
+    """What a run, an image or the call of a note shows. An image without bytes, and a note that isn't there, show nothing."""
+    held = F.get("media", c("med"))
+    image = F.concat(F.lit("![image](data:"), held["mime"], F.lit(";base64,"), F.base64(held["bytes"]), F.lit(")"))
+    special = F.when(c("note_kind").isNotNull(), F.coalesce(_note_name(c), F.lit(""))).when(c("media_id").isNotNull(), F.coalesce(image, F.lit("")))
+    return F.when(c("note_kind").isNull() & c("media_id").isNull(), run_md(c)).otherwise(special)
+
+
+def paragraph_md(inline: Column, c=F.col) -> Column:
+    """A paragraph's Markdown from heading, list_level and list_ordered; an ordered item's number is its level's."""
+    listed = lambda t: let(_trimmed(t), lambda bare: F.when(bare == "", "").otherwise(F.concat(_lead(c), bare)))
+    return let(inline, lambda t: F.when(c("heading").isNotNull() | c("list_level").isNotNull(), listed(t)).when(t.rlike(r"\S"), t).otherwise(""))
+
+
+def cell_md(content: Column) -> Column:
+    """A cell's Markdown: its paragraphs that aren't blank, with breaks between; tables in it are blocks of their own."""
     begin, lead = "\x1e", "\x1f"  # no text from XML has these
-    piece = lambda x, i: F.coalesce(F.try_element_at(special, i), F.when(x["media_id"].isNull() & x["note_kind"].isNull(), run_md(lambda n: x[n])), F.lit(""))
-    shown = F.transform(content, lambda x, i: F.when(x["kind"] == "paragraph", F.concat(F.lit(begin), _lead(lambda n: x[n]), F.lit(lead))).when(x["kind"] == "run", piece(x, i)).otherwise(F.lit(begin)))
+    fields = lambda x: lambda n: x[n]
+    shown = F.transform(content, lambda x: F.when(x["kind"] == "paragraph", F.concat(F.lit(begin), _lead(fields(x)), F.lit(lead))).when(x["kind"] == "run", F.coalesce(_piece(fields(x)), F.lit(""))).otherwise(F.lit(begin)))
 
-    def whole(line: Column) -> Column:
-        cut = F.split(line, lead, 2)
-        inline = F.regexp_replace(F.replace(F.get(cut, F.size(cut) - 1), F.lit("\n"), F.lit("<br>")), r"^\s+|\s+$", "")
-        return F.when(inline == "", "").otherwise(F.concat(F.when(F.size(cut) > 1, F.get(cut, F.lit(0))).otherwise(""), inline))
+    def whole(cut: Column) -> Column:
+        inline = _trimmed(F.replace(F.get(cut, F.size(cut) - 1), F.lit("\n"), F.lit("<br>")))
+        return let(inline, lambda t: F.when(t == "", "").otherwise(F.concat(F.when(F.size(cut) > 1, F.get(cut, F.lit(0))).otherwise(""), t)))
 
-    lines = F.filter(F.transform(F.split(F.array_join(shown, ""), begin, -1), whole), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.array_join(shown, ""), begin, -1), lambda line: let(F.split(line, lead, 2), whole)), lambda x: x != "")
     return F.array_join(lines, "<br>")
 
 
-def table_md(cells: DataFrame) -> DataFrame:
-    """doc_id, blk, md of tables. cells: doc_id, blk, row, col, row_span, text, a line break of which becomes `<br>`. The
-    first row is the header; merged-away cells are '', empty ones a space."""
-    shown = F.when(F.col("row_span") == 0, "").when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.replace("text", F.lit("\n"), F.lit("<br>")))
-    rows = cells.withColumn("shown", shown).groupBy("doc_id", "blk", "row").agg(ordered_join("shown", "col", " | ").alias("line"), F.count("*").alias("many"))
-    line = F.concat(F.lit("| "), "line", F.lit(" |"))
-    ruled = F.when(F.col("row") == 0, F.concat(line, F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("many").cast("int")), " | "), F.lit(" |"))).otherwise(line)
-    return rows.withColumn("ruled", ruled).groupBy("doc_id", "blk").agg(ordered_join("ruled", "row", "\n").alias("md"))
-
-
-CELL = ["doc_id", "blk", "row", "col"]
-
-
-def _specials(runs: DataFrame, cells: DataFrame, media: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Runs with `special`, what an image or a note shows, cells with `special` by place in their content, and doc_id, md of
-    the notes' texts. Bytes join only images; an image without bytes, and a note that isn't there, show nothing."""
-    kind = "map<int,string>"
-    if media is None and "note_kind" not in runs.columns:
-        return runs.withColumn("special", F.lit(None).cast("string")), cells.withColumn("special", F.lit(None).cast(kind)), None
-    runs = complete(runs, RUN)
-    fields = ["media_id", "note_kind", "note"]
-    needs = lambda c: c("media_id").isNotNull() | c("note_kind").isNotNull()
-    own = runs.where(needs(F.col)).select("doc_id", "blk", F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.col("pos").cast("int").alias("at"), F.col("blk").cast("long").alias("begin"), *fields)
-    has = F.exists("content", lambda x: needs(lambda n: x[n]))
-    held = cells.where(has).select(*CELL, F.posexplode("content").alias("at", "x")).where(needs(lambda n: F.col(f"x.{n}")))
-    held = held.select(*CELL, "at", F.coalesce("x.ord", F.col("blk").cast("long")).alias("begin"), *[f"x.{f}" for f in fields])
-    every = own.unionByName(held)
-    order = Window.partitionBy("doc_id", "note_kind").orderBy("begin", "row", "col", "at")
-    known = every.where("note_kind IS NOT NULL AND note IS NOT NULL").withColumn("no", F.row_number().over(order).cast("string"))
-    name = F.concat(F.when(F.col("note_kind") == "endnote", "e").otherwise(""), "no")
-    known = known.withColumn("special", F.concat(F.lit("[^"), name, F.lit("]")))
-    line = F.concat("special", F.lit(": "), F.regexp_replace("note", r"\s*\n\s*", " "))
-    texts = known.withColumns({"line": line, "nth": F.struct(F.col("note_kind") == "endnote", F.col("no").cast("int"))}).groupBy("doc_id").agg(ordered_join("line", "nth", "\n").alias("md"))
-    told = known.select(*CELL, "at", "special")
-    if media is not None:
-        images = every.where("note_kind IS NULL").join(media.dropDuplicates(["doc_id", "media_id"]), ["doc_id", "media_id"])
-        told = told.unionByName(images.select(*CELL, "at", F.concat(F.lit("![image](data:"), "mime", F.lit(";base64,"), F.base64("bytes"), F.lit(")")).alias("special")))
-    at_body = told.where("row = -1").select("doc_id", "blk", F.col("at").cast(runs.schema["pos"].dataType).alias("pos"), "special")
-    plain, special = runs.where(~needs(F.col)).withColumn("special", F.lit(None).cast("string")), runs.where(needs(F.col)).join(at_body, ["doc_id", "blk", "pos"])
-    by_cell = told.where("row >= 0").groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("at", "special"))).alias("special"))
-    cells = cells.where(~has).withColumn("special", F.lit(None).cast(kind)).unionByName(cells.where(has).join(by_cell, CELL, "left"))
-    return plain.unionByName(special.select(*plain.columns)), cells, texts
-
-
-def render_markdown(blocks: DataFrame, runs: DataFrame, cells: DataFrame, meta: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """doc_id, md. blocks: doc_id, blk, kind, heading, list_level, list_ordered; runs: doc_id, blk, pos and style;
-    cells: doc_id, blk, row, col, row_span, content; meta: doc_id, title, author, subject; media: doc_id, media_id, mime, bytes.
-    Notes are called by `[^1]` (endnotes `[^e1]`) and told at the end."""
-    runs, cells, notes = _specials(runs, with_content(cells), media)
-    inline = runs.withColumn("piece", F.coalesce("special", run_md())).groupBy("doc_id", "blk").agg(ordered_join("piece", "pos", "").alias("inline"))
-    paragraphs = blocks.where("kind = 'paragraph'").join(inline, ["doc_id", "blk"]).select("doc_id", "blk", paragraph_md(F.col("inline")).alias("md"))
-    breaks = blocks.where("kind = 'pageBreak'").select("doc_id", "blk", F.lit("---").alias("md"))
-    tables = table_md(cells.select("doc_id", "blk", "row", "col", "row_span", cell_md(F.col("content"), F.col("special")).alias("text")))
-    body = paragraphs.unionByName(breaks).unionByName(tables).where(r"md rlike '\\S'")
-    if notes is not None:
-        last = F.lit((1 << 31) - 1 if dict(blocks.dtypes)["blk"] == "int" else (1 << 62)).cast(blocks.schema["blk"].dataType)
-        body = body.unionByName(notes.select("doc_id", last.alias("blk"), "md"))
-    text = body.groupBy("doc_id").agg(ordered_join("md", "blk", "\n\n").alias("body"))
+def table_md(cells: Column) -> Column:
+    """A table's Markdown from its cells in order. The first row is the header; merged-away cells are '', empty ones a space."""
+    shown = lambda c: F.when(c["row_span"] == 0, "").otherwise(let(cell_md(c["content"]), lambda t: F.when(t == "", " ").otherwise(F.replace(t, F.lit("\n"), F.lit("<br>")))))
+    heads = F.size(F.filter(cells, lambda c: c["row"] == 0))
+    rule = F.when(heads > 0, F.concat(F.lit(" |\n| "), F.array_join(F.array_repeat(F.lit("---"), heads), " | "), F.lit(" |"))).otherwise(" |")
+
+    def whole(rule: Column) -> Column:
+        before = lambda i: F.get(cells, i - 1)["row"]
+        ends = lambda row: F.when(row == 0, rule).otherwise(" |")
+        between = lambda c, i: F.when(i == 0, "| ").when(before(i) == c["row"], " | ").otherwise(F.concat(ends(before(i)), F.lit("\n| ")))
+        return F.concat(F.array_join(F.transform(cells, lambda c, i: F.concat(between(c, i), shown(c))), ""), ends(F.get(cells, F.size(cells) - 1)["row"]))
+
+    return F.when(F.size(cells) > 0, let(rule, whole))
+
+
+def _notes_md() -> Column:
+    """The texts of the notes, a line each, or null: those of the foot, then those of the end."""
+    of = lambda xs: F.filter(xs, lambda x: x["note_kind"].isNotNull() & x["note"].isNotNull())
+    line = lambda x: F.struct((x["note_kind"] == "endnote").alias("end"), x["no"].alias("no"), F.concat(_note_name(lambda n: x[n]), F.lit(": "), F.regexp_replace(x["note"], r"\s*\n\s*", " ")).alias("line"))
+    own = lambda b: F.concat(F.transform(of(b["runs"]), line), F.flatten(F.transform(b["cells"], lambda c: F.transform(of(c["content"]), line))))
+    return F.nullif(F.array_join(F.transform(F.sort_array(F.flatten(F.transform("blocks", own))), lambda x: x["line"]), "\n"), F.lit(""))
+
+
+def render_markdown(docs: DataFrame) -> DataFrame:
+    """doc_id, md, error, warnings of documents (content.DOCUMENT). Notes are called by `[^1]` (endnotes `[^e1]`) and told at the end.
+    A document is one row, so nothing is shuffled."""
+    inline = lambda b: F.array_join(F.transform(b["runs"], lambda r: _piece(lambda n: r[n])), "")
+    block = lambda b: F.when(b["kind"] == "paragraph", paragraph_md(inline(b), lambda n: b[n])).when(b["kind"] == "pageBreak", "---").otherwise(table_md(b["cells"]))
+    body = F.filter(F.transform("blocks", block), lambda md: md.rlike(r"\S"))
     line = lambda k: F.when(F.coalesce(k, F.lit("")) != "", F.concat(F.lit(f'{k}: "'), k, F.lit('"')))
     front = F.concat_ws("\n", F.lit("---"), line("title"), line("author"), line("subject"), F.lit("---"))
     has = F.coalesce(F.nullif("title", F.lit("")), F.nullif("author", F.lit(""))).isNotNull()
-    whole = F.concat_ws("\n\n", F.when(has, front), "body")
-    out = text.join(meta, "doc_id", "full").select("doc_id", F.regexp_replace(whole, r"\n{3,}", "\n\n").alias("md"))
-    return out.withColumn("md", F.regexp_replace("md", r"^\s+|\s+$", ""))
+    whole = let(F.concat(body, F.array_compact(F.array(_notes_md()))), lambda b: F.when((F.size(b) > 0) | F.col("told"), F.concat_ws("\n\n", F.when(has, front), F.when(F.size(b) > 0, F.array_join(b, "\n\n")))))
+    return docs.select("doc_id", _trimmed(F.regexp_replace(whole, r"\n{3,}", "\n\n")).alias("md"), "error", "warnings")
 
 
 def table_html(cells: DataFrame, *keys: str) -> DataFrame:

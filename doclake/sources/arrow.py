@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: An output batch ends with the row that makes it larger than this many bytes or rows.
 BYTES, ROWS = 8 << 20, 20_000
@@ -17,17 +19,20 @@ PARTS = "array<struct<part:string,bytes:binary>>"
 SMALL, KEPT = 1 << 16, 64
 
 
-def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[..., list[tuple]], repeats: bool = False) -> DataFrame:
+def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[..., list[tuple]], repeats: bool = False, size: str | None = None) -> DataFrame:
     """doc_id and `columns` (DDL): each(*inputs of a row) lists the rows that it becomes. repeats: many rows have equal inputs,
-    as parts that a program puts into all its packages; a task works on each once."""
+    as parts that a program puts into all its packages; a task works on each once. size: the column that tells how many bytes
+    a row stands for, where these are not in columns of bytes."""
     kind = df.schema["doc_id"].dataType.simpleString()
     names, ddl = zip(*(c.split() for c in columns.split(", ")), strict=True)
+    nested = {t: to_arrow_type(DataType.fromDDL(t)) for t in ddl if t not in TYPES and t != PARTS}
 
     def run(batches):
         import pyarrow as pa
 
         binary, lists = ([i for i, t in enumerate(ddl) if t == kind] for kind in ("binary", PARTS))
-        types = [pa.list_(pa.struct([("part", pa.string()), ("bytes", pa.binary())])) if t == PARTS else getattr(pa, TYPES[t])() for t in ddl]
+        types = [nested[t] if t in nested else pa.list_(pa.struct([("part", pa.string()), ("bytes", pa.binary())])) if t == PARTS else getattr(pa, TYPES[t])() for t in ddl]
+        weight = [names.index(size)] if size else []
 
         def batch_of(ids, at, rows):
             values = zip(*rows, strict=True) if rows else [[]] * len(names)
@@ -54,6 +59,7 @@ def mapped_rows(df: DataFrame, inputs: list[str], columns: str, each: Callable[.
                 at += [i] * len(found)
                 held += sum(len(row[j]) for j in binary for row in found if row[j] is not None)
                 held += sum(len(data) for j in lists for row in found for _, data in row[j] or ())
+                held += sum(row[j] or 0 for j in weight for row in found)
                 if held > BYTES or len(rows) > ROWS:
                     yield batch_of(ids, at, rows)
                     at, rows, held = [], [], 0
