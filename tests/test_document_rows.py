@@ -67,3 +67,13 @@ def test_blank_cells_below_tall_ones_come_once(spark):
     parts = convert.write_docx(convert.Ir(blocks, runs, flat, meta)).first()["parts"]
     xml = next(p["bytes"] for p in parts if p["part"] == "word/document.xml").decode()
     assert xml.count("<w:tr>") == 3 and xml.count("<w:tc>") == 6 and xml.count("<w:vMerge/>") == 2 and xml.count("<w:gridCol/>") == 2
+
+
+def test_missing_references_are_found_in_their_package(spark):
+    from doclake.operators.integrity import missing_in_packages, missing_refs
+
+    docs = docx(spark, P('<w:hyperlink r:id="rId5">' + R("t") + "</w:hyperlink>"), **{"word/x.xml": "<no xml", "word/m.png": "x", "[Content_Types].xml": '<t><Default Extension="png"/></t>'}).where("doc_id = 1").limit(1)
+    docs = docs.unionByName(spark.createDataFrame([(2, b"no zip"), (3, None)], "doc_id long, bytes binary"))
+    found = missing_in_packages(docs, "docx")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, missing_refs(package.unzip_parts(docs), "docx").collect())) and found.count() >= 3
+    assert "Exchange" not in plan(missing_in_packages(docs.coalesce(1).where("doc_id > 1"), "docx").where("space <> ''")).split("MapInArrow")[0]
